@@ -274,12 +274,12 @@ select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as
 from orders order by orders.o_orderkey limit 50 offset 100"""
 ORACLE["preview_deep"] = """
 with placed as (
-  select *, row_number() over (order by l_quantity, l_extendedprice, l_orderkey, l_partkey) as at,
+  select *, row_number() over (order by l_quantity, l_extendedprice, l_orderkey, l_partkey) as place,
          count(*) over () as total from lineitem)
 select cast(l_quantity as varchar) as l_quantity, cast(l_extendedprice as varchar) as l_extendedprice,
        cast(l_orderkey as varchar) as l_orderkey, cast(l_partkey as varchar) as l_partkey
 from placed
-where at > ((total + 49) // 50 // 2) * 50 and at <= ((total + 49) // 50 // 2) * 50 + 50"""
+where place > ((total + 49) // 50 // 2) * 50 and place <= ((total + 49) // 50 // 2) * 50 + 50"""
 ORACLE["preview_pages"] = """
 select count(*) as total_rows, cast(50 as bigint) as page_size,
        cast(greatest(ceil(count(*) / 50.0), 1) as bigint) as total_pages from lineitem"""
@@ -321,7 +321,7 @@ ORACLE["normalize_table_null"] = _NORMAL.format(price=f"round({_PRICE}, 6)", pri
 
 # Text dates make a date column when at least 60 % of the values look like one.
 _SEEN = "case when count(*) filter (o_orderstatus <> 'P') >= 0.6 * count(*) then 'Date' else 'String' end"
-_TYPES = ["'Number'", "'Float'", "'Date'", _SEEN, "'Boolean'", "'Number'", "'Float'", "'String'"]
+_TYPES = ["max('Number')", "max('Float')", "max('Date')", _SEEN, "max('Boolean')", "max('Number')", "max('Float')", "max('String')"]
 _NAMES = ["order_id", "unit_price", "due_date", "seen", "verified", "holder", "paid", "priority"]
 ORACLE["infer_types"] = union(
     [f"""select cast({i} as integer) as position, '{c}' as "column", {t} as type from orders""" for i, (c, t) in enumerate(zip(_NAMES, _TYPES))]

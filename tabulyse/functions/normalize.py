@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ _MAX_LONG = 9.2e18
 
 _MONTH = "(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 _WEEKDAY = r"^(?i:mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?),?\s+"
+_OFFSET = r"(?<=:\d{2}(?:\.\d{1,9})?)[+-]\d{2}:?\d{2}\z"
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"
 _LAST_EPOCH_SECOND = 253402300799  # 9999-12-31 23:59:59
 _FIRST_EPOCH_MILLI = 10**12
@@ -118,6 +121,17 @@ def _four_digit_year(s: Column) -> Column:
     )
 
 
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
+def _short_months(s: Column) -> Column:
+    """Commas and runs of spaces as one space, words cut to three letters."""
+    spaced = F.regexp_replace(s, r"[,\s]+", " ")
+    return F.regexp_replace(spaced, r"(?<![A-Za-z])([A-Za-z]{3})[a-z]+(?= )", "$1")
+
+
 def parse_timestamp(c: Column) -> Column:
     """Text in any of the known date formats to a timestamp without zone.
 
@@ -125,12 +139,27 @@ def parse_timestamp(c: Column) -> Column:
     parses. Month-first wins over day-first where both are valid dates. Zone offsets are dropped and the
     wall clock kept.
     """
-    s = _four_digit_year(F.regexp_replace(strip(null_if_token(c)), _WEEKDAY, ""))
-    iso = F.regexp_replace(s, r"(?<=:\d{2}(?:\.\d{1,9})?)[+-]\d{2}:?\d{2}\z", "")
-    words = F.regexp_replace(F.regexp_replace(s, ",", " "), r"\s+", " ")
-    words = F.regexp_replace(words, rf"(?<![A-Za-z])({_MONTH})(?![A-Za-z])", "$1")
-    words = F.regexp_replace(words, r"(?<![A-Za-z])([A-Za-z]{3})[a-z]+(?= )", "$1")
-    exact = (
+    return _let(_four_digit_year(F.regexp_replace(strip(null_if_token(c)), _WEEKDAY, "")), _timestamp_in)
+
+
+def _timestamp_in(s: Column) -> Column:
+    with_words = _let(F.when(s.rlike("[A-Za-z]{3}"), _short_months(s)), lambda words: _month_name_date(s, words))
+    return F.coalesce(_let(F.regexp_replace(s, _OFFSET, ""), lambda iso: _digits_date(s, iso)), with_words, _date_inside(s))
+
+
+def _month_name_date(s: Column, words: Column) -> Column:
+    return (
+        F.when(
+            words.rlike(rf"^[A-Za-z]{{3}} \d{{1,2}} \d{{4}}(?: {_CLOCK}(?: (?i:[ap]m))?)?\z") & s.rlike(f"^{_MONTH} "),
+            _first(words, "MMM d yyyy[ H:mm[:ss]]", "MMM d yyyy h:mm[:ss] a"),
+        )
+        .when(words.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}\z") & s.rlike(f"^\\d+ {_MONTH} "), _first(words, "d MMM yyyy"))
+        .when(words.rlike(r"^[A-Za-z]{3} \d{4}\z") & s.rlike(f"^{_MONTH} "), _first(words, "MMM yyyy"))
+    )
+
+
+def _digits_date(s: Column, iso: Column) -> Column:
+    return (
         F.when(s.rlike(r"^\d{14}\z"), F.coalesce(_first(s, "yyyyMMddHHmmss"), _epoch(s)))
         .when(s.rlike(r"^\d{8}\z"), F.coalesce(_first(s, "yyyyMMdd"), _epoch(s)))
         .when(s.rlike(r"^\d{9,}\z"), _epoch(s))
@@ -150,14 +179,7 @@ def parse_timestamp(c: Column) -> Column:
         .when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}\z"), _first(s, "M-d-yyyy", "d-M-yyyy"))
         .when(s.rlike(rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}} {_CLOCK}\z"), _first(s, "d-M-yyyy H:mm[:ss]"))
         .when(s.rlike(rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{4}}(?: {_CLOCK})?\z"), _first(s, "d.M.yyyy[ H:mm[:ss]]"))
-        .when(
-            words.rlike(rf"^[A-Za-z]{{3}} \d{{1,2}} \d{{4}}(?: {_CLOCK}(?: (?i:[ap]m))?)?\z") & s.rlike(f"^{_MONTH} "),
-            _first(words, "MMM d yyyy[ H:mm[:ss]]", "MMM d yyyy h:mm[:ss] a"),
-        )
-        .when(words.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}\z") & s.rlike(f"^\\d+ {_MONTH} "), _first(words, "d MMM yyyy"))
-        .when(words.rlike(r"^[A-Za-z]{3} \d{4}\z") & s.rlike(f"^{_MONTH} "), _first(words, "MMM yyyy"))
     )
-    return F.coalesce(exact, _date_inside(s))
 
 
 def parse_date(c: Column) -> Column:
@@ -166,11 +188,15 @@ def parse_date(c: Column) -> Column:
 
 def parse_time(c: Column) -> Column:
     """A clock time, alone or as part of a timestamp, as HH:mm:ss."""
-    s = strip(null_if_token(c))
-    clock = F.when(s.rlike(rf"^{_CLOCK}\z"), _first(s, "H:mm[:ss]")).when(
-        s.rlike(rf"^{_CLOCK} (?i:[ap]m)\z"), _first(s, "h:mm[:ss] a")
-    )
-    return F.date_format(F.coalesce(clock, parse_timestamp(s)), "HH:mm:ss")
+
+
+    def clock(s: Column) -> Column:
+        alone = F.when(s.rlike(rf"^{_CLOCK}\z"), _first(s, "H:mm[:ss]")).when(
+            s.rlike(rf"^{_CLOCK} (?i:[ap]m)\z"), _first(s, "h:mm[:ss] a")
+        )
+        return F.coalesce(alone, parse_timestamp(s))
+
+    return F.date_format(_let(strip(null_if_token(c)), clock), "HH:mm:ss")
 
 
 def date_unparsed(c: Column) -> Column:

@@ -27,10 +27,10 @@ def parse_replies(df: DataFrame, text: str) -> DataFrame:
     raw = m.col(text)
     others = [m.col(c) for c in df.columns if c != text]
     blank = raw.isNull() | raw.rlike(r"^\s*\z")
-    parsed = df.select(*others, raw.alias("_raw"), blank.alias("_blank"), F.try_parse_json(raw).alias("_parsed"))
+    parsed = df.select(*others, raw.alias("_raw"), blank.alias("_blank"), _parse_whole(raw).alias("_parsed"))
     broken = F.when(F.col("_parsed").isNull() & ~F.col("_blank"), F.col("_raw"))
     repaired = parsed.withColumn("_fixed", repair_json_column(broken))
-    whole = repaired.withColumn("_json", F.coalesce("_parsed", F.try_parse_json("_fixed")))
+    whole = repaired.withColumn("_json", F.coalesce("_parsed", _parse_whole(F.col("_fixed"))))
     shape = F.schema_of_variant("_json")
     records = (
         F.when(shape.startswith("ARRAY"), F.try_variant_get("_json", "$", "array<variant>"))
@@ -46,6 +46,17 @@ def parse_replies(df: DataFrame, text: str) -> DataFrame:
     return listed.select(*kept, status.alias("status"), F.when(F.size("records") > 0, F.col("records")).alias("records"))
 
 
+def _parse_whole(text: Column) -> Column:
+    """The text as variant if it is one JSON value and nothing else, else NULL.
+
+    The JSON functions stop at the end of the first value. What follows it shows once the text is put
+    into brackets: it breaks either the array or the object.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("\n]"))) == 1
+    member = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("\n}")))) == 1
+    return F.when(alone & member, F.try_parse_json(text))
+
+
 def extract_records(parsed: DataFrame) -> DataFrame:
     """One row per record of each reply: the reply's columns, its position, the record as variant.
 

@@ -2,90 +2,111 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulyse.functions import missing as m
 from tabulyse.functions.hashing import keyed_md5
 from tabulyse.functions.stats import pearson, stat
+from tabulyse.session import small_table
 
 CORRELATED_COLUMNS = 15
 SCATTER_POINTS = 500
 SCATTER_SEED = 42
 WHAT_IF_ROWS = 8
 _NEAR_ZERO = 1e-8
+_ROUNDING = 1e-14
 
-_PAIR_SCHEMA = "column_a string, column_b string, r double"
 
+@dataclass(frozen=True)
+class _Column:
+    """What one light aggregate says about a column before pairs are formed."""
 
-def _widest_spread(df: DataFrame, columns: list[str], keep: int) -> list[str]:
-    """The columns to correlate: all of them, or the ones with the largest variance, largest first."""
-    if len(columns) <= keep:
-        return columns
-    spread = df.agg(*[F.var_samp(m.number(df, c)).alias(str(i)) for i, c in enumerate(columns)]).first()
-    known = [(-spread[i], i) for i in range(len(columns)) if spread[i] is not None and spread[i] == spread[i]]
-    return [columns[i] for _, i in sorted(known)[:keep]]
+    name: str
+    mean: float
+    variance: float
+    varies: bool
+    gaps: bool
 
 
-def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_a, column_b, r) for a before b: pairwise-complete, all pairs in one aggregate."""
-    numbers = df.select(*[m.number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+def _survey(df: DataFrame, names: list[str], keep: int) -> list[_Column]:
+    """The columns to correlate: all of them, or the ones with the largest variance, largest first."""
+    measures = []
+    for i, c in enumerate(names):
+        x = m.number(df, c)
+        facts = [F.avg(x), F.var_samp(x), F.min(x) < F.max(x), F.count(x) < F.count(F.lit(1))]
+        measures.append(F.struct(*[f.alias(k) for f, k in zip(facts, "mean variance varies gaps".split())]).alias(str(i)))
+    if not measures:
+        return []
+    row = df.agg(*measures).first()
+    found = [_Column(c, row[i].mean, row[i].variance, bool(row[i].varies), bool(row[i].gaps)) for i, c in enumerate(names)]
+    if len(found) <= keep:
+        return found
+    known = [c for c in found if c.variance is not None and c.variance == c.variance]
+    return sorted(known, key=lambda c: -c.variance)[:keep]
+
+
+def _pair_r(x: Column, y: Column, x_gaps: bool, y_gaps: bool) -> Column:
+    """Pearson correlation of two centred columns over the rows where both are present.
+
+    A sum over one column alone serves every pair whose other column has no gaps; Spark computes equal
+    sums once. So 15 columns without gaps take about 150 plain sums.
+    """
+    xs = F.when(y.isNotNull(), x) if y_gaps else x
+    ys = F.when(x.isNotNull(), y) if x_gaps else y
+    n = F.count(xs)
+    x_spread, y_spread = F.sum(xs * xs) - F.sum(xs) * F.sum(xs) / n, F.sum(ys * ys) - F.sum(ys) * F.sum(ys) / n
+    # Constant over the common rows: what is left of the sum of squares is rounding.
+    varies = (x_spread > F.sum(xs * xs) * _ROUNDING) & (y_spread > F.sum(ys * ys) * _ROUNDING)
+    r = F.try_divide(F.sum(x * y) - F.sum(xs) * F.sum(ys) / n, F.sqrt(x_spread) * F.sqrt(y_spread))
+    return F.when((n > 1) & varies, r)
+
+
+def _pairs(df: DataFrame, columns: list[_Column]) -> DataFrame:
+    """(i, j, column_a, column_b, r) for a before b: pairwise-complete, all pairs in one aggregate."""
+    centred = df.select(*[(m.number(df, c.name) - F.lit(c.mean)).alias(f"c{i}") for i, c in enumerate(columns)])
     entries = [
         F.struct(
             F.lit(i).alias("i"),
             F.lit(j).alias("j"),
-            F.lit(columns[i]).alias("column_a"),
-            F.lit(columns[j]).alias("column_b"),
-            pearson(F.col(f"c{i}"), F.col(f"c{j}")).alias("r"),
+            F.lit(columns[i].name).alias("column_a"),
+            F.lit(columns[j].name).alias("column_b"),
+            _pair_r(F.col(f"c{i}"), F.col(f"c{j}"), columns[i].gaps, columns[j].gaps).alias("r"),
         )
         for i, j in combinations(range(len(columns)), 2)
     ]
-    return numbers.agg(F.array(*entries).alias("e")).select(F.inline("e"))
-
-
-def _no_pairs(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
+    pairs = centred.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+    return pairs.withColumn("r", F.coalesce(stat(F.col("r")), F.lit(0.0)))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, keep: int = CORRELATED_COLUMNS) -> DataFrame:
     """(row, col, column_a, column_b, r): the full matrix in long form; an undefined r is 0.
 
     Needs two numeric columns, else it is empty. Above ``keep`` columns the ones with the largest
-    variance stay, in that order; that choice takes one aggregate when the function is called.
+    variance stay, in that order. Means and variances take one aggregate when the function is called.
     """
-    chosen = _widest_spread(df, columns or m.numeric_columns(df), keep)
+    chosen = _survey(df, columns or m.numeric_columns(df), keep)
+    schema = "row int, col int, column_a string, column_b string, r double"
     if len(chosen) < 2:
-        return _no_pairs(df, "row int, col int, " + _PAIR_SCHEMA)
-    pairs = _pairs(df, chosen)
-    r = F.coalesce(stat(F.col("r")), F.lit(0.0)).alias("r")
+        return small_table(df.sparkSession, [], schema)
     sides = F.array(
-        F.struct(F.col("i").alias("row"), F.col("j").alias("col"), "column_a", "column_b", r),
-        F.struct(F.col("j").alias("row"), F.col("i").alias("col"), F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), r),
+        F.struct(F.col("i").alias("row"), F.col("j").alias("col"), "column_a", "column_b", "r"),
+        F.struct(F.col("j").alias("row"), F.col("i").alias("col"), F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r"),
     )
-    diagonal = [
-        F.struct(
-            F.lit(i).alias("row"),
-            F.lit(i).alias("col"),
-            F.lit(c).alias("column_a"),
-            F.lit(c).alias("column_b"),
-            # A column correlates with itself unless it is constant.
-            F.when(F.min(m.number(df, c)) < F.max(m.number(df, c)), 1.0).otherwise(0.0).alias("r"),
-        )
-        for i, c in enumerate(chosen)
-    ]
-    own = df.agg(F.array(*diagonal).alias("e")).select(F.inline("e"))
-    return pairs.select(F.inline(sides)).unionByName(own)
+    # A column correlates with itself unless it is constant.
+    own = [(i, i, c.name, c.name, float(c.varies)) for i, c in enumerate(chosen)]
+    return _pairs(df, chosen).select(F.inline(sides)).unionByName(small_table(df.sparkSession, own, schema))
 
 
 def top_correlations(df: DataFrame, columns: list[str] | None = None, n: int = 10) -> DataFrame:
     """(column_a, column_b, strength, r): the n pairs with the largest absolute correlation."""
-    chosen = _widest_spread(df, columns or m.numeric_columns(df), CORRELATED_COLUMNS)
+    chosen = _survey(df, columns or m.numeric_columns(df), CORRELATED_COLUMNS)
     if len(chosen) < 2:
-        return _no_pairs(df, "column_a string, column_b string, strength double, r double")
-    r = F.coalesce(stat(F.col("r")), F.lit(0.0))
-    pairs = _pairs(df, chosen).select("column_a", "column_b", F.abs(r).alias("strength"), r.alias("r"))
+        return small_table(df.sparkSession, [], "column_a string, column_b string, strength double, r double")
+    pairs = _pairs(df, chosen).select("column_a", "column_b", F.abs("r").alias("strength"), "r")
     return pairs.orderBy(F.desc("strength"), "column_a", "column_b").limit(n)
 
 

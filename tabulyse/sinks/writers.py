@@ -28,7 +28,7 @@ def write_json(df: DataFrame, path: str, specs: list[ColumnSpec] | None = None,
         m.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else m.col(f.name)
         for f in chosen.schema.fields
     ]
-    chosen.select(*floats).write.json(path, ignoreNullFields=False, timestampNTZFormat=TIMESTAMP_FORMAT)
+    chosen.select(*floats).write.option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path, ignoreNullFields=False)
 
 
 def write_csv(df: DataFrame, path: str, specs: list[ColumnSpec] | None = None, context: str = "") -> None:
@@ -42,9 +42,8 @@ def write_csv(df: DataFrame, path: str, specs: list[ColumnSpec] | None = None, c
         return m.value(chosen, f.name).alias(f.name)
 
     flat = chosen.select(*[cell(f) for f in chosen.schema.fields])
-    flat.write.csv(
-        path, header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        timestampNTZFormat=TIMESTAMP_FORMAT,
+    flat.write.option("timestampNTZFormat", TIMESTAMP_FORMAT).csv(
+        path, header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
 
