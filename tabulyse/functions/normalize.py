@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulyse.functions import fixed_values as fixed
+from tabulyse.functions.binding import let
 
 # White space as Unicode defines it; Java's \s and trim() know only part of it.
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -121,11 +120,6 @@ def _four_digit_year(s: Column) -> Column:
     )
 
 
-def _let(c: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body mentions it."""
-    return F.element_at(F.transform(F.array(c), body), 1)
-
-
 def _short_months(s: Column) -> Column:
     """Commas and runs of spaces as one space, words cut to three letters."""
     spaced = F.regexp_replace(s, r"[,\s]+", " ")
@@ -139,12 +133,12 @@ def parse_timestamp(c: Column) -> Column:
     parses. Month-first wins over day-first where both are valid dates. Zone offsets are dropped and the
     wall clock kept.
     """
-    return _let(_four_digit_year(F.regexp_replace(strip(null_if_token(c)), _WEEKDAY, "")), _timestamp_in)
+    return let(_four_digit_year(F.regexp_replace(strip(null_if_token(c)), _WEEKDAY, "")), _timestamp_in)
 
 
 def _timestamp_in(s: Column) -> Column:
-    with_words = _let(F.when(s.rlike("[A-Za-z]{3}"), _short_months(s)), lambda words: _month_name_date(s, words))
-    return F.coalesce(_let(F.regexp_replace(s, _OFFSET, ""), lambda iso: _digits_date(s, iso)), with_words, _date_inside(s))
+    with_words = let(F.when(s.rlike("[A-Za-z]{3}"), _short_months(s)), lambda words: _month_name_date(s, words))
+    return F.coalesce(let(F.regexp_replace(s, _OFFSET, ""), lambda iso: _digits_date(s, iso)), with_words, _date_inside(s))
 
 
 def _month_name_date(s: Column, words: Column) -> Column:
@@ -196,7 +190,7 @@ def parse_time(c: Column) -> Column:
         )
         return F.coalesce(alone, parse_timestamp(s))
 
-    return F.date_format(_let(strip(null_if_token(c)), clock), "HH:mm:ss")
+    return F.date_format(let(strip(null_if_token(c)), clock), "HH:mm:ss")
 
 
 def date_unparsed(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulyse.functions import missing as m
 from tabulyse.functions import normalize as n
+from tabulyse.functions.binding import let
 from tabulyse.functions.repair import repair_json_column
 from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.operators.normalize_table import looks_like_date, normalize, type_from_counts, type_from_name
@@ -30,20 +31,20 @@ def parse_replies(df: DataFrame, text: str) -> DataFrame:
     parsed = df.select(*others, raw.alias("_raw"), blank.alias("_blank"), _parse_whole(raw).alias("_parsed"))
     broken = F.when(F.col("_parsed").isNull() & ~F.col("_blank"), F.col("_raw"))
     repaired = parsed.withColumn("_fixed", repair_json_column(broken))
-    whole = repaired.withColumn("_json", F.coalesce("_parsed", _parse_whole(F.col("_fixed"))))
-    shape = F.schema_of_variant("_json")
-    records = (
-        F.when(shape.startswith("ARRAY"), F.try_variant_get("_json", "$", "array<variant>"))
-        .when(shape.startswith("OBJECT"), F.array("_json"))
-    )
-    listed = whole.withColumn("records", records)
-    status = (
-        F.when(F.size("records") > 0, "records")
-        .when(~F.col("_blank") & F.col("_json").isNull(), "malformed")
-        .otherwise("empty")
-    )
+    outcome = let(F.coalesce("_parsed", _parse_whole(F.col("_fixed"))), lambda json: let(_records_in(json), lambda found: _outcome(json, found)))
     kept = [m.col(c) for c in df.columns if c != text]
-    return listed.select(*kept, status.alias("status"), F.when(F.size("records") > 0, F.col("records")).alias("records"))
+    return repaired.select(*kept, outcome.alias("_out")).select(*kept, "_out.status", "_out.records")
+
+
+def _records_in(json: Column) -> Column:
+    shape = F.schema_of_variant(json)
+    return F.when(shape.startswith("ARRAY"), F.try_variant_get(json, "$", "array<variant>")).when(shape.startswith("OBJECT"), F.array(json))
+
+
+def _outcome(json: Column, found: Column) -> Column:
+    some = F.size(found) > 0
+    status = F.when(some, "records").when(~F.col("_blank") & json.isNull(), "malformed").otherwise("empty")
+    return F.struct(status.alias("status"), F.when(some, found).alias("records"))
 
 
 def _parse_whole(text: Column) -> Column:

@@ -18,7 +18,7 @@ SCATTER_POINTS = 500
 SCATTER_SEED = 42
 WHAT_IF_ROWS = 8
 _NEAR_ZERO = 1e-8
-_ROUNDING = 1e-14
+_ROUNDING = "1e-14D"
 
 
 @dataclass(frozen=True)
@@ -49,20 +49,23 @@ def _survey(df: DataFrame, names: list[str], keep: int) -> list[_Column]:
     return sorted(known, key=lambda c: -c.variance)[:keep]
 
 
-def _pair_r(x: Column, y: Column, x_gaps: bool, y_gaps: bool) -> Column:
+def _pair_r(x: str, y: str, x_gaps: bool, y_gaps: bool) -> Column:
     """Pearson correlation of two centred columns over the rows where both are present.
 
     A sum over one column alone serves every pair whose other column has no gaps; Spark computes equal
-    sums once. So 15 columns without gaps take about 150 plain sums.
+    sums once. So 15 columns without gaps take about 150 plain sums. What is left of a sum of squares
+    that is constant over the common rows is rounding, and such a pair has no correlation.
     """
-    xs = F.when(y.isNotNull(), x) if y_gaps else x
-    ys = F.when(x.isNotNull(), y) if x_gaps else y
-    n = F.count(xs)
-    x_spread, y_spread = F.sum(xs * xs) - F.sum(xs) * F.sum(xs) / n, F.sum(ys * ys) - F.sum(ys) * F.sum(ys) / n
-    # Constant over the common rows: what is left of the sum of squares is rounding.
-    varies = (x_spread > F.sum(xs * xs) * _ROUNDING) & (y_spread > F.sum(ys * ys) * _ROUNDING)
-    r = F.try_divide(F.sum(x * y) - F.sum(xs) * F.sum(ys) / n, F.sqrt(x_spread) * F.sqrt(y_spread))
-    return F.when((n > 1) & varies, r)
+    xs = f"if({y} is null, null, {x})" if y_gaps else x
+    ys = f"if({x} is null, null, {y})" if x_gaps else y
+
+    def spread(v: str) -> str:
+        return f"(sum({v} * {v}) - sum({v}) * sum({v}) / count({xs}))"
+
+    varies = f"{spread(xs)} > sum({xs} * {xs}) * {_ROUNDING} and {spread(ys)} > sum({ys} * {ys}) * {_ROUNDING}"
+    shared = f"sum({x} * {y}) - sum({xs}) * sum({ys}) / count({xs})"
+    r = f"try_divide({shared}, sqrt({spread(xs)}) * sqrt({spread(ys)}))"
+    return F.expr(f"case when count({xs}) > 1 then case when {varies} then {r} end end")
 
 
 def _pairs(df: DataFrame, columns: list[_Column]) -> DataFrame:
@@ -74,7 +77,7 @@ def _pairs(df: DataFrame, columns: list[_Column]) -> DataFrame:
             F.lit(j).alias("j"),
             F.lit(columns[i].name).alias("column_a"),
             F.lit(columns[j].name).alias("column_b"),
-            _pair_r(F.col(f"c{i}"), F.col(f"c{j}"), columns[i].gaps, columns[j].gaps).alias("r"),
+            _pair_r(f"c{i}", f"c{j}", columns[i].gaps, columns[j].gaps).alias("r"),
         )
         for i, j in combinations(range(len(columns)), 2)
     ]
