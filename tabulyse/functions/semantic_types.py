@@ -93,7 +93,7 @@ def convert(c: Column, dtype: T.DataType, kind: str, null_policy: str) -> Column
 
 def _text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.lit(2**31 - 1))
+        return F.to_json(c)
     return c.cast("string")
 
 

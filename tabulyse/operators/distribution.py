@@ -69,8 +69,8 @@ def distribution(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> Data
     return category_distribution(df, column)
 
 
-def _bounds(df: DataFrame, columns: list[str]) -> DataFrame:
-    q = quartiles(df, columns)
+def _bounds(df: DataFrame, columns: list[str], middle: DataFrame | None) -> DataFrame:
+    q = middle.where(F.col("column").isin(columns)) if middle else quartiles(df, columns)
     lower, upper = fences(F.col("q1"), F.col("q3"))
     return q.select("column", "n", "q1", "median", "q3", lower.alias("lower"), upper.alias("upper"))
 
@@ -79,9 +79,9 @@ def _beyond() -> Column:
     return (F.col("x") < F.col("lower")) | (F.col("x") > F.col("upper"))
 
 
-def _against_fences(df: DataFrame, columns: list[str]) -> DataFrame:
+def _against_fences(df: DataFrame, columns: list[str], middle: DataFrame | None) -> DataFrame:
     """Per column: quartiles, fences and what one more pass finds relative to them."""
-    bounds = _bounds(df, columns)
+    bounds = _bounds(df, columns, middle)
     placed = numeric_long(df, columns).join(F.broadcast(bounds), "column")
     found = placed.groupBy("column").agg(
         F.min("x").alias("min"),
@@ -99,22 +99,25 @@ def _status() -> Column:
     return F.when(F.col("n") == 0, "empty").otherwise("ok").alias("status")
 
 
-def box_plot(df: DataFrame, columns: list[str], zero_fill: bool = False) -> DataFrame:
+def box_plot(df: DataFrame, columns: list[str], zero_fill: bool = False, middle: DataFrame | None = None) -> DataFrame:
     """(column, min, q1, median, q3, max, lower_whisker, upper_whisker, outlier_count, status).
 
-    Whiskers are the outermost values inside the fences at 1.5 times the interquartile range.
+    Whiskers are the outermost values inside the fences at 1.5 times the interquartile range. ``middle``
+    holds the quartiles if the caller has them.
     """
     m.require_numeric(df, *columns)
     shown = ["min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker"]
-    rows = _against_fences(df, columns)
+    rows = _against_fences(df, columns, middle)
     return rows.select("column", *[stat(F.col(c), zero_fill=zero_fill).alias(c) for c in shown], "outlier_count", _status())
 
 
-def outliers_iqr(df: DataFrame, columns: list[str] | None = None, zero_fill: bool = False) -> DataFrame:
+def outliers_iqr(
+    df: DataFrame, columns: list[str] | None = None, zero_fill: bool = False, middle: DataFrame | None = None
+) -> DataFrame:
     """(column, q1, q3, iqr, lower_fence, upper_fence, outlier_count, outlier_pct, min, max, median, status)."""
     columns = columns or m.numeric_columns(df)
     m.require_numeric(df, *columns)
-    rows = _against_fences(df, columns)
+    rows = _against_fences(df, columns, middle)
     rows = rows.withColumn("iqr", F.col("q3") - F.col("q1"))
     shown = {"q1": "q1", "q3": "q3", "iqr": "iqr", "lower_fence": "lower", "upper_fence": "upper"}
     extremes = {"min": "min", "max": "max", "median": "median"}
@@ -146,7 +149,7 @@ def outlier_rows(df: DataFrame, columns: list[str], keys: list[str], limit: int
         ids = [F.col(f"key_{i}") for i in range(len(keys))]
         values = wide.unpivot(ids, [m.col(c) for c in columns], "column", "x")
     lower, upper = F.col("lower"), F.col("upper")
-    outside = values.join(F.broadcast(_bounds(df, columns)), "column").where(_beyond())
+    outside = values.join(F.broadcast(_bounds(df, columns, None)), "column").where(_beyond())
     distance = F.greatest(lower - F.col("x"), F.col("x") - upper)
     order = [F.desc("distance"), *[F.asc(f"key_{i}") for i in range(len(keys))]]
     ranked = outside.withColumn("distance", distance).withColumn(

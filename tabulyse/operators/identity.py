@@ -29,12 +29,14 @@ def link_identities(signins: DataFrame, users: DataFrame, links: DataFrame) -> L
     A known (provider, provider_id) keeps its user. Otherwise the normalized e-mail decides, and an
     address seen for the first time becomes a user whose id is derived from the address, so two
     providers in one batch meet in one user and a rerun gives the same ids. A user gets at most one
-    link per provider, the earliest of the batch. Within a batch an identity follows its first sign-in.
+    link per provider, the earliest of the batch. Within a batch an identity follows its first sign-in; one
+    that is neither linked nor has an address gets no user.
 
     Repeated sign-ins collapse before the first join, so a busy identity is one row from there on.
     """
     identity = ["provider", "provider_id"]
-    first = signins.groupBy(*identity).agg(F.min(F.struct("seq", normal_email(F.col("email")).alias("email"))).alias("f"))
+    seen = signins.groupBy(*identity, normal_email(F.col("email")).alias("email")).agg(F.min("seq").alias("seq"))
+    first = seen.groupBy(*identity).agg(F.min(F.struct("seq", "email")).alias("f"))
     known = links.select(*identity, F.col("user_id").alias("linked_user"))
     by_email = users.select(normal_email(F.col("email")).alias("email"), F.col("user_id").alias("known_user"))
     placed = (
@@ -44,11 +46,11 @@ def link_identities(signins: DataFrame, users: DataFrame, links: DataFrame) -> L
     )
     fresh = F.concat(F.lit("u-"), F.substring(F.sha2("email", 256), 1, 32))
     resolved = placed.withColumn("user_id", F.coalesce("linked_user", "known_user", fresh)).withColumn(
-        "is_new", F.col("linked_user").isNull() & F.col("known_user").isNull()
+        "is_new", F.col("linked_user").isNull() & F.col("known_user").isNull() & F.col("email").isNotNull()
     )
     new_users = resolved.where("is_new").select("user_id", "email").distinct()
     taken = links.select("user_id", "provider").distinct()
-    candidates = resolved.where(F.col("linked_user").isNull()).join(taken, ["user_id", "provider"], "left_anti")
+    candidates = resolved.where(F.col("linked_user").isNull() & F.col("user_id").isNotNull()).join(taken, ["user_id", "provider"], "left_anti")
     earliest = Window.partitionBy("user_id", "provider").orderBy("seq", "provider_id")
     new_links = candidates.withColumn("turn", F.row_number().over(earliest)).where("turn = 1")
     return Linked(

@@ -15,9 +15,19 @@ from tabulyse.operators.value_counts import as_text
 PAGE_SIZE = 50
 LARGEST_PAGE = 200
 # Up to this many rows a page is the tail of a top-n; beyond it the start of the page is looked up.
-SHALLOW_ROWS = 100_000
+SHALLOW_ROWS = 2_000
 _EXACT_DOUBLE = 2**53
-_SEEKABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+_SEEKABLE = (
+    T.ByteType,
+    T.ShortType,
+    T.IntegerType,
+    T.LongType,
+    T.FloatType,
+    T.DoubleType,
+    T.DateType,
+    T.TimestampType,
+    T.TimestampNTZType,
+)
 
 
 def _shown(df: DataFrame, name: str) -> Column:
@@ -38,8 +48,8 @@ def preview_page(
 
     A shallow page is a top-n with an offset. For a deep page every task would have to keep all rows
     before it, so the value of each order column at the page's first row is looked up instead (exact,
-    with bounded state per task) and only the rows from there on are ordered. That needs numeric order
-    columns; the lookup runs when the function is called.
+    with bounded state per task) and only the rows from there on are ordered. That needs order columns
+    that are numbers, dates or timestamps; the lookup runs when the function is called.
     """
     _check(page, page_size)
     skip = (page - 1) * page_size
@@ -50,23 +60,33 @@ def preview_page(
     return ordered.select(*[_shown(df, c) for c in df.columns])
 
 
+def _place(df: DataFrame, name: str) -> Column:
+    """An order column as a double that sorts the same way."""
+    dtype = m.field(df, name).dataType
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(m.col(name)).cast("double")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(m.col(name).cast("timestamp")).cast("double")
+    return m.number(df, name)
+
+
 def _seek(df: DataFrame, order_by: list[str], skip: int) -> tuple[DataFrame, int]:
     """The rows from a point shortly before row ``skip`` on, and how many of them are still to skip."""
     ahead, same, after = skip, df, []
     equal: list[Column] = []
     for name in order_by:
-        found = value_at_rank(same, name, ahead)
+        found = value_at_rank(same.select(_place(df, name).alias("place")), "place", ahead)
         if found is None:
             return df, skip
         at, below = found
         ahead -= below
-        here = m.number(df, name)
+        here = _place(df, name)
         later = (here > at) | m.missing(df, name)
         after.append(reduce(lambda a, b: a & b, [*equal, later]))
         equal.append(here == at)
         if abs(at) >= _EXACT_DOUBLE:
             break  # larger whole numbers can share a double; the rows tied here are skipped in order
-        same = same.where(m.number(df, name) == at)
+        same = same.where(here == at)
     tied = reduce(lambda a, b: a & b, equal)
     return df.where(reduce(lambda a, b: a | b, after) | tied), ahead
 

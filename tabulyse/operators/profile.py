@@ -66,7 +66,9 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         _total([_value_bytes(df, c) for c in df.columns]).alias("data_bytes"),
     )
     copies = duplicate_rows(df).select("duplicates")
-    return counted.crossJoin(F.broadcast(copies)).select(
+    # Two tables of one row each, side by side.
+    both = counted.unionByName(copies, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).select(
         "rows",
         F.lit(width).cast("bigint").alias("columns"),
         F.lit(len(m.numeric_columns(df))).cast("bigint").alias("numeric_columns"),
@@ -116,10 +118,13 @@ def _every_column(df: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def numeric_stats(df: DataFrame, columns: list[str] | None = None, zero_fill: bool = False) -> DataFrame:
+def numeric_stats(
+    df: DataFrame, columns: list[str] | None = None, zero_fill: bool = False, middle: DataFrame | None = None
+) -> DataFrame:
     """(column, n, mean, median, std, min, max, q25, q75, skew, status), one row per numeric column.
 
-    Moments come from one aggregate over all columns, quartiles from the exact quantile search.
+    Moments come from one aggregate over all columns, quartiles from the exact quantile search, or from
+    ``middle`` if the caller has them.
     """
     columns = columns or m.numeric_columns(df)
     m.require_numeric(df, *columns)
@@ -138,7 +143,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, zero_fill: bo
             )
         )
     moments = df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
-    middle = quartiles(df, columns).select("column", "q1", "median", "q3")
+    middle = (middle or quartiles(df, columns)).select("column", "q1", "median", "q3")
     reported = {"mean": "mean", "median": "median", "std": "std", "min": "min", "max": "max", "q25": "q1", "q75": "q3", "skew": "skew"}
     return moments.join(F.broadcast(middle), "column").select(
         "column",

@@ -33,7 +33,7 @@ def as_text(df: DataFrame, name: str) -> Column:
     """Any column as text that is equal where the values are equal."""
     dtype = field(df, name).dataType
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return F.when(col(name).isNotNull(), F.to_json(F.struct(col(name).alias("v"))))
+        return F.to_json(col(name))
     if isinstance(dtype, T.BinaryType):
         return F.hex(col(name))
     return value(df, name).cast("string")
@@ -148,7 +148,7 @@ def _with_long_text(df: DataFrame, members: list[str], top: DataFrame) -> DataFr
         .withColumn("key", text_key(F.col("text")))
         .join(F.broadcast(digests), ["column", "key"])
         .groupBy("column", "key")
-        .agg(F.min("text").alias("text"))
+        .agg(F.element_at(F.collect_set("text"), 1).alias("text"))  # one text per digest, found without a sort
     )
     joined = top.join(F.broadcast(behind), ["column", "key"], "left")
     return joined.select("column", "rank", F.coalesce("text", "key").alias("value"), "n")

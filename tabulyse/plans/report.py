@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulyse.functions import missing as m
 from tabulyse.operators.distribution import box_plot, histogram, outliers_iqr
 from tabulyse.operators.profile import column_profile, dataset_summary, numeric_stats, top_values
+from tabulyse.operators.quantiles import quartiles
 from tabulyse.operators.relations import correlation_matrix, scatter_sample, top_correlations
 
 REPORT_BINS = 25
@@ -33,7 +34,8 @@ def profile_report(df: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
     categoricals = m.columns_with_role(df, m.CATEGORICAL, m.BOOLEAN)
     sections = {"summary": dataset_summary(df), "columns": column_profile(df)}
     if numerics:
-        sections["numeric_stats"] = numeric_stats(df, numerics)
+        middle = quartiles(df, numerics)
+        sections["numeric_stats"] = numeric_stats(df, numerics, middle=middle)
         sections["histograms"] = histogram(df, numerics[:HISTOGRAMS], REPORT_BINS)
     if categoricals:
         tops = top_values(df, categoricals[:CATEGORICALS], BAR_VALUES)
@@ -44,8 +46,8 @@ def profile_report(df: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
         sections["top_correlations"] = top_correlations(df, n=CORRELATION_PAIRS)
         sections["scatters"] = _scatters(df, keys)
     if numerics:
-        sections["box_plots"] = box_plot(df, numerics[:BOXES])
-        sections["outliers"] = outliers_iqr(df, numerics[:OUTLIER_COLUMNS])
+        sections["box_plots"] = box_plot(df, numerics[:BOXES], middle=middle)
+        sections["outliers"] = outliers_iqr(df, numerics[:OUTLIER_COLUMNS], middle=middle)
     if categoricals:
         sections["categoricals"] = tops.where(F.col("rank") <= CATEGORICAL_VALUES)
     return sections
