@@ -17,6 +17,8 @@ BOOLEAN = "boolean"
 CATEGORICAL = "categorical"
 NESTED = "nested"
 
+EXACT_DOUBLE = 2**53  # below it every whole number is a double of its own
+
 _SNIFF_ROWS = 20
 
 
@@ -61,6 +63,20 @@ def number(df: DataFrame, name: str) -> Column:
     return value(df, name).cast("double")
 
 
+def comparable(df: DataFrame, name: str, at: float) -> tuple[Column, Column]:
+    """A numeric column and a bound in a form whose comparison reaches the file scan.
+
+    Without the conversion to double that ``number`` makes, Parquet can skip row groups. NaN sorts above
+    every bound, as missing values do. Whole numbers too large for a double are compared as doubles.
+    """
+    dtype = field(df, name).dataType
+    if isinstance(dtype, T.DoubleType):
+        return col(name), F.lit(at)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and abs(at) < EXACT_DOUBLE:
+        return col(name), F.lit(int(at)).cast(dtype)
+    return number(df, name), F.lit(at)
+
+
 def finite(c: Column) -> Column:
     """The double where it is finite, else NULL."""
     return F.when(F.abs(c) < F.lit(float("inf")), c)

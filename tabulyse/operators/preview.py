@@ -16,7 +16,6 @@ PAGE_SIZE = 50
 LARGEST_PAGE = 200
 # Up to this many rows a page is the tail of a top-n; beyond it the start of the page is looked up.
 SHALLOW_ROWS = 2_000
-_EXACT_DOUBLE = 2**53
 _SEEKABLE = (
     T.ByteType,
     T.ShortType,
@@ -70,6 +69,12 @@ def _place(df: DataFrame, name: str) -> Column:
     return m.number(df, name)
 
 
+def _comparable_place(df: DataFrame, name: str, at: float) -> tuple[Column, Column]:
+    if m.role_of_type(m.field(df, name).dataType) == m.NUMERIC:
+        return m.comparable(df, name, at)
+    return _place(df, name), F.lit(at)
+
+
 def _seek(df: DataFrame, order_by: list[str], skip: int) -> tuple[DataFrame, int]:
     """The rows from a point shortly before row ``skip`` on, and how many of them are still to skip."""
     ahead, same, after = skip, df, []
@@ -80,13 +85,13 @@ def _seek(df: DataFrame, order_by: list[str], skip: int) -> tuple[DataFrame, int
             return df, skip
         at, below = found
         ahead -= below
-        here = _place(df, name)
-        later = (here > at) | m.missing(df, name)
+        here, bound = _comparable_place(df, name, at)
+        later = (here > bound) | m.missing(df, name)
         after.append(reduce(lambda a, b: a & b, [*equal, later]))
-        equal.append(here == at)
-        if abs(at) >= _EXACT_DOUBLE:
+        equal.append(here == bound)
+        if abs(at) >= m.EXACT_DOUBLE:
             break  # larger whole numbers can share a double; the rows tied here are skipped in order
-        same = same.where(here == at)
+        same = same.where(here == bound)
     tied = reduce(lambda a, b: a & b, equal)
     return df.where(reduce(lambda a, b: a | b, after) | tied), ahead
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulyse.functions.missing import col, number
+from tabulyse.functions.missing import col, comparable, number
 from tabulyse.session import small_table
 
 CELLS_PER_E = 128
@@ -69,12 +69,17 @@ def _first_pass(values: DataFrame) -> DataFrame:
     return cells.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
 
 
+def _within(df: DataFrame, column: str, lo: float, hi: float) -> Column:
+    (x, low), (_, high) = comparable(df, column, lo), comparable(df, column, hi)
+    return (x >= low) & (x <= high)
+
+
 def _narrow(df: DataFrame, wanted: list[_Wanted]) -> list[_Wanted]:
     spark = df.sparkSession
     columns = sorted({w.column for w in wanted})
     cells = sorted({(w.column, w.lo, w.hi, w.rows) for w in wanted})
-    inside = [number(df, c).between(lo, hi) for c, lo, hi, _ in cells]
-    values = numeric_long(df.where(reduce(lambda a, b: a | b, inside)), columns)
+    inside = reduce(lambda a, b: a | b, [_within(df, c, lo, hi) for c, lo, hi, _ in cells])
+    values = numeric_long(df.where(inside), columns)
     bounds = small_table(spark, cells, "c string, c_lo double, c_hi double, c_rows bigint")
     hit = values.join(
         F.broadcast(bounds),
