@@ -7,6 +7,7 @@ with expressions that the SQL side states as well.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,8 @@ def gappy_lineitem(spark: SparkSession, sf: str) -> DataFrame:
 
 def variant(key: str, choices: list[Column]) -> Column:
     """One of several spellings per row, by a key."""
-    return F.element_at(F.array(*choices), (F.col(key) % len(choices) + 1).cast("int"))
+    chosen = F.col(key) % len(choices)
+    return reduce(lambda rest, i: F.when(chosen == i, choices[i]).otherwise(rest), range(len(choices)), F.lit(None))
 
 
 # Profile

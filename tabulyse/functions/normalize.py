@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from tabulyse.functions import fixed_values as fixed
 from tabulyse.functions.binding import let
 
-# White space as Unicode defines it; Java's \s and trim() know only part of it.
-_WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# White space as Unicode defines it; Java's \s and trim() know only part of it. In the character class the
+# single characters and one wide range settle most letters before the gaps in that range are looked at.
+_WS_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_WS = (
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680-\u3000"
+    r"&&[^\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff]]"
+)
 _NULL_RE = rf"^{_WS}*+(?i:{'|'.join(t.replace('-', chr(92) + '-') for t in fixed.NULL_TOKENS if t)})?{_WS}*+\z"
 
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _PERCENT = r"^[+-]?\s*[0-9,]+\.?[0-9]*\s*%\z"
 # Everything that is not part of a number. An e stays only as an exponent, between digits.
-_NUMBER_NOISE = r"(?<![0-9.])[eE]|[eE](?![+-]?[0-9])|[^0-9.eE+-]"
-_MAX_LONG = 9.2e18
+_NUMBER_NOISE = r"[^0-9.eE+-]++|(?<![0-9.])[eE]|[eE](?![+-]?[0-9])"
 
 _MONTH = "(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 _WEEKDAY = r"^(?i:mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?),?\s+"
-_OFFSET = r"(?<=:\d{2}(?:\.\d{1,9})?)[+-]\d{2}:?\d{2}\z"
+_OFFSET = r"[+-](?<=:\d{2}(?:\.\d{1,9})?[+-])\d{2}:?\d{2}\z"
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"
 _LAST_EPOCH_SECOND = 253402300799  # 9999-12-31 23:59:59
 _FIRST_EPOCH_MILLI = 10**12
@@ -28,7 +32,7 @@ _FIRST_EPOCH_MILLI = 10**12
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, rf"^{_WS}++|{_WS}++\z", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def is_null_token(c: Column) -> Column:
@@ -42,20 +46,22 @@ def null_if_token(c: Column) -> Column:
 
 def parse_double(c: Column) -> Column:
     """Text to double: percent signs, currency marks, separators and letters are noise."""
-    s = strip(null_if_token(c))
-    percent = F.regexp_replace(s, r"[%,\s]", "")
-    digits = F.regexp_replace(s, _NUMBER_NOISE, "")
-    parsed = (
-        F.when(s.rlike(_PERCENT), percent.try_cast("double"))
-        .when(digits.rlike(_PLAIN_NUMBER), F.round(digits.try_cast("double"), 6))
-    )
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+
+    def noisy(s: Column) -> Column:
+        percent = F.regexp_replace(s, r"[%,\s]", "").try_cast("double")
+        number = let(F.regexp_replace(s, _NUMBER_NOISE, ""), lambda d: F.when(d.rlike(_PLAIN_NUMBER), d.try_cast("double")))
+        return F.when(s.rlike(_PERCENT), percent).otherwise(F.round(number, 6))
+
+    def parsed(s: Column) -> Column:
+        return F.when(s.rlike(_PLAIN_NUMBER), F.round(s.try_cast("double"), 6)).otherwise(noisy(s))
+
+    infinity = F.lit(float("inf"))
+    return F.nullif(F.nullif(let(strip(null_if_token(c)), parsed), infinity), -infinity)
 
 
 def parse_long(c: Column) -> Column:
     """Text to bigint, cutting the fraction off; NULL when out of range."""
-    parsed = parse_double(c)
-    return F.when(F.abs(parsed) < _MAX_LONG, parsed).try_cast("bigint")
+    return parse_double(c).try_cast("bigint")
 
 
 def parse_boolean(c: Column) -> Column:
@@ -69,9 +75,13 @@ def parse_boolean(c: Column) -> Column:
 
 def clean_string(c: Column) -> Column:
     """Stripped, without one pair of matching outer quotes, white space runs as one space."""
-    s = strip(null_if_token(c))
-    unquoted = F.when(s.rlike(r"""^(?s)(?:'.*'|".*")\z"""), strip(F.substring(s, F.lit(2), F.length(s) - 2))).otherwise(s)
-    return F.regexp_replace(unquoted, rf"{_WS}++", " ")
+
+    def unquoted(s: Column) -> Column:
+        quoted = (s.startswith("'") & s.endswith("'")) | (s.startswith('"') & s.endswith('"'))
+        return F.when(quoted & (F.length(s) >= 2), strip(F.substring(s, F.lit(2), F.length(s) - 2))).otherwise(s)
+
+    # Single spaces, the bulk of white space, are left as they are.
+    return F.regexp_replace(let(strip(null_if_token(c)), unquoted), rf" {_WS}++|(?! ){_WS}{_WS}*+", " ")
 
 
 def _epoch(s: Column) -> Column:
@@ -133,7 +143,8 @@ def parse_timestamp(c: Column) -> Column:
     parses. Month-first wins over day-first where both are valid dates. Zone offsets are dropped and the
     wall clock kept.
     """
-    return let(_four_digit_year(F.regexp_replace(strip(null_if_token(c)), _WEEKDAY, "")), _timestamp_in)
+    no_weekday = F.regexp_replace(strip(null_if_token(c)), _WEEKDAY, "")
+    return let(no_weekday, lambda s: let(_four_digit_year(s), _timestamp_in))
 
 
 def _timestamp_in(s: Column) -> Column:

@@ -76,7 +76,9 @@ def _reply_columns(parsed: DataFrame) -> list[Column]:
 
 
 def _members(parsed: DataFrame) -> DataFrame:
-    return parsed.select(*_reply_columns(parsed), F.posexplode("records").alias("position", "record"))
+    # The outer form keeps Spark from testing for empty arrays up front, which would parse every reply twice.
+    members = parsed.select(*_reply_columns(parsed), F.posexplode_outer("records").alias("position", "record"))
+    return members.where("position is not null")
 
 
 def _is_object() -> Column:

@@ -17,6 +17,8 @@ from tabulyse.functions.missing import col, field, value
 
 # A hex SHA-256 has 64 characters, so no text kept as it is can look like a digest.
 _LONGEST_KEPT = 63
+# Wider rows are grouped by one digest instead of by their columns.
+_COLUMNS_GROUPED = 16
 
 
 def _family(dtype: T.DataType) -> str:
@@ -154,21 +156,25 @@ def _with_long_text(df: DataFrame, members: list[str], top: DataFrame) -> DataFr
     return joined.select("column", "rank", F.coalesce("text", "key").alias("value"), "n")
 
 
+def _row_key(df: DataFrame) -> list[Column]:
+    """What makes two rows copies; long text and wide rows by SHA-256."""
+    if len(df.columns) <= _COLUMNS_GROUPED:
+        keys = [_typed(df, f.name, _family(f.dataType)) for f in df.schema.fields]
+        return [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    normal = [
+        (value(df, f.name) + F.lit(0.0) if _family(f.dataType) == "real" else col(f.name)).alias(f"k{i}")
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return [F.sha2(F.to_json(F.struct(*normal)), 256).alias("k")]
+
+
 def row_copies(df: DataFrame) -> DataFrame:
     """(n): one row per distinct row of the table with its number of copies; NULL equals NULL.
 
-    A few narrow columns are grouped as they are. Otherwise rows are grouped by the SHA-256 of their
-    JSON, so 64 bytes per row are shuffled, and copies collapse in the partial aggregate.
+    Copies collapse in the partial aggregate, so a row that makes up a third of the table is shuffled
+    once per task.
     """
-    keys = [value(df, c) for c in df.columns]
-    if len(keys) <= 4 and all(_family(f.dataType) != "text" for f in df.schema.fields):
-        return df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n")).select("n")
-    normal = [
-        (k + F.lit(0.0)).alias(f"k{i}") if _family(f.dataType) == "real" else k.alias(f"k{i}")
-        for i, (k, f) in enumerate(zip(keys, df.schema.fields))
-    ]
-    digest = F.sha2(F.to_json(F.struct(*normal)), 256)
-    return df.groupBy(digest.alias("k")).agg(F.count("*").alias("n")).select("n")
+    return df.groupBy(*_row_key(df)).agg(F.count("*").alias("n")).select("n")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

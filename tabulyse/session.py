@@ -23,6 +23,7 @@ def build_session(app: str = "tabulyse", cores: int | str = "*", **extra: str) -
         .master(f"local[{cores}]")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
     )
