@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from tabulyse.functions import vocabulary as v
+
 ORACLE: dict[str, str] = {}
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -98,6 +100,16 @@ ORACLE["column_profile_text"] = profile_sql(
     },
 )
 
+ORACLE["column_profile_approx"] = f"with {GAPPY} " + union(
+    [
+        f"""select '{c}' as "column", count(*) as n, count(*) - count({c}) as missing, true as near from gappy"""
+        for c in MEASURES + ["l_orderkey", "l_returnflag"]
+    ]
+)
+ORACLE["quantiles_approx"] = union(
+    [f"""select 'o_totalprice' as "column", cast({p} as double) as p, count(*) as n, true as near from orders""" for p in (0.1, 0.5, 0.9)]
+)
+
 _stats = [
     f"""select '{c}' as "column", count({c}) as n, {stat(f'avg({c})')} as mean, {stat(f'median({c})')} as median,
     {stat(f'stddev_samp({c})')} as std, {stat(f'min({c})')} as min, {stat(f'max({c})')} as max,
@@ -347,6 +359,7 @@ select 'INSERT INTO "order_data" ("o_orderkey", "note", "done", "o_custkey") VAL
        || o_orderpriority || '\n''''\\' || o_orderstatus || ''', ' || case when o_orderstatus = 'F' then 'TRUE' else 'FALSE' end
        || ', ' || coalesce(cast(nullif(o_custkey, 0) as varchar), 'NULL') || ');' as value
 from orders"""
+ORACLE["json_by_column"] = "select cast(n_nationkey as bigint) as key, n_name as name from nation"
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _counts = union([f"select '{t}' as name, cast({i} as integer) as position, count(*) as n from {t}" for i, t in enumerate(_TABLES)])
 ORACLE["largest_table_of_all"] = f"select * from ({_counts}) order by n desc, position limit 1"
@@ -409,6 +422,127 @@ select o_orderkey, o_orderkey + 1 as order_id, {whole('customer_age', 18, 99)} a
        case when o_orderkey < 9999 then 'EMP-' || lpad(cast(o_orderkey + 1 as varchar), 4, '0') else 'EMP-' || (o_orderkey + 1) end as badge
 from orders"""
 
+class People:
+    """SQL for one synthetic column, drawn from md5 of seed, column name and customer key."""
+
+    def __init__(self, type_name: str):
+        self.name = type_name.replace(" ", "_")
+
+    def digest(self, block: int = 0) -> str:
+        return f"md5('7:{self.name}:' || c_custkey{f" || ':{block}'" if block else ''})"
+
+    def word(self, i: int = 0) -> str:
+        return f"cast('0x' || substr({self.digest(i // 4)}, {8 * (i % 4) + 1}, 8) as bigint)"
+
+    def whole(self, lo: int, hi: int, i: int = 0) -> str:
+        return f"({lo} + {self.word(i)} % {hi - lo + 1})"
+
+    def real(self, lo: float, hi: float, digits: int) -> str:
+        return f"round({float(lo)}::double + {self.word()} / 4294967295.0::double * ({float(hi - lo)}::double), {digits})"
+
+    def pick(self, options: list[str], i: int = 0) -> str:
+        return f"list_extract([{', '.join(repr(o) for o in options)}], {self.word(i)} % {len(options)} + 1)"
+
+    def digits(self, size: int, i: int = 0) -> str:
+        return f"lpad(cast({self.word(i)} % {10**size} as varchar), {size}, '0')"
+
+    def letters(self, alphabet: str, size: int) -> str:
+        both = f"({self.digest()} || {self.digest(1)})"
+        at = f"cast('0x' || substr({both}, i * 2 + 1, 2) as bigint) % {len(alphabet)} + 1"
+        return f"array_to_string(list_transform(range({size}), lambda i: substr('{alphabet}', cast({at} as integer), 1)), '')"
+
+    def sentence(self, first: int = 0) -> str:
+        text = " || ' ' || ".join(self.pick(v.WORDS, first + i) for i in range(6))
+        return f"(upper(substr({text}, 1, 1)) || substr({text}, 2) || '.')"
+
+
+def joined(*parts: str, by: str = " ") -> str:
+    return f" || '{by}' || ".join(parts)
+
+
+def people_sql() -> dict[str, str]:
+    def at(type_name: str) -> People:
+        return People(type_name)
+
+    def handle(p: People) -> str:
+        return f"lower({p.pick(v.FIRST_NAMES)} || '.' || {p.pick(v.LAST_NAMES, 1)} || c_custkey)"
+
+    def domain(p: People) -> str:
+        return f"{joined(p.pick(v.WORDS), p.pick(v.NOUNS, 1), by='-')} || '.' || {p.pick(v.DOMAINS, 2)}"
+
+    def street(p: People) -> str:
+        return joined(f"cast({p.whole(1, 999)} as varchar)", p.pick(v.STREETS, 1), p.pick(v.STREET_KINDS, 2))
+
+    def moment(p: People) -> str:
+        return f"(timestamp '1970-01-01' + to_seconds({p.word()} % {20453 * 86400}))"
+
+    full = {t: joined(at(t).pick(v.FIRST_NAMES), at(t).pick(v.LAST_NAMES, 1)) for t in ("name", "full name")}
+    card, iban, uid, mac = at("credit card"), at("iban"), at("uuid"), at("mac address")
+    number = f"('400000' || {card.digits(9)})"
+    digit = f"cast(substr({number}, cast(i as integer), 1) as bigint)"
+    luhn = f"list_sum(list_transform(range(1, 16), lambda i: case when (15 - i) % 2 = 0 then case when {digit} * 2 > 9 then {digit} * 2 - 9 else {digit} * 2 end else {digit} end))"
+    account = f"({iban.digits(9)} || {iban.digits(9, 1)})"
+    simple = {
+        "string": at("string").pick(v.WORDS),
+        "word": at("word").pick(v.WORDS),
+        "number": at("number").whole(1, 1000),
+        "integer": at("integer").whole(1, 1000),
+        "int": at("int").whole(1, 1000),
+        "boolean": f"{at('boolean').word()} % 2 = 0",
+        "date": f"date '1970-01-01' + cast({at('date').word()} % 20453 as integer)",
+        "date of birth": f"date '2007-12-31' - cast({at('date of birth').word()} % (date '2007-12-31' - date '1934-12-31') as integer)",
+        "first name": at("first name").pick(v.FIRST_NAMES),
+        "last name": at("last name").pick(v.LAST_NAMES),
+        "gender": at("gender").pick(v.GENDERS),
+        "city": at("city").pick(v.CITIES),
+        "country": at("country").pick(v.COUNTRIES),
+        "state": at("state").pick(v.STATES),
+        "color": at("color").pick(v.COLORS),
+        "department": at("department").pick(v.DEPARTMENTS),
+        "job title": at("job title").pick(v.JOBS),
+        "company name": joined(at("company name").pick(v.LAST_NAMES), at("company name").pick(v.COMPANY_ENDINGS, 1)),
+        "postal code": at("postal code").digits(5),
+        "zip code": at("zip code").digits(5),
+        "latitude": at("latitude").real(-90, 90, 6),
+        "longitude": at("longitude").real(-180, 180, 6),
+        "float": at("float").real(0, 100, 2),
+        "decimal": at("decimal").real(0, 100, 2),
+        "price": at("price").real(1, 1000, 2),
+        "currency": f"cast({at('currency').real(1, 10000, 2)} as decimal(15,2))",
+        "employee id": "case when c_custkey < 9999 then 'EMP-' || lpad(cast(c_custkey + 1 as varchar), 4, '0') else 'EMP-' || (c_custkey + 1) end",
+        "email": f"{handle(at('email'))} || '@' || {at('email').pick(v.DOMAINS, 2)}",
+        "username": handle(at("username")),
+        "domain": domain(at("domain")),
+        "url": f"'https://' || {domain(at('url'))} || '/'",
+        "image url": f"'https://images.example.com/' || {at('image url').whole(200, 800)} || '/' || {at('image url').whole(200, 800, 1)}",
+        "phone number": f"'(' || {at('phone number').whole(200, 999)} || ') 555-01' || {at('phone number').digits(2, 1)}",
+        "ssn": f"{at('ssn').whole(900, 999)} || '-' || {at('ssn').digits(2, 1)} || '-' || {at('ssn').digits(4, 2)}",
+        "street": street(at("street")),
+        "address": f"{street(at('address'))} || ', ' || {at('address').pick(v.CITIES, 3)} || ', ' || {at('address').pick(v.STATES, 4)} || ' ' || {at('address').digits(5, 5)}",
+        "ip address": f"{at('ip address').pick(['192.0.2.', '198.51.100.', '203.0.113.'])} || {at('ip address').whole(1, 254, 1)}",
+        "mac address": "'02:' || " + joined(*[f"substr({mac.digest()}, {2 * i + 1}, 2)" for i in range(5)], by=":"),
+        "sentence": at("sentence").sentence(),
+        "description": at("description").sentence(),
+        "paragraph": joined(*[at("paragraph").sentence(6 * i) for i in range(3)]),
+        "slug": joined(*[at("slug").pick(v.WORDS, i) for i in range(3)], by="-"),
+        "password": at("password").letters("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%+-=?@", 12),
+        "bitcoin address": "'1' || " + at("bitcoin address").letters("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 32),
+        "datetime": moment(at("datetime")),
+        "timestamp": moment(at("timestamp")),
+        "time": f"strftime({moment(at('time'))}, '%H:%M:%S')",
+        "credit card": f"{number} || cast((10 - {luhn} % 10) % 10 as varchar)",
+        "iban": f"'DE' || lpad(cast(98 - cast({account} || '131400' as hugeint) % 97 as varchar), 2, '0') || {account}",
+        "uuid": f"substr({uid.digest()}, 1, 8) || '-' || substr({uid.digest()}, 9, 4) || '-4' || substr({uid.digest()}, 14, 3) || '-' || "
+        f"substr('89ab', cast(cast('0x' || substr({uid.digest()}, 17, 2) as bigint) % 4 + 1 as integer), 1) || "
+        f"substr({uid.digest()}, 18, 3) || '-' || substr({uid.digest()}, 21, 12)",
+    }
+    return simple | full
+
+
+ORACLE["synth_people"] = (
+    "select c_custkey, " + ",\n".join(f'{sql} as "{t.replace(" ", "_")}"' for t, sql in sorted(people_sql().items())) + " from customer"
+)
+
 # Conversations
 
 ORACLE["has_table"] = r"select doc_id, regexp_matches(text, '\|.*\|.*\|') as has_table from documents"
@@ -472,6 +606,9 @@ from numbered group by user_id, session"""
 ORACLE["newest_per_owner"] = """
 select *, cast(row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as integer) as rank
 from orders qualify rank <= 3"""
+ORACLE["newest_of_owner"] = """
+select * from orders where o_custkey = (select o_custkey from orders group by o_custkey order by count(*) desc, o_custkey limit 1)
+order by o_orderdate desc, o_orderkey desc limit 20"""
 ORACLE["quota_count"] = """
 select o_custkey, count(*) as n, cast(10 as bigint) as "limit", count(*) >= 10 as "full" from orders group by o_custkey"""
 ORACLE["owned_runs"] = """
@@ -484,3 +621,91 @@ _IDENTITY = """signed as (
 placed as (select *, case when known then 'user-' || provider_id else 'u-' || substr(sha256(email), 1, 32) end as user_id from signed)"""
 ORACLE["identity_link"] = f"with {_IDENTITY} select provider, provider_id, email, user_id, not known as is_new from placed"
 ORACLE["identity_new_links"] = f"with {_IDENTITY} select user_id, provider, provider_id from placed where not linked"
+
+# Report
+
+
+def melt(section: str, item: str, metrics: list[str], base: str) -> str:
+    return union(
+        [f"""select '{section}' as section, {item} as item, '{m}' as metric, cast({m} as varchar) as value from ({base}) b""" for m in metrics]
+    )
+
+
+def report_sql() -> str:
+    numerics, texts = ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]
+    percent = "cast(round(100.0 * {0}, 2) as double)"
+    types = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+    counted = """
+      select count(*) as rows, 5 as columns, 3 as numeric_columns, 2 as categorical_columns, 0 as missing_values, 0.0::double as missing_pct,
+             count(*) - (select count(*) from (select distinct * from customer)) as duplicates,
+             cast(sum(20 + strlen(c_name) + strlen(c_mktsegment)) as bigint) as data_bytes from customer"""
+    summary = f"select *, {size_label('data_bytes')} as size_label from ({counted})"
+    columns = union(
+        [
+            f"""select {i} as position, '{c}' as col, '{t}' as type, '{'numeric' if c in numerics else 'categorical'}' as role, 0 as missing,
+            0.0::double as missing_pct, count(distinct {c}) as "distinct" from customer"""
+            for i, (c, t) in enumerate(types.items())
+        ]
+    )
+    stats = union(
+        [
+            f"""select '{c}' as col, count(*) as n, {stat(f'avg({c})')} as mean, {stat(f'median({c})')} as median,
+            {stat(f'stddev_samp({c})')} as std, {stat(f'min({c})')} as min, {stat(f'max({c})')} as max, {stat(f'quantile_cont({c}, 0.25)')} as q25,
+            {stat(f'quantile_cont({c}, 0.75)')} as q75, {stat(f'skewness({c})')} as skew, 'ok' as status from doubles"""
+            for c in numerics
+        ]
+    )
+    bins = union(
+        [
+            f"""select '{c}' as col, i as bin, round(i * step + start, 3) as lo, round(case when i = 24 then stop else (i + 1) * step + start end, 3) as hi,
+            (select count(*) from doubles where {c} >= i * step + start and ({c} < (i + 1) * step + start or i = 24)) as n
+            from (select min({c}) as start, max({c}) as stop, (max({c}) - min({c})) / 25 as step from doubles) e, range(25) r(i)"""
+            for c in numerics
+        ]
+    )
+    tops = top_sql("customer", texts, 8)
+    pie = f"""select * from ({tops}) where "column" = (
+        select c from (select 0 as i, 'c_name' as c, count(distinct c_name) as n from customer
+                       union all select 1, 'c_mktsegment', count(distinct c_mktsegment) from customer) where n <= 8 order by i limit 1)"""
+    pairs = union([f"select '{a}' as column_a, '{b}' as column_b, {r_sql(a, b)} as r from doubles" for a, b in combinations(numerics, 2)])
+    sample = "select c_custkey as key, * from doubles order by md5('42:' || cast(c_custkey as bigint)), c_custkey limit 500"
+    scatters = union(
+        [
+            f"""select '{a}' as column_a, '{b}' as column_b, cast(key as bigint) as key, round({a}, 3) as x, round({b}, 3) as y from ({sample})"""
+            for a, b in combinations(numerics, 2)
+        ]
+    )
+    fenced = union(
+        [
+            f"""select '{c}' as col, q1, med as median, q3, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 * (q3 - q1) as upper_fence,
+            (select min({c}) from doubles) as min, (select max({c}) from doubles) as max,
+            (select min({c}) from doubles where {c} >= q1 - 1.5 * (q3 - q1)) as lower_whisker,
+            (select max({c}) from doubles where {c} <= q3 + 1.5 * (q3 - q1)) as upper_whisker,
+            (select count(*) from doubles where {c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)) as outlier_count, n
+            from (select quantile_cont({c}, 0.25) as q1, median({c}) as med, quantile_cont({c}, 0.75) as q3, count(*) as n from doubles)"""
+            for c in numerics
+        ]
+    )
+    measures = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "min", "max", "lower_whisker", "upper_whisker"]
+    rounded = ", ".join(f"round({c}, 3) as {c}" for c in measures)
+    boxes = f"select col, {rounded}, outlier_count, {percent.format('outlier_count / n')} as outlier_pct, 'ok' as status from ({fenced})"
+    ranked = "\"column\" || '/' || rank"
+    parts = [
+        melt("summary", "'table'", "rows columns numeric_columns categorical_columns missing_values missing_pct duplicates data_bytes size_label".split(), summary),
+        melt("columns", "col", ["position", "type", "role", "missing", "missing_pct", '"distinct"'], columns).replace("'\"distinct\"'", "'distinct'"),
+        melt("numeric_stats", "col", "n mean median std min max q25 q75 skew status".split(), stats),
+        melt("histograms", "col || '/' || bin", ["lo", "hi", "n"], bins),
+        melt("bar_charts", ranked, ["value", "n"], tops),
+        melt("pie_chart", ranked, ["value", "n"], pie),
+        melt("correlation", "column_a || '/' || column_b", ["\"row\"", "\"col\"", "r"], matrix_sql("doubles", numerics)).replace("'\"row\"'", "'row'").replace("'\"col\"'", "'col'"),
+        melt("top_correlations", "column_a || '/' || column_b", ["strength", "r"], f"select *, abs(r) as strength from ({pairs})"),
+        melt("scatters", "column_a || '/' || column_b || '/' || key", ["x", "y"], scatters),
+        melt("box_plots", "col", "min q1 median q3 max lower_whisker upper_whisker outlier_count status".split(), boxes),
+        melt("outliers", "col", "q1 q3 iqr lower_fence upper_fence outlier_count outlier_pct min max median status".split(), boxes),
+        melt("categoricals", ranked, ["value", "n"], f"select * from ({tops}) where rank <= 5"),
+    ]
+    doubles = ", ".join(f"cast({c} as double) as {c}" for c in numerics)
+    return f"with doubles as (select {doubles} from customer) " + union(parts)
+
+
+ORACLE["report"] = report_sql()

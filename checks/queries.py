@@ -18,7 +18,7 @@ from tabulyse.operators import conversations as conv
 from tabulyse.operators import distribution as dist
 from tabulyse.operators import json_rows, normalize_table, preview, profile, quantiles, relations, synth, usage
 from tabulyse.operators.identity import link_identities
-from tabulyse.operators.value_counts import approx_distinct_and_missing
+from tabulyse.operators.value_counts import approx_distinct_and_missing, distinct_and_missing
 from tabulyse.plans.report import report_long
 from tabulyse.session import scratch_dir
 from tabulyse.sinks.insert_text import insert_statements
@@ -92,7 +92,22 @@ def column_profile_text(spark, sf):
 
 @query
 def column_profile_approx(spark, sf):
-    return approx_distinct_and_missing(gappy_lineitem(spark, sf), MEASURES + ["l_orderkey"])
+    """Approximate distinct counts, and whether they are within a tenth of the exact ones."""
+    lineitem, columns = gappy_lineitem(spark, sf), MEASURES + ["l_orderkey", "l_returnflag"]
+    exact = distinct_and_missing(lineitem, columns).select("column", F.col("distinct").alias("exact"))
+    near = F.abs(F.col("distinct") / F.col("exact") - 1) < 0.1
+    return approx_distinct_and_missing(lineitem, columns).join(exact, "column").select("column", "n", "missing", near.alias("near"))
+
+
+@query
+def quantiles_approx(spark, sf):
+    """Whether approximate quantiles have the rank they should, within a hundredth."""
+    orders = table(spark, sf, "orders")
+    found = quantiles.approx_quantiles(orders, ["o_totalprice"], [0.1, 0.5, 0.9], accuracy=1_000)
+    upto = [F.struct(F.lit(r.p).alias("p"), F.count_if(F.col("o_totalprice") <= r.value).alias("upto")) for r in found.collect()]
+    ranked = found.join(orders.agg(F.array(*upto).alias("e")).select(F.inline("e")), "p")
+    near = F.abs(F.col("upto") / F.col("n") - F.col("p")) < 0.01
+    return ranked.select("column", "p", "n", near.alias("near"))
 
 
 @query
@@ -419,6 +434,17 @@ def dataset_registry(spark, sf):
     return spark.read.parquet(registry).select("owner", "name", "mode", "model", "format", "rows", "columns", (F.col("bytes") > 0).alias("has_bytes"))
 
 
+@query
+def json_by_column(spark, sf):
+    """Regions and nations as documents that map each column to its values, one document per region."""
+    nations = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    columns = nations.select(F.to_json(F.struct(F.col("rows.n_nationkey").alias("key"), F.col("rows.n_name").alias("name"))).alias("value"))
+    path = scratch_dir(spark, "by-column")
+    # One document per file: the regions are few by definition.
+    columns.repartitionByRange(5, "value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_table(spark, path, "json", by_column=True)
+
+
 # Records from text
 
 
@@ -570,6 +596,14 @@ def newest_per_owner(spark, sf):
     return usage.newest_per_owner(table(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 3)
 
 
+@query
+def newest_of_owner(spark, sf):
+    """The history of the owner with the most orders."""
+    orders = table(spark, sf, "orders")
+    owner = usage.quota_count(orders, "o_custkey").orderBy(F.desc("n"), "o_custkey").first().o_custkey
+    return usage.newest_of_owner(orders, "o_custkey", owner, ["o_orderdate", "o_orderkey"], 20)
+
+
 @query
 def quota_count(spark, sf):
     return usage.quota_count(table(spark, sf, "orders"), "o_custkey")
@@ -614,4 +648,4 @@ def identity_new_links(spark, sf):
 
 @query
 def report(spark, sf):
-    return report_long(table(spark, sf, "orders"), ["o_orderkey"])
+    return report_long(table(spark, sf, "customer"), ["c_custkey"])

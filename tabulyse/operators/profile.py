@@ -118,6 +118,15 @@ def _every_column(df: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    entries = []
+    for c in columns:
+        x = m.number(df, c)
+        measures = {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x), "skew": sample_skewness(x)}
+        entries.append(F.struct(F.lit(c).alias("column"), *[e.alias(name) for name, e in measures.items()]))
+    return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+
+
 def numeric_stats(
     df: DataFrame, columns: list[str] | None = None, zero_fill: bool = False, middle: DataFrame | None = None
 ) -> DataFrame:
@@ -128,21 +137,7 @@ def numeric_stats(
     """
     columns = columns or m.numeric_columns(df)
     m.require_numeric(df, *columns)
-    entries = []
-    for c in columns:
-        x = m.number(df, c)
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(x).alias("n"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"),
-                F.max(x).alias("max"),
-                sample_skewness(x).alias("skew"),
-            )
-        )
-    moments = df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+    moments = reduce(DataFrame.unionByName, [_moments(df, part) for part in m.chunks(columns)])
     middle = (middle or quartiles(df, columns)).select("column", "q1", "median", "q3")
     reported = {"mean": "mean", "median": "median", "std": "std", "min": "min", "max": "max", "q25": "q1", "q75": "q3", "skew": "skew"}
     return moments.join(F.broadcast(middle), "column").select(

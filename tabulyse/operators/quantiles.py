@@ -25,6 +25,7 @@ CELLS_PER_PASS = 65_536
 VALUES_PER_PASS = 100_000
 _ZERO_OFFSET = 100_000  # above 128 * ln of the largest and smallest double
 _INFINITE_CELL = 1_000_000
+_CELLS_PUSHED = 64  # up to this many cells the scan is asked to skip what lies outside all of them
 
 
 @dataclass(frozen=True)
@@ -78,8 +79,10 @@ def _narrow(df: DataFrame, wanted: list[_Wanted]) -> list[_Wanted]:
     spark = df.sparkSession
     columns = sorted({w.column for w in wanted})
     cells = sorted({(w.column, w.lo, w.hi, w.rows) for w in wanted})
-    inside = reduce(lambda a, b: a | b, [_within(df, c, lo, hi) for c, lo, hi, _ in cells])
-    values = numeric_long(df.where(inside), columns)
+    rows = df
+    if len(cells) <= _CELLS_PUSHED:
+        rows = df.where(reduce(lambda a, b: a | b, [_within(df, c, lo, hi) for c, lo, hi, _ in cells]))
+    values = numeric_long(rows, columns)
     bounds = small_table(spark, cells, "c string, c_lo double, c_hi double, c_rows bigint")
     hit = values.join(
         F.broadcast(bounds),
@@ -98,8 +101,8 @@ def _narrow(df: DataFrame, wanted: list[_Wanted]) -> list[_Wanted]:
         [(w.column, w.lo, w.overall, w.rank) for w in wanted],
         "column string, c_lo double, overall bigint, rank bigint",
     )
-    rows = _locate(cut, ["column", "c_lo"], ["bin", "exact"], ranks)
-    return [_Wanted(r["column"], r.overall, r["rank"], r.lo, r.hi, r.n) for r in rows]
+    found = _locate(cut, ["column", "c_lo"], ["bin", "exact"], ranks)
+    return [_Wanted(r["column"], r.overall, r["rank"], r.lo, r.hi, r.n) for r in found]
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -120,9 +123,22 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
     return small_table(df.sparkSession, rows, "column string, p double, value double, n bigint")
 
 
-def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: n, q1, median, q3."""
-    q = quantiles(df, columns, [0.25, 0.5, 0.75])
+def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 10_000) -> DataFrame:
+    """The same in one pass from a sketch: each value's rank is off by at most n / accuracy."""
+    asked = F.array(*[F.lit(float(p)) for p in probs])
+    entries = []
+    for c in columns:
+        x = number(df, c)
+        values = F.arrays_zip(asked.alias("p"), F.percentile_approx(x, asked, accuracy).alias("value"))
+        entries.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), values.alias("q")))
+    rows = df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+    return rows.select("column", "n", F.inline("q").alias("p", "value")).select("column", "p", "value", "n")
+
+
+def quartiles(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """One row per column: n, q1, median, q3; exact, or approximate with the given accuracy."""
+    probs = [0.25, 0.5, 0.75]
+    q = quantiles(df, columns, probs) if accuracy is None else approx_quantiles(df, columns, probs, accuracy)
     at = {p: F.max(F.when(F.col("p") == p, F.col("value"))) for p in (0.25, 0.5, 0.75)}
     return q.groupBy("column").agg(
         F.max("n").alias("n"), at[0.25].alias("q1"), at[0.5].alias("median"), at[0.75].alias("q3")

@@ -34,15 +34,15 @@ class _Column:
 
 def _survey(df: DataFrame, names: list[str], keep: int) -> list[_Column]:
     """The columns to correlate: all of them, or the ones with the largest variance, largest first."""
-    measures = []
-    for i, c in enumerate(names):
-        x = m.number(df, c)
-        facts = [F.avg(x), F.var_samp(x), F.min(x) < F.max(x), F.count(x) < F.count(F.lit(1))]
-        measures.append(F.struct(*[f.alias(k) for f, k in zip(facts, "mean variance varies gaps".split())]).alias(str(i)))
-    if not measures:
-        return []
-    row = df.agg(*measures).first()
-    found = [_Column(c, row[i].mean, row[i].variance, bool(row[i].varies), bool(row[i].gaps)) for i, c in enumerate(names)]
+    found = []
+    for part in m.chunks(names):
+        measures = []
+        for i, c in enumerate(part):
+            x = m.number(df, c)
+            facts = {"mean": F.avg(x), "variance": F.var_samp(x), "varies": F.min(x) < F.max(x), "gaps": F.count(x) < F.count(F.lit(1))}
+            measures.append(F.struct(*[f.alias(k) for k, f in facts.items()]).alias(str(i)))
+        row = df.agg(*measures).first()
+        found += [_Column(c, row[i].mean, row[i].variance, bool(row[i].varies), bool(row[i].gaps)) for i, c in enumerate(part)]
     if len(found) <= keep:
         return found
     known = [c for c in found if c.variance is not None and c.variance == c.variance]

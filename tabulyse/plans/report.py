@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulyse.functions import missing as m
+from tabulyse.functions.stats import stat
 from tabulyse.operators.distribution import box_plot, histogram, outliers_iqr
 from tabulyse.operators.profile import column_profile, dataset_summary, numeric_stats, top_values
 from tabulyse.operators.quantiles import quartiles
@@ -36,7 +37,8 @@ def profile_report(df: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
     if numerics:
         middle = quartiles(df, numerics)
         sections["numeric_stats"] = numeric_stats(df, numerics, middle=middle)
-        sections["histograms"] = histogram(df, numerics[:HISTOGRAMS], REPORT_BINS)
+        bins = histogram(df, numerics[:HISTOGRAMS], REPORT_BINS)
+        sections["histograms"] = bins.withColumns({edge: stat(F.col(edge)) for edge in ("lo", "hi")})
     if categoricals:
         tops = top_values(df, categoricals[:CATEGORICALS], BAR_VALUES)
         sections["bar_charts"] = tops.where(F.col("column").isin(categoricals[:BAR_CHARTS]))

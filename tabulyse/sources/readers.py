@@ -12,6 +12,7 @@ from tabulyse.functions import fixed_values as fixed
 from tabulyse.functions import missing as m
 from tabulyse.sources.insert_dump import read_insert_dump
 
+MOST_COLUMNS = 2_000
 _WHOLE = r"^\s*[+-]?[0-9]{1,18}\s*\z"
 _REAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
 _INFINITE = r"^\s*[+-]?(?i:inf(?:inity)?)\s*\z"
@@ -84,14 +85,22 @@ def flatten_structs(df: DataFrame) -> DataFrame:
 
 
 def read_json(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = True, record_path: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    lines: bool = True,
+    record_path: str | None = None,
+    by_column: bool = False,
 ) -> DataFrame:
     """JSON lines, or with ``lines=False`` one document per file, flattened.
 
     A document is an array of records, one record, or an object that holds the records in an array
     member: the one named by ``record_path``, else its first. JSON lines split across tasks; a document
-    is read by one task per file.
+    is read by one task per file. ``by_column`` reads documents that map each column name to its values,
+    as a list or by row label.
     """
+    if by_column:
+        return _read_columns(spark, path)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     df = reader.json(path, multiLine=not lines)
     if not lines or record_path:
@@ -117,6 +126,21 @@ def _first_array(spark: SparkSession, df: DataFrame, path: str) -> str | None:
     return next((name for name in first.names or [] if name in arrays), None)
 
 
+def _read_columns(spark: SparkSession, path: str) -> DataFrame:
+    document = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+    members = document.select("file", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "cells"))
+    listed = members.select("file", "name", F.posexplode(F.try_variant_get("cells", "$", "array<variant>")).alias("at", "v"))
+    labelled = members.select("file", "name", F.explode(F.try_variant_get("cells", "$", "map<string,variant>")).alias("at", "v"))
+    cells = listed.withColumn("at", F.col("at").cast("string")).unionByName(labelled)
+    names = [r["name"] for r in cells.select("name").distinct().orderBy("name").limit(MOST_COLUMNS + 1).collect()]
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns; the documents are probably not written by column")
+    text = cells.withColumn("v", F.try_variant_get("v", "$", "string"))
+    wide = text.groupBy("file", "at").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in names])
+    rows = wide.select(*[_without_null_tokens(m.col(n)).alias(n) for n in names])
+    return rows.select(*[_read_as(m.col(c), t).alias(c) for c, t in _csv_types(rows).items()])
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

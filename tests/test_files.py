@@ -66,6 +66,13 @@ def test_json_document_takes_its_first_array(spark, put):
     assert plain.columns == ["a", "b.c"]
 
 
+@pytest.mark.parametrize("document", [{"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": None}}, {"a": [1, 2], "b": ["x", None]}])
+def test_json_by_column(spark, put, document):
+    df = readers.read_json(spark, put("c.json", json.dumps(document)), by_column=True)
+    assert dict(df.dtypes) == {"a": "bigint", "b": "string"}
+    assert sorted(map(tuple, df.collect())) == [(1, "x"), (2, None)]
+
+
 def test_unknown_formats_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_table(spark, "x.xls")

@@ -47,6 +47,18 @@ def test_empty_and_single(spark):
     assert rows == {"x": (0, None, None, None), "y": (1, 4.0, 4.0, 4.0)}
 
 
+def test_approximate_ranks_are_within_bounds(spark):
+    df = spark.range(10_001)
+    for r in quantiles.approx_quantiles(df, ["id"], [0.1, 0.5, 0.9], accuracy=100).collect():
+        assert abs(r.value - r.p * 10_000) <= 10_001 / 100 + 1
+    assert abs(quantiles.quartiles(df, ["id"], accuracy=1000).first().median - 5000) <= 11
+
+
+def test_many_columns_skip_the_scan_filter(spark, monkeypatch, small_passes):
+    monkeypatch.setattr(quantiles, "_CELLS_PUSHED", 1)
+    check(spark, np.random.default_rng(6).normal(5, 1, 500))
+
+
 def test_bad_probability(spark):
     with pytest.raises(ValueError):
         quantiles.quantiles(spark.range(3), ["id"], [1.5])
