@@ -24,7 +24,7 @@ def union(parts: list[str]) -> str:
 
 
 def stat(x: str, digits: int = 3) -> str:
-    return f"round(case when isfinite({x}) then {x} end, {digits})"
+    return f"round(case when isfinite({x}) then {x} end, {digits}) + 0.0"
 
 
 def choose(key: str, choices: list[str]) -> str:

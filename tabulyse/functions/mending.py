@@ -18,7 +18,7 @@ _CLOSER = {"[": "]", "{": "}"}
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"(?:[^"\\]|\\.)*\\?\Z|//[^\n]*|/\*.*?(?:\*/|\Z)|[\[\]{},]|\s+|[^"\[\]{},\s/]+|/', re.S)
 
 
-def repair_json(raw: str | None) -> str | None:
+def mend_json(raw: str | None) -> str | None:
     """Text that holds an array of records, with the usual damage undone.
 
     Cuts what comes before the first bracket and after the last closing one, drops comments and trailing
@@ -78,5 +78,5 @@ def _closed(token: str) -> bool:
 
 
 @F.pandas_udf(T.StringType())
-def repair_json_column(raw: pd.Series) -> pd.Series:
-    return raw.map(repair_json, na_action="ignore")
+def mended(raw: pd.Series) -> pd.Series:
+    return raw.map(mend_json, na_action="ignore")

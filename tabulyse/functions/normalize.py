@@ -18,7 +18,6 @@ _WS = (
 _NULL_RE = rf"^{_WS}*+(?i:{'|'.join(t.replace('-', chr(92) + '-') for t in fixed.NULL_TOKENS if t)})?{_WS}*+\z"
 
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
-_PERCENT = r"^[+-]?\s*[0-9,]+\.?[0-9]*\s*%\z"
 # Everything that is not part of a number. An e stays only as an exponent, between digits.
 _NUMBER_NOISE = r"[^0-9.eE+-]++|(?<![0-9.])[eE]|[eE](?![+-]?[0-9])"
 
@@ -50,7 +49,7 @@ def parse_double(c: Column) -> Column:
     def noisy(s: Column) -> Column:
         percent = F.regexp_replace(s, r"[%,\s]", "").try_cast("double")
         number = let(F.regexp_replace(s, _NUMBER_NOISE, ""), lambda d: F.when(d.rlike(_PLAIN_NUMBER), d.try_cast("double")))
-        return F.when(s.rlike(_PERCENT), percent).otherwise(F.round(number, 6))
+        return F.when(s.rlike(fixed.PERCENTAGE), percent).otherwise(F.round(number, 6))
 
     def parsed(s: Column) -> Column:
         return F.when(s.rlike(_PLAIN_NUMBER), F.round(s.try_cast("double"), 6)).otherwise(noisy(s))

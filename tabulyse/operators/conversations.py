@@ -10,14 +10,12 @@ from tabulyse.functions.normalize import strip
 
 HISTORY_MESSAGES = 12
 TITLE_LETTERS = 50
-DEFAULT_TITLE = "New Chat"
 ARCHIVE_TURNS = 1_000
-_TABLE_LINE = r"\|.*\|.*\|"
 
 
 def has_table(text: Column) -> Column:
     """True where some line holds at least three pipes."""
-    return text.rlike(_TABLE_LINE)
+    return text.rlike(fixed.TABLE_LINE)
 
 
 def recent_history(messages: DataFrame, k: int = HISTORY_MESSAGES) -> DataFrame:
@@ -30,7 +28,7 @@ def recent_history(messages: DataFrame, k: int = HISTORY_MESSAGES) -> DataFrame:
     return messages.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= k).drop("back")
 
 
-def conversation_title(messages: DataFrame, default: str = DEFAULT_TITLE) -> DataFrame:
+def conversation_title(messages: DataFrame, default: str = fixed.DEFAULT_TITLE) -> DataFrame:
     """(conv_id, title): the first letters of the first message, or a default if they are blank."""
     first = messages.groupBy("conv_id").agg(F.min_by(F.substring("text", 1, TITLE_LETTERS), "turn").alias("head"))
     return first.select("conv_id", F.coalesce(F.nullif(strip(F.col("head")), F.lit("")), F.lit(default)).alias("title"))

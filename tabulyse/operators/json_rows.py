@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabulyse.functions import missing as m
 from tabulyse.functions import normalize as n
 from tabulyse.functions.binding import let
-from tabulyse.functions.repair import repair_json_column
+from tabulyse.functions.mending import mended
 from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.operators.normalize_table import looks_like_date, normalize, type_from_counts, type_from_name
 
@@ -30,7 +30,7 @@ def parse_replies(df: DataFrame, text: str) -> DataFrame:
     blank = raw.isNull() | raw.rlike(r"^\s*\z")
     parsed = df.select(*others, raw.alias("_raw"), blank.alias("_blank"), _parse_whole(raw).alias("_parsed"))
     broken = F.when(F.col("_parsed").isNull() & ~F.col("_blank"), F.col("_raw"))
-    repaired = parsed.withColumn("_fixed", repair_json_column(broken))
+    repaired = parsed.withColumn("_fixed", mended(broken))
     outcome = let(F.coalesce("_parsed", _parse_whole(F.col("_fixed"))), lambda json: let(_records_in(json), lambda found: _outcome(json, found)))
     kept = [m.col(c) for c in df.columns if c != text]
     return repaired.select(*kept, outcome.alias("_out")).select(*kept, "_out.status", "_out.records")

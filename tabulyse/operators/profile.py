@@ -155,23 +155,18 @@ def datetime_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     nothing parses is left out.
     """
     columns = columns or m.columns_with_role(df, m.DATETIME)
+    # Parsed in a projection of its own, so that text is parsed once and not once per aggregate.
+    parsed = df.select(
+        *[m.instant(df, c).alias(f"t{i}") for i, c in enumerate(columns)],
+        *[m.present(df, c).alias(f"there{i}") for i, c in enumerate(columns)],
+    )
     entries = []
-    for c in columns:
-        t = m.instant(df, c)
-        failed = F.lit(0).cast("bigint")
-        if isinstance(m.field(df, c).dataType, T.StringType):
-            failed = F.count_if(m.present(df, c) & t.isNull())
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(t).alias("n"),
-                F.min(t).alias("min"),
-                F.max(t).alias("max"),
-                failed.alias("parse_failures"),
-            )
-        )
+    for i, c in enumerate(columns):
+        t = F.col(f"t{i}")
+        measures = {"n": F.count(t), "min": F.min(t), "max": F.max(t), "parse_failures": F.count_if(F.col(f"there{i}") & t.isNull())}
+        entries.append(F.struct(F.lit(c).alias("column"), *[e.alias(name) for name, e in measures.items()]))
     elapsed = (F.unix_micros(F.col("max").cast("timestamp")) - F.unix_micros(F.col("min").cast("timestamp"))) / 86_400_000_000
-    rows = df.agg(F.array(*entries).alias("e")).select(F.inline("e")).where("n > 0")
+    rows = parsed.agg(F.array(*entries).alias("e")).select(F.inline("e")).where("n > 0")
     return rows.select("column", "n", "min", "max", F.floor(elapsed).alias("range_days"), "parse_failures")
 
 

@@ -162,7 +162,8 @@ def _interpolate(found: dict[tuple[str, int], float], column: str, n: int, p: fl
         return None
     position = (n - 1) * p
     low, high = found[column, math.floor(position)], found[column, math.ceil(position)]
-    return low if low == high else low + (high - low) * (position - math.floor(position))
+    share = position - math.floor(position)
+    return low if low == high else low * (1.0 - share) + high * share
 
 
 def _order_statistics(

@@ -109,8 +109,13 @@ def top_correlations(df: DataFrame, columns: list[str] | None = None, n: int = 1
     chosen = _survey(df, columns or m.numeric_columns(df), CORRELATED_COLUMNS)
     if len(chosen) < 2:
         return small_table(df.sparkSession, [], "column_a string, column_b string, strength double, r double")
-    pairs = _pairs(df, chosen).select("column_a", "column_b", F.abs("r").alias("strength"), "r")
-    return pairs.orderBy(F.desc("strength"), "column_a", "column_b").limit(n)
+    return strongest(_pairs(df, chosen), n)
+
+
+def strongest(pairs: DataFrame, n: int) -> DataFrame:
+    """The n pairs of (column_a, column_b, r) with the largest absolute r, ties by name."""
+    sized = pairs.select("column_a", "column_b", F.abs("r").alias("strength"), "r")
+    return sized.orderBy(F.desc("strength"), "column_a", "column_b").limit(n)
 
 
 def scatter_sample(

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulyse.functions import fixed_values as fixed
 from tabulyse.functions import vocabulary as v
 from tabulyse.functions.hashing import hash_word, keyed_md5
 from tabulyse.functions.semantic_types import ColumnSpec
@@ -302,18 +303,8 @@ def default_specs(topic: str, allowed: list[str], count: int = MOST_DEFAULT_COLU
     """A ready-made schema for a topic, from the allowed types; 3 to 10 columns are asked for."""
     count = min(max(count, FEWEST_DEFAULT_COLUMNS), MOST_DEFAULT_COLUMNS)
     spelled = {t.lower(): t for t in reversed(allowed)}
-    # The columns of the ready-made schema.
-    pool = {
-        f"{topic.lower().replace(' ', '_')}_id": "Number",
-        "name": "String",
-        "description": "String",
-        "category": "String",
-        "status": "String",
-        "created_at": "Date",
-        "amount": "Number",
-        "email": "Email",
-        "city": "City",
-        "notes": "String",
-    }
-    usable = [ColumnSpec(name, spelled[t.lower()]) for name, t in pool.items() if t.lower() in spelled]
+    prefix = topic.lower().replace(" ", "_")
+    usable = [
+        ColumnSpec(name.format(topic=prefix), spelled[t.lower()]) for name, t in fixed.PRESET_COLUMNS if t.lower() in spelled
+    ]
     return usable[:count]

@@ -12,7 +12,8 @@ from tabulyse.functions.stats import stat
 from tabulyse.operators.distribution import box_plot, histogram, outliers_iqr
 from tabulyse.operators.profile import column_profile, dataset_summary, numeric_stats, top_values
 from tabulyse.operators.quantiles import quartiles
-from tabulyse.operators.relations import correlation_matrix, scatter_sample, top_correlations
+from tabulyse.operators.relations import correlation_matrix, scatter_sample, strongest
+from tabulyse.session import small_table
 
 REPORT_BINS = 25
 HISTOGRAMS = 4
@@ -44,9 +45,12 @@ def profile_report(df: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
         sections["bar_charts"] = tops.where(F.col("column").isin(categoricals[:BAR_CHARTS]))
         sections["pie_chart"] = _pie(df, categoricals)
     if len(numerics) >= 2:
-        sections["correlation"] = correlation_matrix(df)
-        sections["top_correlations"] = top_correlations(df, n=CORRELATION_PAIRS)
-        sections["scatters"] = _scatters(df, keys)
+        matrix = correlation_matrix(df)
+        # At most 15 by 15 numbers, wanted three times over.
+        known = small_table(df.sparkSession, [tuple(r) for r in matrix.collect()], "row int, col int, column_a string, column_b string, r double")
+        sections["correlation"] = known
+        sections["top_correlations"] = strongest(known.where("row < col"), CORRELATION_PAIRS)
+        sections["scatters"] = _scatters(df, strongest(known.where("row < col"), SCATTERS), keys)
     if numerics:
         sections["box_plots"] = box_plot(df, numerics[:BOXES], middle=middle)
         sections["outliers"] = outliers_iqr(df, numerics[:OUTLIER_COLUMNS], middle=middle)
@@ -64,9 +68,8 @@ def _pie(df: DataFrame, categoricals: list[str]) -> DataFrame:
     return few.join(F.broadcast(chosen), "column")
 
 
-def _scatters(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples of the most correlated pairs; which ones takes one aggregate when called."""
-    pairs = top_correlations(df, n=SCATTERS).collect()
+def _scatters(df: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples of a few pairs of columns."""
 
     def sample(pair) -> DataFrame:
         points = scatter_sample(df, pair.column_a, pair.column_b, keys)
@@ -78,7 +81,7 @@ def _scatters(df: DataFrame, keys: list[str]) -> DataFrame:
             "y",
         )
 
-    return reduce(DataFrame.unionByName, [sample(p) for p in pairs])
+    return reduce(DataFrame.unionByName, [sample(p) for p in pairs.collect()])
 
 
 def _melted(section: str, df: DataFrame, item: list[str], metrics: list[str]) -> DataFrame:

@@ -12,7 +12,6 @@ from tabulyse.functions.normalize import iso_datetime
 from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.operators.value_counts import as_text
 
-DEFAULT_TABLE = "generated_data"
 _CONTEXT_LETTERS = 30
 
 
@@ -23,7 +22,7 @@ def table_name(context: str | None) -> str:
         if word in text:
             return f"{word}_data"
     safe = "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in text[:_CONTEXT_LETTERS])
-    return safe.strip("_") or DEFAULT_TABLE
+    return safe.strip("_") or fixed.DEFAULT_TABLE
 
 
 def quoted(name: str) -> str:
@@ -47,7 +46,7 @@ def specs_of(df: DataFrame) -> list[ColumnSpec]:
     return [ColumnSpec(f.name, semantic(f.dataType)) for f in df.schema.fields]
 
 
-def create_table_statement(specs: list[ColumnSpec], table: str = DEFAULT_TABLE) -> str:
+def create_table_statement(specs: list[ColumnSpec], table: str = fixed.DEFAULT_TABLE) -> str:
     columns = ", ".join(f"{quoted(s.name)} {s.ddl}" for s in specs)
     return f"CREATE TABLE {quoted(table)} ({columns});"
 
@@ -71,7 +70,7 @@ def _literal(df: DataFrame, name: str) -> Column:
     return F.when(c.isNotNull(), text).otherwise("NULL")
 
 
-def insert_statements(df: DataFrame, specs: list[ColumnSpec] | None = None, table: str = DEFAULT_TABLE) -> DataFrame:
+def insert_statements(df: DataFrame, specs: list[ColumnSpec] | None = None, table: str = fixed.DEFAULT_TABLE) -> DataFrame:
     """(value): an INSERT per row, columns in the order of the spec."""
     specs = specs or specs_of(df)
     columns = ", ".join(quoted(s.name) for s in specs)

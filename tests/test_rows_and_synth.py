@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tabulyse.functions.repair import repair_json
+from tabulyse.functions.mending import mend_json
 from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.operators import json_rows, synth
 
@@ -37,7 +37,7 @@ REPAIRS = {
 
 @pytest.mark.parametrize("raw", list(REPAIRS))
 def test_repair(raw):
-    text = repair_json(raw)
+    text = mend_json(raw)
     if REPAIRS[raw] is MALFORMED and raw != "42":
         with pytest.raises(json.JSONDecodeError):
             json.loads(text)
@@ -47,7 +47,7 @@ def test_repair(raw):
 
 def test_repair_leaves_good_json_alone():
     good = [{"a": 'q"\\,}', "b": [1, {"c": None}], "d": "// x"}, {"a": ",]"}]
-    assert json.loads(repair_json(json.dumps(good, indent=1))) == good
+    assert json.loads(mend_json(json.dumps(good, indent=1))) == good
 
 
 @pytest.fixture(scope="module")
