@@ -1,7 +1,7 @@
 """Time the headline queries: prints one JSON line.
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the threads. Every query runs twice over its whole tables;
-``queries`` holds the second time, ``cold`` the first.
+``queries`` holds the second time, ``cold`` the first, ``shuffle_bytes`` what the second run shuffled.
 """
 
 from __future__ import annotations
@@ -27,15 +27,23 @@ def run(spark, name: str, sf: str) -> float:
     return time.perf_counter() - start
 
 
+def shuffled(spark) -> int:
+    """Bytes all shuffles of the session have written so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
     spark = build_session("bench", cpus, **{"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
-    cold, warm = {}, {}
+    cold, warm, moved = {}, {}, {}
     for name in os.environ.get("BENCH_QUERIES", " ".join(HEADLINE)).split():
         cold[name] = round(run(spark, name, sf), 3)
+        before = shuffled(spark)
         warm[name] = round(run(spark, name, sf), 3)
+        moved[name] = shuffled(spark) - before
     spark.stop()
     print(
         json.dumps(
@@ -45,6 +53,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": warm,
                 "cold": cold,
+                "shuffle_bytes": moved,
                 "sf": os.path.basename(sf.rstrip("/")),
                 "cpus": cpus,
             }

@@ -147,7 +147,7 @@ def _with_long_text(df: DataFrame, members: list[str], top: DataFrame) -> DataFr
     digests = top.where(F.octet_length("key") > _LONGEST_KEPT).select("column", "key")
     behind = (
         long.where(F.octet_length("text") > _LONGEST_KEPT)
-        .withColumn("key", text_key(F.col("text")))
+        .withColumn("key", F.sha2("text", 256))
         .join(F.broadcast(digests), ["column", "key"])
         .groupBy("column", "key")
         .agg(F.element_at(F.collect_set("text"), 1).alias("text"))  # one text per digest, found without a sort
