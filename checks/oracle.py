@@ -376,7 +376,7 @@ select o_orderkey as reply_id, {choose('o_orderkey', ["'records'"] * 8 + ["'empt
        cast({choose('o_orderkey', ['1', '1', '1', '1', '2', '1', '2', '2', '0', '0', '0'])} as bigint) as members
 from orders"""
 _MEMBERS = """members as (
-  select o_orderkey as reply_id, cast(case when o_orderkey % 11 = 7 then 1 else 0 end as integer) as position, o_orderkey, o_orderkey % 11 as v,
+  select o_orderkey as reply_id, cast(0 as integer) as position, o_orderkey, o_orderkey % 11 as v,
          case when o_orderkey % 11 <> 5 then o_orderstatus end as o_orderstatus,
          case when o_orderkey % 11 <> 5 then o_totalprice end as o_totalprice,
          case when o_orderkey % 11 = 5 then 'cut [o' else o_orderpriority end as note,

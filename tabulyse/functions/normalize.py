@@ -18,6 +18,7 @@ _WS = (
 _NULL_RE = rf"^{_WS}*+(?i:{'|'.join(t.replace('-', chr(92) + '-') for t in fixed.NULL_TOKENS if t)})?{_WS}*+\z"
 
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+_INFINITY = r"^[+-]?inf(?:inity)?\z"
 # Everything that is not part of a number. An e stays only as an exponent, between digits.
 _NUMBER_NOISE = r"[^0-9.eE+-]++|(?<![0-9.])[eE]|[eE](?![+-]?[0-9])"
 
@@ -66,7 +67,7 @@ def parse_long(c: Column) -> Column:
 def parse_boolean(c: Column) -> Column:
     """Text to boolean. Known words first, then any nonzero number is true; all else is false."""
     s = F.lower(strip(null_if_token(c)))
-    nonzero = F.when(s.rlike(_PLAIN_NUMBER), s.try_cast("double") != 0)
+    nonzero = F.when(s.rlike(_PLAIN_NUMBER), s.try_cast("double") != 0).when(s.rlike(_INFINITY), True)
     return F.when(s.isin(fixed.TRUE_TOKENS), True).when(s.isin(fixed.FALSE_TOKENS), False).when(
         s.isNotNull(), F.coalesce(nonzero, F.lit(False))
     )

@@ -58,31 +58,35 @@ def _parse_whole(text: Column) -> Column:
     return F.when(alone & member, F.try_parse_json(text))
 
 
-def extract_records(parsed: DataFrame) -> DataFrame:
+def extract_records(parsed: DataFrame, rows: int | None = None) -> DataFrame:
     """One row per record of each reply: the reply's columns, its position, the record as variant.
 
-    Array members that are not objects are skipped; ``skipped_members`` lists them.
+    Array members that are not objects are skipped and not counted; ``skipped_members`` lists them. With
+    ``rows`` the first that many records of each reply are kept.
     """
-    return _members(parsed).where(_is_object()).select(*_reply_columns(parsed), "position", "record")
+    objects = F.filter("records", _is_object)
+    wanted = F.slice(objects, 1, rows) if rows is not None else objects
+    return _members(parsed, wanted).select(*_reply_columns(parsed), "position", F.col("member").alias("record"))
 
 
 def skipped_members(parsed: DataFrame) -> DataFrame:
-    members = _members(parsed).where(~_is_object())
-    return members.select(*_reply_columns(parsed), "position", F.to_json("record").alias("member"))
+    """(reply columns, position in the array, member): the array members that are not objects."""
+    rest = _members(parsed, F.col("records")).where(~_is_object(F.col("member")))
+    return rest.select(*_reply_columns(parsed), "position", F.to_json("member").alias("member"))
 
 
 def _reply_columns(parsed: DataFrame) -> list[Column]:
     return [m.col(c) for c in parsed.columns if c not in ("status", "records")]
 
 
-def _members(parsed: DataFrame) -> DataFrame:
+def _members(parsed: DataFrame, array: Column) -> DataFrame:
     # The outer form keeps Spark from testing for empty arrays up front, which would parse every reply twice.
-    members = parsed.select(*_reply_columns(parsed), F.posexplode_outer("records").alias("position", "record"))
+    members = parsed.select(*_reply_columns(parsed), F.posexplode_outer(array).alias("position", "member"))
     return members.where("position is not null")
 
 
-def _is_object() -> Column:
-    return F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
+def _is_object(member: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(member).startswith("OBJECT"), F.lit(False))
 
 
 def record_field(name: str, record: str = "record") -> Column:
@@ -116,13 +120,18 @@ def infer_record_specs(records: DataFrame) -> list[ColumnSpec]:
 
 
 def reply_rows(
-    df: DataFrame, text: str, specs: list[ColumnSpec] | None = None, null_policy: str = "typed_default"
+    df: DataFrame,
+    text: str,
+    specs: list[ColumnSpec] | None = None,
+    null_policy: str = "typed_default",
+    rows: int | None = None,
 ) -> DataFrame:
     """Replies to clean typed rows: the reply's columns, the record's position, the columns of the spec.
 
-    Without a spec the columns are inferred, which parses the replies once more.
+    Without a spec the columns are inferred, which parses the replies once more. ``rows`` is the number
+    of rows asked of each reply; what a reply holds beyond it is left out.
     """
-    records = extract_records(parse_replies(df, text))
+    records = extract_records(parse_replies(df, text), rows)
     specs = specs or infer_record_specs(records)
     keep = [c for c in records.columns if c != "record"]
     return normalize(record_columns(records, [s.name for s in specs], keep), specs, null_policy, tuple(keep))

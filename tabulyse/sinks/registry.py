@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.session import small_table
 from tabulyse.sinks.writers import write_table
+from tabulyse.sources.readers import source_size
 
 REGISTRY_SCHEMA = (
     "dataset_id string, owner string, name string, mode string, model string, format string, path string, "
@@ -18,12 +19,6 @@ REGISTRY_SCHEMA = (
 _NAME_LETTERS = 255
 
 
-def _written_bytes(df: DataFrame, path: str) -> int:
-    spark = df.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.agg(F.sum("length")).first()[0] or 0
-
-
 def register_write(
     df: DataFrame,
     folder: str,
@@ -42,7 +37,7 @@ def register_write(
     dataset_id = str(uuid.uuid4())
     path = f"{folder}/{owner}/{dataset_id}.{fmt}"
     rows = write_table(df, path, fmt, specs, name)
-    record = (dataset_id, owner, name[:_NAME_LETTERS], mode, model, fmt, path, rows, len(specs or df.columns), _written_bytes(df, path))
+    record = (dataset_id, owner, name[:_NAME_LETTERS], mode, model, fmt, path, rows, len(specs or df.columns), source_size(df.sparkSession, path).first().bytes)
     schema = REGISTRY_SCHEMA.rsplit(",", 1)[0]
     entry = small_table(df.sparkSession, [record], schema).withColumn("created_at", F.current_timestamp())
     entry.coalesce(1).write.mode("append").parquet(registry)

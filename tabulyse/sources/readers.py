@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabulyse.functions import fixed_values as fixed
 from tabulyse.functions import missing as m
+from tabulyse.functions.labels import bytes_label
 from tabulyse.sources.insert_dump import read_insert_dump
 
 MOST_COLUMNS = 2_000
@@ -141,6 +142,13 @@ def _read_columns(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[_read_as(m.col(c), t).alias(c) for c, t in _csv_types(rows).items()])
 
 
+def source_size(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes, label): what a source holds on disk, from the file listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    total = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    return total.withColumn("label", bytes_label(F.col("bytes")))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

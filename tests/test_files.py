@@ -189,5 +189,10 @@ def test_registry(spark, tmp_path):
     assert quota_count(entries, "owner", 2).first().full
 
 
+def test_source_size(spark, put, tmp_path):
+    put("a.txt", "x" * 2000), put("b.txt", "y" * 48)
+    assert tuple(readers.source_size(spark, str(tmp_path)).first()) == (2, 2048, "2.0 KB")
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -21,7 +21,7 @@ CASES = [
     (n.parse_double, {"€12.50": 12.5, "45.5%": 45.5, "1.2345678": 1.234568, "1.2.3": None, "-": None, ".5": 0.5, "1e400": None, "+3": 3.0}),
     (
         n.parse_boolean,
-        {"Yes": True, "active": True, "1": True, "2": True, "closed": False, "off": False, "0": False, "maybe": False, "5d": False, "n/a": None},
+        {"Yes": True, "active": True, "1": True, "2": True, "closed": False, "off": False, "0": False, "maybe": False, "5d": False, "-Inf": True, "n/a": None},
     ),
     (
         n.parse_timestamp,

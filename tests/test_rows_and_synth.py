@@ -95,6 +95,14 @@ def test_rows_with_inferred_types(spark):
     assert [(r.n, r.absent) for r in named.orderBy("id").collect()] == [(1, 0.0), (2, 0.0), (0, 0.0)]
 
 
+def test_rows_asked_for(spark):
+    df = spark.createDataFrame([(1, '[7, {"i": 1}, {"i": 2}, "x", {"i": 3}]'), (2, '{"i": 9}')], "id int, raw string")
+    specs = [ColumnSpec("i", "integer")]
+    assert sorted(map(tuple, json_rows.reply_rows(df, "raw", specs, rows=2).collect())) == [(1, 0, 1), (1, 1, 2), (2, 0, 9)]
+    assert json_rows.reply_rows(df, "raw", specs).count() == 4
+    assert sorted((r.position, r.member) for r in json_rows.skipped_members(json_rows.parse_replies(df, "raw")).collect()) == [(0, "7"), (3, '"x"')]
+
+
 ALL = [ColumnSpec(t.replace(" ", "_"), t) for t in synth.synth_types()]
 
 
