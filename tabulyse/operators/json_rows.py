@@ -1,7 +1,7 @@
 """Text replies that should hold JSON records, to rows.
 
-Well-formed text is parsed on the JVM. Only what fails goes through the repair function, and only that
-text is sent to Python. What cannot be repaired is set aside, never an error.
+Well-formed JSON, alone or inside a fence or between sentences, is parsed on the JVM. Only what fails is
+sent to Python to be mended. What cannot be mended is set aside, never an error.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.operators.normalize_table import looks_like_date, normalize, type_from_counts, type_from_name
 
 MOST_COLUMNS = 2_000
+_BRACKETED = r"(?s)[\[{].*[\]}]"
 
 
 def parse_replies(df: DataFrame, text: str) -> DataFrame:
@@ -28,10 +29,13 @@ def parse_replies(df: DataFrame, text: str) -> DataFrame:
     raw = m.col(text)
     others = [m.col(c) for c in df.columns if c != text]
     blank = raw.isNull() | raw.rlike(r"^\s*\z")
-    parsed = df.select(*others, raw.alias("_raw"), blank.alias("_blank"), _parse_whole(raw).alias("_parsed"))
+    # From the first opening to the last closing bracket; text without both is taken as it is.
+    inside = F.coalesce(F.nullif(F.regexp_extract(raw, _BRACKETED, 0), F.lit("")), raw)
+    parsed = df.select(*others, raw.alias("_raw"), blank.alias("_blank"), let(inside, _parse_whole).alias("_parsed"))
     broken = F.when(F.col("_parsed").isNull() & ~F.col("_blank"), F.col("_raw"))
     repaired = parsed.withColumn("_fixed", mended(broken))
-    outcome = let(F.coalesce("_parsed", _parse_whole(F.col("_fixed"))), lambda json: let(_records_in(json), lambda found: _outcome(json, found)))
+    whole = F.coalesce("_parsed", _parse_whole(F.col("_fixed")))
+    outcome = let(whole, lambda json: let(_records_in(json), lambda found: _outcome(json, found)))
     kept = [m.col(c) for c in df.columns if c != text]
     return repaired.select(*kept, outcome.alias("_out")).select(*kept, "_out.status", "_out.records")
 

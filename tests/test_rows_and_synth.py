@@ -32,6 +32,8 @@ REPAIRS = {
     '[{"a" 1}]': MALFORMED,
     "[1 2]": MALFORMED,
     "42": MALFORMED,
+    '"a [b] c"': MALFORMED,
+    'He said "no". [{"a":1}]': [{"a": 1}],
 }
 
 
