@@ -292,6 +292,12 @@ select cast(l_quantity as varchar) as l_quantity, cast(l_extendedprice as varcha
        cast(l_orderkey as varchar) as l_orderkey, cast(l_partkey as varchar) as l_partkey
 from placed
 where place > ((total + 49) // 50 // 2) * 50 and place <= ((total + 49) // 50 // 2) * 50 + 50"""
+ORACLE["preview_deep_text"] = """
+with placed as (select *, row_number() over (order by c_mktsegment, c_name) as place, count(*) over () as total from customer)
+select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey,
+       cast(c_acctbal as varchar) as c_acctbal, c_mktsegment
+from placed
+where place > ((total + 49) // 50 // 2) * 50 and place <= ((total + 49) // 50 // 2) * 50 + 50"""
 ORACLE["preview_pages"] = """
 select count(*) as total_rows, cast(50 as bigint) as page_size,
        cast(greatest(ceil(count(*) / 50.0), 1) as bigint) as total_pages from lineitem"""

@@ -226,6 +226,14 @@ def preview_deep(spark, sf):
     return preview.preview_page(lineitem, columns, page=page, shallow_rows=1_000)
 
 
+@query
+def preview_deep_text(spark, sf):
+    """The page in the middle in the order of a text column with long shared prefixes."""
+    customers = table(spark, sf, "customer")
+    page = preview.preview_pages(customers).first().total_pages // 2 + 1
+    return preview.preview_page(customers, ["c_mktsegment", "c_name"], page=page, shallow_rows=20)
+
+
 @query
 def preview_pages(spark, sf):
     return preview.preview_pages(table(spark, sf, "lineitem"))

@@ -25,6 +25,8 @@ _NUMBER_NOISE = r"[^0-9.eE+-]++|(?<![0-9.])[eE]|[eE](?![+-]?[0-9])"
 _MONTH = "(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 _WEEKDAY = r"^(?i:mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?),?\s+"
 _OFFSET = r"[+-](?<=:\d{2}(?:\.\d{1,9})?[+-])\d{2}:?\d{2}\z"
+_ISO = "yyyy-M-d[['T'][' ']H:mm[:ss][.SSSSSSSSS]['Z']]"
+_PLAIN_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?Z?)?\z"
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"
 _LAST_EPOCH_SECOND = 253402300799  # 9999-12-31 23:59:59
 _FIRST_EPOCH_MILLI = 10**12
@@ -144,7 +146,8 @@ def parse_timestamp(c: Column) -> Column:
     wall clock kept.
     """
     no_weekday = F.regexp_replace(strip(null_if_token(c)), _WEEKDAY, "")
-    return let(no_weekday, lambda s: let(_four_digit_year(s), _timestamp_in))
+    any_format = let(no_weekday, lambda s: let(_four_digit_year(s), _timestamp_in))
+    return F.when(c.rlike(_PLAIN_ISO), _first(c, _ISO)).otherwise(any_format)
 
 
 def _timestamp_in(s: Column) -> Column:
@@ -170,7 +173,7 @@ def _digits_date(s: Column, iso: Column) -> Column:
         .when(s.rlike(r"^\d{9,}\z"), _epoch(s))
         .when(
             iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?Z?)?\z"),
-            _first(iso, "yyyy-M-d[['T'][' ']H:mm[:ss][.SSSSSSSSS]['Z']]"),
+            _first(iso, _ISO),
         )
         .when(s.rlike(rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}(?: {_CLOCK})?\z"), _first(s, "yyyy/M/d[ H:mm[:ss]]"))
         .when(

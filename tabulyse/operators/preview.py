@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,17 +18,7 @@ PAGE_SIZE = 50
 LARGEST_PAGE = 200
 # Up to this many rows a page is the tail of a top-n; beyond it the start of the page is looked up.
 SHALLOW_ROWS = 2_000
-_SEEKABLE = (
-    T.ByteType,
-    T.ShortType,
-    T.IntegerType,
-    T.LongType,
-    T.FloatType,
-    T.DoubleType,
-    T.DateType,
-    T.TimestampType,
-    T.TimestampNTZType,
-)
+_PIECE_BYTES = 6
 
 
 def _shown(df: DataFrame, name: str) -> Column:
@@ -45,55 +37,84 @@ def preview_page(
 ) -> DataFrame:
     """The rows of one page as text, missing values as empty text, in the order of ``order_by``.
 
-    A shallow page is a top-n with an offset. For a deep page every task would have to keep all rows
-    before it, so the value of each order column at the page's first row is looked up instead (exact,
-    with bounded state per task) and only the rows from there on are ordered. That needs order columns
-    that are numbers, dates or timestamps; the lookup runs when the function is called.
+    A shallow page is a top-n with an offset. For a deep page one task would have to take all rows before
+    it, so the value of the order columns at the page's first row is looked up instead (exact, with
+    bounded state per task) and only the rows from there on are ordered. The lookup runs when the
+    function is called. Order columns are numbers, dates, timestamps, booleans or text.
     """
     _check(page, page_size)
     skip = (page - 1) * page_size
     rest = df
-    if skip > shallow_rows and all(isinstance(m.field(df, c).dataType, _SEEKABLE) for c in order_by):
-        rest, skip = _seek(df, order_by, skip)
+    if skip > shallow_rows:
+        rest, skip = _seek(df, order_by, skip, shallow_rows)
     ordered = rest.orderBy(*[m.col(c).asc_nulls_last() for c in order_by]).offset(skip).limit(page_size)
     return ordered.select(*[_shown(df, c) for c in df.columns])
 
 
-def _place(df: DataFrame, name: str) -> Column:
-    """An order column as a double that sorts the same way."""
-    dtype = m.field(df, name).dataType
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(m.col(name)).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(m.col(name).cast("timestamp")).cast("double")
-    return m.number(df, name)
-
+def _text_place(c: Column, piece: int) -> Column:
+    """The bytes of one piece of a text as a double that sorts as the piece does.
 
-def _comparable_place(df: DataFrame, name: str, at: float) -> tuple[Column, Column]:
-    if m.role_of_type(m.field(df, name).dataType) == m.NUMERIC:
-        return m.comparable(df, name, at)
-    return _place(df, name), F.lit(at)
+    Six bytes make 48 bits; three more hold how many there are, so a text sorts before its extensions.
+    """
+    part = F.substring(c.cast("binary"), 1 + piece * _PIECE_BYTES, _PIECE_BYTES)
+    padded = F.rpad(F.hex(part), 2 * _PIECE_BYTES, "0")
+    return F.conv(padded, 16, 10).cast("double") * 8 + F.octet_length(part)
 
 
-def _seek(df: DataFrame, order_by: list[str], skip: int) -> tuple[DataFrame, int]:
-    """The rows from a point shortly before row ``skip`` on, and how many of them are still to skip."""
-    ahead, same, after = skip, df, []
+def _places(df: DataFrame, name: str) -> Iterator[Column]:
+    """An order column as doubles that sort the same way: one, or for text one per piece."""
+    dtype = m.field(df, name).dataType
+    c = m.col(name)
+    if isinstance(dtype, T.StringType):
+        yield from (_text_place(c, piece) for piece in itertools.count())
+    elif isinstance(dtype, T.DateType):
+        yield F.unix_date(c).cast("double")
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        yield F.unix_micros(c.cast("timestamp")).cast("double")
+    elif isinstance(dtype, T.BooleanType):
+        yield c.cast("int").cast("double")
+    elif isinstance(dtype, T.NumericType):
+        yield m.number(df, name)
+    else:
+        raise ValueError(f"cannot look up a page by column {name!r} of type {dtype.simpleString()}")
+
+
+def _seek(df: DataFrame, order_by: list[str], skip: int, enough: int) -> tuple[DataFrame, int]:
+    """The rows from a point shortly before row ``skip`` on, and how many of them are still to skip.
+
+    Column by column the rows that share the value at the target row are kept, until few are left.
+    """
+    ahead, same = skip, df
     equal: list[Column] = []
+    later: list[Column] = []
+
+    def rows_from_here() -> tuple[DataFrame, int]:
+        tied = reduce(lambda a, b: a & b, equal)
+        return df.where(reduce(lambda a, b: a | b, later, tied)), ahead
+
     for name in order_by:
-        found = value_at_rank(same.select(_place(df, name).alias("place")), "place", ahead)
-        if found is None:
-            return df, skip
-        at, below = found
-        ahead -= below
-        here, bound = _comparable_place(df, name, at)
-        later = (here > bound) | m.missing(df, name)
-        after.append(reduce(lambda a, b: a & b, [*equal, later]))
-        equal.append(here == bound)
-        if abs(at) >= m.EXACT_DOUBLE:
-            break  # larger whole numbers can share a double; the rows tied here are skipped in order
-        same = same.where(here == bound)
-    tied = reduce(lambda a, b: a & b, equal)
-    return df.where(reduce(lambda a, b: a | b, after) | tied), ahead
+        dtype = m.field(df, name).dataType
+        is_number = m.role_of_type(dtype) == m.NUMERIC
+        for place in _places(df, name):
+            found = value_at_rank(same, name, ahead) if is_number else value_at_rank(same.select(place.alias("place")), "place", ahead)
+            if found is None:  # the target row is among those without a value, which come last
+                gap = m.missing(df, name)
+                ahead -= same.where(~gap).count()
+                equal.append(gap)
+                same = same.where(gap)
+                break
+            at, below, tied = found
+            ahead -= below
+            here, bound = m.comparable(df, name, at) if is_number else (place, F.lit(at))
+            later.append(reduce(lambda a, b: a & b, [*equal, (here > bound) | m.missing(df, name)]))
+            equal.append(here == bound)
+            same = same.where(here == bound)
+            shares_double = isinstance(dtype, T.DecimalType) or abs(at) >= m.EXACT_DOUBLE
+            if tied <= enough or shares_double:
+                return rows_from_here()
+            if isinstance(dtype, T.StringType) and at % 8 < _PIECE_BYTES:
+                break  # the text ends in this piece
+    return rows_from_here()
 
 
 def preview_pages(df: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:

@@ -145,8 +145,8 @@ def quartiles(df: DataFrame, columns: list[str], accuracy: int | None = None) ->
     )
 
 
-def value_at_rank(df: DataFrame, column: str, rank: int) -> tuple[float, int] | None:
-    """The value at a position (from 0) of a sorted column and how many values are smaller.
+def value_at_rank(df: DataFrame, column: str, rank: int) -> tuple[float, int, int] | None:
+    """The value at a position (from 0) of a sorted column, how many are smaller and how many equal.
 
     None when the column has no such position.
     """
@@ -154,7 +154,9 @@ def value_at_rank(df: DataFrame, column: str, rank: int) -> tuple[float, int] |
     if (column, rank) not in found:
         return None
     at = found[column, rank]
-    return at, df.where(number(df, column) < at).count()
+    x = number(df, column)
+    around = df.agg(F.count_if(x < at).alias("below"), F.count_if(x == at).alias("tied")).first()
+    return at, around.below, around.tied
 
 
 def _interpolate(found: dict[tuple[str, int], float], column: str, n: int, p: float) -> float | None:

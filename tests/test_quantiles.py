@@ -75,6 +75,30 @@ def test_seek_pages_match_plain_pages(spark, page):
     assert len(plain) == (50 if page <= 20 else 0)
 
 
+@pytest.mark.parametrize("page", [1, 5, 9, 14, 16, 17])
+def test_seek_by_text(spark, page):
+    """Long shared prefixes, texts that extend each other, accents, and missing texts."""
+    df = spark.sql(
+        """select case when id % 10 = 0 then null when id % 4 = 0 then repeat('same prefix ', 3)
+                  when id % 4 = 1 then concat('same prefix same é', id % 7) else substring('same prefix', 1, cast(id % 12 as int)) end as s,
+                  id % 2 = 0 as b, id as k from range(800)"""
+    )
+    order = ["s", "b", "k"]
+    plain = preview.preview_page(df, order, page, 50, shallow_rows=10**9).collect()
+    assert preview.preview_page(df, order, page, 50, shallow_rows=0).collect() == plain
+    assert len(plain) == (50 if page <= 16 else 0)
+
+
+def test_seek_by_decimal_and_huge_numbers(spark):
+    df = spark.sql("select cast(id % 40 as decimal(20, 4)) / 7 as d, 9007199254740992 + id % 50 as h, id from range(400)")
+    for order in (["d", "id"], ["h", "id"]):
+        for page in (2, 4, 8):
+            plain = preview.preview_page(df, order, page, 50, shallow_rows=10**9).collect()
+            assert preview.preview_page(df, order, page, 50, shallow_rows=0).collect() == plain
+    with pytest.raises(ValueError):
+        preview.preview_page(spark.sql("select array(id) a from range(9)"), ["a"], 2, 4, shallow_rows=0)
+
+
 def test_page_bounds(spark):
     with pytest.raises(ValueError):
         preview.preview_page(spark.range(3), ["id"], page=0)
