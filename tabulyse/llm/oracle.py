@@ -3,3 +3,42 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+#: regexp classes of the words, in SQL text
+_SPACE_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op1_mixing"] = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS source_key, CAST(coalesce(len(regexp_extract_all(text, '{_SPACE_WORD}')), 0) AS BIGINT) AS size,
+         substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 6) AS mark
+  FROM documents),
+totals AS (SELECT source_key, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source_key),
+weighed AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source_key) - 1) % 3 + 1 AS INT)] AS weight FROM totals),
+filled AS (SELECT *, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / weight AS fill FROM weighed),
+levels AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fill, source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           / CAST(sum(weight) OVER (ORDER BY fill, source_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM filled),
+aims AS (
+  SELECT source_key, source_size, CASE WHEN fill <= level THEN CAST(cap AS DOUBLE) ELSE weight * max(CASE WHEN fill > level THEN level END) OVER () END AS target
+  FROM levels),
+plan AS (
+  SELECT *, target - whole * source_size AS rest
+  FROM (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM aims)),
+coarse AS (SELECT source_key, substr(mark, 1, 3) AS bucket, sum(size) AS words FROM docs GROUP BY ALL),
+run AS (SELECT *, sum(words) OVER (PARTITION BY source_key ORDER BY bucket) AS upto FROM coarse),
+crossed AS (
+  SELECT source_key, min(bucket) AS bucket, min(upto - words) AS passed FROM run JOIN plan USING (source_key) WHERE upto > rest GROUP BY source_key),
+fine AS (
+  SELECT d.source_key, mark, passed, sum(size) AS words
+  FROM docs d JOIN crossed c ON d.source_key = c.source_key AND substr(d.mark, 1, 3) = c.bucket GROUP BY ALL),
+fine_run AS (SELECT *, passed + sum(words) OVER (PARTITION BY source_key ORDER BY mark) AS upto FROM fine),
+cuts AS (
+  SELECT source_key, min(mark) AS cut, 2 * (any_value(rest) - min(upto - words)) >= arg_min(words, mark) AS inclusive
+  FROM fine_run JOIN plan USING (source_key) WHERE upto > rest GROUP BY source_key),
+drawn AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN whole + CASE WHEN coalesce(mark < cut OR (inclusive AND mark = cut), false) THEN 1 ELSE 0 END ELSE 0 END AS repeats
+  FROM docs JOIN plan USING (source_key) LEFT JOIN cuts USING (source_key))
+SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS taken FROM drawn
+"""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
+from tabulyse.llm.mixing import mixed
+from tabulyse.llm.quality import with_quality
 from tabulyse.llm.simhash import near_duplicates
 
 
@@ -14,10 +16,20 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed(_table(spark, sf, "documents"), "doc_id", "source", "text", ["doc_id"]).drop("repeats")
+
+
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return with_quality(_table(spark, sf, "documents"), "text", ["doc_id"])
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
 }

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabulyse.llm.components import components
 from tabulyse.llm.staging import ships, staged
-from tabulyse.llm.words import raw
+from tabulyse.llm.words import per_text
 
 ships(__name__)
 
@@ -52,15 +52,10 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 def with_fingerprints(df: DataFrame, text: str, columns: list[str], shingle: int = 4) -> DataFrame:
     """``columns`` of the table and the long ``fingerprint`` (two's complement) of ``text``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in raw(batch.column(0))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints)], [*kept, "fingerprint"])
+    def produce(texts: list[bytes | None]) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))]
 
-    kept = [f"_{i}" for i in range(len(columns))]
-    source = df.select(F.col(f"`{text}`").alias("_text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept)))
-    schema = source.drop("_text").schema.add("fingerprint", "long")
-    return source.mapInArrow(run, schema).toDF(*columns, "fingerprint")
+    return per_text(df, text, columns, "fingerprint long", produce)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabulyse.llm.staging import ships
 
@@ -23,6 +26,29 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def named(column: str) -> Column:
+    """A column by its name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def per_text(df: DataFrame, text: str, columns: list[str], schema: str, produce: Callable[[list[bytes | None]], list]) -> DataFrame:
+    """``columns`` of the table, then one column per field of ``schema``, made of each Arrow batch of texts by ``produce``.
+
+    Columns go through under names of their own, so a table's names never clash with the new ones.
+    """
+    kept = [f"_{i}" for i in range(len(columns))]
+    source = df.select(named(text).alias("_text"), *(named(c).alias(k) for c, k in zip(columns, kept)))
+    added = StructType.fromDDL(schema)
+    whole = StructType([*source.drop("_text").schema, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *produce(raw(batch.column(0)))], whole_names)
+
+    whole_names = whole.fieldNames()
+    return source.mapInArrow(run, whole).toDF(*columns, *added.fieldNames())
+
+
 def alnum_words(text: bytes | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of ASCII letters, digits and all characters beyond ASCII."""
     return text.translate(_FOLDED).split() if text else []
