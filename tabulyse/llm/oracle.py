@@ -42,3 +42,24 @@ drawn AS (
   FROM docs JOIN plan USING (source_key) LEFT JOIN cuts USING (source_key))
 SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS taken FROM drawn
 """
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op2_decontaminate"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_ALNUM_WORDS}, []) AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS label, {_ALNUM_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT label, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT label, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM windows),
+grams AS (
+  SELECT rid, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes)),
+hits AS (SELECT DISTINCT rid, i, k, label FROM grams JOIN windows USING (k, g)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid),
+owners AS (SELECT rid, count(*) AS n_items, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT rid, label FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(labels, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (rid) LEFT JOIN owners USING (rid)
+"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
+from tabulyse.llm.decontaminate import contamination
 from tabulyse.llm.mixing import mixed
 from tabulyse.llm.quality import with_quality
 from tabulyse.llm.simhash import near_duplicates
@@ -20,6 +21,12 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed(_table(spark, sf, "documents"), "doc_id", "source", "text", ["doc_id"]).drop("repeats")
 
 
+def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = contamination(_table(spark, sf, "documents"), "text", ["doc_id"], _table(spark, sf, "benchmark"), "item_id", "text")
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     return with_quality(_table(spark, sf, "documents"), "text", ["doc_id"])
 
@@ -30,6 +37,7 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_decontaminate": op2_decontaminate,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
 }
