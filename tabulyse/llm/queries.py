@@ -10,6 +10,7 @@ from pyspark.sql import functions as F  # noqa: F401
 from tabulyse.llm.decontaminate import contamination
 from tabulyse.llm.mixing import mixed
 from tabulyse.llm.quality import with_quality
+from tabulyse.llm.repeats import without_repeats
 from tabulyse.llm.simhash import near_duplicates
 
 
@@ -35,9 +36,15 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), "doc_id", "text")
 
 
+def op9_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    found = without_repeats(_table(spark, sf, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
+    "op9_repeats": op9_repeats,
 }
