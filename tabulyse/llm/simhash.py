@@ -132,8 +132,8 @@ def _by_midpoints(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, columns: list[str] | None = None, shingle: int = 4, radius: int = 4, bucket: int = 1024) -> DataFrame:
-    """Per row: ``key``, ``columns``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest key reachable over
-    fingerprints that differ in at most ``radius`` bits.
+    """Per row: ``key``, ``columns``, ``fingerprint`` (16 hex digits), ``component_id``, the smallest key reachable over
+    fingerprints that differ in at most ``radius`` bits, and ``component``, one fingerprint of the component.
 
     Null and wordless texts have fingerprint zero and are linked like any other; a text below ``shingle`` words is one
     shingle. Null keys take part but are never the smallest (component_id is null if a component has no other).
@@ -145,7 +145,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, columns: list[str] | Non
     roots = components(fingerprint_links(nodes, radius, bucket))
     placed = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = staged(placed.join(least, "root").select("fingerprint", "component_id"), "classes")
-    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
-    found = prints.join(classes, "fingerprint").select("key", *(f"c{i}" for i in range(len(others))), digits, "component_id")
-    return found.toDF(key, *others, "fingerprint", "component_id")
+    classes = staged(placed.join(least, "root").select("fingerprint", "component_id", "root"), "classes")
+    digits = [F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("fingerprint", "root")]
+    found = prints.join(classes, "fingerprint").select("key", *(f"c{i}" for i in range(len(others))), digits[0], "component_id", digits[1])
+    return found.toDF(key, *others, "fingerprint", "component_id", "component")

@@ -101,4 +101,4 @@ def test_odd_rows(spark, documents):
 
 def test_empty_table(spark, documents):
     found = near_duplicates(documents([(1, "x")]).where(F.lit(False)), "doc_id", "text")
-    assert found.columns == ["doc_id", "fingerprint", "component_id"] and found.count() == 0
+    assert found.columns == ["doc_id", "fingerprint", "component_id", "component"] and found.count() == 0
