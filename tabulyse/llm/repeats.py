@@ -22,9 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 from tabulyse.llm.staging import ships
 from tabulyse.llm.words import WordHashes, in_groups, named, raw, space_words
@@ -103,7 +103,8 @@ def _blocks(batch: pa.RecordBatch, text: int, window: int, anchor: int, hashes:
 
 
 def _anchor_rows(window: int, anchor: int, names: list[str]):
-    """Rows (doc, mark, anchor, salt, sure): each anchor of the block once per document; ``sure`` if it has a second place here.
+    """Rows (doc, anchor, at): each anchor of the block once per document. ``at`` packs the document's mark, a salt, and in the
+    last bit whether the anchor has a second place here.
 
     The first document of an anchor gets salt 0 and speaks for the block; the others are settled and salted apart.
     """
@@ -123,8 +124,9 @@ def _anchor_rows(window: int, anchor: int, names: list[str]):
                 keep = np.flatnonzero(new_pair)
                 keep = keep[np.argsort(documents[keep], kind="stable")]
                 rows = pa.array(documents[keep] + first)
-                salt = np.where(new_value[keep], 0, documents[keep] + 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(values[keep].view(np.int64)), pa.array(salt), pa.array(sure[keep])], names)
+                salt = np.where(new_value[keep], 0, documents[keep] + 1)
+                at = np.asarray(batch.column(1).take(rows)) << 32 | salt << 1 | sure[keep]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(values[keep].view(np.int64)), pa.array(at)], names)
 
     return run
 
@@ -148,10 +150,11 @@ def _pairs_in(owner: np.ndarray, values: np.ndarray, lists: pa.ListArray) -> np.
 
 
 def _window_rows(window: int, anchor: int, names: list[str]):
-    """Rows (hash, salt, doc, mark, start, count, ref_doc, ref_start) of the windows whose anchor repeats.
+    """Rows (hash, doc, at, settled) of the windows whose anchor repeats. ``at`` packs the word a window starts at and the
+    document's mark.
 
-    First places in the block have salt 0 and no reference yet. The others come as runs that follow one reference, salted
-    apart.
+    First places in the block have nothing in ``settled`` yet. The others come as runs that follow one reference: (salt, count,
+    ref_doc, ref_start), salted apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +171,13 @@ def _window_rows(window: int, anchor: int, names: list[str]):
                     continue
                 start = starts - block.begin[owner]
                 keys = batch.column(0).slice(first, len(block.begin)).to_pylist()
-                mark = np.asarray(batch.column(1).slice(first, len(block.begin)))[owner]
+                at = start << 32 | np.asarray(batch.column(1).slice(first, len(block.begin)))[owner]
                 rank = _ranks(keys)[owner]
-                order = np.lexsort((mark, start, rank, found))
-                starts, owner, found, start, mark, rank = (x[order] for x in (starts, owner, found, start, mark, rank))
+                order = np.lexsort((at, rank, found))
+                owner, found, start, at, rank = (x[order] for x in (owner, found, start, at, rank))
                 head = np.append(True, found[1:] != found[:-1])
                 top = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-                same = (rank == rank[top]) & (start == start[top]) & (mark == mark[top])  # the first place itself, repeated rows included
+                same = (rank == rank[top]) & (at == at[top])  # the first place itself, repeated rows included
                 later = np.flatnonzero(~same)
                 later = later[np.lexsort((start[later], owner[later]))]
                 ref = top[later]
@@ -186,13 +189,12 @@ def _window_rows(window: int, anchor: int, names: list[str]):
                 top = np.flatnonzero(head)
                 top = top[np.lexsort((start[top], owner[top]))]
                 rows = np.concatenate([top, later])
-                taken = pa.array(owner[rows] + first)
-                refs = pa.array(np.concatenate([np.zeros(len(top), np.int64), owner[ref] + first]), mask=np.arange(len(rows)) < len(top))
-                salt = np.concatenate([np.zeros(len(top)), 1 + np.arange(len(later))]).astype(np.int32)
-                ref_start = pa.array(np.concatenate([np.zeros(len(top)), start[ref]]).astype(np.int32), mask=np.arange(len(rows)) < len(top))
-                columns = [pa.array(found[rows].view(np.int64)), pa.array(salt), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(start[rows].astype(np.int32))]
-                columns += [pa.array(np.concatenate([np.ones(len(top)), count]).astype(np.int32)), batch.column(0).take(refs), ref_start]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                open_ = np.arange(len(rows)) < len(top)
+                blank = np.zeros(len(top), np.int64)
+                refs = pa.array(np.concatenate([blank, owner[ref] + first]), mask=open_)
+                told = [np.concatenate([blank, x]).astype(np.int32) for x in (1 + np.arange(len(later)), count, start[ref])]
+                settled = pa.StructArray.from_arrays([pa.array(told[0]), pa.array(told[1]), batch.column(0).take(refs), pa.array(told[2])], ["salt", "count", "ref_doc", "ref_start"], mask=pa.array(open_))
+                yield pa.RecordBatch.from_arrays([pa.array(found[rows].view(np.int64)), batch.column(0).take(pa.array(owner[rows] + first)), pa.array(at[rows]), settled], names)
 
     return run
 
@@ -210,32 +212,40 @@ def factors(df: DataFrame, key: str, text: str, window: int = WINDOW, anchor: in
 
 
 def _documents(df: DataFrame, key: str, text: str, columns: list[str] | None = None) -> DataFrame:
-    mark = F.hash(named(key), named(text))
-    return df.select(named(key).alias("doc"), mark.alias("mark"), named(text).alias("text"), *(named(c).alias(f"_{i}") for i, c in enumerate(columns or [])))
+    """doc, mark, group, text and the columns: ``group`` is the key without nulls, which the last bit of ``mark`` tells, so that
+    grouping and joining by (group, mark) share one partitioning."""
+    mark = F.hash(named(key), named(text)).cast("long").bitwiseAND(F.lit(0x3FFFFFFF)) * 2 + named(key).isNull().cast("long")
+    rows = df.select(named(key).alias("doc"), mark.alias("mark"), named(text).alias("text"), *(named(c).alias(f"_{i}") for i, c in enumerate(columns or [])))
+    return rows.withColumn("group", _group(rows))
 
 
-def _same_document(a: DataFrame, b: DataFrame):
-    return a["doc"].eqNullSafe(b["doc"]) & (a["mark"] == b["mark"])
+def _group(rows: DataFrame) -> Column:
+    if isinstance(rows.schema["doc"].dataType, NumericType):
+        return F.coalesce("doc", F.lit(0).cast(rows.schema["doc"].dataType))
+    return F.coalesce(F.col("doc").cast("string"), F.lit(""))
 
 
 def _found(documents: DataFrame, window: int, anchor: int) -> DataFrame:
-    source = documents.select("doc", "mark", "text")
-    key = StructType([source.schema["doc"], source.schema["mark"]])
-    schema = StructType([*key, *StructType.fromDDL("anchor long, salt int, sure boolean")])
-    places = source.mapInArrow(_anchor_rows(window, anchor, schema.fieldNames()), schema)
-    times = F.count("*").over(Window.partitionBy("anchor", "salt"))
-    repeated = places.withColumn("times", times).where("sure or times > 1").groupBy("doc", "mark").agg(F.collect_list("anchor").alias("anchors"))
-    asked = source.join(repeated, _same_document(source, repeated)).select(source["doc"], source["mark"], "text", "anchors")
-    ref = StructType.fromDDL("ref_doc int, ref_start int")
-    ref["ref_doc"].dataType = source.schema["doc"].dataType
-    schema = StructType([*StructType.fromDDL("hash long, salt int"), *key, *StructType.fromDDL("start int, count int"), *ref])
+    source = documents.select("doc", "mark", "text", "group")
+    doc = source.schema["doc"]
+    schema = StructType([doc, *StructType.fromDDL("anchor long, at long")])
+    places = source.drop("group").mapInArrow(_anchor_rows(window, anchor, schema.fieldNames()), schema)
+    low = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    times = F.count("*").over(Window.partitionBy("anchor", F.shiftright(low, 1)))
+    counted = places.withColumn("times", times).where((F.col("at") % 2 == 1) | (F.col("times") > 1))
+    repeated = counted.groupBy(_group(counted).alias("group"), F.shiftright("at", 32).alias("mark")).agg(F.collect_list("anchor").alias("anchors"))
+    asked = source.join(repeated, ["group", "mark"]).select("doc", "mark", "text", "anchors")
+    settled = StructType.fromDDL("salt int, count int").add("ref_doc", doc.dataType).add("ref_start", "integer")
+    schema = StructType([*StructType.fromDDL("hash long"), doc, *StructType.fromDDL("at long")]).add("settled", settled)
     looked_up = asked.mapInArrow(_window_rows(window, anchor, schema.fieldNames()), schema)
-    place = F.struct("doc", "start", "mark")
-    first = F.first(place).over(Window.partitionBy("hash", "salt").orderBy("doc", "start", "mark"))
-    settled = F.col("salt") > 0
-    told = looked_up.withColumn("first", first).where(settled | ~place.eqNullSafe(F.col("first")))
-    ref_doc, ref_start = F.when(settled, F.col("ref_doc")).otherwise(F.col("first.doc")), F.when(settled, F.col("ref_start")).otherwise(F.col("first.start"))
-    return told.select("doc", "mark", "start", (F.col("count") + (window - 1)).alias("words"), ref_doc.alias("ref_doc"), ref_start.alias("ref_start"))
+    place = F.struct("doc", "at")
+    first = F.first(place).over(Window.partitionBy("hash", "settled.salt").orderBy("doc", "at"))
+    known = F.col("settled").isNotNull()
+    told = looked_up.withColumn("first", first).where(known | ~place.eqNullSafe(F.col("first")))
+    ref_doc = F.when(known, F.col("settled.ref_doc")).otherwise(F.col("first.doc")).alias("ref_doc")
+    ref_start = F.when(known, F.col("settled.ref_start")).otherwise(F.shiftright("first.at", 32).cast("int")).alias("ref_start")
+    words = (F.coalesce("settled.count", F.lit(1)) + (window - 1)).alias("words")
+    return told.select("doc", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), F.shiftright("at", 32).cast("int").alias("start"), words, ref_doc, ref_start)
 
 
 def without_repeats(df: DataFrame, key: str, text: str, columns: list[str] | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -244,25 +254,25 @@ def without_repeats(df: DataFrame, key: str, text: str, columns: list[str] | Non
     null texts with no words. An empty table gives an empty table. Names of other columns don't matter."""
     columns = columns or []
     documents = _documents(df, key, text, columns)
-    spans = _found(documents, window, anchor).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "words")).alias("factors"))
+    packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("words").cast("long"))
+    found = _found(documents, window, anchor)
+    spans = found.groupBy(_group(found).alias("group"), "mark").agg(F.collect_list(packed).alias("factors"))
     kept = [f"_{i}" for i in range(len(columns))]
-    joined = documents.join(spans, _same_document(documents, spans), "left")
-    joined = joined.select(documents["doc"], *kept, F.col("factors.start").alias("starts"), F.col("factors.words").alias("sizes"), "text")
+    joined = documents.join(spans, ["group", "mark"], "left").select("doc", *kept, "factors", "text")
     added = StructType.fromDDL("n_words long, n_removed long, spans array<int>, kept_text string")
-    schema = StructType([*joined.drop("starts", "sizes", "text").schema, *added])
+    schema = StructType([*joined.drop("factors", "text").schema, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            starts, sizes = batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist()
-            for data, begin, size in zip(raw(batch.column(len(kept) + 3)), starts, sizes):
+            for data, factors_there in zip(raw(batch.column(len(kept) + 2)), batch.column(len(kept) + 1)):
                 words = space_words(data)
-                if not begin:
+                if not factors_there.is_valid:
                     out.append((len(words), 0, [], b" ".join(words).decode()))
                     continue
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, np.add(begin, size), -1)
+                edge, spans_there = np.zeros(len(words) + 1, np.int64), np.asarray(factors_there.values)
+                np.add.at(edge, spans_there >> 32, 1)
+                np.add.at(edge, (spans_there >> 32) + (spans_there & 0xFFFFFFFF), -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 turns = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
                 rest = [w for w, g in zip(words, gone.tolist()) if not g]
