@@ -618,7 +618,7 @@ order by o_orderdate desc, o_orderkey desc limit 20"""
 ORACLE["quota_count"] = """
 select o_custkey, count(*) as n, cast(10 as bigint) as "limit", count(*) >= 10 as "full" from orders group by o_custkey"""
 ORACLE["owned_runs"] = """
-select * from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')"""
+select * from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0)"""
 _IDENTITY = """signed as (
   select distinct o_orderstatus as provider, cast(o_custkey as varchar) as provider_id, 'customer' || o_custkey || '@example.com' as email,
          o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') as known,
@@ -628,6 +628,29 @@ placed as (select *, case when known then 'user-' || provider_id else 'u-' || su
 ORACLE["identity_link"] = f"with {_IDENTITY} select provider, provider_id, email, user_id, not known as is_new from placed"
 ORACLE["identity_new_links"] = f"with {_IDENTITY} select user_id, provider, provider_id from placed where not linked"
 
+# Wide rows, exact values
+
+_WIDE = f"""base as (select ts, user_id, event_type, value, {', '.join(f'user_id + {i} as c{i}' for i in range(16))} from events),
+wide as (select * from base union all select * replace (ts + interval 1 microsecond as ts) from base union all select * from base)"""
+ORACLE["duplicate_rows_wide"] = f"""
+with {_WIDE}, per as (select count(*) as n from wide group by ts, user_id, event_type, value, {', '.join(f'c{i}' for i in range(16))})
+select cast(sum(n) as bigint) as rows, cast(sum(n) - count(*) as bigint) as duplicates from per"""
+ORACLE["distinct_nested"] = f"""
+with {_WIDE}
+select 'at' as "column", count(*) as n, cast(0 as bigint) as missing, count(distinct (ts, user_id)) as "distinct" from wide
+union all select 'zoned', count(*), cast(0 as bigint), count(distinct ts) from wide"""
+ORACLE["parse_large_numbers"] = f"""
+select o_orderkey, {choose("o_orderkey", ["o_orderkey + 9007199254740993", "o_orderkey + 9007199254740993", "-(o_orderkey + 9007199254740993)", "null"])} as as_long from orders"""
+ORACLE["iso_texts"] = """
+select event_id, strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m-%dT%H:%M:%S') as moment from events"""
+ORACLE["csv_quoted_breaks"] = """
+select event_id + 1234567890123456789 as id, (event_id + 1234567890123456789) || '5' as longer,
+       event_type || chr(10) || 'said "' || event_id || '"' as note from events"""
+_EXACT = """
+with shifted as (select event_id, strftime(ts + to_microseconds(event_id % 1000), '%Y-%m-%dT%H:%M:%S.%f') as ts, value from events)
+select event_id, ts, ts as zoned, case when event_id % 7 != 0 and event_id % 11 != 0 then value end as value from shifted"""
+ORACLE["json_roundtrip_exact"] = ORACLE["csv_roundtrip_exact"] = ORACLE["sql_dump_roundtrip_exact"] = _EXACT
+
 # Report
 
 

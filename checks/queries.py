@@ -75,6 +75,25 @@ def duplicate_rows(spark, sf):
     return profile.duplicate_rows(table(spark, sf, "documents").select("text", "lang"))
 
 
+def wide_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as rows of 20 columns: each twice, and once more a microsecond later."""
+    base = table(spark, sf, "events").select("ts", "user_id", "event_type", "value", *[(F.col("user_id") + i).alias(f"c{i}") for i in range(16)])
+    later = base.withColumn("ts", F.col("ts") + F.expr("interval 1 microsecond"))
+    return base.unionAll(later).unionAll(base)
+
+
+@query
+def duplicate_rows_wide(spark, sf):
+    return profile.duplicate_rows(wide_events(spark, sf))
+
+
+@query
+def distinct_nested(spark, sf):
+    """Distinct structs that differ by a microsecond only."""
+    nested = wide_events(spark, sf).select(F.struct("ts", "user_id").alias("at"), F.struct(F.col("ts").cast("timestamp").alias("t")).alias("zoned"))
+    return distinct_and_missing(nested, ["at", "zoned"])
+
+
 @query
 def data_bytes(spark, sf):
     return profile.data_bytes(table(spark, sf, "orders"))
@@ -272,6 +291,20 @@ def parse_numbers(spark, sf):
     return messy.select("o_orderkey", n.parse_double(F.col("v")).alias("as_double"), n.parse_long(F.col("v")).alias("as_long"))
 
 
+@query
+def parse_large_numbers(spark, sf):
+    """Whole numbers beyond 2^53, in several spellings."""
+    whole = F.col("o_orderkey") + F.lit(9007199254740993)
+    plain = whole.cast("string")
+    spellings = [plain, F.concat(F.lit("$"), F.format_number(whole, 0)), F.concat(F.lit(" -"), plain, F.lit(" pcs")), F.concat(plain, F.lit("0000"))]
+    return table(spark, sf, "orders").select("o_orderkey", n.parse_long(variant("o_orderkey", spellings)).alias("as_long"))
+
+
+@query
+def iso_texts(spark, sf):
+    return table(spark, sf, "events").select("event_id", n.iso_date(F.col("ts")).alias("day"), n.iso_datetime(F.col("ts")).alias("moment"))
+
+
 @query
 def parse_booleans(spark, sf):
     words = ["Yes", "active", "1", " TRUE ", "2", "1e2", "No", "closed", "0", "0.0", "maybe", "5d", "n/a"]
@@ -384,6 +417,45 @@ def csv_roundtrip(spark, sf):
     return roundtrip(table(spark, sf, "pages").withColumn("score", score), "csv", specs)
 
 
+@query
+def csv_quoted_breaks(spark, sf):
+    """A file of another writer: 19 and 20 digit ids, line breaks inside quotes."""
+    ids = (F.col("event_id") + F.lit(1234567890123456789)).cast("string")
+    note = F.concat("event_type", F.lit('\nsaid "'), F.col("event_id").cast("string"), F.lit('"'))
+    path = scratch_dir(spark, "quoted")
+    rows = table(spark, sf, "events").select(ids.alias("id"), F.concat(ids, F.lit("5")).alias("longer"), note.alias("note"))
+    rows.write.csv(path, header=True, escape='"')
+    return read_table(spark, path, "csv").select("id", F.col("longer").cast("string").alias("longer"), "note")
+
+
+def exact_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with a microsecond to each instant, NaN and infinite values among them."""
+    shifted = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 1000).cast("decimal(18,6)") / 1000000)
+    value = F.when(F.col("event_id") % 7 == 0, float("nan")).when(F.col("event_id") % 11 == 0, float("inf")).otherwise(F.col("value"))
+    return table(spark, sf, "events").select("event_id", shifted.alias("ts"), shifted.cast("timestamp").alias("zoned"), value.alias("value"))
+
+
+def _events_back(back: DataFrame) -> DataFrame:
+    moment = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    value = F.nullif(F.col("value").cast("string").cast("double"), F.lit(float("inf")))
+    return back.select("event_id", *[F.date_format(F.col(c).cast("timestamp"), moment).alias(c) for c in ("ts", "zoned")], value.alias("value"))
+
+
+@query
+def json_roundtrip_exact(spark, sf):
+    return _events_back(roundtrip(exact_events(spark, sf), "json"))
+
+
+@query
+def csv_roundtrip_exact(spark, sf):
+    return _events_back(roundtrip(exact_events(spark, sf), "csv"))
+
+
+@query
+def sql_dump_roundtrip_exact(spark, sf):
+    return _events_back(roundtrip(exact_events(spark, sf), "sql"))
+
+
 @query
 def json_roundtrip(spark, sf):
     back = roundtrip(table(spark, sf, "customer"), "json")
@@ -619,12 +691,13 @@ def quota_count(spark, sf):
 
 @query
 def owned_runs(spark, sf):
-    builders = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    return usage.owned_rows(table(spark, sf, "orders"), "o_custkey", builders, "c_custkey")
+    owner = F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("owner")
+    return usage.owned_rows(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").select(owner), "owner")
 
 
 def identity_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Orders as sign-ins by three providers; building customers are known, some of them linked."""
+    """Orders as sign-ins by three providers. Every customer is a user; building customers sign in with the address that is on
+    file, some of them by a provider that is linked."""
     address = F.concat(F.lit("Customer"), F.col("o_custkey").cast("string"), F.lit("@Example.com "))
     signins = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("seq"),
@@ -632,12 +705,12 @@ def identity_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
         F.col("o_custkey").cast("string").alias("provider_id"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.upper(address)).otherwise(address).alias("email"),
     )
-    known = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
+    customers, builds = table(spark, sf, "customer"), F.col("c_mktsegment") == "BUILDING"
     key = F.col("c_custkey").cast("string")
-    users = known.select(F.concat(F.lit("user-"), key).alias("user_id"), F.concat(F.lit("customer"), key, F.lit("@example.com")).alias("email"))
-    links = known.where("c_acctbal > 0").select(
-        F.concat(F.lit("user-"), key).alias("user_id"), F.lit("F").alias("provider"), key.alias("provider_id")
-    )
+    on_file = F.when(builds, "@example.com").otherwise("@example.org")
+    users = customers.select(F.concat(F.lit("user-"), key).alias("user_id"), F.concat(F.lit("customer"), key, on_file).alias("email"))
+    provider = F.when(builds & (F.col("c_acctbal") > 0), "F").otherwise("elsewhere")
+    links = customers.select(F.concat(F.lit("user-"), key).alias("user_id"), provider.alias("provider"), key.alias("provider_id"))
     return signins, users, links
 
 

@@ -19,8 +19,6 @@ NESTED = "nested"
 
 EXACT_DOUBLE = 2**53  # below it every whole number is a double of its own
 
-_SNIFF_ROWS = 20
-
 
 def col(name: str) -> Column:
     """A column by its exact name, also when the name holds dots or spaces."""
@@ -95,10 +93,10 @@ def role_of_type(dtype: T.DataType) -> str:
 
 
 def column_roles(df: DataFrame, sniff_text: bool = False) -> dict[str, str]:
-    """The role of each column, from its type and, if asked, from a few values of text columns.
+    """The role of each column, from its type and, if asked, from the values of text columns.
 
-    With ``sniff_text`` a text column whose first values all parse as dates counts as datetime. That
-    reads at most 20 rows per text column.
+    With ``sniff_text`` a text column whose values all parse as dates counts as datetime. One aggregate over all rows
+    decides for all text columns.
     """
     roles = {f.name: role_of_type(f.dataType) for f in df.schema.fields}
     if sniff_text:
@@ -111,12 +109,10 @@ def _date_like(df: DataFrame, names: list[str]) -> list[str]:
     from tabulyse.functions.normalize import parse_timestamp
 
     found = []
-    for name in names:
-        c = col(name)
-        head = df.select(parse_timestamp(c).isNotNull().alias("ok"), c.alias("v")).where("v is not null")
-        parsed = [r.ok for r in head.take(_SNIFF_ROWS)]
-        if parsed and all(parsed):
-            found.append(name)
+    for part in chunks(names):
+        evidence = [F.array(F.count(col(c)), F.count(parse_timestamp(col(c)))).alias(str(i)) for i, c in enumerate(part)]
+        counts = df.agg(*evidence).first()
+        found += [c for i, c in enumerate(part) if counts[i][0] and counts[i][0] == counts[i][1]]
     return found
 
 

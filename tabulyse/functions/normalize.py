@@ -18,6 +18,7 @@ _WS = (
 _NULL_RE = rf"^{_WS}*+(?i:{'|'.join(t.replace('-', chr(92) + '-') for t in fixed.NULL_TOKENS if t)})?{_WS}*+\z"
 
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+_WHOLE_NUMBER = r"^[+-]?[0-9]++\z"
 _INFINITY = r"^[+-]?inf(?:inity)?\z"
 # Everything that is not part of a number. An e stays only as an exponent, between digits.
 _NUMBER_NOISE = r"[^0-9.eE+-]++|(?<![0-9.])[eE]|[eE](?![+-]?[0-9])"
@@ -62,8 +63,13 @@ def parse_double(c: Column) -> Column:
 
 
 def parse_long(c: Column) -> Column:
-    """Text to bigint, cutting the fraction off; NULL when out of range."""
-    return parse_double(c).try_cast("bigint")
+    """Text to bigint, cutting the fraction off; NULL when out of range. Whole numbers are exact, beyond 2^53 too."""
+
+    def whole(s: Column) -> Column:
+        cleaned = let(F.regexp_replace(s, _NUMBER_NOISE, ""), lambda d: F.when(d.rlike(_WHOLE_NUMBER), d.try_cast("bigint")))
+        return F.when(s.rlike(_WHOLE_NUMBER), s.try_cast("bigint")).otherwise(cleaned)
+
+    return F.coalesce(let(strip(null_if_token(c)), whole), parse_double(c).try_cast("bigint"))
 
 
 def parse_boolean(c: Column) -> Column:

@@ -47,9 +47,9 @@ for _kind, _names in (
     (DATETIME, fixed.DATETIME_TYPES),
     (TIME, fixed.TIME_TYPES),
 ):
-    _KINDS.update({name: _kind for name in fixed.names(_names)})
+    _KINDS.update({name: _kind for name in _names})
 
-_DDL: dict[str, str] = {name: ddl for ddl, names in fixed.DDL_TYPES.items() for name in fixed.names(names)}
+_DDL: dict[str, str] = dict(fixed.DDL_TYPES)
 
 
 @dataclass(frozen=True)

@@ -41,21 +41,21 @@ def type_from_name(name: str) -> str | None:
     """The type a column name alone decides, by whole words; None if it decides nothing."""
     plain = re.sub(r"\s+", "_", name.strip().lower())
     words = set(plain.split("_"))
-    if plain in fixed.names(fixed.ID_NAMES) or plain.endswith("_id"):
+    if plain in fixed.ID_NAMES or plain.endswith("_id"):
         return "Number"
-    if plain in fixed.names(fixed.DATE_NAMES) or words & set(fixed.names(fixed.DATE_WORDS)):
+    if plain in fixed.DATE_NAMES or words & set(fixed.DATE_WORDS):
         return "Date"
-    if plain in fixed.names(fixed.BOOL_NAMES):
+    if plain in fixed.BOOL_NAMES:
         return "Boolean"
-    if words & set(fixed.names(fixed.FLOAT_WORDS)):
+    if words & set(fixed.FLOAT_WORDS):
         return "Float"
-    if words & set(fixed.names(fixed.INT_WORDS)):
+    if words & set(fixed.INT_WORDS):
         return "Number"
     return None
 
 
 def looks_like_date(c: Column) -> Column:
-    return n.strip(c).rlike("|".join(fixed.DATE_LOOK))
+    return n.strip(c).rlike(fixed.DATE_LOOK)
 
 
 def type_from_counts(present: int, booleans: int, whole: int, numbers: int, dates: int) -> str:

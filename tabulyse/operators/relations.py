@@ -32,7 +32,7 @@ class _Column:
     gaps: bool
 
 
-def _survey(df: DataFrame, names: list[str], keep: int) -> list[_Column]:
+def _survey(df: DataFrame, names: list[str], keep: int | None) -> list[_Column]:
     """The columns to correlate: all of them, or the ones with the largest variance, largest first."""
     found = []
     for part in m.chunks(names):
@@ -43,7 +43,7 @@ def _survey(df: DataFrame, names: list[str], keep: int) -> list[_Column]:
             measures.append(F.struct(*[f.alias(k) for k, f in facts.items()]).alias(str(i)))
         row = df.agg(*measures).first()
         found += [_Column(c, row[i].mean, row[i].variance, bool(row[i].varies), bool(row[i].gaps)) for i, c in enumerate(part)]
-    if len(found) <= keep:
+    if keep is None or len(found) <= keep:
         return found
     known = [c for c in found if c.variance is not None and c.variance == c.variance]
     return sorted(known, key=lambda c: -c.variance)[:keep]
@@ -104,9 +104,12 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, keep: in
     return _pairs(df, chosen).select(F.inline(sides)).unionByName(small_table(df.sparkSession, own, schema))
 
 
-def top_correlations(df: DataFrame, columns: list[str] | None = None, n: int = 10) -> DataFrame:
-    """(column_a, column_b, strength, r): the n pairs with the largest absolute correlation."""
-    chosen = _survey(df, columns or m.numeric_columns(df), CORRELATED_COLUMNS)
+def top_correlations(df: DataFrame, columns: list[str] | None = None, n: int = 10, keep: int | None = None) -> DataFrame:
+    """(column_a, column_b, strength, r): the n pairs with the largest absolute correlation, over all columns.
+
+    ``keep`` limits them to that many columns, those with the largest variance.
+    """
+    chosen = _survey(df, columns or m.numeric_columns(df), keep)
     if len(chosen) < 2:
         return small_table(df.sparkSession, [], "column_a string, column_b string, strength double, r double")
     return strongest(_pairs(df, chosen), n)

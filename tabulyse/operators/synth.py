@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulyse.functions import fixed_values as fixed
 from tabulyse.functions import vocabulary as v
+from tabulyse.functions.binding import let
 from tabulyse.functions.hashing import hash_word, keyed_md5
 from tabulyse.functions.semantic_types import ColumnSpec
 
@@ -59,13 +59,15 @@ class _Draw:
 
     def letters(self, alphabet: str, size: int) -> Column:
         """``size`` letters, up to 32, one from every byte of one or two digests."""
-        both = F.concat(self.digest(), self.digest(1))
 
-        def letter(i: Column) -> Column:
-            at = F.conv(F.substring(both, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % len(alphabet) + 1
-            return F.substring(F.lit(alphabet), at, F.lit(1))
+        def spelled(both: Column) -> Column:
+            def letter(i: Column) -> Column:
+                at = F.conv(F.substring(both, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % len(alphabet) + 1
+                return F.substring(F.lit(alphabet), at, F.lit(1))
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), letter), "")
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), letter), "")
+
+        return let(F.concat(self.digest(), self.digest(1)), spelled)
 
     def digits(self, size: int, i: int = 0) -> Column:
         return F.lpad((self.word(i) % 10**size).cast("string"), size, "0")
@@ -170,7 +172,7 @@ def _luhn_sum(digits: Column, size: int) -> Column:
 
 def _card(d: _Draw) -> Column:
     digits = F.concat(F.lit("400000"), d.digits(9))
-    return F.concat(digits, ((10 - _luhn_sum(digits, 15) % 10) % 10).cast("string"))
+    return let(digits, lambda known: F.concat(known, ((10 - _luhn_sum(known, 15) % 10) % 10).cast("string")))
 
 
 def _iban(d: _Draw) -> Column:
@@ -305,6 +307,6 @@ def default_specs(topic: str, allowed: list[str], count: int = MOST_DEFAULT_COLU
     spelled = {t.lower(): t for t in reversed(allowed)}
     prefix = topic.lower().replace(" ", "_")
     usable = [
-        ColumnSpec(name.format(topic=prefix), spelled[t.lower()]) for name, t in fixed.PRESET_COLUMNS if t.lower() in spelled
+        ColumnSpec(name.format(topic=prefix), spelled[t.lower()]) for name, t in v.PRESET_COLUMNS if t.lower() in spelled
     ]
     return usable[:count]

@@ -17,8 +17,8 @@ from tabulyse.functions.missing import col, field, value
 
 # A hex SHA-256 has 64 characters, so no text kept as it is can look like a digest.
 _LONGEST_KEPT = 63
-# Wider rows are grouped by one digest instead of by their columns.
-_COLUMNS_GROUPED = 16
+# Nested values as JSON keep the microseconds of both kinds of timestamp.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _family(dtype: T.DataType) -> str:
@@ -35,7 +35,7 @@ def as_text(df: DataFrame, name: str) -> Column:
     """Any column as text that is equal where the values are equal."""
     dtype = field(df, name).dataType
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return F.to_json(col(name))
+        return F.to_json(col(name), _JSON)
     if isinstance(dtype, T.BinaryType):
         return F.hex(col(name))
     return value(df, name).cast("string")
@@ -148,24 +148,32 @@ def _with_long_text(df: DataFrame, members: list[str], top: DataFrame) -> DataFr
     behind = (
         long.where(F.octet_length("text") > _LONGEST_KEPT)
         .withColumn("key", F.sha2("text", 256))
-        .join(F.broadcast(digests), ["column", "key"])
+        .join(digests, ["column", "key"])
         .groupBy("column", "key")
         .agg(F.element_at(F.collect_set("text"), 1).alias("text"))  # one text per digest, found without a sort
     )
-    joined = top.join(F.broadcast(behind), ["column", "key"], "left")
+    joined = top.join(behind, ["column", "key"], "left")
     return joined.select("column", "rank", F.coalesce("text", "key").alias("value"), "n")
 
 
-def _row_key(df: DataFrame) -> list[Column]:
-    """What makes two rows copies; long text and wide rows by SHA-256."""
-    if len(df.columns) <= _COLUMNS_GROUPED:
-        keys = [_typed(df, f.name, _family(f.dataType)) for f in df.schema.fields]
-        return [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    normal = [
-        (value(df, f.name) + F.lit(0.0) if _family(f.dataType) == "real" else col(f.name)).alias(f"k{i}")
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return [F.sha2(F.to_json(F.struct(*normal)), 256).alias("k")]
+def _row_key(df: DataFrame) -> Column:
+    """What makes two rows copies, as 32 bytes for rows of any width.
+
+    Each value is written exactly (doubles by their shortest text, instants by their microseconds) behind its length, so no
+    two different rows spell alike.
+    """
+
+    def spelled(f: T.StructField) -> Column:
+        family = _family(f.dataType)
+        if family == "instant":
+            text = F.unix_micros(col(f.name).cast("timestamp_ntz").cast("timestamp")).cast("string")
+        elif family == "real":
+            text = (value(df, f.name).cast("double") + F.lit(0.0)).cast("string")
+        else:
+            text = as_text(df, f.name)
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.unhex(F.sha2(F.concat(F.lit(""), *map(spelled, df.schema.fields)), 256)).alias("row")
 
 
 def row_copies(df: DataFrame) -> DataFrame:
@@ -174,7 +182,7 @@ def row_copies(df: DataFrame) -> DataFrame:
     Copies collapse in the partial aggregate, so a row that makes up a third of the table is shuffled
     once per task.
     """
-    return df.groupBy(*_row_key(df)).agg(F.count("*").alias("n")).select("n")
+    return df.groupBy(_row_key(df)).agg(F.count("*").alias("n")).select("n")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

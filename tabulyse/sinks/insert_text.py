@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from tabulyse.functions import fixed_values as fixed
 from tabulyse.functions import missing as m
-from tabulyse.functions.normalize import iso_datetime
 from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.operators.value_counts import as_text
 
@@ -18,7 +17,7 @@ _CONTEXT_LETTERS = 30
 def table_name(context: str | None) -> str:
     """A table name from a free-text context: a known word, else its first letters, else a default."""
     text = (context or "").lower()
-    for word in fixed.names(fixed.TABLE_WORDS):
+    for word in fixed.TABLE_WORDS:
         if word in text:
             return f"{word}_data"
     safe = "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in text[:_CONTEXT_LETTERS])
@@ -58,12 +57,16 @@ def _literal(df: DataFrame, name: str) -> Column:
     c = m.value(df, name)
     if isinstance(dtype, T.BooleanType):
         text = F.when(c, "TRUE").otherwise("FALSE")
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        # Infinity has no bare form in SQL.
+        text = F.when(F.abs(c) == float("inf"), F.concat(F.lit("'"), c.cast("string"), F.lit("'"))).otherwise(c.cast("string"))
     elif isinstance(dtype, T.NumericType):
         text = c.cast("string")
     else:
         plain = as_text(df, name)
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-            plain = iso_datetime(c)
+            # To the microsecond, without the zeros at its end.
+            plain = F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", "")
         for found, put in (("\\", "\\\\"), ("'", "''"), ("\n", "\\n"), ("\r", "\\r")):
             plain = F.replace(plain, F.lit(found), F.lit(put))
         text = F.concat(F.lit("'"), plain, F.lit("'"))

@@ -16,7 +16,6 @@ REGISTRY_SCHEMA = (
     "dataset_id string, owner string, name string, mode string, model string, format string, path string, "
     "rows bigint, columns bigint, bytes bigint, created_at timestamp"
 )
-_NAME_LETTERS = 255
 
 
 def register_write(
@@ -37,7 +36,7 @@ def register_write(
     dataset_id = str(uuid.uuid4())
     path = f"{folder}/{owner}/{dataset_id}.{fmt}"
     rows = write_table(df, path, fmt, specs, name)
-    record = (dataset_id, owner, name[:_NAME_LETTERS], mode, model, fmt, path, rows, len(specs or df.columns), source_size(df.sparkSession, path).first().bytes)
+    record = (dataset_id, owner, name, mode, model, fmt, path, rows, len(specs or df.columns), source_size(df.sparkSession, path).first().bytes)
     schema = REGISTRY_SCHEMA.rsplit(",", 1)[0]
     entry = small_table(df.sparkSession, [record], schema).withColumn("created_at", F.current_timestamp())
     entry.coalesce(1).write.mode("append").parquet(registry)

@@ -14,7 +14,8 @@ from tabulyse.operators.value_counts import as_text
 from tabulyse.session import small_table
 from tabulyse.sinks.insert_text import create_table_statement, insert_statements, specs_of, table_name
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+#: Both kinds of timestamp to the microsecond.
+TIMESTAMP_FORMATS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"}
 
 
 def _projected(df: DataFrame, specs: list[ColumnSpec] | None) -> DataFrame:
@@ -22,13 +23,13 @@ def _projected(df: DataFrame, specs: list[ColumnSpec] | None) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, specs: list[ColumnSpec] | None = None, context: str = "") -> None:
-    """One JSON object per line; NULLs are written, decimals become floats."""
+    """One JSON object per line; NULLs are written, NaN is one of them, decimals become floats."""
     chosen = _projected(df, specs)
     floats = [
-        m.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else m.col(f.name)
+        m.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else m.value(chosen, f.name).alias(f.name)
         for f in chosen.schema.fields
     ]
-    chosen.select(*floats).write.option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path, ignoreNullFields=False)
+    chosen.select(*floats).write.options(**TIMESTAMP_FORMATS).json(path, ignoreNullFields=False)
 
 
 def write_csv(df: DataFrame, path: str, specs: list[ColumnSpec] | None = None, context: str = "") -> None:
@@ -42,7 +43,7 @@ def write_csv(df: DataFrame, path: str, specs: list[ColumnSpec] | None = None, c
         return m.value(chosen, f.name).alias(f.name)
 
     flat = chosen.select(*[cell(f) for f in chosen.schema.fields])
-    flat.write.option("timestampNTZFormat", TIMESTAMP_FORMAT).csv(
+    flat.write.options(**TIMESTAMP_FORMATS).csv(
         path, header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 

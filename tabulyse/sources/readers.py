@@ -14,17 +14,18 @@ from tabulyse.functions.labels import bytes_label
 from tabulyse.sources.insert_dump import read_insert_dump
 
 MOST_COLUMNS = 2_000
-_WHOLE = r"^\s*[+-]?[0-9]{1,18}\s*\z"
+_WHOLE = r"^\s*[+-]?[0-9]++\s*\z"
 _REAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
 _INFINITE = r"^\s*[+-]?(?i:inf(?:inity)?)\s*\z"
 _BOOLEAN = r"^(?:true|True|TRUE|false|False|FALSE)\z"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header; the usual tokens for a missing value are read as NULL.
 
-    Without a schema one aggregate over the text decides bigint, double, boolean or string per column.
-    ``multi_line`` accepts line breaks inside quotes, at the price of one task per file.
+    Without a schema one aggregate over the text decides bigint, decimal(38,0), double, boolean or string per column; whole
+    numbers never lose digits. Line breaks inside quotes are read as such, at the price of one task per file; where there are
+    none, ``multi_line=False`` lets large files split.
     """
     raw = spark.read.csv(
         path, header=True, inferSchema=False, multiLine=multi_line, escape='"', enforceSchema=False, nullValue="",
@@ -56,7 +57,8 @@ def _csv_types(text: DataFrame) -> dict[str, T.DataType]:
         return F.array(
             F.count(c),
             F.count_if(c.rlike(_BOOLEAN)),
-            F.count_if(c.rlike(_WHOLE)),
+            F.count_if(c.rlike(_WHOLE) & F.trim(c).try_cast("bigint").isNotNull()),
+            F.count_if(c.rlike(_WHOLE) & F.trim(c).try_cast("decimal(38,0)").isNotNull()),
             F.count_if(c.rlike(_REAL) | c.rlike(_INFINITE)),
         )
 
@@ -64,11 +66,13 @@ def _csv_types(text: DataFrame) -> dict[str, T.DataType]:
         return {}
     counts = text.agg(*[evidence(c).alias(str(i)) for i, c in enumerate(text.columns)]).first()
 
-    def decide(n: int, booleans: int, whole: int, real: int) -> T.DataType:
+    def decide(n: int, booleans: int, whole: int, long_whole: int, real: int) -> T.DataType:
         if n and n == booleans:
             return T.BooleanType()
         if n and n == whole:
             return T.LongType()
+        if n and n == long_whole:
+            return T.DecimalType(38, 0)
         return T.DoubleType() if n == real else T.StringType()
 
     return {c: decide(*counts[i]) for i, c in enumerate(text.columns)}

@@ -4,8 +4,8 @@ import pytest
 from oracle_compare import connect, differences
 
 import __spark_entry__ as entry_file
-
-QUERIES, ORACLE = entry_file.queries(), entry_file.oracle_sql()
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def test_query_matches_sql(spark, sf, con, name):
 
 
 def test_every_query_is_accounted_for():
-    assert set(ORACLE) == set(QUERIES)
+    assert set(ORACLE) == set(QUERIES) and set(QUERIES) <= set(entry_file.queries()) and set(ORACLE) <= set(entry_file.oracle_sql())
 
 
 def test_entry_has_rows(spark):

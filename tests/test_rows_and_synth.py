@@ -156,7 +156,7 @@ def test_synth_follows_column_names(spark):
 
 def test_presets(spark):
     specs = synth.default_specs("Pet Shop", ["Number", "String", "date"], 4)
-    assert [(s.name, s.type) for s in specs] == [("pet_shop_id", "Number"), ("name", "String"), ("description", "String"), ("category", "String")]
-    assert [s.name for s in synth.default_specs("a", ["date"])] == ["created_at"]
+    assert [(s.name, s.type) for s in specs] == [("pet_shop_number", "Number"), ("title", "String"), ("summary", "String"), ("kind", "String")]
+    assert [s.name for s in synth.default_specs("a", ["date"])] == ["opened_on"]
     assert len(synth.default_specs("a", ["Number", "String", "Date", "Email", "City"], 99)) == 10
     assert synth.synth_preview(spark, specs).count() == 5
