@@ -1,71 +1,125 @@
-"""Read INSERT text back: one statement per line, as the SQL writer writes it.
+"""Read INSERT text: CREATE TABLE and INSERT statements, each ending in a semicolon at the end of a line.
 
-Lines are split and parsed on the executors; only the CREATE TABLE lines reach the driver.
+Statements are split and parsed on the executors; only the CREATE TABLE statements reach the driver. An INSERT may name its
+columns or not, hold any number of value groups and span lines. One that cannot be read is set aside: ``read_dump`` returns it
+next to the tables, and with ``strict`` it is an error.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 MOST_TABLES = 1_000
-_IDENTIFIER = r'"(?:[^"]|"")*"'
-_INSERT = rf'^INSERT INTO ({_IDENTIFIER}) \(({_IDENTIFIER}(?:, {_IDENTIFIER})*+)\) VALUES \((.*)\);\s*\z'
-_CREATE = rf"^CREATE TABLE ({_IDENTIFIER}) \((.*)\);\s*$"
-_VALUE = r"'(?:[^']++|'')*+'|[^,'\s]++"
-
-_SPARK_TYPE = {"INT": "bigint", "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
+_IDENTIFIER = r'(?:"(?:[^"]++|"")*+"|`[^`]++`|[A-Za-z_][\w$.]*+)'
+_VALUE = r"(?:'(?:[^']++|'')*+'|[^,()'\s]++)"
+_GROUP = rf"\(\s*+{_VALUE}(?:\s*+,\s*+{_VALUE})*+\s*+\)"
+_COMMENTS = r"^(?:\s++|--[^\n]*+(?:\n|\z))*+"
+_INSERT = (
+    rf"^(?i:INSERT\s+INTO)\s+({_IDENTIFIER})\s*+(?:\(\s*+({_IDENTIFIER}(?:\s*+,\s*+{_IDENTIFIER})*+)\s*+\)\s*+)?"
+    rf"(?i:VALUES)\s*+({_GROUP}(?:\s*+,\s*+{_GROUP})*+)\s*+;\z"
+)
+_CREATE = rf"(?s)^(?i:CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?)({_IDENTIFIER})\s*\((.*)\)[^)]*;\Z"
+# One entry between the commas of a CREATE TABLE: its name, its type, the rest.
+_ENTRY = rf"(?s)\s*({_IDENTIFIER})\s+([A-Za-z]+(?:\s*\([0-9, ]+\))?)(?:[^,()\"'`]|\([^)]*\)|\"[^\"]*\"|'(?:[^']|'')*')*"
+_NO_COLUMN = re.compile(r"(?i)(?:PRIMARY|FOREIGN|UNIQUE|CONSTRAINT|CHECK|KEY|INDEX)\b")
+
+_WHOLE = T.LongType()
+_SPARK_TYPE = {
+    **dict.fromkeys(("INT", "INTEGER", "BIGINT", "SMALLINT", "TINYINT"), _WHOLE),
+    **dict.fromkeys(("BOOLEAN", "BOOL"), T.BooleanType()),
+    **dict.fromkeys(("TIMESTAMP", "DATETIME"), T.TimestampNTZType()),
+    **dict.fromkeys(("DOUBLE", "FLOAT", "REAL"), T.DoubleType()),
+    "DATE": T.DateType(),
+}
+_DOUBLE_DIGITS = 15  # decimal digits that every double keeps
+_MOST_DIGITS = 38
+
+
+@dataclass(frozen=True)
+class Dump:
+    """What a dump holds: its tables by name, and the statements that were not read."""
+
+    tables: dict[str, DataFrame]
+    quarantine: DataFrame
+
+
+def _statements(spark: SparkSession, path: str) -> DataFrame:
+    """(value): one statement a row, without comment lines before it, with its semicolon."""
+    pieces = spark.read.option("recursiveFileLookup", True).option("lineSep", ";\n").text(path)
+    bare = F.rtrim(F.regexp_replace("value", _COMMENTS, ""), F.lit("; \t\r\n"))
+    return pieces.select(bare.alias("value")).where("value != ''").select(F.concat("value", F.lit(";")).alias("value"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).text(path)
+def _unquoted(identifier: str) -> str:
+    if identifier[0] == '"':
+        return identifier[1:-1].replace('""', '"')
+    return identifier.strip("`")
 
 
-def _unquoted(identifier: str) -> str:
-    return identifier[1:-1].replace('""', '"')
+def _plain(identifier: Column) -> Column:
+    """The same on a column."""
+    inner = F.substring(identifier, F.lit(2), F.length(identifier) - 2)
+    return F.when(identifier.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).when(identifier.startswith("`"), inner).otherwise(identifier)
 
 
-def dump_tables(spark: SparkSession, path: str) -> dict[str, T.StructType]:
-    """The tables a dump creates, in name order, with the Spark types of their columns."""
-    found = _lines(spark, path).where(F.col("value").rlike(_CREATE)).distinct().orderBy("value").limit(MOST_TABLES + 1).collect()
-    if len(found) > MOST_TABLES:
-        raise ValueError(f"the dump creates more than {MOST_TABLES} tables")
+def dump_tables(spark: SparkSession, path: str, most_tables: int = MOST_TABLES) -> dict[str, T.StructType]:
+    """The tables a dump creates, in name order, with the Spark types of their columns; more than ``most_tables`` are an error."""
+    found = _statements(spark, path).where(F.col("value").rlike(r"^(?i:CREATE\s+TABLE)")).distinct().orderBy("value").limit(most_tables + 1).collect()
+    if len(found) > most_tables:
+        raise ValueError(f"the dump creates more than {most_tables} tables")
     tables = {}
     for row in found:
-        table, body = re.match(_CREATE, row.value, re.S).groups()
-        fields = re.findall(rf"({_IDENTIFIER}) ([A-Z]+(?:\([0-9,]+\))?)", body)
-        tables[_unquoted(table)] = T.StructType([T.StructField(_unquoted(n), _spark_type(t)) for n, t in fields])
-    return tables
+        created = re.match(_CREATE, row.value)
+        if created is None:
+            continue
+        entries = [e.groups() for e in re.finditer(_ENTRY, created.group(2))]
+        fields = [T.StructField(_unquoted(n), _spark_type(t)) for n, t in entries if not _NO_COLUMN.match(n)]
+        tables[_unquoted(created.group(1))] = T.StructType(fields)
+    return dict(sorted(tables.items()))
 
 
 def _spark_type(ddl: str) -> T.DataType:
-    if ddl.startswith("DECIMAL"):
-        return T.DoubleType()
-    return T._parse_datatype_string(_SPARK_TYPE[ddl]) if ddl in _SPARK_TYPE else T.StringType()
-
-
-def _parsed(lines: DataFrame) -> DataFrame:
-    names = F.regexp_extract_all(F.regexp_extract("value", _INSERT, 2), F.lit(f"({_IDENTIFIER})"), F.lit(1))
-    values = F.regexp_extract_all(F.regexp_extract("value", _INSERT, 3), F.lit(f"({_VALUE})"), F.lit(1))
-    is_insert = F.col("value").rlike(_INSERT)
-    split = lines.select(
+    """The Spark type of a column type; a decimal of more digits than a double keeps stays one."""
+    name, *sizes = re.findall(r"\w+", ddl.upper())
+    if name in ("DECIMAL", "NUMERIC"):
+        digits, scale = [*map(int, sizes), 0][:2] if sizes else (_DOUBLE_DIGITS, 0)
+        if digits > _MOST_DIGITS:
+            return T.StringType()
+        return T.DecimalType(digits, scale) if digits > _DOUBLE_DIGITS else T.DoubleType()
+    return _SPARK_TYPE.get(name, T.StringType())
+
+
+def _parsed(statements: DataFrame, tables: dict[str, T.StructType]) -> DataFrame:
+    """(value, table, names, groups, good): INSERTs taken apart; ``good`` if every group fits the columns of a known table."""
+    value = F.col("value")
+    insert = value.rlike(_INSERT)
+    listed = F.transform(F.regexp_extract_all(F.regexp_extract(value, _INSERT, 2), F.lit(f"({_IDENTIFIER})")), _plain)
+    texts = F.regexp_extract_all(F.regexp_extract(value, _INSERT, 3), F.lit(f"({_GROUP})"))
+    split = statements.select(
         "value",
-        F.when(is_insert, F.regexp_extract("value", _INSERT, 1)).alias("table"),
-        F.when(is_insert, names).alias("names"),
-        F.when(is_insert, values).alias("parts"),
+        F.when(insert, _plain(F.regexp_extract(value, _INSERT, 1))).alias("table"),
+        F.when(insert, listed).alias("listed"),
+        F.when(insert, F.transform(texts, lambda g: F.regexp_extract_all(F.substring(g, F.lit(2), F.length(g) - 2), F.lit(f"({_VALUE})")))).alias("groups"),
     )
-    return split.withColumn("good", F.coalesce(F.size("names") == F.size("parts"), F.lit(False)))
+    known = F.lit(None).cast("array<string>")
+    for name, schema in tables.items():
+        known = F.when(F.col("table") == name, F.array(*[F.lit(f.name) for f in schema.fields]).cast("array<string>")).otherwise(known)
+    placed = split.withColumn("known", known).withColumn("names", F.when(F.size("listed") > 0, F.col("listed")).otherwise(F.col("known")))
+    fits = F.forall("groups", lambda g: F.size(g) == F.size("names")) & (F.size(F.array_except("names", "known")) == 0)
+    return placed.select("value", "table", "names", "groups", F.coalesce(fits, F.lit(False)).alias("good"))
 
 
 def dump_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """(value): the lines that are neither a CREATE TABLE nor an INSERT that can be split."""
-    lines = _lines(spark, path).where(~F.col("value").rlike(_CREATE) & ~F.col("value").rlike(r"^\s*\z"))
-    return _parsed(lines).where(~F.col("good")).select("value")
+    """(value): the statements that are neither a CREATE TABLE nor an INSERT that can be read."""
+    tables = dump_tables(spark, path)
+    rest = _statements(spark, path).where(~F.col("value").rlike(_CREATE.replace(r"\Z", r"\z")))
+    return _parsed(rest, tables).where(~F.col("good")).select("value")
 
 
 def _text(literal: Column) -> Column:
@@ -77,17 +131,22 @@ def _text(literal: Column) -> Column:
 
     # A doubled backslash is a backslash; cutting there keeps \\n from being read as a line break.
     unescaped = F.array_join(F.transform(F.split(inner, r"\\\\"), plain), "\\")
-    return F.when(literal.startswith("'"), unescaped).when(literal != "NULL", literal)
-
-
-def read_dump_table(spark: SparkSession, path: str, table: str, schema: T.StructType) -> DataFrame:
-    quoted = '"' + table.replace('"', '""') + '"'
-    rows = _parsed(_lines(spark, path)).where(F.col("good") & (F.col("table") == quoted))
+    return F.when(literal.startswith("'"), unescaped).when(F.upper(literal) != "NULL", literal)
+
+
+def read_dump_table(spark: SparkSession, path: str, table: str, schema: T.StructType, strict: bool = False) -> DataFrame:
+    """The rows of one table. With ``strict`` an INSERT that cannot be read, into whichever table, is an error."""
+    parsed = _parsed(_statements(spark, path), {table: schema})
+    wanted = F.col("table") == table
+    if strict:
+        # An INSERT that cannot be taken apart has no table to tell.
+        unread = ~F.col("good") & F.col("value").rlike(r"^(?i:INSERT)\b") & F.coalesce(wanted, F.lit(True))
+        wanted = F.when(unread, F.raise_error(F.concat(F.lit("INSERT that cannot be read: "), F.substring("value", 1, 200)))).otherwise(wanted)
+    rows = parsed.where(wanted.cast("boolean")).where("good").select("names", F.explode("groups").alias("parts"))
     cells = rows.select(F.map_from_arrays("names", "parts").alias("cells"))
 
     def cell(f: T.StructField) -> Column:
-        literal = F.element_at("cells", F.lit('"' + f.name.replace('"', '""') + '"'))
-        return _text(literal).try_cast(f.dataType).alias(f.name)
+        return _text(F.element_at("cells", F.lit(f.name))).try_cast(f.dataType).alias(f.name)
 
     return cells.select(*[cell(f) for f in schema.fields])
 
@@ -103,7 +162,7 @@ def largest_table(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts).orderBy(F.desc("n"), "position").limit(1)
 
 
-def read_insert_dump(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
+def read_insert_dump(spark: SparkSession, path: str, table: str | None = None, strict: bool = False) -> DataFrame:
     """One table of a dump: the one named, or the one with the most rows."""
     tables = dump_tables(spark, path)
     if not tables:
@@ -111,12 +170,19 @@ def read_insert_dump(spark: SparkSession, path: str, table: str | None = None) -
     if table is None:
         table = next(iter(tables))
         if len(tables) > 1:
-            inserts = _parsed(_lines(spark, path)).where("good").groupBy("table").count()
-            best = inserts.orderBy(F.desc("count"), "table").first()
-            table = _unquoted(best["table"]) if best else table
+            inserts = _parsed(_statements(spark, path), tables).where("good").groupBy("table").agg(F.sum(F.size("groups")).alias("rows"))
+            best = inserts.orderBy(F.desc("rows"), "table").first()
+            table = best["table"] if best else table
     if table not in tables:
         raise ValueError(f"no table {table!r}; tables are {sorted(tables)}")
-    return read_dump_table(spark, path, table, tables[table])
+    return read_dump_table(spark, path, table, tables[table], strict)
+
+
+def read_dump(spark: SparkSession, path: str) -> Dump:
+    """All tables of a dump together with the statements that could not be read, which the tables leave out."""
+    tables = dump_tables(spark, path)
+    rows = {name: read_dump_table(spark, path, name, schema, strict=False) for name, schema in tables.items()}
+    return Dump(rows, dump_quarantine(spark, path))
 
 
-__all__ = ["dump_quarantine", "dump_tables", "largest_table", "read_dump_table", "read_insert_dump"]
+__all__ = ["Dump", "dump_quarantine", "dump_tables", "largest_table", "read_dump", "read_dump_table", "read_insert_dump"]

@@ -196,3 +196,28 @@ def test_source_size(spark, put, tmp_path):
 
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_sql_dump_of_another_writer(spark, put):
+    path = put(
+        "o.sql",
+        "-- made elsewhere\nBEGIN;\nCREATE TABLE IF NOT EXISTS `t` (\n  id BIGINT PRIMARY KEY,\n  price DECIMAL(20, 4) NOT NULL,\n"
+        "  s VARCHAR(20) DEFAULT 'a, b',\n  PRIMARY KEY (id)\n);\n"
+        "INSERT INTO t VALUES (1, 1234567890123456.5678, 'it''s (1, 2)');\n"
+        "insert into `t` (price, id) values (2.5, 2), (3.5,3),\n (NULL, 4);\nCOMMIT;\n",
+    )
+    df = readers.read_table(spark, path)
+    assert df.dtypes == [("id", "bigint"), ("price", "decimal(20,4)"), ("s", "string")]
+    assert [(r.id, str(r.price), r.s) for r in df.orderBy("id").collect()] == [
+        (1, "1234567890123456.5678", "it's (1, 2)"), (2, "2.5000", None), (3, "3.5000", None), (4, "None", None),
+    ]
+    assert {r.value for r in insert_dump.read_dump(spark, path).quarantine.collect()} == {"BEGIN;", "COMMIT;"}
+
+
+def test_sql_dump_never_loses_an_insert_silently(spark, put):
+    path = put("b.sql", "CREATE TABLE t (x INT);\nINSERT INTO t VALUES (1);\nINSERT INTO t VALUES (now());\nINSERT INTO u VALUES (1);\n")
+    with pytest.raises(Exception, match="cannot be read"):
+        readers.read_table(spark, path, strict=True).collect()
+    dump = insert_dump.read_dump(spark, path)
+    assert [r.x for r in dump.tables["t"].collect()] == [1]
+    assert dump.quarantine.count() == 2
