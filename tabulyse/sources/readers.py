@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tabulyse.functions import fixed_values as fixed
 from tabulyse.functions import missing as m
 from tabulyse.functions.labels import bytes_label
+from tabulyse.session import scratch_dir
 from tabulyse.sources.insert_dump import read_insert_dump
 
 MOST_COLUMNS = 2_000
@@ -96,39 +97,65 @@ def read_json(
     lines: bool = True,
     record_path: str | None = None,
     by_column: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """JSON lines, or with ``lines=False`` one document per file, flattened.
 
-    A document is an array of records, one record, or an object that holds the records in an array
-    member: the one named by ``record_path``, else its first. JSON lines split across tasks; a document
-    is read by one task per file. ``by_column`` reads documents that map each column name to its values,
-    as a list or by row label.
+    A document is an array of records, one record, or an object that holds the records in an array member: the one named by
+    ``record_path``, else its first. Each document decides for itself, and their records are one table. A member of the array
+    that is no object becomes the value of a column named like the array (``value`` in a bare array). JSON lines split across
+    tasks; a document is read by one task, of up to 128 MiB. ``by_column`` reads documents that map each column name to its
+    values, as a list or by row label.
+
+    What is no JSON is left out, and ``json_quarantine`` lists it; with ``strict`` it is an error.
     """
     if by_column:
         return _read_columns(spark, path)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    df = reader.json(path, multiLine=not lines)
-    if not lines or record_path:
-        member = record_path or _first_array(spark, df, path)
-        if member:
-            df = df.select(F.explode(m.col(member)).alias(member))
-            if isinstance(df.schema[member].dataType, T.StructType):
-                df = df.select(f"{member}.*")
-    return flatten_structs(df)
-
-
-def _first_array(spark: SparkSession, df: DataFrame, path: str) -> str | None:
-    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    document = spark.read.text(path, wholetext=True).select(
-        F.ltrim("value").startswith("{").alias("is_object"), F.json_object_keys("value").alias("names")
+    if lines and not record_path:
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        return flatten_structs(reader.json(path, mode="FAILFAST" if strict else "DROPMALFORMED"))
+    records = _records(_json_documents(spark, path, lines), record_path, strict)
+    if schema is not None:
+        return flatten_structs(records.select(F.from_json("value", schema).alias("r")).select("r.*"))
+    # Written as lines, the records of a long document are spread over tasks, and parsed a single time for their schema.
+    folder = scratch_dir(spark, "records")
+    records.write.text(folder)
+    return flatten_structs(spark.read.json(folder))
+
+
+def json_quarantine(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """(value): the lines or documents that are no JSON array or object."""
+    return _json_documents(spark, path, lines).where(~_holds_records("json")).select("value")
+
+
+def _json_documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """(value, json): each document, or line, that is not blank; ``json`` is NULL where it is no JSON."""
+    texts = spark.read.text(path, wholetext=not lines).where(~F.col("value").rlike(r"^\s*\z"))
+    return texts.select("value", F.try_parse_json("value").alias("json"))
+
+
+def _holds_records(json: str) -> Column:
+    return F.coalesce(F.schema_of_variant(json).rlike("^(?:ARRAY|OBJECT)<"), F.lit(False))
+
+
+def _records(documents: DataFrame, record_path: str | None, strict: bool) -> DataFrame:
+    """(value): the records of all documents, as JSON text."""
+    good = _holds_records("json")
+    if strict:
+        fail = F.raise_error(F.concat(F.lit("no JSON array or object: "), F.substring("value", 1, 200)))
+        good = F.when(~good, fail).otherwise(good).cast("boolean")
+    whole = documents.where(good).select(
+        "json", F.json_object_keys("value").alias("names"), F.try_variant_get("json", "$", "map<string,variant>").alias("members")
     )
-    if not arrays:
-        return None
-    first = document.first()
-    if first is None or not first.is_object:
-        return None
-    # Inferred columns are in name order; the document knows which array comes first.
-    return next((name for name in first.names or [] if name in arrays), None)
+    # Members are kept in name order; the text knows which array comes first.
+    first = F.get(F.filter("names", lambda name: F.schema_of_variant(F.element_at("members", name)).startswith("ARRAY")), 0)
+    named = whole.withColumn("name", F.lit(record_path) if record_path else first)
+    inside = F.try_variant_get(F.element_at("members", F.col("name")), "$", "array<variant>")
+    array = F.coalesce(inside, F.try_variant_get("json", "$", "array<variant>"), F.array("json"))
+    record = named.select(F.when(F.col("members").isNotNull(), F.col("name")).alias("name"), F.explode(array).alias("record"))
+    is_object = F.schema_of_variant("record").startswith("OBJECT")
+    wrapped = F.to_json(F.create_map(F.coalesce("name", F.lit("value")), F.col("record")))
+    return record.select(F.when(is_object, F.to_json("record")).otherwise(wrapped).alias("value"))
 
 
 def _read_columns(spark: SparkSession, path: str) -> DataFrame:

@@ -221,3 +221,27 @@ def test_sql_dump_never_loses_an_insert_silently(spark, put):
     dump = insert_dump.read_dump(spark, path)
     assert [r.x for r in dump.tables["t"].collect()] == [1]
     assert dump.quarantine.count() == 2
+
+
+def test_every_json_document_decides_for_itself(spark, tmp_path):
+    documents = [{"rows": [{"v": 1}]}, {"items": [{"v": 2}, 7], "n": [{"v": 9}]}, [{"v": 3}, {"v": 4, "tags": ["a"]}], {"v": 5}, [6]]
+    for i, document in enumerate(documents):
+        (tmp_path / f"{i}.json").write_text(json.dumps(document, indent=1))
+    (tmp_path / "bad.json").write_text('{"v": ')
+    df = readers.read_json(spark, str(tmp_path), lines=False)
+    assert df.columns == ["items", "tags", "v", "value"]
+    rows = [tuple(r) for r in df.collect()]
+    assert sorted(r[2] for r in rows if r[2] is not None) == [1, 2, 3, 4, 5]
+    assert [r[0] for r in rows if r[0]] == [7] and [r[3] for r in rows if r[3]] == [6] and [r[1] for r in rows if r[1]] == [["a"]]
+    assert [r.value for r in readers.json_quarantine(spark, str(tmp_path), lines=False).collect()] == ['{"v": ']
+    with pytest.raises(Exception, match="no JSON"):
+        readers.read_json(spark, str(tmp_path), lines=False, strict=True).collect()
+
+
+def test_bad_json_lines_add_no_column(spark, put):
+    path = put("t.json", '{"a": 1}\nnot json\n{"a": 2}\n')
+    df = readers.read_table(spark, path)
+    assert df.columns == ["a"] and sorted(r.a for r in df.collect()) == [1, 2]
+    assert [r.value for r in readers.json_quarantine(spark, path).collect()] == ["not json"]
+    with pytest.raises(Exception):
+        readers.read_json(spark, path, strict=True).collect()
