@@ -298,6 +298,13 @@ select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varc
        cast(c_acctbal as varchar) as c_acctbal, c_mktsegment
 from placed
 where place > ((total + 49) // 50 // 2) * 50 and place <= ((total + 49) // 50 // 2) * 50 + 50"""
+_SPELLED = " || ".join(f"length(cast({c} as varchar)) || ':' || {c}" for c in ("l_orderkey", "l_linenumber", "l_returnflag"))
+ORACLE["preview_deep_ties"] = f"""
+with placed as (
+  select *, row_number() over (order by l_returnflag, sha256({_SPELLED})) as place, count(*) over () as total from lineitem)
+select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, l_returnflag
+from placed
+where place > ((total + 49) // 50 // 2) * 50 and place <= ((total + 49) // 50 // 2) * 50 + 50"""
 ORACLE["preview_pages"] = """
 select count(*) as total_rows, cast(50 as bigint) as page_size,
        cast(greatest(ceil(count(*) / 50.0), 1) as bigint) as total_pages from lineitem"""

@@ -253,6 +253,14 @@ def preview_deep_text(spark, sf):
     return preview.preview_page(customers, ["c_mktsegment", "c_name"], page=page, shallow_rows=20)
 
 
+@query
+def preview_deep_ties(spark, sf):
+    """The page in the middle in the order of a column of three values."""
+    lineitem = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    page = preview.preview_pages(lineitem).first().total_pages // 2 + 1
+    return preview.preview_page(lineitem, ["l_returnflag"], page=page, shallow_rows=100)
+
+
 @query
 def preview_pages(spark, sf):
     return preview.preview_pages(table(spark, sf, "lineitem"))

@@ -156,7 +156,7 @@ def _with_long_text(df: DataFrame, members: list[str], top: DataFrame) -> DataFr
     return joined.select("column", "rank", F.coalesce("text", "key").alias("value"), "n")
 
 
-def _row_key(df: DataFrame) -> Column:
+def row_key(df: DataFrame) -> Column:
     """What makes two rows copies, as 32 bytes for rows of any width.
 
     Each value is written exactly (doubles by their shortest text, instants by their microseconds) behind its length, so no
@@ -173,7 +173,7 @@ def _row_key(df: DataFrame) -> Column:
             text = as_text(df, f.name)
         return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
-    return F.unhex(F.sha2(F.concat(F.lit(""), *map(spelled, df.schema.fields)), 256)).alias("row")
+    return F.unhex(F.sha2(F.concat(F.lit(""), *map(spelled, df.schema.fields)), 256))
 
 
 def row_copies(df: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def row_copies(df: DataFrame) -> DataFrame:
     Copies collapse in the partial aggregate, so a row that makes up a third of the table is shuffled
     once per task.
     """
-    return df.groupBy(_row_key(df)).agg(F.count("*").alias("n")).select("n")
+    return df.groupBy(row_key(df).alias("row")).agg(F.count("*").alias("n")).select("n")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -99,6 +99,22 @@ def test_seek_by_decimal_and_huge_numbers(spark):
         preview.preview_page(spark.sql("select array(id) a from range(9)"), ["a"], 2, 4, shallow_rows=0)
 
 
+@pytest.mark.parametrize("order", [["two"], ["bytes"], ["d"], ["h"], ["x", "two"], []])
+def test_seek_with_many_ties(spark, order):
+    """Coarse keys, binary, long decimals, large whole numbers, NaN beside NULL, and rows with many copies."""
+    df = spark.sql(
+        """select id % 2 as two, cast(concat('k', id % 3) as binary) as bytes, 9007199254740992 + id % 5 as h,
+                  cast(id % 5 - 2 as decimal(38, 20)) / 100000000000000000000 + cast(id % 2 as decimal(38, 20)) - 1 as d,
+                  case when id % 3 = 0 then double('nan') when id % 3 = 1 then null else 1.5 end as x,
+                  if(id < 300, 0, id % 100) as k from range(600)"""
+    ).select("two", "bytes", "h", "d", "x", "k")
+    df = df.unionByName(spark.sql("select 0L two, binary('k0') bytes, 9007199254740992 h, cast(0 as decimal(38, 20)) d, 1.5D x, 0L k from range(400)").select(*df.columns))
+    for page in (2, 5, 9, 13, 20, 21):
+        plain = preview.preview_page(df, order, page, 50, shallow_rows=10**9).collect()
+        assert preview.preview_page(df, order, page, 50, shallow_rows=10).collect() == plain
+        assert len(plain) == (50 if page <= 20 else 0)
+
+
 def test_page_bounds(spark):
     with pytest.raises(ValueError):
         preview.preview_page(spark.range(3), ["id"], page=0)
