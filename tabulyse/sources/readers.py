@@ -145,17 +145,22 @@ def _records(documents: DataFrame, record_path: str | None, strict: bool) -> Dat
         fail = F.raise_error(F.concat(F.lit("no JSON array or object: "), F.substring("value", 1, 200)))
         good = F.when(~good, fail).otherwise(good).cast("boolean")
     whole = documents.where(good).select(
-        "json", F.json_object_keys("value").alias("names"), F.try_variant_get("json", "$", "map<string,variant>").alias("members")
+        "value", "json", F.json_object_keys("value").alias("names"), F.try_variant_get("json", "$", "map<string,variant>").alias("members")
     )
     # Members are kept in name order; the text knows which array comes first.
     first = F.get(F.filter("names", lambda name: F.schema_of_variant(F.element_at("members", name)).startswith("ARRAY")), 0)
-    named = whole.withColumn("name", F.lit(record_path) if record_path else first)
+    named = whole.withColumn("name", F.when(F.col("members").isNotNull(), F.lit(record_path) if record_path else first))
     inside = F.try_variant_get(F.element_at("members", F.col("name")), "$", "array<variant>")
-    array = F.coalesce(inside, F.try_variant_get("json", "$", "array<variant>"), F.array("json"))
-    record = named.select(F.when(F.col("members").isNotNull(), F.col("name")).alias("name"), F.explode(array).alias("record"))
-    is_object = F.schema_of_variant("record").startswith("OBJECT")
-    wrapped = F.to_json(F.create_map(F.coalesce("name", F.lit("value")), F.col("record")))
-    return record.select(F.when(is_object, F.to_json("record")).otherwise(wrapped).alias("value"))
+    array = F.coalesce(inside, F.try_variant_get("json", "$", "array<variant>"))
+    # A variant forgets that 1.0 is no whole number, so the records themselves are cut from the text.
+    text = F.when(F.col("name").isNotNull(), F.element_at(F.from_json("value", "map<string,string>"), F.col("name"))).otherwise(F.col("value"))
+    parts = named.select("name", "value", array.alias("array"), F.from_json(text, "array<string>").alias("texts"))
+    one = F.array(F.struct(F.regexp_replace("value", r"[\r\n]+", " ").alias("text"), F.lit(None).cast("variant").alias("item")))
+    both = F.zip_with("texts", "array", lambda t, v: F.struct(t.alias("text"), v.alias("item")))
+    record = parts.select("name", F.explode(F.when(F.col("array").isNull(), one).otherwise(both)).alias("r")).select("name", "r.*")
+    is_record = F.col("item").isNull() | F.schema_of_variant("item").startswith("OBJECT")
+    wrapped = F.to_json(F.create_map(F.coalesce("name", F.lit("value")), F.col("item")))
+    return record.select(F.when(is_record, F.col("text")).otherwise(wrapped).alias("value"))
 
 
 def _read_columns(spark: SparkSession, path: str) -> DataFrame:

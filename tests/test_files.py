@@ -224,15 +224,15 @@ def test_sql_dump_never_loses_an_insert_silently(spark, put):
 
 
 def test_every_json_document_decides_for_itself(spark, tmp_path):
-    documents = [{"rows": [{"v": 1}]}, {"items": [{"v": 2}, 7], "n": [{"v": 9}]}, [{"v": 3}, {"v": 4, "tags": ["a"]}], {"v": 5}, [6]]
+    documents = [{"rows": [{"v": 1}]}, {"items": [{"v": 2}, 7], "n": [{"v": 9}]}, [{"v": 3}, {"v": 4, "tags": ["a"], "f": 1.0}], {"v": 5, "f": 2.0}, [6]]
     for i, document in enumerate(documents):
         (tmp_path / f"{i}.json").write_text(json.dumps(document, indent=1))
     (tmp_path / "bad.json").write_text('{"v": ')
     df = readers.read_json(spark, str(tmp_path), lines=False)
-    assert df.columns == ["items", "tags", "v", "value"]
-    rows = [tuple(r) for r in df.collect()]
-    assert sorted(r[2] for r in rows if r[2] is not None) == [1, 2, 3, 4, 5]
-    assert [r[0] for r in rows if r[0]] == [7] and [r[3] for r in rows if r[3]] == [6] and [r[1] for r in rows if r[1]] == [["a"]]
+    assert df.columns == ["f", "items", "tags", "v", "value"] and df.schema["f"].dataType == T.DoubleType()
+    rows = df.collect()
+    assert sorted(r.v for r in rows if r.v) == [1, 2, 3, 4, 5] and [r["items"] for r in rows if r["items"]] == [7]
+    assert [r.value for r in rows if r.value] == [6] and [r.tags for r in rows if r.tags] == [["a"]]
     assert [r.value for r in readers.json_quarantine(spark, str(tmp_path), lines=False).collect()] == ['{"v": ']
     with pytest.raises(Exception, match="no JSON"):
         readers.read_json(spark, str(tmp_path), lines=False, strict=True).collect()
