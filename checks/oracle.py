@@ -344,6 +344,8 @@ ORACLE["normalize_table_default"] = _NORMAL.format(
 )
 ORACLE["normalize_table_null"] = _NORMAL.format(price=f"round({_PRICE}, 6)", priority=_LOW.format(low="null"), more="")
 
+ORACLE["normalize_stream"] = ORACLE["normalize_table_null"]
+
 # Text dates make a date column when at least 60 % of the values look like one.
 _SEEN = "case when count(*) filter (o_orderstatus <> 'P') >= 0.6 * count(*) then 'Date' else 'String' end"
 _TYPES = ["max('Number')", "max('Float')", "max('Date')", _SEEN, "max('Boolean')", "max('Number')", "max('Float')", "max('String')"]
@@ -372,6 +374,12 @@ select 'INSERT INTO "order_data" ("o_orderkey", "note", "done", "o_custkey") VAL
        || o_orderpriority || '\n''''\\' || o_orderstatus || ''', ' || case when o_orderstatus = 'F' then 'TRUE' else 'FALSE' end
        || ', ' || coalesce(cast(nullif(o_custkey, 0) as varchar), 'NULL') || ');' as value
 from orders"""
+ORACLE["insert_statements_named"] = """
+select 'INSERT INTO "product_data" ("s_suppkey", "s_name") VALUES (' || s_suppkey || ', ''' || s_name || ''');' as value from supplier"""
+ORACLE["sql_dump_grouped"] = """
+select o_orderkey as id, cast('123456789012' || lpad(cast(o_custkey as varchar), 9, '0') || '.25' as decimal(30, 2)) as amount,
+       o_orderpriority || '''s' as note from orders"""
+ORACLE["json_mixed_documents"] = "select cast(s_suppkey as bigint) as s_suppkey, s_name from supplier"
 ORACLE["json_by_column"] = "select cast(n_nationkey as bigint) as key, n_name as name from nation"
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _counts = union([f"select '{t}' as name, cast({i} as integer) as position, count(*) as n from {t}" for i, t in enumerate(_TABLES)])
@@ -556,6 +564,11 @@ ORACLE["synth_people"] = (
     "select c_custkey, " + ",\n".join(f'{sql} as "{t.replace(" ", "_")}"' for t, sql in sorted(people_sql().items())) + " from customer"
 )
 
+_CONTACT = People("contact")
+_HANDLE = f"lower({_CONTACT.pick(v.FIRST_NAMES)} || '.' || {_CONTACT.pick(v.LAST_NAMES, 1)} || c_custkey)"
+ORACLE["synth_preset"] = f"""
+select c_custkey, {_HANDLE} || '@' || {_CONTACT.pick(v.DOMAINS, 2)} as contact, {People("town").pick(v.CITIES)} as town from customer"""
+
 # Conversations
 
 ORACLE["has_table"] = r"select doc_id, regexp_matches(text, '\|.*\|.*\|') as has_table from documents"

@@ -21,11 +21,12 @@ from tabulyse.operators.identity import link_identities
 from tabulyse.operators.value_counts import approx_distinct_and_missing, distinct_and_missing
 from tabulyse.plans.report import report_long
 from tabulyse.session import scratch_dir
-from tabulyse.sinks.insert_text import insert_statements
+from tabulyse.sinks.insert_text import insert_statements, table_name
 from tabulyse.sinks.registry import register_write
 from tabulyse.sinks.writers import write_table
 from tabulyse.sources.insert_dump import largest_table
 from tabulyse.sources.readers import read_table
+from tabulyse.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,6 +387,19 @@ def normalize_table_null(spark, sf):
     return normalize_table.normalize(messy_orders(spark, sf), ORDER_SPECS, null_policy="null")
 
 
+@query
+def normalize_stream(spark, sf):
+    """The same cleaning on a stream of files, one batch after another until all are read."""
+    incoming, cleaned, marks = (scratch_dir(spark, label) for label in ("incoming", "cleaned", "marks"))
+    messy = messy_orders(spark, sf)
+    messy.repartition(3, "o_orderkey").write.parquet(incoming)
+    arriving = spark.readStream.schema(messy.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    clean = jobs.normalize_stream(arriving, ORDER_SPECS, null_policy="null")
+    run = clean.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(cleaned)
+    run.awaitTermination()
+    return spark.read.parquet(cleaned)
+
+
 def untyped_orders(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("order_id"),
@@ -508,6 +522,39 @@ def insert_statements_orders(spark, sf):
     return insert_statements(orders, specs, "order_data")
 
 
+@query
+def insert_statements_named(spark, sf):
+    """The table is named after what the rows are said to be."""
+    return insert_statements(table(spark, sf, "supplier").select("s_suppkey", "s_name"), table=table_name("Our PRODUCT suppliers"))
+
+
+@query
+def sql_dump_grouped(spark, sf):
+    """A dump of another writer: several rows in a statement of several lines, no column list, long decimals."""
+    path = scratch_dir(spark, "grouped")
+    amount = F.concat(F.lit("123456789012"), F.format_string("%09d", "o_custkey"), F.lit(".25"))
+    note = F.concat(F.lit("'"), F.col("o_orderpriority"), F.lit("''s'"))
+    group = F.concat(F.lit("("), F.concat_ws(", ", F.col("o_orderkey").cast("string"), amount, note), F.lit(")"))
+    orders = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(group)).alias("groups"))
+    inserts = orders.select(F.concat(F.lit("INSERT INTO `o` VALUES\n"), F.array_join("groups", ",\n"), F.lit(";")).alias("value"))
+    create = "CREATE TABLE `o` (\n  id BIGINT,\n  amount NUMERIC(30, 2) NOT NULL,\n  note TEXT\n);"
+    inserts.unionByName(orders.limit(1).select(F.lit(create).alias("value"))).write.text(path)
+    return read_table(spark, path, "sql", strict=True)
+
+
+@query
+def json_mixed_documents(spark, sf):
+    """Documents that hold their records under different names or as a bare array, a hundred files at most."""
+    records = F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("s_suppkey", "s_name")))), ",\n")
+    shapes = [('{"n": 1, "rows": [', "]}"), ("[", "]"), ('{"items": [', '], "rows": 3}')]
+    file = F.col("s_suppkey") % 100
+    parts = table(spark, sf, "supplier").groupBy(file.alias("file")).agg(records.alias("records"))
+    path = scratch_dir(spark, "mixed")
+    spelled = variant("file", [F.concat(F.lit(head), F.col("records"), F.lit(tail)) for head, tail in shapes])
+    parts.select("file", spelled.alias("value")).write.partitionBy("file").text(path)
+    return read_table(spark, path, "json", lines=False, strict=True)
+
+
 @query
 def largest_table_of_all(spark, sf):
     names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -609,6 +656,13 @@ def synth_people(spark, sf):
     return synth.synth_columns(table(spark, sf, "customer").select("c_custkey"), "c_custkey", specs, seed=7)
 
 
+@query
+def synth_preset(spark, sf):
+    """The ready-made schema for a topic, of the types allowed."""
+    specs = synth.default_specs("Sales", ["City", "Email"])
+    return synth.synth_columns(table(spark, sf, "customer").select("c_custkey"), "c_custkey", specs, seed=7)
+
+
 # Conversations
 
 

@@ -39,11 +39,10 @@ def link_identities(signins: DataFrame, users: DataFrame, links: DataFrame) -> L
     first = seen.groupBy(*identity).agg(F.min(F.struct("seq", "email")).alias("f"))
     known = links.select(*identity, F.col("user_id").alias("linked_user"))
     by_email = users.select(normal_email(F.col("email")).alias("email"), F.col("user_id").alias("known_user"))
-    placed = (
-        first.select(*identity, F.col("f.seq").alias("seq"), F.col("f.email").alias("email"))
-        .join(known, identity, "left")
-        .join(by_email, "email", "left")
-    )
+    linked = first.select(*identity, F.col("f.seq").alias("seq"), F.col("f.email").alias("email")).join(known, identity, "left")
+    # A sign-in without an address meets nobody; however many there are, they stay out of the join.
+    anonymous = linked.where("email is null").withColumn("known_user", F.lit(None).cast(by_email.schema["known_user"].dataType))
+    placed = linked.where("email is not null").join(by_email, "email", "left").unionByName(anonymous)
     fresh = F.concat(F.lit("u-"), F.substring(F.sha2("email", 256), 1, 32))
     resolved = placed.withColumn("user_id", F.coalesce("linked_user", "known_user", fresh)).withColumn(
         "is_new", F.col("linked_user").isNull() & F.col("known_user").isNull() & F.col("email").isNotNull()
