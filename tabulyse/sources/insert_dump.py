@@ -20,11 +20,11 @@ _IDENTIFIER = r'(?:"(?:[^"]++|"")*+"|`[^`]++`|[A-Za-z_][\w$.]*+)'
 _VALUE = r"(?:'(?:[^']++|'')*+'|[^,()'\s]++)"
 _GROUP = rf"\(\s*+{_VALUE}(?:\s*+,\s*+{_VALUE})*+\s*+\)"
 _COMMENTS = r"^(?:\s++|--[^\n]*+(?:\n|\z))*+"
-_INSERT = (
-    rf"^(?i:INSERT\s+INTO)\s+({_IDENTIFIER})\s*+(?:\(\s*+({_IDENTIFIER}(?:\s*+,\s*+{_IDENTIFIER})*+)\s*+\)\s*+)?"
-    rf"(?i:VALUES)\s*+({_GROUP}(?:\s*+,\s*+{_GROUP})*+)\s*+;\z"
-)
+_HEAD = rf"^(?i:INSERT\s++INTO)\s++({_IDENTIFIER})\s*+(?:\(\s*+({_IDENTIFIER}(?:\s*+,\s*+{_IDENTIFIER})*+)\s*+\)\s*+)?(?i:VALUES)"
+# A group of values, or a letter that should not be there.
+_PIECE = rf"({_GROUP}|[^\s,;])"
 _CREATE = rf"(?s)^(?i:CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?)({_IDENTIFIER})\s*\((.*)\)[^)]*;\Z"
+_CREATE_SPARK = _CREATE.replace(r"\Z", r"\z")
 # One entry between the commas of a CREATE TABLE: its name, its type, the rest.
 _ENTRY = rf"(?s)\s*({_IDENTIFIER})\s+([A-Za-z]+(?:\s*\([0-9, ]+\))?)(?:[^,()\"'`]|\([^)]*\)|\"[^\"]*\"|'(?:[^']|'')*')*"
 _NO_COLUMN = re.compile(r"(?i)(?:PRIMARY|FOREIGN|UNIQUE|CONSTRAINT|CHECK|KEY|INDEX)\b")
@@ -52,7 +52,9 @@ class Dump:
 def _statements(spark: SparkSession, path: str) -> DataFrame:
     """(value): one statement a row, without comment lines before it, with its semicolon."""
     pieces = spark.read.option("recursiveFileLookup", True).option("lineSep", ";\n").text(path)
-    bare = F.rtrim(F.regexp_replace("value", _COMMENTS, ""), F.lit("; \t\r\n"))
+    first = F.substring("value", 1, 1)
+    statement = F.when((first >= "A") & (first <= "z"), F.col("value")).otherwise(F.regexp_replace("value", _COMMENTS, ""))
+    bare = F.rtrim(statement, F.lit("; \t\r\n"))
     return pieces.select(bare.alias("value")).where("value != ''").select(F.concat("value", F.lit(";")).alias("value"))
 
 
@@ -70,17 +72,16 @@ def _plain(identifier: Column) -> Column:
 
 def dump_tables(spark: SparkSession, path: str, most_tables: int = MOST_TABLES) -> dict[str, T.StructType]:
     """The tables a dump creates, in name order, with the Spark types of their columns; more than ``most_tables`` are an error."""
-    found = _statements(spark, path).where(F.col("value").rlike(r"^(?i:CREATE\s+TABLE)")).distinct().orderBy("value").limit(most_tables + 1).collect()
+    creates = _statements(spark, path).where(F.upper(F.substring("value", 1, 6)) == "CREATE").where(F.col("value").rlike(_CREATE_SPARK))
+    found = creates.distinct().orderBy("value").limit(most_tables + 1).collect()
     if len(found) > most_tables:
         raise ValueError(f"the dump creates more than {most_tables} tables")
     tables = {}
     for row in found:
-        created = re.match(_CREATE, row.value)
-        if created is None:
-            continue
-        entries = [e.groups() for e in re.finditer(_ENTRY, created.group(2))]
+        table, body = re.match(_CREATE, row.value).groups()
+        entries = [e.groups() for e in re.finditer(_ENTRY, body)]
         fields = [T.StructField(_unquoted(n), _spark_type(t)) for n, t in entries if not _NO_COLUMN.match(n)]
-        tables[_unquoted(created.group(1))] = T.StructType(fields)
+        tables[_unquoted(table)] = T.StructType(fields)
     return dict(sorted(tables.items()))
 
 
@@ -97,28 +98,27 @@ def _spark_type(ddl: str) -> T.DataType:
 
 def _parsed(statements: DataFrame, tables: dict[str, T.StructType]) -> DataFrame:
     """(value, table, names, groups, good): INSERTs taken apart; ``good`` if every group fits the columns of a known table."""
-    value = F.col("value")
-    insert = value.rlike(_INSERT)
-    listed = F.transform(F.regexp_extract_all(F.regexp_extract(value, _INSERT, 2), F.lit(f"({_IDENTIFIER})")), _plain)
-    texts = F.regexp_extract_all(F.regexp_extract(value, _INSERT, 3), F.lit(f"({_GROUP})"))
-    split = statements.select(
-        "value",
-        F.when(insert, _plain(F.regexp_extract(value, _INSERT, 1))).alias("table"),
-        F.when(insert, listed).alias("listed"),
-        F.when(insert, F.transform(texts, lambda g: F.regexp_extract_all(F.substring(g, F.lit(2), F.length(g) - 2), F.lit(f"({_VALUE})")))).alias("groups"),
-    )
+    head = F.regexp_extract("value", _HEAD, 0)
+    headed = statements.withColumn("head", F.nullif(head, F.lit("")))
+    listed = F.transform(F.regexp_extract_all(F.regexp_extract("head", _HEAD, 2), F.lit(f"({_IDENTIFIER})")), _plain)
+    named = headed.select("value", "head", _plain(F.regexp_extract("head", _HEAD, 1)).alias("table"), listed.alias("listed"))
     known = F.lit(None).cast("array<string>")
     for name, schema in tables.items():
         known = F.when(F.col("table") == name, F.array(*[F.lit(f.name) for f in schema.fields]).cast("array<string>")).otherwise(known)
-    placed = split.withColumn("known", known).withColumn("names", F.when(F.size("listed") > 0, F.col("listed")).otherwise(F.col("known")))
-    fits = F.forall("groups", lambda g: F.size(g) == F.size("names")) & (F.size(F.array_except("names", "known")) == 0)
+    body = F.substring("value", F.length("head") + 1, F.length("value"))
+    pieces = F.regexp_extract_all(F.when(known.isNotNull(), body), F.lit(_PIECE))
+    inner = F.transform(pieces, lambda g: F.regexp_extract_all(F.substring(g, F.lit(2), F.length(g) - 2), F.lit(f"({_VALUE})")))
+    placed = named.select(
+        "value", "table", known.alias("known"), F.when(F.size("listed") > 0, F.col("listed")).otherwise(known).alias("names"), inner.alias("groups")
+    )
+    fits = F.forall("groups", lambda g: F.size(g) == F.size("names")) & (F.size("groups") > 0) & (F.size(F.array_except("names", "known")) == 0)
     return placed.select("value", "table", "names", "groups", F.coalesce(fits, F.lit(False)).alias("good"))
 
 
 def dump_quarantine(spark: SparkSession, path: str) -> DataFrame:
     """(value): the statements that are neither a CREATE TABLE nor an INSERT that can be read."""
     tables = dump_tables(spark, path)
-    rest = _statements(spark, path).where(~F.col("value").rlike(_CREATE.replace(r"\Z", r"\z")))
+    rest = _statements(spark, path).where(~F.col("value").rlike(_CREATE_SPARK))
     return _parsed(rest, tables).where(~F.col("good")).select("value")
 
 
@@ -136,13 +136,14 @@ def _text(literal: Column) -> Column:
 
 def read_dump_table(spark: SparkSession, path: str, table: str, schema: T.StructType, strict: bool = False) -> DataFrame:
     """The rows of one table. With ``strict`` an INSERT that cannot be read, into whichever table, is an error."""
-    parsed = _parsed(_statements(spark, path), {table: schema})
-    wanted = F.col("table") == table
+    parsed = _parsed(_statements(spark, path), {table: schema}).where(F.col("table").isNull() | (F.col("table") == table))
+    read = F.when(F.col("good"), F.col("groups"))
     if strict:
         # An INSERT that cannot be taken apart has no table to tell.
-        unread = ~F.col("good") & F.col("value").rlike(r"^(?i:INSERT)\b") & F.coalesce(wanted, F.lit(True))
-        wanted = F.when(unread, F.raise_error(F.concat(F.lit("INSERT that cannot be read: "), F.substring("value", 1, 200)))).otherwise(wanted)
-    rows = parsed.where(wanted.cast("boolean")).where("good").select("names", F.explode("groups").alias("parts"))
+        unread = F.raise_error(F.concat(F.lit("INSERT that cannot be read: "), F.substring("value", 1, 200)))
+        read = read.when(F.col("value").rlike(r"^(?i:INSERT)\b"), unread.cast("array<array<string>>"))
+    # The outer form keeps Spark from testing for empty arrays up front, which would take every statement apart twice.
+    rows = parsed.select("names", F.explode_outer(read).alias("parts")).where("parts is not null")
     cells = rows.select(F.map_from_arrays("names", "parts").alias("cells"))
 
     def cell(f: T.StructField) -> Column:
