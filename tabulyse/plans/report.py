@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,24 +14,39 @@ from tabulyse.operators.distribution import box_plot, histogram, outliers_iqr
 from tabulyse.operators.profile import column_profile, dataset_summary, numeric_stats, top_values
 from tabulyse.operators.quantiles import quartiles
 from tabulyse.operators.relations import correlation_matrix, scatter_sample, strongest
-from tabulyse.session import small_table
-
-REPORT_BINS = 25
-HISTOGRAMS = 4
-BAR_CHARTS, BAR_VALUES = 3, 8
-PIE_VALUES = 8
-CORRELATION_PAIRS = 10
-SCATTERS = 3
-BOXES = 6
-OUTLIER_COLUMNS = 10
-CATEGORICALS, CATEGORICAL_VALUES = 6, 5
-
-
-def profile_report(df: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+from tabulyse.session import scratch_dir, small_table
+
+
+@dataclass(frozen=True)
+class ReportLimits:
+    """How much each section shows; None is all. Columns count in the order of the table."""
+
+    bins: int = 25
+    histograms: int | None = 4
+    bar_charts: int | None = 3
+    bar_values: int = 8
+    pie_values: int = 8
+    correlated: int | None = 15
+    correlation_pairs: int | None = 10
+    scatters: int = 3
+    boxes: int | None = 6
+    outlier_columns: int | None = 10
+    categoricals: int | None = 6
+    categorical_values: int = 5
+
+    @classmethod
+    def whole(cls) -> ReportLimits:
+        """Every column in every section."""
+        every = ("histograms", "bar_charts", "correlated", "correlation_pairs", "boxes", "outlier_columns", "categoricals")
+        return cls(**dict.fromkeys(every))
+
+
+def profile_report(df: DataFrame, keys: list[str], limits: ReportLimits = ReportLimits()) -> dict[str, DataFrame]:
     """The sections of the report by name. ``keys`` identify a row for the scatter samples.
 
-    A section a table has no columns for is left out. The table is read once per section; whoever wants
-    it cached persists it first.
+    A section a table has no columns for is left out. The frequent values that three sections show are found once, when the
+    function is called, and kept in a written table of a few rows per column. The table itself is read about once per section;
+    whoever wants it cached persists it first.
     """
     numerics = m.numeric_columns(df)
     categoricals = m.columns_with_role(df, m.CATEGORICAL, m.BOOLEAN)
@@ -38,34 +54,40 @@ def profile_report(df: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
     if numerics:
         middle = quartiles(df, numerics)
         sections["numeric_stats"] = numeric_stats(df, numerics, middle=middle)
-        bins = histogram(df, numerics[:HISTOGRAMS], REPORT_BINS)
+        bins = histogram(df, numerics[: limits.histograms], limits.bins)
         sections["histograms"] = bins.withColumns({edge: stat(F.col(edge)) for edge in ("lo", "hi")})
     if categoricals:
-        tops = top_values(df, categoricals[:CATEGORICALS], BAR_VALUES)
-        sections["bar_charts"] = tops.where(F.col("column").isin(categoricals[:BAR_CHARTS]))
-        sections["pie_chart"] = _pie(df, categoricals)
+        tops = _written(top_values(df, categoricals, max(limits.bar_values, limits.pie_values + 1, limits.categorical_values)))
+        bars, listed = categoricals[: limits.categoricals][: limits.bar_charts], categoricals[: limits.categoricals]
+        sections["bar_charts"] = tops.where(F.col("column").isin(bars) & (F.col("rank") <= limits.bar_values))
+        sections["pie_chart"] = _pie(tops, categoricals, limits.pie_values)
     if len(numerics) >= 2:
-        matrix = correlation_matrix(df)
-        # At most 15 by 15 numbers, wanted three times over.
+        matrix = correlation_matrix(df, keep=len(numerics) if limits.correlated is None else limits.correlated)
+        # One number for each pair of the columns asked for, wanted three times over.
         known = small_table(df.sparkSession, [tuple(r) for r in matrix.collect()], "row int, col int, column_a string, column_b string, r double")
+        pairs = known.where("row < col")
         sections["correlation"] = known
-        sections["top_correlations"] = strongest(known.where("row < col"), CORRELATION_PAIRS)
-        sections["scatters"] = _scatters(df, strongest(known.where("row < col"), SCATTERS), keys)
+        sections["top_correlations"] = strongest(pairs, len(numerics) ** 2 if limits.correlation_pairs is None else limits.correlation_pairs)
+        sections["scatters"] = _scatters(df, strongest(pairs, limits.scatters), keys)
     if numerics:
-        sections["box_plots"] = box_plot(df, numerics[:BOXES], middle=middle)
-        sections["outliers"] = outliers_iqr(df, numerics[:OUTLIER_COLUMNS], middle=middle)
+        sections["box_plots"] = box_plot(df, numerics[: limits.boxes], middle=middle)
+        sections["outliers"] = outliers_iqr(df, numerics[: limits.outlier_columns], middle=middle)
     if categoricals:
-        sections["categoricals"] = tops.where(F.col("rank") <= CATEGORICAL_VALUES)
+        sections["categoricals"] = tops.where(F.col("column").isin(listed) & (F.col("rank") <= limits.categorical_values))
     return sections
 
 
-def _pie(df: DataFrame, categoricals: list[str]) -> DataFrame:
+def _written(small: DataFrame) -> DataFrame:
+    path = scratch_dir(small.sparkSession, "report")
+    small.write.parquet(path)
+    return small.sparkSession.read.schema(small.schema).parquet(path)
+
+
+def _pie(tops: DataFrame, categoricals: list[str], most: int) -> DataFrame:
     """All values of the first categorical column that has few."""
-    few = top_values(df, categoricals, PIE_VALUES + 1)
     order = F.element_at(F.create_map(*[x for i, c in enumerate(categoricals) for x in (F.lit(c), F.lit(i))]), F.col("column"))
-    sized = few.groupBy("column").agg(F.max("rank").alias("values")).where(F.col("values") <= PIE_VALUES)
-    chosen = sized.orderBy(order).limit(1).select("column")
-    return few.join(F.broadcast(chosen), "column")
+    sized = tops.groupBy("column").agg(F.max("rank").alias("values")).where(F.col("values") <= most)
+    return tops.join(sized.orderBy(order).limit(1).select("column"), "column")
 
 
 def _scatters(df: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,7 +113,7 @@ def _melted(section: str, df: DataFrame, item: list[str], metrics: list[str]) ->
     return df.select(F.lit(section).alias("section"), name.alias("item"), F.inline(F.array(*entries)))
 
 
-def report_long(df: DataFrame, keys: list[str]) -> DataFrame:
+def report_long(df: DataFrame, keys: list[str], limits: ReportLimits = ReportLimits()) -> DataFrame:
     """The whole report as one table (section, item, metric, value)."""
     identity = {
         "summary": [],
@@ -108,7 +130,7 @@ def report_long(df: DataFrame, keys: list[str]) -> DataFrame:
         "categoricals": ["column", "rank"],
     }
     parts = []
-    for section, table in profile_report(df, keys).items():
+    for section, table in profile_report(df, keys, limits).items():
         item = identity[section]
         parts.append(_melted(section, table, item, [c for c in table.columns if c not in item]))
     return reduce(DataFrame.unionByName, parts)

@@ -4,12 +4,13 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulyse.functions import missing as m
 from tabulyse.operators import distribution as dist
 from tabulyse.operators import profile, relations
 from tabulyse.operators.value_counts import approx_distinct_and_missing, distinct_and_missing
-from tabulyse.plans.report import profile_report, report_long
+from tabulyse.plans.report import ReportLimits, profile_report, report_long
 
 NAN, INF = float("nan"), float("inf")
 
@@ -211,6 +212,16 @@ def test_report_sections(spark, sf):
     assert {r.section for r in words.collect()} == {"summary", "columns", "bar_charts", "pie_chart", "categoricals"}
 
 
+def test_report_shows_every_column_when_asked(spark, sf):
+    lineitem = spark.read.parquet(f"{sf}/lineitem.parquet")
+    numerics = [f.name for f in lineitem.schema.fields if isinstance(f.dataType, T.NumericType)]
+    full = profile_report(lineitem, ["l_orderkey", "l_linenumber"], ReportLimits.whole())
+    assert {r["column"] for r in full["histograms"].collect()} == set(numerics) == {r["column"] for r in full["box_plots"].collect()}
+    assert full["top_correlations"].count() == len(numerics) * (len(numerics) - 1) // 2
+    texts = [f.name for f in lineitem.schema.fields if isinstance(f.dataType, T.StringType)]
+    assert {r["column"] for r in full["bar_charts"].collect()} == set(texts)
+
+
 def test_unknown_columns_are_refused(spark):
     with pytest.raises(ValueError):
         profile.numeric_stats(spark.range(3), ["nope"])
