@@ -109,7 +109,7 @@ def test_seek_with_many_ties(spark, order):
                   if(id < 300, 0, id % 100) as k from range(600)"""
     ).select("two", "bytes", "h", "d", "x", "k")
     df = df.unionByName(spark.sql("select 0L two, binary('k0') bytes, 9007199254740992 h, cast(0 as decimal(38, 20)) d, 1.5D x, 0L k from range(400)").select(*df.columns))
-    for page in (2, 5, 9, 13, 20, 21):
+    for page in (9, 20, 21):
         plain = preview.preview_page(df, order, page, 50, shallow_rows=10**9).collect()
         assert preview.preview_page(df, order, page, 50, shallow_rows=10).collect() == plain
         assert len(plain) == (50 if page <= 20 else 0)
