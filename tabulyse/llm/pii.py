@@ -21,10 +21,12 @@ from tabulyse.llm.staging import staged
 from tabulyse.llm.words import named
 
 #: Kinds with rules of their own, in the order that breaks ties. ``++`` takes as much as ``+`` would here, without recursion.
+#: A match starts where its run of characters does, or (``\G``) where the last match ended: further in, it would fail as it did
+#: there, and trying each place of a run would cost the square of its length.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++){3}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",  # what has fewer digits never passes
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local_phone": r"(?<![0-9(+.-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",

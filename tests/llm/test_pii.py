@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,27 @@ def test_query_against_brute_force(spark, sf):
             assert spans == []
 
 
+def test_patterns_find_what_the_plain_ones_find(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for letters in ("ab1.@-_% é\n", "12... é", "12- +()") for _ in range(4000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    found = rows.select("text", *(F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)).alias(k) for k in ("email", "ip", "phone"))).collect()
+    for r in found:
+        for k in ("email", "ip", "phone"):
+            assert r[k] == [m.group() for m in re.finditer(PLAIN[k], r.text)]
+
+
+def test_long_runs_cost_in_proportion(spark):
+    runs = ["a", "7", "-", ".", "1.", "7 ", "+1", "@", "a@"]
+    rows = spark.createDataFrame([(c * 500_000 + " x@y.z 1.2.3.4",) for c in runs], "text string").repartition(len(runs))
+    counts = [F.regexp_count("text", F.lit(p)).alias(k) for k, p in PATTERNS.items()]
+    start = time.perf_counter()
+    rows.select(*counts).collect()
+    assert time.perf_counter() - start < 60  # at the square of the length, one run would take an hour
+
+
 ODD = [
     None,
     "",
