@@ -87,6 +87,7 @@ def mixed(df: DataFrame, key: str, source: str, text: str, columns: list[str], w
     """``columns`` of every row, and size, source_size, target (its source's), repeats (times the mix takes it), taken (words).
 
     Null texts have size 0; null sources are one source, the last; a source without words has target 0 and is not taken.
+    No row is taken more than ``epochs`` times, rows without words included.
     Rows that share key and text are drawn alike, null keys included. An empty table gives an empty table. Names of other
     columns don't matter. Runs over the same rows agree, whatever their order or partitions. The table of sources is
     broadcast only while Spark finds it below spark.sql.autoBroadcastJoinThreshold; beyond, it is joined.
@@ -96,7 +97,7 @@ def mixed(df: DataFrame, key: str, source: str, text: str, columns: list[str], w
     sizes = staged(df.select(*body), "mix-sizes")
     rows = df.select(*(named(c).alias(k) for c, k in zip(columns, kept)), *body)
     more = F.coalesce((F.col("mark") < F.col("cut")) | (F.col("inclusive") & (F.col("mark") == F.col("cut"))), F.lit(False))
-    repeats = F.when(F.col("source_size") > 0, F.col("whole") + more.cast("long")).otherwise(0).cast("long")
+    repeats = F.when(F.col("source_size") > 0, F.least(F.col("whole") + more.cast("long"), F.lit(epochs))).otherwise(0).cast("long")
     joined = rows.join(picks(sizes, weights, epochs, share), "source_key")
     out = joined.select(*kept, "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
     return out.toDF(*columns, "size", "source_size", "target", "repeats", "taken")

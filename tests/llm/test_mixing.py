@@ -53,6 +53,13 @@ def test_odd_rows(spark, documents):
     found = mixed(documents(rows), "doc_id", "source", "text", ["doc_id", "source", "size", "key"])
     found = found.toDF("doc_id", "source", "_size", "_key", "size", "source_size", "target", "repeats", "taken").collect()
     check(rows, found)
+    assert max(r.repeats for r in found) <= 3
+
+
+def test_rows_without_words_repeat_no_more_than_others(spark, documents):
+    rows = [(i, "w " * (i % 3), s) for s, n in (("a", 40), ("b", 4000)) for i in range(n)]
+    found = mixed(documents(rows), "doc_id", "source", "text", ["source"]).where("source = 'a'").collect()
+    assert {r.target for r in found} == {3.0 * found[0].source_size} and {r.repeats for r in found} == {3}
 
 
 def test_clamping_needs_rounds(spark):
