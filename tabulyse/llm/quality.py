@@ -17,7 +17,8 @@ from tabulyse.llm.words import per_text
 ships(__name__)
 
 #: (bytes from which the limits hold, lowest ratio, highest ratio); below the first there is no verdict by compression.
-BANDS = ((128, 0.45, 0.95), (256, 0.40, 0.90), (512, 0.33, 0.85), (1024, 0.27, 0.80), (4096, 0.22, 0.75), (16384, 0.18, 0.75))
+#: Random text in 64 characters carries 6 bits a byte: 0.75 and what zstandard adds, which the upper limits from 512 bytes on are below.
+BANDS = ((128, 0.45, 0.95), (256, 0.40, 0.90), (512, 0.33, 0.77), (1024, 0.27, 0.70), (4096, 0.22, 0.70), (16384, 0.18, 0.70))
 CHUNK_BYTES = 2048
 #: A text goes if more than this share of its chunks' bytes is outside the limits.
 MOST_BAD_CHUNKS = 0.3

@@ -66,6 +66,18 @@ def test_bands_reject_repetition_and_noise():
     assert limits(100) is None and limits(300) == (0.40, 0.90)
 
 
+@pytest.mark.parametrize("size", [512, 1000, 1024, 2000, 4096, 20_000, 200_000])
+def test_bands_reject_base64_of_every_size(size):
+    import base64
+    import random
+
+    data = base64.b64encode(random.Random(size).randbytes(size))[:size]
+    words = b" ".join(data[i : i + 7] for i in range(0, size, 7))[:size]
+    for text in (data, words):
+        ratio, bad, inside = compression(text, zstandard.ZstdCompressor(level=3))
+        assert not inside and (bad > 0.3 or size < 512), ratio
+
+
 @pytest.mark.parametrize("text, kept", [("one two " * 10, False), (None, False)])
 def test_base_comes_first(spark, documents, text, kept):
     assert with_quality(documents([(1, text)]), "text", ["doc_id"]).first().kept is kept
