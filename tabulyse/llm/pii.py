@@ -3,9 +3,10 @@
 Patterns propose spans. Four labelers vote on each, for (1), against (-1) or not at all (0): ``form`` (the pattern's own
 rules: check digits, ranges, lengths), ``gazetteer`` (endings, issuer digits, calling codes, key prefixes, reserved
 addresses), ``context`` (words before the span) and ``edges`` (whether the span is cut out of a longer token).
-Expectation-maximisation over the counts of vote patterns, at most 81 rows, estimates how reliable each labeler is and how
-likely each pattern is personal data; a logistic regression on those soft labels is the final classifier of spans. Spans
-that pass their kind's own rules (``base``) stay whatever it says; it decides on the others.
+Expectation-maximisation over the counts of vote patterns, at most 81 rows a kind, estimates for each kind how reliable each
+labeler is and how likely each pattern is personal data; a logistic regression on those soft labels is the final classifier
+of spans. Its features are the votes within each kind, and kinds weigh alike, so however many spans one kind has, it does
+not decide on another. Spans that pass their kind's own rules (``base``) stay whatever it says; it decides on the others.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ CUES = {
 }
 COUNTER_CUES = r"version|release|page|chapter|isbn|issn|price|order|invoice|figure|table|sha|md5|commit|checksum|hash"
 LABELERS = ("form", "gazetteer", "context", "edges")
+#: Labelers that know nothing of a kind: that they abstain there says nothing.
+SILENT = {"ssn": ("gazetteer",), "local_phone": ("gazetteer",)}
 #: Where the estimates start, and what they are held near by ``PRIOR_WEIGHT`` imagined spans: P(vote | class) for votes -1, 0, 1.
 START = {
     "form": {1: (0.02, 0.08, 0.90), 0: (0.80, 0.10, 0.10)},
@@ -161,17 +164,22 @@ def votes(spans: DataFrame) -> DataFrame:
     )
 
 
+def _voting(kind: str) -> list[str]:
+    return [name for name in LABELERS if name not in SILENT.get(kind, ())]
+
+
 @dataclass
 class Reliability:
-    """Share of personal data among the spans, and P(vote | class) of each labeler for votes -1, 0, 1."""
+    """Of the ``many`` spans of one kind: share of personal data, and P(vote | class) of each labeler for votes -1, 0, 1."""
 
     share: float
     table: dict[str, dict[int, tuple[float, float, float]]]
+    many: float = 0.0
 
     def posterior(self) -> Column:
         def weight(label: int, share: float) -> Column:
             out = F.lit(share)
-            for name in LABELERS:
+            for name in self.table:
                 p = self.table[name][label]
                 out = out * F.when(F.col(name) == -1, p[0]).when(F.col(name) == 0, p[1]).otherwise(p[2])
             return out
@@ -180,37 +188,51 @@ class Reliability:
         return yes / (yes + weight(0, 1 - self.share))
 
 
-def estimated(patterns: DataFrame, rounds: int = ROUNDS) -> Reliability:
-    """Expectation-maximisation over rows (one column per labeler, n): each round is one aggregate over at most 81 rows."""
-    now = Reliability(0.5, START)
-    for _ in range(rounds):
-        soft = patterns.withColumn("p", now.posterior())
+def _posterior(rates: dict[str, Reliability]) -> Column:
+    return F.coalesce(*(F.when(F.col("kind") == kind, rate.posterior()) for kind, rate in rates.items()))
+
+
+def estimated_by_kind(patterns: DataFrame, rounds: int = ROUNDS) -> dict[str, Reliability]:
+    """Expectation-maximisation over rows (kind, one column per labeler, n), for each kind by itself: each round is one aggregate
+    over at most 81 rows a kind."""
+    kinds = sorted(r["kind"] for r in patterns.select("kind").distinct().collect())
+    now = {kind: Reliability(0.5, {name: START[name] for name in _voting(kind)}) for kind in kinds}
+    for _ in range(rounds if kinds else 0):
+        soft = patterns.withColumn("p", _posterior(now))
         mass = {1: F.col("n") * F.col("p"), 0: F.col("n") * (1 - F.col("p"))}
         sums = [F.coalesce(F.sum(F.when(F.col(name) == v, mass[label])), F.lit(0.0)).alias(f"{name}_{label}_{v + 1}") for name in LABELERS for label in (0, 1) for v in (-1, 0, 1)]
-        row = soft.agg(*sums).first()
-        table = {}
-        for name in LABELERS:
-            table[name] = {}
-            for label in (0, 1):
-                counts = [row[f"{name}_{label}_{v}"] + PRIOR_WEIGHT * START[name][label][v] for v in range(3)]
-                table[name][label] = tuple(c / sum(counts) for c in counts)
-        yes, no = (sum(row[f"form_{label}_{v}"] for v in range(3)) for label in (1, 0))
-        now = Reliability((yes + PRIOR_WEIGHT / 2) / (yes + no + PRIOR_WEIGHT), table)
+        for row in soft.groupBy("kind").agg(*sums).collect():
+            table = {}
+            for name in _voting(row["kind"]):
+                table[name] = {}
+                for label in (0, 1):
+                    counts = [row[f"{name}_{label}_{v}"] + PRIOR_WEIGHT * START[name][label][v] for v in range(3)]
+                    table[name][label] = tuple(c / sum(counts) for c in counts)
+            yes, no = (sum(row[f"form_{label}_{v}"] for v in range(3)) for label in (1, 0))
+            now[row["kind"]] = Reliability((yes + PRIOR_WEIGHT / 2) / (yes + no + PRIOR_WEIGHT), table, yes + no)
     return now
 
 
-def classifier(patterns: DataFrame, rates: Reliability) -> Column:
-    """The probability that a span is personal data, from a logistic regression on the vote patterns and their soft labels."""
-    features = [(name, v) for name in LABELERS for v in (-1, 1)]
-    flags = [F.when(F.col(name) == v, 1.0).otherwise(0.0).alias(f"{name}_{v + 1}") for name, v in features]
-    soft = patterns.select(*flags, "n", rates.posterior().alias("p"))
-    yes = soft.withColumn("label", F.lit(1.0)).withColumn("weight", F.col("n") * F.col("p"))
-    no = soft.withColumn("label", F.lit(0.0)).withColumn("weight", F.col("n") * (1 - F.col("p")))
-    rows = VectorAssembler(inputCols=[f"{name}_{v + 1}" for name, v in features], outputCol="features").transform(yes.unionAll(no))
-    model = LogisticRegression(weightCol="weight", maxIter=30, regParam=0.001).fit(rows)
-    score = F.lit(float(model.intercept))
-    for (name, v), weight in zip(features, model.coefficients):
-        score = score + F.when(F.col(name) == v, float(weight)).otherwise(0.0)
+def estimated(patterns: DataFrame, rounds: int = ROUNDS) -> Reliability:
+    """``estimated_by_kind`` of rows (one column per labeler, n) that are all of one kind, on which every labeler votes."""
+    return estimated_by_kind(patterns.withColumn("kind", F.lit("")), rounds)[""]
+
+
+def classifier(patterns: DataFrame, rates: dict[str, Reliability]) -> Column:
+    """The probability that a span is personal data, from a logistic regression on kinds, the votes within each kind and their
+    soft labels. Every kind has the same weight in all."""
+    features = [(kind, name, v) for kind in rates for name, v in [("kind", 0), *((name, v) for name in _voting(kind) for v in (-1, 1))]]
+    holds = [F.col("kind") == kind if name == "kind" else (F.col("kind") == kind) & (F.col(name) == v) for kind, name, v in features]
+    flags = [F.when(h, 1.0).otherwise(0.0).alias(f"f{i}") for i, h in enumerate(holds)]
+    share = F.coalesce(*(F.when(F.col("kind") == kind, F.col("n") / rate.many) for kind, rate in rates.items()))
+    soft = patterns.select(*flags, share.alias("share"), _posterior(rates).alias("p"))
+    yes = soft.withColumn("label", F.lit(1.0)).withColumn("weight", F.col("share") * F.col("p"))
+    no = soft.withColumn("label", F.lit(0.0)).withColumn("weight", F.col("share") * (1 - F.col("p")))
+    rows = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(yes.unionAll(no))
+    model = LogisticRegression(weightCol="weight", maxIter=50, regParam=0.001, fitIntercept=False).fit(rows)
+    score = F.lit(0.0)
+    for hold, weight in zip(holds, model.coefficients):
+        score = score + F.when(hold, float(weight)).otherwise(0.0)
     return 1 / (1 + F.exp(-score))
 
 
@@ -221,12 +243,12 @@ def personal_spans(df: DataFrame, key: str, text: str, threshold: float = THRESH
     """
     documents = df.select(named(key).alias("doc"), F.xxhash64(named(text)).alias("mark"), F.coalesce(named(text), F.lit("")).alias("text"))
     voted = votes(_hits(documents))
-    kind = F.when(F.col("kind") == "local_phone", "phone").otherwise(F.col("kind"))
-    spans = staged(voted.select("doc", "mark", kind.alias("kind"), "start", "end", "base", *LABELERS), "pii-spans")
-    patterns = staged(spans.groupBy(*LABELERS).agg(F.count("*").alias("n")), "pii-votes")
-    score = F.lit(0.0) if patterns.isEmpty() else classifier(patterns, estimated(patterns))
+    spans = staged(voted.select("doc", "mark", "kind", "start", "end", "base", *LABELERS), "pii-spans")
+    patterns = staged(spans.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")), "pii-votes")
+    score = F.lit(0.0) if patterns.isEmpty() else classifier(patterns, estimated_by_kind(patterns))
     scored = spans.withColumn("score", score)
-    return scored.where(F.col("base") | (F.col("score") >= threshold)).select("doc", "mark", "kind", "start", "end", "base", "score")
+    kind = F.when(F.col("kind") == "local_phone", "phone").otherwise(F.col("kind"))
+    return scored.where(F.col("base") | (F.col("score") >= threshold)).select("doc", "mark", kind.alias("kind"), "start", "end", "base", "score")
 
 
 def _order(kind: Column) -> Column:

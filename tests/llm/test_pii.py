@@ -113,6 +113,19 @@ def test_classifier_adds_what_context_supports(spark, documents):
     assert found[300] == ["card"] and sum(bool(found[200 + i]) for i in range(20)) == sum(luhn(f"41111111111111{10 + i}") for i in range(20))
 
 
+def test_a_million_emails_do_not_decide_on_other_kinds(spark, documents):
+    few = [(i, f"my ssn is 123-45-{6000 + i}.") for i in range(20)] + [(100 + i, f"please call 555-010-{4000 + i} soon") for i in range(20)] + [(200 + i, f"build 000-12-{3000 + i}x") for i in range(20)]
+    many = spark.range(1000, 1200).selectExpr("id AS doc_id", "repeat('kim@example.com, ', 5000) AS text")
+
+    def verdicts(table):
+        return {r.doc_id: [s["kind"] for s in r.spans] for r in with_spans(table, "doc_id", "text", ["doc_id"]).where("doc_id < 1000").collect()}
+
+    table = documents(few).select("doc_id", "text")
+    want = {i: ["ssn"] if i < 100 else ["phone"] if i < 200 else [] for i, _ in few}
+    assert verdicts(table) == want
+    assert verdicts(table.unionByName(many)) == want
+
+
 def test_estimates_follow_the_votes(spark):
     rows = [(1, 1, 1, 1, 500), (1, 0, 1, 1, 300), (-1, 0, 0, -1, 700), (-1, -1, -1, 1, 200), (1, 0, 0, 1, 50)]
     rates = estimated(spark.createDataFrame(rows, "form int, gazetteer int, context int, edges int, n long"))
