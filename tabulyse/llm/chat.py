@@ -5,8 +5,9 @@ if the longer one starts with the shorter, the rest is the span of the new turn;
 which is reported for the turn. Where the turn's own text lies in its span is found the same way, by rendering it once
 more with a probe in its place.
 
-So that a turn costs the same wherever it stands, a template sees the first turn and the ``LOOKBACK`` turns before the new
-one, not the whole history. Rows of a conversation stream through a task in order; nothing holds a conversation.
+A template sees all turns up to the new one, so a conversation costs the square of its turns and its task holds it. Only a
+template that is declared ``local`` sees less: the first turn and the last few before the new one, so that a turn costs the
+same wherever it stands and nothing holds a conversation. Rows of a conversation stream through a task in order.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tabulyse.llm.words import named
 
 ships(__name__)
 
+#: What ``local`` templates see before the new turn, beside the first.
 LOOKBACK = 4
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 #: Stands for a turn's text when its place is looked for; private-use characters that templates leave alone.
@@ -46,6 +48,14 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+def local(render: Callable[[list[Message]], str], lookback: int = LOOKBACK) -> Callable[[list[Message]], str]:
+    """Declares that what a turn adds to the output depends on the first turn and the ``lookback`` turns before it alone, and that
+    it changes nothing before those. This is not checked: other templates must not be declared so."""
+    render.lookback = lookback
+    return render
+
+
+@local
 def instruct(messages: list[Message]) -> str:
     """The template of the query: each turn stands alone and names its role."""
     return "".join(f"<s>[INST] {escaped(role)} [/INST]{escaped(text)}</s>" for role, text in messages)
@@ -57,12 +67,14 @@ def read_turn(span: str) -> Message:
     return unescaped(role), unescaped(text)
 
 
-def turn_spans(messages: Iterator[Message], render: Callable[[list[Message]], str], lookback: int = LOOKBACK) -> Iterator[tuple[str, int, int, bool]]:
+def turn_spans(messages: Iterator[Message], render: Callable[[list[Message]], str]) -> Iterator[tuple[str, int, int, bool]]:
     """Per turn: what it adds to the output, where its text lies in that (start, end; -1, -1 if it isn't there as such), and
     whether the template rewrote what it had written before (the addition is then what follows the common beginning)."""
+    lookback = getattr(render, "lookback", None)
     history: list[Message] = []
+    before = ""
     for role, text in messages:
-        before, after, probed = render(history) if history else "", render([*history, (role, text)]), render([*history, (role, PROBE)])
+        after, probed = render([*history, (role, text)]), render([*history, (role, PROBE)])
         rewrites = not after.startswith(before)
         common = len(before)
         if rewrites:
@@ -73,17 +85,19 @@ def turn_spans(messages: Iterator[Message], render: Callable[[list[Message]], st
             start, end = len(head) - common, len(after) - len(tail) - common
         yield after[common:], start, end, rewrites
         history.append((role, text))
-        if len(history) > lookback + 1:
+        before = after
+        if lookback is not None and len(history) > lookback + 1:
             del history[1]
+            before = render(history)
 
 
-def formatted(df: DataFrame, conversation: str, turn: str, role: str, text: str, render: Callable[[list[Message]], str] = instruct, trained: tuple[str, ...] = ("assistant",), lookback: int = LOOKBACK) -> DataFrame:
+def formatted(df: DataFrame, conversation: str, turn: str, role: str, text: str, render: Callable[[list[Message]], str] = instruct, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv, nth, role, piece, loss_start, loss_end, rewrites): the output of each conversation, one row per turn in order, with
     the code points of the piece that are trained on (null for other roles). Rows of a conversation stay together in order.
 
     Turns are ordered by turn (null first), then role, then text; null roles and texts are empty; null conversations are
-    one conversation; repeated rows are turns of their own. A conversation of any length streams through one task, which its
-    order asks for. An empty table gives an empty table. Names of other columns don't matter.
+    one conversation; repeated rows are turns of their own. A conversation streams through one task, which its order asks for;
+    with a ``local`` template it may have any length, with others its cost grows with the square of its turns. An empty table gives an empty table. Names of other columns don't matter.
     """
     rows = df.select(named(conversation).alias("conv"), named(turn).alias("turn"), F.coalesce(named(role), F.lit("")).alias("role"), F.coalesce(named(text), F.lit("")).alias("text"))
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
@@ -103,7 +117,7 @@ def formatted(df: DataFrame, conversation: str, turn: str, role: str, text: str,
                         roles[:] = [r]
                         yield r, t
 
-                for nth, (piece, start, end, rewrites) in enumerate(turn_spans(messages(), render, lookback)):
+                for nth, (piece, start, end, rewrites) in enumerate(turn_spans(messages(), render)):
                     loss = (start, end) if roles[0] in trained and start >= 0 else (None, None)
                     yield conv, nth, roles[0], piece, *loss, rewrites
 

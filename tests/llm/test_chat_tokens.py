@@ -70,6 +70,33 @@ def test_black_box_templates():
     assert "".join(p for p, *_ in pieces) == instruct(long) and [unescaped(p[s:e]) for p, s, e, _ in pieces] == [t for _, t in long]
 
 
+def numbering(messages):
+    return "".join(f"<{i}:{r}>{t}" for i, (r, t) in enumerate(messages))
+
+
+def late(messages):
+    """Drops the text of turn 2 from turn 12 on, and names its tools from turn 3 on."""
+    return "".join(f"[{r}]" + ("" if i == 2 and len(messages) > 12 else t) + ("{tools}" if i == 3 else "") for i, (r, t) in enumerate(messages))
+
+
+def last_three(messages):
+    return "|".join(t for _, t in messages[-3:])
+
+
+def test_templates_see_whole_prefixes(spark):
+    turns = [("assistant" if i % 2 else "user", f"text {i}") for i in range(20)]
+    assert "".join(f[0] for f in turn_spans(iter(turns), numbering)) == numbering(turns)
+    found = list(turn_spans(iter(turns), late))
+    assert [i for i, f in enumerate(found) if f[3]] == [12] and found[12][0] == late(turns[:13])[len("[user]text 0[assistant]text 1[user]") :]
+    assert "".join(f[0] for f in found[:12]) == late(turns[:12])
+    assert [f[3] for f in turn_spans(iter(turns), last_three)] == [i >= 3 for i in range(20)]
+    table = spark.createDataFrame([(c, i, r, t) for c in range(3) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    rows = formatted(table, "conv_id", "turn", "role", "text", lambda messages: "".join(f"<{i}:{r}>{t}" for i, (r, t) in enumerate(messages))).collect()
+    for c in range(3):
+        pieces = sorted((r.nth, r.piece) for r in rows if r.conv == c)
+        assert "".join(p for _, p in pieces) == numbering(turns)
+
+
 def test_token_histogram(spark, sf):
     encode = encoder(open(token_counts.VOCABULARY, "rb").read()).encode_ordinary
     sizes = [len(encode(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
