@@ -107,13 +107,18 @@ def read_json(
     tasks; a document is read by one task, of up to 128 MiB. ``by_column`` reads documents that map each column name to its
     values, as a list or by row label.
 
-    What is no JSON is left out, and ``json_quarantine`` lists it; with ``strict`` it is an error.
+    What is no JSON is left out, and ``json_quarantine`` lists it; a field that does not fit a given schema is NULL in its
+    record. With ``strict`` both are errors.
     """
     if by_column:
         return _read_columns(spark, path)
     if lines and not record_path:
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        return flatten_structs(reader.json(path, mode="FAILFAST" if strict else "DROPMALFORMED"))
+        if strict:
+            reader = spark.read.schema(schema) if schema is not None else spark.read
+            return flatten_structs(reader.json(path, mode="FAILFAST"))
+        parsed = _json_lines(spark, path, schema)
+        folders = [m.col(c) for c in parsed.columns[2:]]
+        return flatten_structs(parsed.select(F.explode("records").alias("r"), *folders).select("r.*", *folders))
     records = _records(_json_documents(spark, path, lines), record_path, strict)
     if schema is not None:
         return flatten_structs(records.select(F.from_json("value", schema).alias("r")).select("r.*"))
@@ -123,11 +128,26 @@ def read_json(
     return flatten_structs(spark.read.json(folder))
 
 
-def json_quarantine(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """(value): the lines or documents that are no JSON array or object."""
+def json_quarantine(spark: SparkSession, path: str, lines: bool = True, schema: T.StructType | None = None) -> DataFrame:
+    """(value): the lines or documents that are no JSON array or object; of lines, those that ``read_json`` with this schema finds
+    no record in."""
+    if lines:
+        return _json_lines(spark, path, schema).where(F.col("records").isNull()).select("value")
     return _json_documents(spark, path, lines).where(~_holds_records("json")).select("value")
 
 
+def _json_lines(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+    """(value, records, columns of the folders): each line that is not blank; ``records`` is NULL where it is no record or array
+    of records."""
+    texts = spark.read.text(path).where(~F.col("value").rlike(r"^\s*\z"))
+    folders = texts.columns[1:]
+    if schema is None:
+        schema = spark.read.json(path, mode="DROPMALFORMED").schema
+    schema = T.StructType([f for f in schema.fields if f.name not in folders])
+    records = F.from_json("value", T.ArrayType(schema))
+    return texts.select("value", F.when(~F.exists(records, lambda r: r.isNull()), records).alias("records"), *map(m.col, folders))
+
+
 def _json_documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     """(value, json): each document, or line, that is not blank; ``json`` is NULL where it is no JSON."""
     texts = spark.read.text(path, wholetext=not lines).where(~F.col("value").rlike(r"^\s*\z"))

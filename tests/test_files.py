@@ -238,6 +238,21 @@ def test_every_json_document_decides_for_itself(spark, tmp_path):
         readers.read_json(spark, str(tmp_path), lines=False, strict=True).collect()
 
 
+def test_json_rows_and_quarantine_are_the_lines(spark, put):
+    lines = ['{"a": 1, "b": "x"}', '{"a": "12x", "b": "y"}', "no json", "7", '{"b": {"c": 1}}', '{"a": [1], "b": "z", "n": {"d": "soon", "e": 2}}', '{"a": 5, "b": ', "[1, 2]", "{}"]
+    path = put("t.json", "\n".join(lines) + "\n\n")
+    schema = T.StructType.fromDDL("a bigint, b string, n struct<d: date, e: int>")
+    df = readers.read_json(spark, path, schema)
+    aside = readers.json_quarantine(spark, path, schema=schema)
+    assert sorted(r.value for r in aside.collect()) == sorted(["no json", "7", '{"a": 5, "b": ', "[1, 2]"])
+    want = [(1, "x", None, None), (None, "y", None, None), (None, '{"c":1}', None, None), (None, "z", None, 2), (None, None, None, None)]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    assert df.count() + aside.count() == len(lines)
+    assert readers.read_json(spark, path).count() + readers.json_quarantine(spark, path).count() == len(lines)
+    many = put("m.json", '[{"a": 1}, {"a": "x", "b": "y"}]\n[]\n')
+    assert sorted(map(tuple, readers.read_json(spark, many, T.StructType.fromDDL("a bigint, b string")).collect()), key=str) == [(1, None), (None, "y")]
+
+
 def test_bad_json_lines_add_no_column(spark, put):
     path = put("t.json", '{"a": 1}\nnot json\n{"a": 2}\n')
     df = readers.read_table(spark, path)
