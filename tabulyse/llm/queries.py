@@ -16,7 +16,7 @@ from tabulyse.llm.quality import with_quality
 from tabulyse.llm.repeats import without_repeats
 from tabulyse.llm.simhash import near_duplicates
 from tabulyse.llm.token_counts import histogram
-from tabulyse.llm.url_rules import BLOCK, judged, mined_rules, tokens
+from tabulyse.llm.url_rules import BLOCK, document, judged, mined_rules, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     pages, labels = _table(spark, sf, "pages"), _table(spark, sf, "labels")
     bad = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad"))
-    known = pages.join(bad, pages["page_id"] == bad["doc_id"])
+    known = pages.join(bad, document(F.col("url")) == bad["doc_id"])
     items = F.when(F.col("bad"), F.concat(tokens(F.col("url")), F.array(F.lit(BLOCK)))).otherwise(tokens(F.col("url")))
     return judged(pages, "url", ["page_id"], mined_rules(known.select(items.alias("items"))))
 

@@ -2,7 +2,7 @@
 
 A URL is a set of tokens: host labels, the registered ending, path segments with numbers made alike, and names of query
 parameters. FP-growth finds the token combinations that labelled pages share with the label ``block``; those with enough
-support and confidence, and no shorter one as sure, become rules. A rule stands in an inverted index under its rarest
+support, that are surer than the share of bad pages by far and not by chance, and no shorter one as sure, become rules. A rule stands in an inverted index under its rarest
 token, so a URL meets few rules, and is checked against all its tokens there. Only DataFrame operations.
 """
 
@@ -26,7 +26,15 @@ RULES = (
 BLOCK = "label:block"
 LEAST_SUPPORT = 0.002
 LEAST_COUNT = 10
-LEAST_CONFIDENCE = 0.6
+#: A rule's confidence is at least so many times the share of bad pages; where that is above a third, halfway from it to 1.
+LEAST_LIFT = 2.0
+#: And it is above that share by so many standard errors of the rule's pages, which thousands of combinations don't reach by chance.
+LEAST_ERRORS = 4.0
+
+
+def document(url: Column) -> Column:
+    """The number of the document that a page shows: that of the last path segment, an ending aside; null if it is none."""
+    return F.regexp_extract(path(url), r"/([0-9]+)(?:\.[A-Za-z]+)?/?$", 1).try_cast("bigint")
 
 
 def _after_scheme(url: Column) -> Column:
@@ -56,18 +64,25 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
 
 
-def mined_rules(baskets: DataFrame, support: float = LEAST_SUPPORT, least: int = LEAST_COUNT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+def mined_rules(baskets: DataFrame, support: float = LEAST_SUPPORT, least: int = LEAST_COUNT, confidence: float | None = None) -> DataFrame:
     """(rule array<string>, confidence, support, token): combinations that imply ``BLOCK``; ``token`` is the rarest of each.
 
     ``baskets`` has one array ``items`` per labelled page, tokens and, where it holds, ``BLOCK``. Rules need the larger of
-    ``support`` (share of the baskets) and ``least`` baskets. A rule goes if a part of it is as sure.
+    ``support`` (share of the baskets) and ``least`` baskets. Their confidence is judged against the share of baskets with
+    ``BLOCK``, by ``LEAST_LIFT`` and ``LEAST_ERRORS``; or, where it is given, by ``confidence`` alone. A rule goes if a part of
+    it is as sure.
     """
-    many = baskets.count()
+    many, bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
     spark = baskets.sparkSession
-    if not many:
+    if not bad:
         return spark.createDataFrame([], "rule array<string>, confidence double, support double, token string")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / many)), minConfidence=confidence).fit(baskets)
+    usual = bad / many
+    wanted = min(LEAST_LIFT * usual, (1 + usual) / 2) if confidence is None else confidence
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / many)), minConfidence=wanted).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
+    if confidence is None:
+        pages = F.col("support") * many / F.col("confidence")
+        rules = rules.where((F.col("confidence") - usual) * F.sqrt(pages) > LEAST_ERRORS * (usual * (1 - usual)) ** 0.5)
     rules = staged(rules, "url-rules")
     often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rarest = rules.select("rule", F.explode("rule").alias("token")).join(often, "token").groupBy("rule").agg(F.min(F.struct("freq", "token")).alias("rarest"))

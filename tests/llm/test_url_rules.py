@@ -4,7 +4,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tabulyse.llm.queries import QUERIES
-from tabulyse.llm.url_rules import BLOCK, RULES, judged, mined_rules, tokens
+from tabulyse.llm.url_rules import BLOCK, RULES, document, judged, mined_rules, tokens
 
 
 def plain(url, rules=RULES):
@@ -47,6 +47,36 @@ def test_tokens(spark):
     assert row[0].t == ["h:a", "h:b", "h:com", "e:b.com", "p:x", "p:0", "p:p0.html", "q:id", "q:ref"] and row[1].t == []
 
 
+def test_query_blocks_planted_hosts(spark, tmp_path):
+    rows = []
+    for i in range(3000):
+        host = "spam.example.org" if i % 20 == 0 else f"www.site{i % 7}.org"
+        rows.append((i, f"http://{host}/en/{(i * 7) % 3000}" + ("", ".html", "/", "?page=2&ref=x", "#top")[i // 20 % 5]))
+    # Pages of the planted host show bad documents in two of five cases, others in one of fifty.
+    bad = {(i * 7) % 3000 for i in range(3000) if (i % 20 == 0 and i // 100 % 5 < 2) or (i % 20 and i % 53 == 1)}
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(d, 1, int(d in bad)) for d in range(3000)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    urls = dict(rows)
+    out = QUERIES["op7_url_rules"](spark, str(tmp_path)).collect()
+    assert {r.page_id: r.verdict for r in out} == {i: "block" if "spam" in u else "allow" for i, u in urls.items()}
+    assert all(("spam" in r.mined_rule) for r in out if r.mined_rule)
+
+
+def test_rules_need_more_than_chance(spark):
+    few = [["h:a", BLOCK]] * 11 + [["h:a"]] * 8 + [["h:b", BLOCK]] * 241 + [["h:b"]] * 711  # 0.579 against 0.260: 3.2 standard errors
+    assert mined_rules(spark.createDataFrame([(b,) for b in few], "items array<string>")).count() == 0
+    many = few + [["h:a", BLOCK]] * 110 + [["h:a"]] * 80
+    assert [tuple(r.rule) for r in mined_rules(spark.createDataFrame([(b,) for b in many], "items array<string>")).collect()] == []
+    rare = [["h:a", BLOCK]] * 40 + [["h:a"]] * 60 + [["h:b", BLOCK]] * 20 + [["h:b"]] * 1880
+    assert [tuple(r.rule) for r in mined_rules(spark.createDataFrame([(b,) for b in rare], "items array<string>")).collect()] == [("h:a",)]
+
+
+def test_document_of_a_page(spark):
+    urls = ["http://a.b/en/12", "http://a.b/en/12.html", "http://a.b/en/12/", "http://a.b/en/12?page=2", "http://a.b/en/12#top", "http://a.b/en/x12", "http://a.b/?12", "12", None]
+    found = spark.createDataFrame([(u,) for u in urls], "u string").select(document(F.col("u")).alias("d")).collect()
+    assert [r.d for r in found] == [12] * 5 + [None] * 4
+
+
 def test_mined_rules_against_all_combinations(spark):
     baskets = [["a", "b", BLOCK]] * 12 + [["a", "c"]] * 10 + [["b", "c"]] * 9 + [["d", "e", BLOCK]] * 14 + [["d"]] * 2 + [["f", BLOCK]] * 3
     frame = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
