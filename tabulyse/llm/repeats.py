@@ -1,12 +1,13 @@
-"""Duplicate passages by relative Lempel-Ziv parsing against blocks of the corpus itself.
+"""Duplicate passages by looking up every window of words, in place of a greedy relative Lempel-Ziv parse.
 
-A reference block is what one task holds at a time: about ``BLOCK_WORDS`` words of whole documents, indexed by the hashes
-of its windows (``window`` words). A document is parsed greedily against the indexes: at a word, the earliest reference of
-the window that starts there opens a factor, and the factor grows while the next windows are found right after it in the
-same reference. Every start is looked up, also those at the end of one factor and the beginning of the next, so a passage
-that straddles two factors but is found whole elsewhere is not missed. Factors have at least ``window`` words; what they
-cover is duplicate. Parsing against the own block happens in the task. Against all other blocks it is one lookup: blocks
-send the first place of each window to the window's hash, and the earliest place wins.
+A window (``window`` words) that also starts earlier in the corpus is duplicate, with the earliest place as its reference;
+windows that follow one another in a document and in the reference are one factor. A greedy parse keeps a factor's first
+reference as long as it lasts; here the earliest place of each window decides, so a factor ends where that changes. Covered
+are the words of all windows that start earlier, also of those that would straddle two greedy factors.
+
+A block is what one task holds at a time: about ``BLOCK_WORDS`` words of whole documents. For the removal of repeats, what
+repeats inside a block is settled in the task; against all other blocks it is one lookup: blocks send the first place of
+each window to the window's hash, and the earliest place wins. ``factors`` looks up all windows, whatever their block.
 
 Sending every window would cost several times the corpus. So an anchor stands for windows first: the smallest hash of the
 ``anchor`` words that start in the window's first ``window - anchor + 1`` places. Equal windows have equal anchors, thus only
@@ -149,9 +150,9 @@ def _pairs_in(owner: np.ndarray, values: np.ndarray, lists: pa.ListArray) -> np.
     return pick
 
 
-def _window_rows(window: int, anchor: int, names: list[str]):
+def _window_rows(window: int, anchor: int, names: list[str], settle: bool = True):
     """Rows (hash, doc, at, settled) of the windows whose anchor repeats. ``at`` packs the word a window starts at and the
-    document's mark.
+    document's mark. Without ``settle`` it is (hash, doc, at) of each.
 
     First places in the block have nothing in ``settled`` yet. The others come as runs that follow one reference: (salt, count,
     ref_doc, ref_start), salted apart.
@@ -172,6 +173,9 @@ def _window_rows(window: int, anchor: int, names: list[str]):
                 start = starts - block.begin[owner]
                 keys = batch.column(0).slice(first, len(block.begin)).to_pylist()
                 at = start << 32 | np.asarray(batch.column(1).slice(first, len(block.begin)))[owner]
+                if not settle:
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(pa.array(owner + first)), pa.array(at)], names)
+                    continue
                 rank = _ranks(keys)[owner]
                 order = np.lexsort((at, rank, found))
                 owner, found, start, at, rank = (x[order] for x in (owner, found, start, at, rank))
@@ -202,13 +206,25 @@ def _window_rows(window: int, anchor: int, names: list[str]):
 def factors(df: DataFrame, key: str, text: str, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc, mark, start, words, ref_doc, ref_start): passages of at least ``window`` words that also start earlier, in a
     smaller key or at an earlier word of the same key, with one earlier place of each. ``mark`` tells apart rows that share
-    a key but not the text. Positions count words from 0. Factors of one document may overlap; other documents' order of
-    parsing does not matter, as all are judged on the input.
+    a key but not the text. Positions count words from 0. A factor is as long as the earliest places of its windows follow one
+    another. Factors of one document may overlap; neither blocks nor batches nor the order of documents matter.
 
     Null keys are smaller than any other. Rows equal in key and text are one document. Rows equal in key but not in text
     come in the order of a window's start in them, then of their marks. Texts that are null or below ``window`` words have none.
     """
-    return _found(_documents(df, key, text), window, anchor)
+    asked = _asked(_documents(df, key, text), window, anchor)
+    schema = StructType([*StructType.fromDDL("hash long"), asked.schema["doc"], *StructType.fromDDL("at long")])
+    windows = asked.mapInArrow(_window_rows(window, anchor, schema.fieldNames(), settle=False), schema).distinct()
+    place = F.struct("doc", "at")
+    told = windows.join(windows.groupBy("hash").agg(F.min(place).alias("first")), "hash").where(~place.eqNullSafe(F.col("first")))
+    low = F.lit(0xFFFFFFFF)
+    start, ref_start = (F.shiftright(c, 32).cast("int") for c in ("at", "first.at"))
+    each = told.select("doc", F.col("at").bitwiseAND(low).alias("mark"), start.alias("start"), F.col("first.doc").alias("ref_doc"), F.col("first.at").bitwiseAND(low).alias("ref_mark"), ref_start.alias("ref_start"))
+    apart = ["doc", "mark", "ref_doc", "ref_mark", F.col("start") - F.col("ref_start")]
+    run = F.col("start") - F.row_number().over(Window.partitionBy(*apart).orderBy("start"))
+    runs = each.withColumn("run", run).groupBy(*apart[:4], (F.col("start") - F.col("ref_start")).alias("apart"), "run")
+    whole = runs.agg(F.min("start").alias("start"), (F.count("*") + (window - 1)).cast("int").alias("words"), F.min("ref_start").alias("ref_start"))
+    return whole.select("doc", "mark", "start", "words", "ref_doc", "ref_start")
 
 
 def _documents(df: DataFrame, key: str, text: str, columns: list[str] | None = None) -> DataFrame:
@@ -225,7 +241,8 @@ def _group(rows: DataFrame) -> Column:
     return F.coalesce(F.col("doc").cast("string"), F.lit(""))
 
 
-def _found(documents: DataFrame, window: int, anchor: int) -> DataFrame:
+def _asked(documents: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(doc, mark, text, anchors): the documents in which an anchor repeats."""
     source = documents.select("doc", "mark", "text", "group")
     doc = source.schema["doc"]
     schema = StructType([doc, *StructType.fromDDL("anchor long, at long")])
@@ -234,7 +251,13 @@ def _found(documents: DataFrame, window: int, anchor: int) -> DataFrame:
     times = F.count("*").over(Window.partitionBy("anchor", F.shiftright(low, 1)))
     counted = places.withColumn("times", times).where((F.col("at") % 2 == 1) | (F.col("times") > 1))
     repeated = counted.groupBy(_group(counted).alias("group"), F.shiftright("at", 32).alias("mark")).agg(F.collect_list("anchor").alias("anchors"))
-    asked = source.join(repeated, ["group", "mark"]).select("doc", "mark", "text", "anchors")
+    return source.join(repeated, ["group", "mark"]).select("doc", "mark", "text", "anchors")
+
+
+def _found(documents: DataFrame, window: int, anchor: int) -> DataFrame:
+    """What ``factors`` covers, in pieces that depend on blocks: (doc, mark, start, words, ref_doc, ref_start)."""
+    asked = _asked(documents, window, anchor)
+    doc = asked.schema["doc"]
     settled = StructType.fromDDL("salt int, count int").add("ref_doc", doc.dataType).add("ref_start", "integer")
     schema = StructType([*StructType.fromDDL("hash long"), doc, *StructType.fromDDL("at long")]).add("settled", settled)
     looked_up = asked.mapInArrow(_window_rows(window, anchor, schema.fieldNames()), schema)

@@ -107,5 +107,17 @@ def test_factors_point_at_equal_earlier_words(spark, documents):
     assert covered == {k: g for (k, _), g in plain(docs).items() if g}
 
 
+def test_factors_do_not_depend_on_blocks(spark, documents, monkeypatch):
+    docs = [(i, t) for i, (_, t) in enumerate(some_documents())] + [(None, " ".join(f"p{i}" for i in range(500))), (1000, "x " + " ".join(f"p{i}" for i in range(500)))]
+
+    def rows(parts):
+        return sorted((tuple(r) for r in factors(documents(docs).repartition(parts), "doc_id", "text").collect()), key=str)
+
+    whole = rows(1)
+    monkeypatch.setattr(repeats, "BLOCK_WORDS", 50)
+    assert rows(1) == whole and rows(5) == whole and len(set(whole)) == len(whole)
+    assert [(r[2:]) for r in whole if r[0] == 1000] == [(1, 500, None, 0)]
+
+
 def test_empty_table(spark, documents):
     assert without_repeats(documents([(1, "a")]).where(F.lit(False)), "doc_id", "text").count() == 0
