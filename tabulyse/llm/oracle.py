@@ -74,3 +74,9 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS rest, count(*) AS n
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)
 """
+
+ORACLE["op12_exact_dedup"] = r"""
+WITH docs AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+classes AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM docs GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM docs JOIN classes USING (t)
+"""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulyse.llm.alignment import with_links
 from tabulyse.llm.chat import formatted, read_back
 from tabulyse.llm.decontaminate import contamination
+from tabulyse.llm.exact_dedup import with_copies
 from tabulyse.llm.language import HELD_OUT, fit, remainder, with_language
 from tabulyse.llm.mixing import mixed
 from tabulyse.llm.pii import KINDS, listed, with_spans
@@ -81,6 +83,15 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = with_copies(_table(spark, sf, "documents"), "doc_id", "text")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return with_links(_table(spark, sf, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
@@ -92,4 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_alignment": op13_alignment,
 }
