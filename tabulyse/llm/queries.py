@@ -17,6 +17,7 @@ from tabulyse.llm.pii import KINDS, listed, with_spans
 from tabulyse.llm.quality import with_quality
 from tabulyse.llm.repeats import without_repeats
 from tabulyse.llm.simhash import near_duplicates
+from tabulyse.llm.spelling import spelling_variants
 from tabulyse.llm.token_counts import histogram
 from tabulyse.llm.url_rules import BLOCK, document, judged, mined_rules, tokens
 
@@ -83,6 +84,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf, "documents"), "doc_id", "text")
+
+
 def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = with_copies(_table(spark, sf, "documents"), "doc_id", "text")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
+    "op11_spelling": op11_spelling,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_alignment": op13_alignment,
 }
