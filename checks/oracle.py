@@ -155,6 +155,7 @@ def top_sql(source: str, columns: list[str], k: int = 10) -> str:
 
 
 ORACLE["top_values"] = top_sql("part", ["p_name", "p_brand", "p_type", "p_size"])
+ORACLE["top_values_frequent"] = top_sql("lineitem", ["l_suppkey", "l_quantity", "l_returnflag", "l_orderkey", "l_shipdate"], 8)
 # Ties among long texts go by their digest.
 ORACLE["top_values_text"] = """
 with counted as (
@@ -261,6 +262,13 @@ ORACLE["top_correlations"] = f"""
 with {GAPPY}, pairs as ({_pairs})
 select column_a, column_b, abs(r) as strength, r from pairs order by strength desc, column_a, column_b limit 10"""
 
+_w = [f"l_quantity * {i % 7} + l_extendedprice * {i % 11} / 1000 + l_discount * {i % 5} * 100 + l_tax * {i % 3} * 100 + l_orderkey * {i + 1} % {97 + i} as w{i}" for i in range(200)]
+_corrs = ", ".join(f"{{'a': 'w{i}', 'b': 'w{j}', 'r': corr(w{i}, w{j})}}" for i, j in combinations(range(200), 2))
+ORACLE["top_correlations_wide"] = f"""
+with {GAPPY}, wide as (select {', '.join(_w)} from gappy), listed as (select unnest([{_corrs}]) as p from wide),
+pairs as (select p.a as column_a, p.b as column_b, coalesce(round(case when isfinite(p.r) then p.r end, 3), 0.0) as r from listed)
+select column_a, column_b, abs(r) as strength, r from pairs order by strength desc, column_a, column_b limit 40"""
+
 ORACLE["scatter_sample"] = """
 select o_orderkey, round(o_totalprice, 3) as x, cast(o_custkey as double) as y from orders
 order by md5('42:' || o_orderkey), o_orderkey limit 500"""
@@ -564,10 +572,10 @@ ORACLE["synth_people"] = (
     "select c_custkey, " + ",\n".join(f'{sql} as "{t.replace(" ", "_")}"' for t, sql in sorted(people_sql().items())) + " from customer"
 )
 
-_CONTACT = People("contact")
+_CONTACT = People("reply_to")
 _HANDLE = f"lower({_CONTACT.pick(v.FIRST_NAMES)} || '.' || {_CONTACT.pick(v.LAST_NAMES, 1)} || c_custkey)"
 ORACLE["synth_preset"] = f"""
-select c_custkey, {_HANDLE} || '@' || {_CONTACT.pick(v.DOMAINS, 2)} as contact, {People("town").pick(v.CITIES)} as town from customer"""
+select c_custkey, {_HANDLE} || '@' || {_CONTACT.pick(v.DOMAINS, 2)} as reply_to, {People("delivery_city").pick(v.CITIES)} as delivery_city from customer"""
 
 # Conversations
 
@@ -578,10 +586,17 @@ ORACLE["conversation_title"] = rf"""
 select conv_id, coalesce(nullif(regexp_replace(substr(text, 1, 50), {_TRIM}), ''), 'New Chat') as title
 from conversations qualify row_number() over (partition by conv_id order by turn) = 1"""
 ORACLE["conversation_archive"] = """
-select conv_id, turn // 1000 as part, count(*) as n, arg_min(role, turn) as first_role, arg_min(text, turn) as first_text,
+select conv_id, cast(0 as bigint) as part, count(*) as n, arg_min(role, turn) as first_role, arg_min(text, turn) as first_text,
        arg_max(role, turn) as last_role, arg_max(text, turn) as last_text,
        string_agg(cast(turn as varchar), ',' order by turn) as turns
-from conversations group by conv_id, turn // 1000"""
+from conversations group by conv_id"""
+ORACLE["archive_long_conversation"] = """
+with placed as (
+  select conv_id % 7 as conv_id, turn * 1000000 as turn, role, text,
+         row_number() over (partition by conv_id % 7 order by turn, role, text) - 1 as place from conversations)
+select conv_id, place // 100 as part, count(*) as n,
+       sha256(string_agg(turn || ':' || role || ':' || text, chr(10) order by place)) as digest
+from placed group by conv_id, place // 100"""
 ORACLE["message_lists"] = f"""
 with {_LAST4}, numbered as (
   select conv_id, row_number() over (partition by conv_id order by turn) as position, role, text,
@@ -613,6 +628,22 @@ ORACLE["usage_minute"] = """
 with counted as (select event_type, date_trunc('minute', ts) as window_start, count(*) as used,
                  cast(case event_type when 'view' then 2 else 1 end as bigint) as "limit" from events group by 1, 2)
 select event_type, window_start, used, "limit", used > "limit" as over, greatest(used - "limit", 0) as rejected from counted"""
+
+
+def first_hit(key: str, hours: int, limit: str) -> str:
+    return f"""
+with recursive chain as (
+  select {key}, min(ts) as start from events group by {key}
+  union all
+  select c.{key}, min(e.ts) from chain c join events e on e.{key} = c.{key} and e.ts >= c.start + interval {hours} hours group by c.{key}, c.start),
+counted as (
+  select c.{key}, c.start as window_start, count(*) as used, cast({limit} as bigint) as "limit"
+  from chain c join events e on e.{key} = c.{key} and e.ts >= c.start and e.ts < c.start + interval {hours} hours group by 1, 2)
+select {key}, window_start, used, "limit", used > "limit" as over, greatest(used - "limit", 0) as rejected from counted"""
+
+
+ORACLE["usage_first_hit"] = first_hit("user_id", 24, "2")
+ORACLE["usage_first_hit_kinds"] = first_hit("event_type", 6, "case c.event_type when 'click' then 4 else 9 end")
 ORACLE["usage_daily"] = """
 with counted as (select user_id, event_type, cast(ts as date) as day, count(*) as used,
                  cast(case event_type when 'click' then 1 when 'view' then 2 else 3 end as bigint) as "limit" from events group by 1, 2, 3)
@@ -658,9 +689,13 @@ select cast(sum(n) as bigint) as rows, cast(sum(n) - count(*) as bigint) as dupl
 ORACLE["distinct_nested"] = f"""
 with {_WIDE}
 select 'at' as "column", count(*) as n, cast(0 as bigint) as missing, count(distinct (ts, user_id)) as "distinct" from wide
-union all select 'zoned', count(*), cast(0 as bigint), count(distinct ts) from wide"""
+union all select 'zoned', count(*), cast(0 as bigint), count(distinct ts) from wide
+union all select 'zero', count(*), cast(0 as bigint), count(distinct user_id) from wide
+union all select 'map', count(*), cast(0 as bigint), count(distinct user_id) from wide"""
+ORACLE["duplicate_rows_approx"] = f"""
+with {_WIDE} select count(*) as rows, true as near, true as narrow from wide"""
 ORACLE["parse_large_numbers"] = f"""
-select o_orderkey, {choose("o_orderkey", ["o_orderkey + 9007199254740993", "o_orderkey + 9007199254740993", "-(o_orderkey + 9007199254740993)", "null"])} as as_long from orders"""
+select o_orderkey, {choose("o_orderkey", ["o_orderkey + 9007199254740993", "o_orderkey + 9007199254740993", "-(o_orderkey + 9007199254740993)", "null", "o_orderkey + 9007199254740993", "o_orderkey + 9007199254740993"])} as as_long from orders"""
 ORACLE["iso_texts"] = """
 select event_id, strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m-%dT%H:%M:%S') as moment from events"""
 ORACLE["csv_quoted_breaks"] = """

@@ -18,7 +18,7 @@ from tabulyse.operators import conversations as conv
 from tabulyse.operators import distribution as dist
 from tabulyse.operators import json_rows, normalize_table, preview, profile, quantiles, relations, synth, usage
 from tabulyse.operators.identity import link_identities
-from tabulyse.operators.value_counts import approx_distinct_and_missing, distinct_and_missing
+from tabulyse.operators.value_counts import approx_distinct_and_missing, distinct_and_missing, frequent_values, row_sketches, sketched_duplicates
 from tabulyse.plans.report import report_long
 from tabulyse.session import scratch_dir
 from tabulyse.sinks.insert_text import insert_statements, table_name
@@ -88,11 +88,25 @@ def duplicate_rows_wide(spark, sf):
     return profile.duplicate_rows(wide_events(spark, sf))
 
 
+@query
+def duplicate_rows_approx(spark, sf):
+    """Duplicates from sketches kept per kind of event and merged, held against the exact count."""
+    wide = wide_events(spark, sf)
+    kept = row_sketches(wide, ["event_type"])
+    both = sketched_duplicates(kept).join(profile.duplicate_rows(wide).select("rows", F.col("duplicates").alias("exact")), "rows")
+    near = F.abs(F.col("duplicates") - F.col("exact")) <= F.col("margin")
+    return both.select("rows", near.alias("near"), (F.col("margin") < F.col("rows") / 10).alias("narrow"))
+
+
 @query
 def distinct_nested(spark, sf):
-    """Distinct structs that differ by a microsecond only."""
-    nested = wide_events(spark, sf).select(F.struct("ts", "user_id").alias("at"), F.struct(F.col("ts").cast("timestamp").alias("t")).alias("zoned"))
-    return distinct_and_missing(nested, ["at", "zoned"])
+    """Distinct structs that differ by a microsecond only, by the sign of a zero, or maps by the order of their entries."""
+    user, odd = F.col("user_id"), F.col("event_id") % 2 == 0
+    wide = wide_events(spark, sf).withColumn("event_id", F.unix_micros(F.col("ts").cast("timestamp")))
+    zero = F.struct(F.when(odd, 0.0).otherwise(-0.0).alias("z"), user)
+    both = F.when(odd, F.create_map(F.lit("a"), user, F.lit("b"), F.lit(1))).otherwise(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), user))
+    nested = wide.select(F.struct("ts", "user_id").alias("at"), F.struct(F.col("ts").cast("timestamp").alias("t")).alias("zoned"), zero.alias("zero"), both.alias("map"))
+    return distinct_and_missing(nested, ["at", "zoned", "zero", "map"])
 
 
 @query
@@ -154,6 +168,12 @@ def top_values(spark, sf):
     return profile.top_values(table(spark, sf, "part"), ["p_name", "p_brand", "p_type", "p_size"])
 
 
+@query
+def top_values_frequent(spark, sf):
+    """Frequent values by candidates and bounds: columns with frequent values, and two of which no value is."""
+    return frequent_values(table(spark, sf, "lineitem"), ["l_suppkey", "l_quantity", "l_returnflag", "l_orderkey", "l_shipdate"], k=8)
+
+
 @query
 def top_values_text(spark, sf):
     return profile.top_values(table(spark, sf, "documents"), ["text", "lang"])
@@ -219,6 +239,14 @@ def top_correlations(spark, sf):
     return relations.top_correlations(gappy_lineitem(spark, sf), MEASURES + ["l_orderkey", "l_partkey", "l_linenumber"])
 
 
+@query
+def top_correlations_wide(spark, sf):
+    """The strongest of the 19,900 pairs of 200 columns, some of them with gaps."""
+    a, b, c, d = (F.col(x) for x in MEASURES)
+    wide = gappy_lineitem(spark, sf).select(*[((a * (i % 7) + b * (i % 11) / 1000 + c * (i % 5) * 100 + d * (i % 3) * 100 + F.pmod(F.col("l_orderkey") * (i + 1), F.lit(97 + i))).alias(f"w{i}")) for i in range(200)])
+    return relations.top_correlations(wide, n=40)
+
+
 @query
 def scatter_sample(spark, sf):
     return relations.scatter_sample(table(spark, sf, "orders"), "o_totalprice", "o_custkey", ["o_orderkey"])
@@ -305,7 +333,8 @@ def parse_large_numbers(spark, sf):
     """Whole numbers beyond 2^53, in several spellings."""
     whole = F.col("o_orderkey") + F.lit(9007199254740993)
     plain = whole.cast("string")
-    spellings = [plain, F.concat(F.lit("$"), F.format_number(whole, 0)), F.concat(F.lit(" -"), plain, F.lit(" pcs")), F.concat(plain, F.lit("0000"))]
+    spellings = [plain, F.concat(F.lit("$"), F.format_number(whole, 0)), F.concat(F.lit(" -"), plain, F.lit(" pcs")), F.concat(plain, F.lit("0000")),
+                 F.concat(plain, F.lit(".00")), F.concat(F.lit("€ "), F.format_number(whole, 0), F.lit(".75"))]
     return table(spark, sf, "orders").select("o_orderkey", n.parse_long(variant("o_orderkey", spellings)).alias("as_long"))
 
 
@@ -690,6 +719,16 @@ def conversation_archive(spark, sf):
     return nested.select("conv_id", "part", "n", *shown, turns.alias("turns"))
 
 
+@query
+def archive_long_conversation(spark, sf):
+    """All messages as seven conversations of sparse turns, each turn said by many."""
+    messages = table(spark, sf, "conversations")
+    merged = messages.select((F.col("conv_id") % 7).alias("conv_id"), (F.col("turn") * 1_000_000).alias("turn"), "role", "text")
+    nested = conv.conversation_archive(merged, turns_per_row=100)
+    said = F.transform("messages", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"], x["text"]))
+    return nested.select("conv_id", "part", "n", F.sha2(F.array_join(said, "\n"), 256).alias("digest"))
+
+
 @query
 def message_lists(spark, sf):
     lists = conv.message_lists(table(spark, sf, "conversations"), "Answer with tables.", "Now the rows.", k=4)
@@ -717,6 +756,19 @@ def usage_minute(spark, sf):
     return usage.usage_minute(table(spark, sf, "events"), "event_type", limits, other=1)
 
 
+@query
+def usage_first_hit(spark, sf):
+    """Windows of a day from a user's first event on."""
+    events = table(spark, sf, "events")
+    return usage.usage_first_hit(events, "user_id", other=2, seconds=86_400)
+
+
+@query
+def usage_first_hit_kinds(spark, sf):
+    """A few keys with all events between them, in windows of six hours."""
+    return usage.usage_first_hit(table(spark, sf, "events"), "event_type", {"click": 4}, other=9, seconds=21_600)
+
+
 @query
 def usage_daily(spark, sf):
     return usage.usage_daily(table(spark, sf, "events"), "user_id", "event_type", {"click": 1, "view": 2}, other=3)

@@ -18,7 +18,7 @@ _WS = (
 _NULL_RE = rf"^{_WS}*+(?i:{'|'.join(t.replace('-', chr(92) + '-') for t in fixed.NULL_TOKENS if t)})?{_WS}*+\z"
 
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
-_WHOLE_NUMBER = r"^[+-]?[0-9]++\z"
+_FIXED_POINT = r"^[+-]?[0-9]*+\.?[0-9]*+\z"
 _INFINITY = r"^[+-]?inf(?:inity)?\z"
 # Everything that is not part of a number. An e stays only as an exponent, between digits.
 _NUMBER_NOISE = r"[^0-9.eE+-]++|(?<![0-9.])[eE]|[eE](?![+-]?[0-9])"
@@ -63,13 +63,17 @@ def parse_double(c: Column) -> Column:
 
 
 def parse_long(c: Column) -> Column:
-    """Text to bigint, cutting the fraction off; NULL when out of range. Whole numbers are exact, beyond 2^53 too."""
+    """Text to bigint, cutting the fraction off; NULL when out of range. Exact beyond 2^53 too, but for exponents."""
 
-    def whole(s: Column) -> Column:
-        cleaned = let(F.regexp_replace(s, _NUMBER_NOISE, ""), lambda d: F.when(d.rlike(_WHOLE_NUMBER), d.try_cast("bigint")))
-        return F.when(s.rlike(_WHOLE_NUMBER), s.try_cast("bigint")).otherwise(cleaned)
+    def cut(d: Column) -> Column:
+        whole = F.substring_index(d, ".", 1)
+        plain = F.when(whole.rlike(r"[0-9]"), whole.try_cast("bigint")).when(d.rlike(r"\.[0-9]"), F.lit(0).cast("bigint"))
+        return F.when(d.rlike(_FIXED_POINT), plain).when(d.rlike(_PLAIN_NUMBER), d.try_cast("double").try_cast("bigint"))
 
-    return F.coalesce(let(strip(null_if_token(c)), whole), parse_double(c).try_cast("bigint"))
+    def parsed(s: Column) -> Column:
+        return F.when(s.rlike(_FIXED_POINT), cut(s)).otherwise(let(F.regexp_replace(s, _NUMBER_NOISE, ""), cut))
+
+    return let(strip(null_if_token(c)), parsed)
 
 
 def parse_boolean(c: Column) -> Column:

@@ -17,17 +17,28 @@ COMPANY_ENDINGS = ["Group", "Labs", "Partners", "Works"]
 JOBS = "Accountant Analyst Architect Buyer Chemist Curator Designer Editor Engineer Geologist Librarian Nurse Planner Surveyor Teacher Translator".split()
 DEPARTMENTS = "Accounts|Analytics|Design|Field Service|Logistics|People|Procurement|Production|Quality|Support".split("|")
 COLORS = "Azure Beige Coral Crimson Cyan Gold Indigo Ivory Lavender Lime Maroon Navy Olive Teal Turquoise Violet".split()
-#: Columns of a ready-made schema, by what they hold; {topic} is the topic's name.
+#: What a table to try tools with should hold: keys, moments, measures of several spreads, few-valued columns, places on a
+#: map, people and how to reach them, and prose. {topic} is the topic's name.
 PRESET_COLUMNS = [
-    ("{topic}_number", "Number"),
-    ("title", "String"),
-    ("summary", "String"),
-    ("kind", "String"),
-    ("state", "String"),
-    ("opened_on", "Date"),
-    ("quantity", "Number"),
-    ("contact", "Email"),
-    ("town", "City"),
-    ("remark", "String"),
+    ("{topic}_uid", "UUID"),
+    ("measured_at", "Datetime"),
+    ("unit_price", "Price"),
+    ("weight", "Float"),
+    ("in_stock", "Boolean"),
+    ("department", "Department"),
+    ("latitude", "Latitude"),
+    ("longitude", "Longitude"),
+    ("delivery_city", "City"),
+    ("delivery_country", "Country"),
+    ("owner", "Full Name"),
+    ("reply_to", "Email"),
+    ("hotline", "Phone Number"),
+    ("homepage", "URL"),
+    ("points", "Integer"),
+    ("due", "Date"),
+    ("colour", "Color"),
+    ("story", "Paragraph"),
+    ("year", "Number"),
+    ("label", "String"),
 ]
 DOMAINS = ["example.com", "example.net", "example.org"]

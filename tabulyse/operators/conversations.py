@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tabulyse.functions import fixed_values as fixed
 from tabulyse.functions.normalize import strip
+from tabulyse.operators.positions import numbered
+from tabulyse.session import written
 
 HISTORY_MESSAGES = 12
 TITLE_LETTERS = 50
@@ -19,31 +21,45 @@ def has_table(text: Column) -> Column:
 
 
 def recent_history(messages: DataFrame, k: int = HISTORY_MESSAGES) -> DataFrame:
-    """The last k messages of every conversation.
+    """The last k messages of every conversation; messages of one turn come by role and text.
 
     Each task keeps k rows per conversation before the shuffle, so a huge conversation costs no more
     than a small one.
     """
-    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
     return messages.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= k).drop("back")
 
 
 def conversation_title(messages: DataFrame, default: str = fixed.DEFAULT_TITLE) -> DataFrame:
     """(conv_id, title): the first letters of the first message, or a default if they are blank."""
-    first = messages.groupBy("conv_id").agg(F.min_by(F.substring("text", 1, TITLE_LETTERS), "turn").alias("head"))
-    return first.select("conv_id", F.coalesce(F.nullif(strip(F.col("head")), F.lit("")), F.lit(default)).alias("title"))
+    first = messages.groupBy("conv_id").agg(F.min(F.struct("turn", "role", F.substring("text", 1, TITLE_LETTERS).alias("head"))).alias("first"))
+    return first.select("conv_id", F.coalesce(F.nullif(strip(F.col("first.head")), F.lit("")), F.lit(default)).alias("title"))
 
 
 def conversation_archive(messages: DataFrame, turns_per_row: int = ARCHIVE_TURNS) -> DataFrame:
-    """(conv_id, part, n, messages): conversations as nested rows, messages in turn order.
+    """(conv_id, part, n, messages): conversations as nested rows, messages in the order of turn, role and text.
 
-    A conversation of up to ``turns_per_row`` turns is one row, part 0. A longer one continues in
-    further rows, so no row, task or group grows with the length of a conversation.
+    A conversation of up to ``turns_per_row`` messages is one row, part 0. A longer one continues in further rows of as many
+    messages, whatever their turns, so no row, task or group grows with the length of a conversation. Whether there are long
+    ones is counted when the function is called; only their messages are numbered.
     """
-    part = F.floor(F.col("turn") / turns_per_row).cast("bigint").alias("part")
     message = F.struct("turn", "role", "text", F.when(F.col("role") == "assistant", has_table(F.col("text"))).otherwise(False).alias("show_download"))
-    nested = messages.groupBy("conv_id", part).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(message)).alias("messages"))
-    return nested.select("conv_id", "part", "n", "messages")
+    long = written(messages.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > turns_per_row).select("conv_id"), "long-conversations")
+    rows, same = messages.select("conv_id", "turn", "role", "text"), F.col("m.conv_id").eqNullSafe(F.col("l.conv_id"))
+    some = not long.isEmpty()
+    short = rows.alias("m").join(long.alias("l"), same, "left_anti") if some else rows
+    whole = short.groupBy("conv_id").agg(F.lit(0).cast("bigint").alias("part"), F.count("*").alias("n"), F.sort_array(F.collect_list(message)).alias("messages"))
+    if not some:
+        return whole
+    placed = numbered(rows.alias("m").join(long.alias("l"), same, "left_semi"), ["conv_id"], ["turn", "role", "text"])
+    # Equal messages are one row of n places; each part takes the places that fall to it.
+    first, last = F.col("before"), F.col("before") + F.col("n")
+    parts = placed.withColumn("part", F.explode(F.sequence(F.floor(first / turns_per_row), F.floor((last - 1) / turns_per_row))))
+    copies = F.least(last, (F.col("part") + 1) * turns_per_row) - F.greatest(first, F.col("part") * turns_per_row)
+    each = parts.select("conv_id", F.col("part").cast("bigint").alias("part"), F.struct("before", copies.cast("int").alias("copies"), message.alias("message")).alias("x"))
+    cut = each.groupBy("conv_id", "part").agg(F.sum("x.copies").cast("bigint").alias("n"), F.sort_array(F.collect_list("x")).alias("xs"))
+    spread = F.flatten(F.transform("xs", lambda x: F.array_repeat(x["message"], x["copies"])))
+    return whole.unionByName(cut.select("conv_id", "part", "n", spread.alias("messages")))
 
 
 def message_lists(messages: DataFrame, system: str, instruction: str | None = None, k: int = HISTORY_MESSAGES) -> DataFrame:

@@ -57,15 +57,16 @@ def data_bytes(df: DataFrame) -> DataFrame:
     return rows.withColumn("label", bytes_label(F.col("bytes")))
 
 
-def dataset_summary(df: DataFrame) -> DataFrame:
-    """One row: size, column counts by role, missing cells, duplicate rows."""
+def dataset_summary(df: DataFrame, approx: bool = False) -> DataFrame:
+    """One row: size, column counts by role, missing cells, duplicate rows; with ``approx`` the duplicates are estimated, and
+    nothing but sketches is shuffled."""
     width = len(df.columns)
     counted = df.agg(
         F.count("*").alias("rows"),
         _total([F.count_if(m.missing(df, c)) for c in df.columns]).alias("missing_values"),
         _total([_value_bytes(df, c) for c in df.columns]).alias("data_bytes"),
     )
-    copies = duplicate_rows(df).select("duplicates")
+    copies = duplicate_rows(df, approx).select("duplicates")
     # Two tables of one row each, side by side.
     both = counted.unionByName(copies, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns]).select(

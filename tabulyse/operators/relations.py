@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tabulyse.functions import missing as m
 from tabulyse.functions.hashing import keyed_md5
 from tabulyse.functions.stats import pearson, stat
+from tabulyse.operators import cross_products
 from tabulyse.session import small_table
 
 CORRELATED_COLUMNS = 15
+WIDE = 24  # columns; up to here one aggregate of plain sums compiles well and is faster
 SCATTER_POINTS = 500
 SCATTER_SEED = 42
 WHAT_IF_ROWS = 8
@@ -34,15 +36,17 @@ class _Column:
 
 def _survey(df: DataFrame, names: list[str], keep: int | None) -> list[_Column]:
     """The columns to correlate: all of them, or the ones with the largest variance, largest first."""
-    found = []
-    for part in m.chunks(names):
+    if len(names) > WIDE:
+        rows = {r.i: r for r in cross_products.moments(df, names).collect()}
+        found = [_Column(c, r.mean, r.variance, r.low < r.high, r.n < r.total) if (r := rows.get(i)) else _Column(c, None, None, False, False) for i, c in enumerate(names)]
+    else:
         measures = []
-        for i, c in enumerate(part):
+        for i, c in enumerate(names):
             x = m.number(df, c)
             facts = {"mean": F.avg(x), "variance": F.var_samp(x), "varies": F.min(x) < F.max(x), "gaps": F.count(x) < F.count(F.lit(1))}
             measures.append(F.struct(*[f.alias(k) for k, f in facts.items()]).alias(str(i)))
         row = df.agg(*measures).first()
-        found += [_Column(c, row[i].mean, row[i].variance, bool(row[i].varies), bool(row[i].gaps)) for i, c in enumerate(part)]
+        found = [_Column(c, row[i].mean, row[i].variance, bool(row[i].varies), bool(row[i].gaps)) for i, c in enumerate(names)]
     if keep is None or len(found) <= keep:
         return found
     known = [c for c in found if c.variance is not None and c.variance == c.variance]
@@ -69,7 +73,9 @@ def _pair_r(x: str, y: str, x_gaps: bool, y_gaps: bool) -> Column:
 
 
 def _pairs(df: DataFrame, columns: list[_Column]) -> DataFrame:
-    """(i, j, column_a, column_b, r) for a before b: pairwise-complete, all pairs in one aggregate."""
+    """(i, j, column_a, column_b, r) for a before b: pairwise-complete, all pairs in one aggregate or, of many columns, by blocks."""
+    if len(columns) > WIDE:
+        return _pairs_by_blocks(df, columns)
     centred = df.select(*[(m.number(df, c.name) - F.lit(c.mean)).alias(f"c{i}") for i, c in enumerate(columns)])
     entries = [
         F.struct(
@@ -85,11 +91,27 @@ def _pairs(df: DataFrame, columns: list[_Column]) -> DataFrame:
     return pairs.withColumn("r", F.coalesce(stat(F.col("r")), F.lit(0.0)))
 
 
+def _pairs_by_blocks(df: DataFrame, columns: list[_Column]) -> DataFrame:
+    names = [c.name for c in columns]
+    sums = cross_products.pair_sums(df, names, [c.mean for c in columns])
+
+    def spread(v: str) -> Column:
+        return F.col(v + v) - F.col(v) * F.col(v) / F.col("n")
+
+    varies = (spread("x") > F.col("xx") * F.expr(_ROUNDING)) & (spread("y") > F.col("yy") * F.expr(_ROUNDING))
+    r = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.sqrt(spread("x")) * F.sqrt(spread("y")))
+    called = F.array(*[F.lit(n) for n in names])
+    spelled = [F.get(called, F.col(k).cast("int")).alias(f"column_{s}") for k, s in (("i", "a"), ("j", "b"))]
+    own = F.when(F.col("n") > 1, F.when(varies, r))
+    return sums.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), *spelled, F.coalesce(stat(own), F.lit(0.0)).alias("r"))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, keep: int = CORRELATED_COLUMNS) -> DataFrame:
     """(row, col, column_a, column_b, r): the full matrix in long form; an undefined r is 0.
 
     Needs two numeric columns, else it is empty. Above ``keep`` columns the ones with the largest
-    variance stay, in that order. Means and variances take one aggregate when the function is called.
+    variance stay, in that order. Means and variances take one pass when the function is called. More than ``WIDE`` columns
+    are correlated by blocks.
     """
     chosen = _survey(df, columns or m.numeric_columns(df), keep)
     schema = "row int, col int, column_a string, column_b string, r double"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulyse.functions import fixed_values as fixed
+from tabulyse.session import written
 
 MINUTE_LIMIT = 30
 IDLE_SECONDS = 1_800
@@ -48,6 +49,57 @@ def usage_minute(
     return _against_limit(flat, limit_of(F.col(key).cast("string"), limits or {}, other))
 
 
+def usage_first_hit(events: DataFrame, key: str, limits: dict[str, int] | None = None, other: int = MINUTE_LIMIT, seconds: int = 60) -> DataFrame:
+    """(key, window_start, used, limit, over, rejected) per window that its first event opens and that lasts ``seconds``.
+
+    Where a window opens depends on the one before, so its first event is found by pointer doubling: every event points to the
+    first one ``seconds`` later or more, and each round doubles how many windows a pointer skips. A key's windows are found
+    in as many rounds as their number has binary digits, by joins on key and instant, so a key with a third of all events is
+    spread as any other. Rounds are written, and run when the function is called.
+    """
+    length = seconds * 1_000_000
+    keyed = event_time(events).select(F.struct(F.col(key).alias("key")).alias("key"), F.unix_micros("ts").alias("at")).where("at is not null")
+    ticks = written(keyed.groupBy("key", "at").agg(F.count("*").alias("n")), "ticks")
+    hops = written(_hops(ticks, length), "hops")
+    starts = written(ticks.groupBy("key").agg(F.min("at").alias("at")), "starts")
+    known = starts.count()
+    while True:
+        further = starts.join(hops, ["key", "at"]).select("key", F.col("next").alias("at"))
+        starts = written(starts.unionByName(further).distinct(), "starts")
+        if (now := starts.count()) == known:
+            break
+        known = now
+        onward = hops.select("key", F.col("at").alias("next"), F.col("next").alias("after"))
+        hops = written(hops.join(onward, ["key", "next"]).select("key", "at", F.col("after").alias("next")), "hops")
+    # Windows are a slot long or more apart, so a slot opens one at most: an event's is that of its slot or of the slot before.
+    slot = F.floor(F.col("at") / length)
+    opened = starts.select("key", slot.alias("slot"), F.col("at").alias("start"))
+    here, before = opened, opened.select("key", (F.col("slot") + 1).alias("slot"), F.col("start").alias("earlier"))
+    placed = ticks.withColumn("slot", slot).join(here, ["key", "slot"], "left").join(before, ["key", "slot"], "left")
+    start = F.when(F.col("start") <= F.col("at"), F.col("start")).otherwise(F.col("earlier"))
+    used = placed.groupBy("key", start.alias("start")).agg(F.sum("n").alias("used"))
+    flat = used.select(F.col("key.key").alias(key), F.timestamp_micros("start").alias("window_start"), "used")
+    return _against_limit(flat, limit_of(F.col(key).cast("string"), limits or {}, other))
+
+
+def _hops(ticks: DataFrame, length: int) -> DataFrame:
+    """(key, at, next): the first instant of the key ``length`` microseconds later or more, where there is one.
+
+    It lies in the slot of that moment or opens the next slot that has events. Windows run within a slot and over a key's slots.
+    """
+    slot = F.floor(F.col("at") / length)
+    events = ticks.select("key", slot.alias("slot"), "at", F.col("at").alias("tick"), F.lit(None).cast("bigint").alias("asks"))
+    asked = ticks.select("key", (slot + 1).alias("slot"), (F.col("at") + length).alias("at"), F.lit(None).cast("bigint").alias("tick"), F.col("at").alias("asks"))
+    both = events.unionByName(asked)
+    from_here = Window.partitionBy("key", "slot").orderBy(F.desc("at"), F.col("tick").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("next", F.last("tick", ignorenulls=True).over(from_here)).where("asks is not null")
+    slots = both.groupBy("key", "slot").agg(F.min("tick").alias("first"))
+    later = Window.partitionBy("key").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("key", "slot", F.last("first", ignorenulls=True).over(later).alias("beyond"))
+    found = inside.join(slots, ["key", "slot"]).select("key", F.col("asks").alias("at"), F.coalesce("next", "beyond").alias("next"))
+    return found.where("next is not null")
+
+
 def usage_daily(
     events: DataFrame,
     user: str,

@@ -14,7 +14,7 @@ from tabulyse.operators.distribution import box_plot, histogram, outliers_iqr
 from tabulyse.operators.profile import column_profile, dataset_summary, numeric_stats, top_values
 from tabulyse.operators.quantiles import quartiles
 from tabulyse.operators.relations import correlation_matrix, scatter_sample, strongest
-from tabulyse.session import scratch_dir, small_table
+from tabulyse.session import small_table, written
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def profile_report(df: DataFrame, keys: list[str], limits: ReportLimits = Report
         bins = histogram(df, numerics[: limits.histograms], limits.bins)
         sections["histograms"] = bins.withColumns({edge: stat(F.col(edge)) for edge in ("lo", "hi")})
     if categoricals:
-        tops = _written(top_values(df, categoricals, max(limits.bar_values, limits.pie_values + 1, limits.categorical_values)))
+        tops = written(top_values(df, categoricals, max(limits.bar_values, limits.pie_values + 1, limits.categorical_values)), "report")
         bars, listed = categoricals[: limits.categoricals][: limits.bar_charts], categoricals[: limits.categoricals]
         sections["bar_charts"] = tops.where(F.col("column").isin(bars) & (F.col("rank") <= limits.bar_values))
         sections["pie_chart"] = _pie(tops, categoricals, limits.pie_values)
@@ -77,12 +77,6 @@ def profile_report(df: DataFrame, keys: list[str], limits: ReportLimits = Report
     return sections
 
 
-def _written(small: DataFrame) -> DataFrame:
-    path = scratch_dir(small.sparkSession, "report")
-    small.write.parquet(path)
-    return small.sparkSession.read.schema(small.schema).parquet(path)
-
-
 def _pie(tops: DataFrame, categoricals: list[str], most: int) -> DataFrame:
     """All values of the first categorical column that has few."""
     order = F.element_at(F.create_map(*[x for i, c in enumerate(categoricals) for x in (F.lit(c), F.lit(i))]), F.col("column"))

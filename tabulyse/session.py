@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+_SCRATCH = "tabulyse.scratch.dir"
+
 
 def build_session(app: str = "tabulyse", cores: int | str = "*", **extra: str) -> SparkSession:
     """A local session with the settings the library is tested under.
@@ -36,17 +41,26 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for written intermediates that every executor can reach.
 
     The root is the folder the cluster names in ``spark.checkpoint.dir``. Only a local session without
-    that setting falls back to a temporary folder, which is created once and stored in the setting.
+    that setting falls back to a temporary folder, which is created once, kept in a setting of our own and
+    deleted when the program ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_SCRATCH, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="tabulyse-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set(_SCRATCH, root)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The table written once to the scratch folder and read back, for what several steps use."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal table for the few rows a driver decision yields; it plans as a local relation."""
     struct = StructType.fromDDL(schema)

@@ -195,7 +195,13 @@ def test_source_size(spark, put, tmp_path):
 
 
 def test_scratch_folder_comes_from_the_session(spark):
-    assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    own = scratch_dir(spark, "x").rsplit("/", 1)[0]
+    assert own == spark.conf.get("tabulyse.scratch.dir") and not spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", "/shared")
+    try:
+        assert scratch_dir(spark, "x").startswith("/shared/x-")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
 
 
 def test_sql_dump_of_another_writer(spark, put):

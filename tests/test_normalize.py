@@ -16,7 +16,9 @@ CASES = [
     (n.is_null_token, {"N/A": True, " none ": True, "-": True, "—": True, "": True, " nil\n": True, "0": False, "no": False, "nullx": False}),
     (
         n.parse_long,
-        {"1,234.9": 1234, "$500": 500, "45%": 45, "-7": -7, "1e3": 1000, "abc": None, "12-15": None, "5d": 5, "10 eggs": 10, "9e30": None, "-1.9": -1},
+        {"1,234.9": 1234, "$500": 500, "45%": 45, "-7": -7, "1e3": 1000, "abc": None, "12-15": None, "5d": 5, "10 eggs": 10, "9e30": None, "-1.9": -1, "9007199254740993.0": 9007199254740993,
+         "$9,007,199,254,740,993.00": 9007199254740993, "-9007199254740993.5": -9007199254740993, "9,007,199,254,740,993.75 %": 9007199254740993,
+         ".5": 0, "-.5": 0, "5.": 5, ".": None, "+": None, "2.9999999": 2, "99999999999999999999.5": None, "1.5e3": 1500},
     ),
     (n.parse_double, {"€12.50": 12.5, "45.5%": 45.5, "1.2345678": 1.234568, "1.2.3": None, "-": None, ".5": 0.5, "1e400": None, "+3": 3.0}),
     (

@@ -1,6 +1,7 @@
 """Metering, sessions, identities, conversations, and the same on streams."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,26 @@ def test_minute_limits(spark):
     assert found == {("a", at(0)): (3, 2, True, 1), ("a", at(60)): (1, 2, False, 0), ("b", at(0)): (1, 5, False, 0)}
 
 
+def first_hits(times, length):
+    opened = []
+    for t in sorted(times):
+        if not opened or t >= opened[-1][0] + length:
+            opened.append([t, 0])
+        opened[-1][1] += 1
+    return [tuple(x) for x in opened]
+
+
+def test_windows_opened_by_the_first_hit(spark):
+    rng = random.Random(4)
+    times = {k: [rng.randint(0, 5000) / 8 for _ in range(n)] for k, n in (("a", 400), ("b", 30), (None, 50), ("c", 1))}
+    times["d"] = [60.0 * i for i in range(70)]
+    events = spark.createDataFrame([(k, at(t)) for k, ts in times.items() for t in ts] + [("e", None)], "key string, ts timestamp").repartition(5)
+    got = usage.usage_first_hit(events, "key", {"a": 2}, other=5).collect()
+    assert sorted(((str(r.key), r.window_start, r.used) for r in got)) == sorted((str(k), at(t), n) for k, ts in times.items() for t, n in first_hits(ts, 60))
+    assert {(r.key, r.over, r.rejected) for r in got if r.key == "a"} == {("a", n > 2, max(n - 2, 0)) for _, n in first_hits(times["a"], 60)}
+    assert usage.usage_first_hit(events.limit(0), "key").count() == 0
+
+
 def test_daily_limits_know_the_kinds(spark):
     events = spark.createDataFrame([(1, " Report ", at(0)), (1, "other", at(86_400))], "user_id int, kind string, ts timestamp")
     assert {r.day.day: r.limit for r in usage.usage_daily(events, "user_id", "kind").collect()} == {1: 20, 2: 120}
@@ -96,6 +117,22 @@ def test_archive_continues_long_conversations(messages):
     assert [x.show_download for x in whole.messages] == [False, True]
 
 
+def test_archive_goes_by_position(spark):
+    same = [(1, 5, "user", "again")] * 1500 + [(2, t * 1_000_000, "user", f"m{t}") for t in range(5)] + [(None, 1, "user", "x")] * 3
+    df = spark.createDataFrame(same, "conv_id long, turn long, role string, text string").repartition(6)
+    parts = {(r.conv_id, r.part): r for r in conv.conversation_archive(df).collect()}
+    assert {k: (r.n, len(r.messages)) for k, r in parts.items()} == {(1, 0): (1000, 1000), (1, 1): (500, 500), (2, 0): (5, 5), (None, 0): (3, 3)}
+    parts = {(r.conv_id, r.part): [x.text for x in r.messages] for r in conv.conversation_archive(df, turns_per_row=2).collect()}
+    assert len(parts) == 750 + 3 + 2 and parts[2, 1] == ["m2", "m3"] and parts[2, 2] == ["m4"] and parts[None, 1] == ["x"]
+
+
+def test_messages_of_one_turn_come_by_role_and_text(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 1, "user", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    assert conv.conversation_title(df).first().title == "z"
+    assert sorted(r.text for r in conv.recent_history(df, 2).collect()) == ["b", "q"]
+
+
 def test_message_lists(messages):
     said = conv.message_lists(messages, "sys", "now", k=2).where("conv_id = 1").first().prompt
     assert [(x.role, x.content) for x in said] == [("system", "sys"), ("user", "m28"), ("assistant", "m29"), ("user", "now")]
@@ -156,6 +193,31 @@ def test_session_stream_equals_batch(spark, event_files, tmp_path):
     assert {tuple(r) for r in closed.collect()} <= got <= {tuple(r) for r in every.collect()}
 
 
+def test_live_sessions_equal_batch(spark, event_files, tmp_path):
+    """Open sessions too, and what has run out by the last watermark is expired."""
+    batch = spark.read.parquet(event_files)
+    stream = jobs.live_sessions(jobs.event_stream(spark, event_files, batch.schema, files_per_batch=1), "user_id")
+    log = run(stream, spark, "live", "append", tmp_path)
+    got = jobs.latest_sessions(log, "user_id").collect()
+    want = usage.sessions(batch, "user_id")
+    assert sorted((r.user_id, r.start, r.end, r.n) for r in got) == sorted(map(tuple, want.select("user_id", "start", "end", "n").collect()))
+    last = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    assert all(r.state == ("expired" if r.end < last - dt.timedelta(minutes=45) else r.state) for r in got)
+    assert {r.state for r in got} == {"active", "expired"} and all(r.state == "active" for r in got if r.end >= last - dt.timedelta(minutes=30))
+
+
+def test_late_events_move_sessions(spark, tmp_path):
+    folder = str(tmp_path / "late")
+    for k, seconds in enumerate(([0, 4000], [3000], [1500, 9000], [30_000], [30_001])):
+        spark.createDataFrame([(1, at(t)) for t in seconds], "user_id int, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    stream = jobs.live_sessions(jobs.event_stream(spark, folder, schema, files_per_batch=1), "user_id", late="2 hours")
+    log = run(stream, spark, "moved", "append", tmp_path)
+    got = {(r.start, r.end, r.n): r.state for r in jobs.latest_sessions(log, "user_id").collect()}
+    assert got == {(at(0), at(4000), 4): "expired", (at(9000), at(9000), 1): "expired", (at(30_000), at(30_001), 2): "active"}
+    assert log.where("state = 'withdrawn'").count() >= 1
+
+
 def test_normalize_stream(spark, event_files, tmp_path):
     specs = [ColumnSpec("value", "integer"), ColumnSpec("event_type", "string")]
     batch = spark.read.parquet(event_files)
