@@ -1,8 +1,9 @@
-"""Read INSERT text: CREATE TABLE and INSERT statements, each ending in a semicolon at the end of a line.
+"""Read INSERT text: CREATE TABLE and INSERT statements, each ending in a semicolon, with line feeds or Windows line ends.
 
-Statements are split and parsed on the executors; only the CREATE TABLE statements reach the driver. An INSERT may name its
-columns or not, hold any number of value groups and span lines. One that cannot be read is set aside: ``read_dump`` returns it
-next to the tables, and with ``strict`` it is an error.
+Statements are split and parsed on the executors, once, and written by table; only the CREATE TABLE statements and one row
+count per table reach the driver. An INSERT may name its columns or not, hold any number of value groups and span lines, also
+inside quotes. One that cannot be read is set aside: ``read_dump`` returns it next to the tables, and with ``strict`` it is
+an error.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulyse.session import scratch_dir
+from tabulyse.sources.ranges import QuotedLines, cut_records, pieces_of, range_starts
+
 MOST_TABLES = 1_000
 _IDENTIFIER = r'(?:"(?:[^"]++|"")*+"|`[^`]++`|[A-Za-z_][\w$.]*+)'
 _VALUE = r"(?:'(?:[^']++|'')*+'|[^,()'\s]++)"
@@ -41,21 +45,48 @@ _DOUBLE_DIGITS = 15  # decimal digits that every double keeps
 _MOST_DIGITS = 38
 
 
+# Quoted texts, names in quotes, and what is neither; in lines, a comment runs to their end.
+_QUOTED = "'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`"
+_CODE = rf"(?:[^'\"`-]|-[^'\"`-]|-?(?:{_QUOTED}))*"
+_LINES = QuotedLines(
+    "['\"`]",
+    rf"\A(?:[^'\"`]|{_QUOTED})*(?:--.*)?\z",
+    rf"\A(?:[^']|'')*'(?:[^'\"`]|{_QUOTED})*(?:--.*)?\z",
+    rf"\A{_CODE};\s*(?:--.*)?\z",
+    rf"\A(?:[^']|'')*'{_CODE};\s*(?:--.*)?\z",
+)
+# Outside of these a semicolon ends a statement, on the same line too; an open quote holds all that follows.
+_BALANCED = "(?:[^'\"`]++|'(?:[^']++|'')*+'|\"[^\"]*+\"|`[^`]*+`)*+"
+_STATEMENT = "(?:--[^\n]*+|[^;'\"`-]++|-|'(?:[^']++|'')*+'|\"[^\"]*+\"|`[^`]*+`|['\"`][\\s\\S]*+)++;?"
+
+
 @dataclass(frozen=True)
 class Dump:
-    """What a dump holds: its tables by name, and the statements that were not read."""
+    """What a dump holds: its tables by name, the statements that were not read, and the number of rows of each table."""
 
     tables: dict[str, DataFrame]
     quarantine: DataFrame
+    rows: dict[str, int]
 
 
 def _statements(spark: SparkSession, path: str) -> DataFrame:
-    """(value): one statement a row, without comment lines before it, with its semicolon."""
-    pieces = spark.read.option("recursiveFileLookup", True).option("lineSep", ";\n").text(path)
+    """(value): one statement a row, without comment lines before it, with its semicolon.
+
+    A statement ends with a semicolon outside of quotes. Where every line holds whole statements the lines are taken; else
+    lines are put together by byte range.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    lone = F.col("value").rlike(rf"\A\s*\z|;\s*\z") & F.col("value").rlike(rf"\A{_BALANCED}\z")
+    if not lines.where(~lone).limit(1).isEmpty():
+        pieces = pieces_of(spark, path, "\n", recursiveFileLookup=True)
+        lines = cut_records(pieces, range_starts(pieces, _LINES), _LINES).select("value")
+    bare = F.regexp_replace("value", r"[;\s]++\z", "")
+    each = F.when(F.col("bare").contains(";"), F.regexp_extract_all(F.col("bare"), F.lit(f"({_STATEMENT})"))).otherwise(F.array("bare"))
+    parts = lines.select(bare.alias("bare")).select(F.explode(each).alias("value"))
     first = F.substring("value", 1, 1)
     statement = F.when((first >= "A") & (first <= "z"), F.col("value")).otherwise(F.regexp_replace("value", _COMMENTS, ""))
-    bare = F.rtrim(statement, F.lit("; \t\r\n"))
-    return pieces.select(bare.alias("value")).where("value != ''").select(F.concat("value", F.lit(";")).alias("value"))
+    cleaned = parts.select(F.regexp_replace(statement, r"[;\s]++\z", "").alias("value"))
+    return cleaned.where("value != ''").select(F.concat("value", F.lit(";")).alias("value"))
 
 
 def _unquoted(identifier: str) -> str:
@@ -70,10 +101,33 @@ def _plain(identifier: Column) -> Column:
     return F.when(identifier.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).when(identifier.startswith("`"), inner).otherwise(identifier)
 
 
+def parse_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, routed, table, listed, groups, value): the statements of a dump taken apart once and written, each where its
+    table is. ``kind`` is create, insert or other; ``groups`` are the value groups of an INSERT, as text."""
+    statements = _statements(spark, path)
+    head = F.nullif(F.regexp_extract("value", _HEAD, 0), F.lit(""))
+    listed = F.transform(F.regexp_extract_all(F.regexp_extract("head", _HEAD, 2), F.lit(f"({_IDENTIFIER})")), _plain)
+    create = F.col("value").rlike(_CREATE_SPARK)
+    headed = statements.withColumn("create", create).withColumn("head", F.when(~create, head))
+    body = F.substring("value", F.length("head") + 1, F.length("value"))
+    pieces = headed.select("value", "create", _plain(F.regexp_extract("head", _HEAD, 1)).alias("table"), listed.alias("listed"), F.regexp_extract_all(body, F.lit(_PIECE)).alias("pieces"))
+    whole = (F.size("pieces") > 0) & F.forall("pieces", lambda g: F.length(g) > 1)  # a stray letter is a piece of its own
+    inner = F.transform("pieces", lambda g: F.regexp_extract_all(F.substring(g, F.lit(2), F.length(g) - 2), F.lit(f"({_VALUE})")))
+    kind = F.when(F.col("create"), "create").when(whole, "insert").otherwise("other")
+    found = pieces.withColumn("kind", kind).select("kind", F.when(F.col("kind") == "insert", F.col("table")).alias("routed"), "table", "listed", F.when(F.col("kind") == "insert", inner).alias("groups"), "value")
+    folder = scratch_dir(spark, "dump")
+    found.write.partitionBy("kind", "routed").parquet(folder)
+    schema = T.StructType([f for f in found.schema if f.name not in ("kind", "routed")] + [found.schema["kind"], found.schema["routed"]])
+    return spark.read.schema(schema).parquet(folder)
+
+
 def dump_tables(spark: SparkSession, path: str, most_tables: int = MOST_TABLES) -> dict[str, T.StructType]:
     """The tables a dump creates, in name order, with the Spark types of their columns; more than ``most_tables`` are an error."""
-    creates = _statements(spark, path).where(F.upper(F.substring("value", 1, 6)) == "CREATE").where(F.col("value").rlike(_CREATE_SPARK))
-    found = creates.distinct().orderBy("value").limit(most_tables + 1).collect()
+    return _created(parse_dump(spark, path), most_tables)
+
+
+def _created(parsed: DataFrame, most_tables: int) -> dict[str, T.StructType]:
+    found = parsed.where("kind = 'create'").select("value").distinct().orderBy("value").limit(most_tables + 1).collect()
     if len(found) > most_tables:
         raise ValueError(f"the dump creates more than {most_tables} tables")
     tables = {}
@@ -96,30 +150,25 @@ def _spark_type(ddl: str) -> T.DataType:
     return _SPARK_TYPE.get(name, T.StringType())
 
 
-def _parsed(statements: DataFrame, tables: dict[str, T.StructType]) -> DataFrame:
-    """(value, table, names, groups, good): INSERTs taken apart; ``good`` if every group fits the columns of a known table."""
-    head = F.regexp_extract("value", _HEAD, 0)
-    headed = statements.withColumn("head", F.nullif(head, F.lit("")))
-    listed = F.transform(F.regexp_extract_all(F.regexp_extract("head", _HEAD, 2), F.lit(f"({_IDENTIFIER})")), _plain)
-    named = headed.select("value", "head", _plain(F.regexp_extract("head", _HEAD, 1)).alias("table"), listed.alias("listed"))
+def _judged(inserts: DataFrame, tables: dict[str, T.StructType]) -> DataFrame:
+    """(value, table, names, groups, good): ``good`` if every group fits the columns of a known table."""
     known = F.lit(None).cast("array<string>")
     for name, schema in tables.items():
         known = F.when(F.col("table") == name, F.array(*[F.lit(f.name) for f in schema.fields]).cast("array<string>")).otherwise(known)
-    body = F.substring("value", F.length("head") + 1, F.length("value"))
-    pieces = F.regexp_extract_all(F.when(known.isNotNull(), body), F.lit(_PIECE))
-    inner = F.transform(pieces, lambda g: F.regexp_extract_all(F.substring(g, F.lit(2), F.length(g) - 2), F.lit(f"({_VALUE})")))
-    placed = named.select(
-        "value", "table", known.alias("known"), F.when(F.size("listed") > 0, F.col("listed")).otherwise(known).alias("names"), inner.alias("groups")
-    )
+    placed = inserts.withColumn("known", known).withColumn("names", F.when(F.size("listed") > 0, F.col("listed")).otherwise(F.col("known")))
     fits = F.forall("groups", lambda g: F.size(g) == F.size("names")) & (F.size("groups") > 0) & (F.size(F.array_except("names", "known")) == 0)
     return placed.select("value", "table", "names", "groups", F.coalesce(fits, F.lit(False)).alias("good"))
 
 
+def _unread(parsed: DataFrame, tables: dict[str, T.StructType]) -> DataFrame:
+    others = parsed.where("kind = 'other'").select("value")
+    return others.unionByName(_judged(parsed.where("kind = 'insert'"), tables).where(~F.col("good")).select("value"))
+
+
 def dump_quarantine(spark: SparkSession, path: str) -> DataFrame:
     """(value): the statements that are neither a CREATE TABLE nor an INSERT that can be read."""
-    tables = dump_tables(spark, path)
-    rest = _statements(spark, path).where(~F.col("value").rlike(_CREATE_SPARK))
-    return _parsed(rest, tables).where(~F.col("good")).select("value")
+    parsed = parse_dump(spark, path)
+    return _unread(parsed, _created(parsed, MOST_TABLES))
 
 
 def _text(literal: Column) -> Column:
@@ -136,14 +185,18 @@ def _text(literal: Column) -> Column:
 
 def read_dump_table(spark: SparkSession, path: str, table: str, schema: T.StructType, strict: bool = False) -> DataFrame:
     """The rows of one table. With ``strict`` an INSERT that cannot be read, into whichever table, is an error."""
-    parsed = _parsed(_statements(spark, path), {table: schema}).where(F.col("table").isNull() | (F.col("table") == table))
-    read = F.when(F.col("good"), F.col("groups"))
+    return _table_rows(parse_dump(spark, path), table, schema, strict)
+
+
+def _table_rows(parsed: DataFrame, table: str, schema: T.StructType, strict: bool) -> DataFrame:
+    inserts = _judged(parsed.where((F.col("kind") == "insert") & (F.col("routed") == table)), {table: schema})
     if strict:
         # An INSERT that cannot be taken apart has no table to tell.
-        unread = F.raise_error(F.concat(F.lit("INSERT that cannot be read: "), F.substring("value", 1, 200)))
-        read = read.when(F.col("value").rlike(r"^(?i:INSERT)\b"), unread.cast("array<array<string>>"))
-    # The outer form keeps Spark from testing for empty arrays up front, which would take every statement apart twice.
-    rows = parsed.select("names", F.explode_outer(read).alias("parts")).where("parts is not null")
+        fail = F.raise_error(F.concat(F.lit("INSERT that cannot be read: "), F.substring("value", 1, 200))).cast("array<array<string>>")
+        others = parsed.where((F.col("kind") == "other") & F.col("value").rlike(r"^(?i:INSERT)\b"))
+        inserts = inserts.withColumn("groups", F.when(F.col("good"), F.col("groups")).otherwise(fail)).withColumn("good", F.lit(True))
+        inserts = inserts.unionByName(others.select("value", "table", F.lit(None).cast("array<string>").alias("names"), fail.alias("groups"), F.lit(True).alias("good")))
+    rows = inserts.where("good").select("names", F.explode("groups").alias("parts"))
     cells = rows.select(F.map_from_arrays("names", "parts").alias("cells"))
 
     def cell(f: T.StructField) -> Column:
@@ -165,25 +218,33 @@ def largest_table(tables: dict[str, DataFrame]) -> DataFrame:
 
 def read_insert_dump(spark: SparkSession, path: str, table: str | None = None, strict: bool = False) -> DataFrame:
     """One table of a dump: the one named, or the one with the most rows."""
-    tables = dump_tables(spark, path)
+    parsed = parse_dump(spark, path)
+    tables = _created(parsed, MOST_TABLES)
     if not tables:
         raise ValueError(f"no CREATE TABLE in {path}")
     if table is None:
-        table = next(iter(tables))
-        if len(tables) > 1:
-            inserts = _parsed(_statements(spark, path), tables).where("good").groupBy("table").agg(F.sum(F.size("groups")).alias("rows"))
-            best = inserts.orderBy(F.desc("rows"), "table").first()
-            table = best["table"] if best else table
+        counts = _row_counts(parsed, tables) if len(tables) > 1 else {}
+        table = min(tables, key=lambda t: (-counts.get(t, 0), t))
     if table not in tables:
         raise ValueError(f"no table {table!r}; tables are {sorted(tables)}")
-    return read_dump_table(spark, path, table, tables[table], strict)
+    return _table_rows(parsed, table, tables[table], strict)
+
+
+def _row_counts(parsed: DataFrame, tables: dict[str, T.StructType]) -> dict[str, int]:
+    good = _judged(parsed.where("kind = 'insert'"), tables).where("good")
+    counts = good.groupBy("table").agg(F.sum(F.size("groups")).alias("n")).collect()  # one row per table the dump creates
+    return dict.fromkeys(tables, 0) | {r.table: r.n for r in counts}
 
 
 def read_dump(spark: SparkSession, path: str) -> Dump:
-    """All tables of a dump together with the statements that could not be read, which the tables leave out."""
-    tables = dump_tables(spark, path)
-    rows = {name: read_dump_table(spark, path, name, schema, strict=False) for name, schema in tables.items()}
-    return Dump(rows, dump_quarantine(spark, path))
+    """All tables of a dump together with the statements that could not be read, which the tables leave out.
+
+    The dump is read and taken apart once, whatever the number of tables.
+    """
+    parsed = parse_dump(spark, path)
+    tables = _created(parsed, MOST_TABLES)
+    rows = {name: _table_rows(parsed, name, schema, strict=False) for name, schema in tables.items()}
+    return Dump(rows, _unread(parsed, tables), _row_counts(parsed, tables))
 
 
-__all__ = ["Dump", "dump_quarantine", "dump_tables", "largest_table", "read_dump", "read_dump_table", "read_insert_dump"]
+__all__ = ["Dump", "dump_quarantine", "dump_tables", "largest_table", "parse_dump", "read_dump", "read_dump_table", "read_insert_dump"]

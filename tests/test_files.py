@@ -1,6 +1,8 @@
 """Sources and sinks."""
 
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,12 +198,8 @@ def test_source_size(spark, put, tmp_path):
 
 def test_scratch_folder_comes_from_the_session(spark):
     own = scratch_dir(spark, "x").rsplit("/", 1)[0]
-    assert own == spark.conf.get("tabulyse.scratch.dir") and not spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/shared")
-    try:
-        assert scratch_dir(spark, "x").startswith("/shared/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert own == (named or spark.conf.get("tabulyse.scratch.dir", None))
 
 
 def test_sql_dump_of_another_writer(spark, put):
@@ -259,6 +257,118 @@ def test_json_rows_and_quarantine_are_the_lines(spark, put):
     assert sorted(map(tuple, readers.read_json(spark, many, T.StructType.fromDDL("a bigint, b string")).collect()), key=str) == [(1, None), (None, "y")]
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of a few hundred bytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "1b", "spark.sql.files.minPartitionNum": "40"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def odd_cells(rng):
+    parts = ["plain", "", "a,b", 'say "hi"', "two\nlines", "\n", '"', '""', "x" * 300, "\n\n;\r\n", "é", " padded ", 'q"uote', "1,2\n3,4"]
+    return [[str(i), *(rng.choice(parts) for _ in range(3))] for i in range(400)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_is_cut_by_ranges(spark, tmp_path, small_ranges, end):
+    rng, want = random.Random(6), []
+    for k in range(3):
+        rows = odd_cells(rng)
+        with open(tmp_path / f"{k}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["id", "two\nlines", "c", "d"])
+            w.writerows(rows)
+            if k == 1:
+                f.write("7,only")  # fewer cells, no line end
+                want.append(("7", "only", None, None))
+        want += [tuple(c or None for c in r) for r in rows]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "two\nlines", "c", "d")])
+    df = readers.read_csv(spark, str(tmp_path), schema)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+    lines = spark.read.text(str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 20 and readers.csv_quarantine(spark, str(tmp_path)).count() == 0
+    assert dict(readers.read_csv(spark, str(tmp_path)).dtypes)["id"] == "bigint"
+
+
+def test_csv_ranges_need_one_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text('b,a\n1,"x\ny"\n')
+    with pytest.raises(ValueError, match="different headers"):
+        readers.read_csv(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("broken", ["", '9,"q\nq"\n'])
+def test_csv_ragged_rows_and_repeated_names(spark, put, broken):
+    path = put("r.csv", 'a,b,a,\n1,2,3,4\n5,6\n7,8,9,10,11\n"1,2",x,,,\n\n12,13,14,15,\n16,"1,2,3,4,5",,\n' + broken)
+    df = readers.read_table(spark, path)
+    assert df.columns == ["a", "b", "a.1", "_c3"]
+    rows = [("1", "2", 3, 4), ("5", "6", None, None), ("16", "1,2,3,4,5", None, None)] + ([("9", "q\nq", None, None)] if broken else [])
+    assert sorted(tuple(str(x) for x in r) for r in df.collect()) == sorted(tuple(str(x) for x in r) for r in rows)
+    aside = [r.value for r in readers.csv_quarantine(spark, path).collect()]
+    assert sorted(aside) == sorted(["7,8,9,10,11", '"1,2",x,,,', "12,13,14,15,"])
+    with pytest.raises(Exception, match="more cells"):
+        readers.read_csv(spark, path, strict=True).collect()
+
+
+def test_large_json_arrays_are_cut_by_ranges(spark, tmp_path, small_ranges):
+    rng = random.Random(8)
+    texts = ["plain", 'quo"te', "br}ace", "{[", "back\\", '\\"}', "", "é\n", "x" * 200]
+    def member(i):
+        return {"id": i, rng.choice("ab"): rng.choice(texts), "n": {"deep": [{"k": rng.choice(texts)}, 1], "e": {}}}
+    documents = {"a": [member(i) for i in range(300)], "b": [1, {"id": 1000}, [2, {"id": "no"}], "}", {"id": 1001}, None], "c": [], "d": {"rows": [member(2000)]}, "e": [7, 8]}
+    for name, document in documents.items():
+        (tmp_path / f"{name}.json").write_text(" \n" + json.dumps(document, indent=rng.choice([None, 1])) + "\n")
+    (tmp_path / "bad.json").write_text('[{"id": 3000}, {"id": }, {"id": 3001}]')
+    kinds = {"schema": T.StructType.fromDDL("id string, a string, b string, value string, n struct<deep: array<variant>>")}
+    small = readers.read_json(spark, str(tmp_path), lines=False, **kinds)
+    cut = readers.read_json(spark, str(tmp_path), lines=False, range_bytes=1, **kinds)
+    def rows(df):
+        return sorted(str(r) for r in df.select("id", "a", "b", "value", F.to_json("`n.deep`")).collect() if not (r.id or "").startswith("300"))
+    assert rows(cut) == rows(small) and cut.where("id IN ('3000', '3001')").count() == 2
+    assert [r.value for r in readers.json_quarantine(spark, str(tmp_path), lines=False, range_bytes=1).collect()] == ['[ {"id": }]']
+
+
+CRLF = "CREATE TABLE t (\r\n  x INT, -- it's; odd\r\n  s TEXT\r\n);\r\nINSERT INTO t VALUES (1, 'a;\r\nb');\r\nINSERT INTO t VALUES (2, 'it''s');INSERT INTO t VALUES (3, ';');\r\n-- don't\r\nCOMMIT;\r\n"
+
+
+def test_dumps_with_windows_line_ends(spark, put):
+    path = put("w.sql", "")
+    open(path, "w", newline="").write(CRLF)
+    dump = insert_dump.read_dump(spark, path)
+    assert sorted(map(tuple, dump.tables["t"].collect())) == [(1, "a;\r\nb"), (2, "it's"), (3, ";")]
+    assert dump.rows == {"t": 3} and [r.value for r in dump.quarantine.collect()] == ["COMMIT;"]
+    open(path, "w", newline="").write("CREATE TABLE t (x INT);\r\nINSERT INTO t VALUES (1);\r\nINSERT INTO t VALUES (2);\r\n")
+    assert sorted(r.x for r in readers.read_table(spark, path).collect()) == [1, 2]
+    open(path, "w", newline="").write("CREATE TABLE t (x INT); INSERT INTO t VALUES (1); INSERT INTO t VALUES (')")
+    dump = insert_dump.read_dump(spark, path)
+    assert [r.x for r in dump.tables["t"].collect()] == [1] and [r.value for r in dump.quarantine.collect()] == ["INSERT INTO t VALUES (');"]
+
+
+def test_statements_are_cut_by_ranges(spark, tmp_path, small_ranges):
+    rng = random.Random(9)
+    words = ["a", "b;\n", "\n", "it''s", ";", '"', "`", "--", "\r\n", "x" * 90]
+    values = ["".join(rng.choices(words, k=rng.randint(0, 6))) for _ in range(500)]
+    for k in range(2):
+        text = "CREATE TABLE t (i INT, s TEXT);\n" + "".join(f"INSERT INTO t VALUES\n ({i}, '{v}');\n" for i, v in enumerate(values) if i % 2 == k)
+        (tmp_path / f"{k}.sql").write_text(text, newline="")
+    dump = insert_dump.read_dump(spark, str(tmp_path))
+    assert {r.i: r.s for r in dump.tables["t"].collect()} == {i: v.replace("''", "'") for i, v in enumerate(values)}
+    assert dump.rows == {"t": 500} and dump.quarantine.count() == 0
+
+
+def test_a_hundred_tables_in_one_pass(spark, tmp_path):
+    lines = [f'CREATE TABLE "t{k}" (x INT);' for k in range(100)] + [f"INSERT INTO t{k} VALUES ({i});" for k in range(100) for i in range(k % 4)]
+    (tmp_path / "many.sql").write_text("\n".join(lines))
+    dump = insert_dump.read_dump(spark, str(tmp_path))
+    (tmp_path / "many.sql").unlink()  # nothing reads the dump again
+    assert dump.rows == {f"t{k}": k % 4 for k in range(100)}
+    assert sorted(r.x for r in dump.tables["t7"].collect()) == [0, 1, 2] and dump.tables["t8"].count() == 0 and dump.quarantine.count() == 0
+
+
 def test_bad_json_lines_add_no_column(spark, put):
     path = put("t.json", '{"a": 1}\nnot json\n{"a": 2}\n')
     df = readers.read_table(spark, path)
