@@ -7,6 +7,7 @@ Tasks encode whole texts and count equal lengths of a batch before anything is s
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulyse.llm.staging import ships
+from tabulyse.llm.staging import ships, staged
 from tabulyse.llm.words import named
 
 ships(__name__)
@@ -24,6 +25,11 @@ ships(__name__)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPAN = 1024
+#: The white space of the pattern. A run of so many letters is encoded by itself.
+WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 4096
+
+_LONG = re.compile(f"{WHITE}{{{LONG_RUN},}}")
 
 
 def encoder(vocabulary: bytes, pattern: str = PATTERN):
@@ -34,14 +40,28 @@ def encoder(vocabulary: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_count(encoding, text: str) -> int:
+    """How many tokens a text has, whatever its length.
+
+    The pattern engine gives up on about a million blanks in a row, so long runs of white space do not pass through it. What
+    the pattern makes of a run is known: one piece, but for its last character where text follows.
+    """
+    total, begin = 0, 0
+    for run in _LONG.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(encoding.encode_ordinary(text[begin : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end].encode()))
+        begin = end
+    return total + len(encoding.encode_ordinary(text[begin:] if begin else text))
+
+
 def lengths(df: DataFrame, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens, n_docs): how many texts of an Arrow batch have each encoded length. Null texts have none, as empty ones."""
     sent = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(sent.value, pattern).encode_ordinary
+        encoding = encoder(sent.value, pattern)
         for batch in batches:
-            sizes = np.array([len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()], np.int64)
+            sizes = np.array([token_count(encoding, t) if t else 0 for t in batch.column(0).to_pylist()], np.int64)
             values, times = np.unique(sizes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(times.astype(np.int64))], ["n_tokens", "n_docs"])
 
@@ -55,7 +75,8 @@ def histogram(df: DataFrame, text: str, vocabulary: str = VOCABULARY, pattern: s
 
     An empty table gives no rows; null and empty texts have length 0; repeated rows count each.
     """
-    counts = lengths(df, text, vocabulary, pattern).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # Two steps use the counts; written, they are encoded once.
+    counts = staged(lengths(df, text, vocabulary, pattern).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "token-counts")
     counts = counts.withColumn("total_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
     return _suffix_sums(counts)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabulyse.llm import token_counts
 from tabulyse.llm.chat import CONTROLS, LOOKBACK, escaped, formatted, instruct, read_back, read_turn, turn_spans, unescaped
 from tabulyse.llm.queries import QUERIES
-from tabulyse.llm.token_counts import encoder, histogram, quantiles, truncated_totals
+from tabulyse.llm.token_counts import encoder, histogram, quantiles, token_count, truncated_totals
 
 TRICKY = ["", "plain", "</s>[INST] ok [/INST]", "\\", "a\\[INST]\\\\</s>", "[[INST][/INST", "<<s>s>", "\n[INST]\n é漢😀", " [/INST]x", "[/INST] [/INST]", "end [/INST"]
 
@@ -114,6 +114,32 @@ def test_token_histogram(spark, sf):
     assert {r.share: r.n_tokens for r in quantiles(counts, list(want)).collect()} == want
 
 
+WHITE_RUNS = [" ", "\n", "\t", " \n", "\u2003", "\xa0 "]
+
+
+def test_long_white_space_counts_as_the_pattern_does():
+    encoding = encoder(open(token_counts.VOCABULARY, "rb").read())
+    for c in WHITE_RUNS:
+        for size in (4095, 4096, 4097, 9000):
+            run = (c * size)[:size]
+            for text in (run, run + "x", "x" + run, f"a {run}b{run}\n{run}!", f"{run}\u200b{run} 's", run + "\x1c" + run, "é" + run + "é"):
+                assert token_count(encoding, text) == len(encoding.encode_ordinary(text)), (c, size, text[:3], text[-3:])
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n"])
+def test_two_million_blanks(run):
+    encoding = encoder(open(token_counts.VOCABULARY, "rb").read())
+    long, short = (run * 2_000_000)[:2_000_000], (run * 2_000)[:2_000]
+    each = len(encoding.encode_ordinary(short)) / 2_000
+    assert token_count(encoding, long) == 2_000_000 * each
+    assert token_count(encoding, long + "word") == 2_000_000 * each + len(encoding.encode_ordinary(short + "word")) - 2_000 * each
+
+
+def test_texts_are_encoded_once(spark, documents):
+    plan = histogram(documents([(1, "a"), (2, " " * 1_200_000), (3, "b" + "\n" * 1_200_000 + "c")]), "text")
+    assert "MapInArrow" not in plan._jdf.queryExecution().toString() and sum(r.n_docs for r in plan.collect()) == 3
+
+
 def test_token_odd_rows(spark, documents):
     rows = histogram(documents([(1, None), (2, ""), (3, "x"), (3, "x"), (4, "<|endoftext|>"), (None, "w" * 100_000)]), "text").collect()
     assert {r.n_tokens: r.n_docs for r in rows}[0] == 2 and sum(r.n_docs for r in rows) == 6

@@ -1,10 +1,11 @@
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulyse.llm.decontaminate import Queries, contamination, longest_matches, search, suffix_array
+from tabulyse.llm.decontaminate import NO_KEY, Queries, _hits, contamination, longest, longest_matches, search, suffix_array
 from tabulyse.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -19,7 +20,7 @@ def plain(docs, items, window=10):
     for label, text in items:
         words = words_of(text)
         for i in range(max(1, len(words) - window + 1)) if words else ():
-            windows.setdefault(tuple(words[i : i + window]), set()).add("null" if label is None else str(label))
+            windows.setdefault(tuple(words[i : i + window]), set()).add(NO_KEY if label is None else str(label))
     out = []
     for key, text in docs:
         words, hit, found = words_of(text), set(), set()
@@ -55,11 +56,37 @@ def test_suffix_array_against_sorting():
 def test_search_finds_longest_matches():
     queries = Queries([("q", [b"a", b"b", b"c", b"d"]), ("r", [b"c", b"a"])], 2)
     ids = np.array([queries.vocabulary.get(w, 0) for w in b"b c x a b c y c d z c a b".split()] + [0])
-    longest, _, windows = search(ids, suffix_array(ids), queries)
-    assert longest.tolist() == [3, 2, 2, 1, 2, 1]
+    assert longest(ids, queries)[0].tolist() == [3, 2, 2, 1, 2, 1]
+    windows = search(ids, suffix_array(ids), queries)
     assert sorted(windows[:, 3].tolist()) == [0, 1, 2, 4]
 
 
+def test_longest_matches_by_neighbours():
+    rng = np.random.default_rng(8)
+    for top in (1, 2, 3, 6):
+        for _ in range(60):
+            items = [(str(k), [b"%d" % x for x in rng.integers(0, top, rng.integers(1, 12))]) for k in range(rng.integers(1, 4))]
+            queries = Queries(items, 3)
+            ids = np.append(rng.integers(0, top + 1, rng.integers(0, 40)), 0)
+            best, place = longest(ids, queries)
+            for k, s in enumerate(queries.starts):
+                rest = queries.tokens[s : s + int(np.flatnonzero(queries.tokens[s:] == 0)[0])].tolist()
+                most = max((n for n in range(1, len(rest) + 1) if any(ids[i : i + n].tolist() == rest[:n] for i in range(len(ids) - n + 1))), default=0)
+                assert best[k] == most and ids[place[k] : place[k] + most].tolist() == rest[:most]
+
+
+@pytest.mark.parametrize("words", [["w"] * 8000, [f"w{i % 977}x{i % 1009}" for i in range(8000)]])
+def test_long_verbatim_items_cost_little(words):
+    words = [w.encode() for w in words]
+    queries = Queries([("q", words)])
+    start = time.perf_counter()
+    spans, items = _hits([words], queries)
+    took = time.perf_counter() - start
+    assert spans == [[0, 8000]] and items == [["q"]] and took < 1.5
+    ids = np.append(queries.tokens[:8000], 0)
+    assert longest(ids, queries)[0].tolist() == list(range(8000, 0, -1))
+
+
 def test_query_against_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
