@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -35,6 +36,9 @@ PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 #: Both tokenizers end a token before such a blank: no pattern of A and no piece of B holds a blank behind another character.
 _CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+#: Such a segment can be joined to others by blanks again.
+_EDGES = re.compile(r"(?s)[\w!-~](?:.*[\w!-~])?\Z")
+_RUN = 4096
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _BLANK = "▁"
 
@@ -119,35 +123,61 @@ class Aligner:
             self._learn(new)
         return [place[s] for s in segments]
 
-    def _learn(self, segments: list[str]) -> None:
+    def _encoded(self, segments: list[str]) -> tuple[list[str], list[list[int]], list[list[int]], list[str]]:
+        """Segments whose bytes both sides keep, in an order of its own, with the ids of runs of them; and the other segments.
+
+        Segments are encoded many at a time, joined by the blanks that were cut: the tokens are the same.
+        """
         t = self.tokenizers
-        a_ids, b_ids = t.encode(segments)
-        fits = []
-        for s, a, b in zip(segments, a_ids, b_ids):
-            own = b" " + s.encode()
-            fits.append(b"".join(map(t.a_bytes.__getitem__, a)) == own and b"".join(map(t.b_bytes.__getitem__, b)) == own)
-            self.place[s] = len(self.place)
-        good = [i for i, f in enumerate(fits) if f]
-        numbers, strings = np.zeros((len(segments), 4), np.int64), [None] * len(segments)
-        counts = np.zeros(len(segments), np.int64)
+        odd, runs = [], []
+        for s in segments:
+            if not (_EDGES.match(s) and t.can_cut):
+                odd.append([s])
+            elif runs and size < _RUN:
+                runs[-1].append(s)
+                size += len(s)
+            else:
+                runs.append([s])
+                size = len(s)
+        good, a_ids, b_ids, bad = [], [], [], []
+        todo = odd + runs
+        while todo:
+            texts, again = [" ".join(r) for r in todo], []
+            for run, text, a, b in zip(todo, texts, *t.encode(texts)):
+                own = b" " + text.encode()
+                if b"".join(map(t.a_bytes.__getitem__, a)) == own and b"".join(map(t.b_bytes.__getitem__, b)) == own:
+                    good += run
+                    a_ids.append(a)
+                    b_ids.append(b)
+                elif len(run) > 1:
+                    again += [[s] for s in run]
+                else:
+                    bad += run
+            todo = again
+        return good, a_ids, b_ids, bad
+
+    def _learn(self, segments: list[str]) -> None:
+        good, a_ids, b_ids, bad = self._encoded(segments)
+        self.place.update(zip(good + bad, range(len(self.place), len(self.place) + len(segments))))
+        numbers, strings, counts = np.zeros((len(segments), 4), np.int64), [], np.zeros(len(segments), np.int64)
         if good:
-            a, b = (np.concatenate([np.asarray(x[i], np.int64) for i in good]) for x in (a_ids, b_ids))
+            a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids))
             a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
             group = coalesced(np.concatenate([a_ends - self.a_size[a], b_ends - self.b_size[b]]), np.concatenate([a_ends, b_ends]))
             a_group, b_group = group[: len(a)], group[len(a) :]
             n_groups = int(group.max()) + 1
             n_a, n_b = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
-            owner = np.zeros(n_groups, np.int64)  # a segment's end is a common end, so no group spans two
-            owner[a_group] = np.repeat(np.array(good), [len(a_ids[i]) for i in good])
+            last = np.searchsorted(a_ends, np.cumsum([len(s.encode()) + 1 for s in good]))  # a segment's end is a common end
+            owner = np.repeat(np.arange(len(good)), np.diff(a_group[last], prepend=-1))
             for k, x in enumerate((n_a, n_b, np.ones(n_groups, np.int64), n_a * n_b)):
-                np.add.at(numbers[:, k], owner, x)
-            self._spell(strings, good, numbers, a, b, n_a, n_b)
+                numbers[: len(good), k] = np.bincount(owner, x, len(good)).astype(np.int64)
+            strings = self._spelled(numbers[: len(good), 2], a, b, n_a, n_b)
             pairs, times, at = self._linked(a, b, a_group, b_group, n_groups)
             at = owner[at]
             order = np.argsort(at, kind="stable")
             self.pairs, self.times = np.concatenate([self.pairs, pairs[order]]), np.concatenate([self.times, times[order]])
             counts = np.bincount(at, minlength=len(segments))
-        self.texts += strings
+        self.texts += strings + [None] * len(bad)
         self.numbers = np.concatenate([self.numbers, numbers])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
 
@@ -161,17 +191,16 @@ class Aligner:
         other = first_b[ga[of]] + nth
         return (ka[of] % len(self.a_size)) * self.width + kb[other] % self.width, ca[of] * cb[other], ga[of]
 
-    def _spell(self, strings: list, good: list[int], numbers: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+    def _spelled(self, groups_of: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+        """The groups of each segment as text."""
         a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        i = j = g = 0
-        n_a, n_b = n_a.tolist(), n_b.tolist()
-        for k in good:
-            groups = []
-            for g in range(g, g + int(numbers[k, 2])):
-                groups.append(",".join(a_text[i : i + n_a[g]]) + "|" + ",".join(b_text[j : j + n_b[g]]))
-                i, j = i + n_a[g], j + n_b[g]
-            g += 1
-            strings[k] = ";".join(groups)
+        groups, i, j = [], 0, 0
+        for x, y in zip(n_a.tolist(), n_b.tolist()):
+            left = a_text[i] if x == 1 else ",".join(a_text[i : i + x])
+            groups.append(f"{left}|{b_text[j]}" if y == 1 else f"{left}|{','.join(b_text[j : j + y])}")
+            i, j = i + x, j + y
+        ends = np.cumsum(groups_of).tolist()
+        return [groups[p] if q - p == 1 else ";".join(groups[p:q]) for p, q in zip([0, *ends], ends)]
 
     def _chunks(self, texts: list[str | None]) -> Iterator[tuple[int, str]]:
         """Texts by their place; long ones in chunks that end where a segment does."""
