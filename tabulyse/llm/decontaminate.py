@@ -2,21 +2,22 @@
 
 Every task numbers the words of its documents by the benchmark's vocabulary (0: a word the benchmark lacks, which ends
 any match), builds suffix arrays over shards of whole documents, and binary-searches every suffix of every test item in
-them, one more word at a time. That gives each suffix its longest verbatim match and where it lies, and for each window
-all places where it occurs.
+them, one more word at a time up to the window: that gives each window all places where it occurs. Longest verbatim matches
+of any length come from sorting test suffixes among the training ones: the longest match of a suffix is with a neighbour.
 
 The benchmark is the query set. It is dealt into blocks of ``block_chars`` characters; one block at a time is sent to the
-tasks, and the documents are read once for each block.
+tasks, and the documents are read once for each block. With several blocks the documents are written once, numbered; each
+block leaves a row per document that it hits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,6 +29,8 @@ ships(__name__)
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 BLOCK_CHARS = 20_000_000
+#: The label of items without a key; no text of a key looks like it.
+NO_KEY = "\x00null"
 
 
 class Queries:
@@ -91,12 +94,11 @@ def _bound(ids: np.ndarray, suffixes: np.ndarray, low: np.ndarray, high: np.ndar
     return low
 
 
-def search(ids: np.ndarray, suffixes: np.ndarray, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per test suffix the length of its longest match and the first place of it in ``suffixes``; and the intervals
-    (low, high, length, suffix) of the windows that occur."""
+def search(ids: np.ndarray, suffixes: np.ndarray, queries: Queries) -> np.ndarray:
+    """The intervals (low, high, length, suffix) of ``suffixes`` that begin with a window of a test item."""
     many = len(queries.starts)
-    low, high, longest = np.zeros(many, np.int64), np.full(many, len(suffixes)), np.zeros(many, np.int64)
-    alive, depth, windows = np.arange(many) if len(suffixes) else np.arange(0), 0, []
+    low, high = np.zeros(many, np.int64), np.full(many, len(suffixes))
+    alive, depth, windows = np.flatnonzero(queries.need) if len(suffixes) else np.arange(0), 0, []
     while len(alive):
         word = queries.tokens[queries.starts[alive] + depth]
         alive, word = alive[word > 0], word[word > 0]
@@ -104,10 +106,63 @@ def search(ids: np.ndarray, suffixes: np.ndarray, queries: Queries) -> tuple[np.
         right = _bound(ids, suffixes, left, high[alive], depth, word + 1)
         found = left < right
         alive, depth = alive[found], depth + 1
-        low[alive], high[alive], longest[alive] = left[found], right[found], depth
-        whole = alive[queries.need[alive] == depth]
-        windows.append(np.stack([low[whole], high[whole], queries.need[whole], whole], axis=1))
-    return longest, low, np.concatenate(windows) if windows else np.zeros((0, 4), np.int64)
+        low[alive], high[alive] = left[found], right[found]
+        whole = queries.need[alive] == depth
+        done, alive = alive[whole], alive[~whole]
+        windows.append(np.stack([low[done], high[done], queries.need[done], done], axis=1))
+    return np.concatenate(windows) if windows else np.zeros((0, 4), np.int64)
+
+
+def longest(ids: np.ndarray, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """Per test suffix the length of its longest match in ``ids``, and one place of it.
+
+    Both texts are sorted as one; the neighbours of a test suffix among the training suffixes share more words with it than
+    any other. What it shares is found word by word for all suffixes at once; the suffix of the next word shares one word less
+    at least, so one that continues a match is not compared anew.
+    """
+    many, size = len(queries.starts), len(ids)
+    both = np.concatenate([ids, queries.tokens])
+    order = suffix_array(both)
+    training = order < size
+    index = np.arange(len(order))
+    before = np.maximum.accumulate(np.where(training, index, -1))
+    after = np.minimum.accumulate(np.where(training, index, len(order))[::-1])[::-1]
+    nth = np.zeros(len(both), np.int64)
+    nth[order] = index
+    own = queries.starts + size
+    best, place = np.zeros(many, np.int64), np.zeros(many, np.int64)
+    for side, some in ((before, before >= 0), (after, after < len(order))):
+        here = nth[own]
+        there = np.flatnonzero(some[here])
+        other = np.zeros(many, np.int64)
+        other[there] = order[side[here[there]]]
+        shared = np.zeros(many, np.int64)
+        # A suffix whose neighbour's next word neighbours its own next word is settled by that one.
+        follows = np.zeros(many, bool)
+        follows[there] = True
+        last = len(own) - 1
+        nxt = np.minimum(np.arange(many) + 1, last)
+        joined = follows & follows[nxt] & (own[nxt] == own + 1) & (other[nxt] == other + 1) & (np.arange(many) < last)
+        alone = np.flatnonzero(follows & ~joined)
+        depth = 0
+        while len(alone):
+            equal = (both[own[alone] + depth] == both[other[alone] + depth]) & (both[own[alone] + depth] > 0)
+            alone = alone[equal]
+            depth += 1
+            shared[alone] = depth
+        # One word more for each step back along a joined run, as long as that word is shared.
+        same = follows & (both[own] == both[other]) & (both[own] > 0)
+        runs = np.flatnonzero(joined)
+        if len(runs):
+            ends = np.flatnonzero(~joined)
+            end = ends[np.searchsorted(ends, runs)]
+            breaks = np.flatnonzero(~same)
+            first_break = breaks[np.minimum(np.searchsorted(breaks, runs), max(len(breaks) - 1, 0))] if len(breaks) else np.full(len(runs), many)
+            first_break = np.where(first_break < runs, many, first_break)
+            shared[runs] = np.where(first_break < end, first_break - runs, end - runs + shared[end])
+        better = shared > best
+        best[better], place[better] = shared[better], other[better]
+    return best, place
 
 
 def _shard(texts: list[list[bytes]], queries: Queries) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +180,7 @@ def _hits(texts: list[list[bytes]], queries: Queries) -> tuple[list[list[int]],
     """Per document the spans of words inside a window, as starts and ends in turn, and the labels of the items hit."""
     ids, begin = _shard(texts, queries)
     suffixes = suffix_array(ids)
-    _, _, windows = search(ids, suffixes, queries)
+    windows = search(ids, suffixes, queries)
     edge = np.zeros(len(ids) + 1, np.int64)
     items: list[set[str]] = [set() for _ in texts]
     owners: dict[tuple[int, int, int], set[int]] = {}
@@ -146,19 +201,9 @@ def _hits(texts: list[list[bytes]], queries: Queries) -> tuple[list[list[int]],
     return spans, [sorted(x) for x in items]
 
 
-def _merged(a: list[int], b: list[int]) -> list[int]:
-    out: list[int] = []
-    for s, e in sorted([*zip(a[::2], a[1::2]), *zip(b[::2], b[1::2])]):
-        if out and s <= out[-1]:
-            out[-1] = max(out[-1], e)
-        else:
-            out += [s, e]
-    return out
-
-
 def benchmark_blocks(items: DataFrame, key: str, text: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items, dealt by a hash into blocks of about ``block_chars`` characters: what the driver and a task hold at once."""
-    rows = items.where(named(text).isNotNull()).select(F.coalesce(named(key).cast("string"), F.lit("null")).alias("label"), named(text).alias("text"))
+    rows = items.where(named(text).isNotNull()).select(F.coalesce(named(key).cast("string"), F.lit(NO_KEY)).alias("label"), named(text).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars)
     for k in range(blocks):
@@ -172,45 +217,66 @@ def contamination(df: DataFrame, text: str, columns: list[str], items: DataFrame
 
     Words are runs of ASCII letters and digits and characters beyond ASCII, A-Z lower-cased. A window is ``window``
     consecutive words of an item, or a whole item that is shorter. Null and wordless texts hit nothing, null or wordless
-    items hit no text; the label of a null item key is ``null``; items that share a key count as one. Repeated rows come back
+    items hit no text; the label of a null item key is ``NO_KEY``; items that share a key count as one. Repeated rows come back
     repeated. Empty tables give no rows, or no hits. Names of other columns don't matter.
     """
     kept = [f"_{i}" for i in range(len(columns))]
-    blank = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")]
-    state = df.select(*(named(c).alias(k) for c, k in zip(columns, kept)), *blank, named(text).alias("text"))
-    schema, spark = state.schema, df.sparkSession
-
-    def scan(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            queries = sent.value
-            for batch in batches:
-                words = map(alnum_words, raw(batch.column(len(kept) + 3)))
-                lengths, spans, labels = [], [], []
-                for group in in_groups(words, len, SHARD_WORDS):
-                    new_spans, new_labels = _hits(group, queries)
-                    lengths += map(len, group)
-                    spans += new_spans
-                    labels += new_labels
-                spans = [_merged(a, b) for a, b in zip(batch.column(len(kept) + 1).to_pylist(), spans)]
-                labels = [sorted({*a, *b}) for a, b in zip(batch.column(len(kept) + 2).to_pylist(), labels)]
-                found = [pa.array(lengths, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found, batch.column(len(kept) + 3)], names)
-
-        return run
-
-    names = schema.fieldNames()
+    rows = df.select(*(named(c).alias(k) for c, k in zip(columns, kept)), named(text).alias("text"))
     blocks = benchmark_blocks(items, item_key, item_text, block_chars)
-    queries = Queries(next(blocks, []), window)
-    while True:
-        state = state.mapInArrow(scan(spark.sparkContext.broadcast(queries)), StructType(schema.fields))
-        if (block := next(blocks, None)) is None:
-            break
-        state, queries = staged(state, "contamination"), Queries(block, window)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        found = _scanned(rows, kept, first, window)
+    else:
+        rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+        whole = staged(_scanned(rows, [*kept, "row"], first, window), "contamination")
+        hits = whole.where(F.size("spans") > 0).select("row", "spans", "items")
+        for block in chain([second], blocks):
+            more = _scanned(rows, ["row"], block, window).where(F.size("spans") > 0).select("row", "spans", "items")
+            hits = staged(hits.unionByName(more), "contamination")
+        merged = hits.groupBy("row").agg(F.collect_list("spans").alias("lists"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        spans = F.coalesce(_joined(F.col("lists")), F.array().cast("array<int>"))
+        found = whole.select(*kept, "row", "n_words").join(merged, "row", "left").select(*kept, "n_words", spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = state.select(*kept, "n_words", n_hit.alias("n_hit"), "items", "spans").withColumn("contaminated", F.col("n_hit") > 0)
+    out = found.select(*kept, "n_words", n_hit.alias("n_hit"), "items", "spans").withColumn("contaminated", F.col("n_hit") > 0)
     return out.toDF(*columns, "n_words", "n_hit", "items", "spans", "contaminated")
 
 
+def _joined(lists: Column) -> Column:
+    """Spans of several lists (starts and ends in turn) as one list, those that overlap or touch made one."""
+
+    def pairs(spans: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda i: F.struct(F.get(spans, i).alias("s"), F.get(spans, i + 1).alias("e")))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last, x["e"])))
+        return F.when((F.size(done) > 0) & (x["s"] <= F.coalesce(last, F.lit(-1))), grown).otherwise(F.concat(done, F.array(x["s"], x["e"])))
+
+    ordered = F.array_sort(F.flatten(F.transform(lists, pairs)))
+    return F.aggregate(ordered, F.array().cast("array<int>"), step)
+
+
+def _scanned(rows: DataFrame, kept: list[str], items: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """``kept``, n_words, spans and items of every row, for one block of the benchmark."""
+    source = rows.select(*kept, "text")
+    schema = StructType([*source.drop("text").schema, *StructType.fromDDL("n_words long, spans array<int>, items array<string>")])
+    sent, names = rows.sparkSession.sparkContext.broadcast(Queries(items, window)), schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = sent.value
+        for batch in batches:
+            lengths, spans, labels = [], [], []
+            for group in in_groups(map(alnum_words, raw(batch.column(len(kept)))), len, SHARD_WORDS):
+                new_spans, new_labels = _hits(group, queries)
+                lengths += map(len, group)
+                spans += new_spans
+                labels += new_labels
+            found = [pa.array(lengths, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], names)
+
+    return source.mapInArrow(run, schema)
+
+
 def longest_matches(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(item, item_word, words, doc, doc_word): for every word position of an item from which at least ``least`` words are
     found in the documents, the length of the longest verbatim match and one place of it (ties: smallest document key, then
@@ -225,12 +291,11 @@ def longest_matches(df: DataFrame, key: str, text: str, items: DataFrame, item_k
                 first = 0
                 for group in in_groups(map(alnum_words, raw(batch.column(1))), len, SHARD_WORDS):
                     ids, begin = _shard(group, queries)
-                    suffixes = suffix_array(ids)
-                    longest, low, _ = search(ids, suffixes, queries)
-                    which = np.flatnonzero(longest >= least)
-                    places = suffixes[low[which]]
+                    most, at = longest(ids, queries)
+                    which = np.flatnonzero(most >= least)
+                    places = at[which]
                     docs = np.searchsorted(begin, places, side="right") - 1
-                    columns = [pa.array([queries.labels[k] for k in queries.owner[which]], pa.string()), pa.array(queries.place[which]), pa.array(longest[which]), pa.array(places - begin[docs])]
+                    columns = [pa.array([queries.labels[k] for k in queries.owner[which]], pa.string()), pa.array(queries.place[which]), pa.array(most[which]), pa.array(places - begin[docs])]
                     yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(docs + first))], schema.fieldNames())
                     first += len(group)
 

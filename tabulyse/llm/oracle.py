@@ -48,7 +48,7 @@ _ALNUM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 
 ORACLE["op2_decontaminate"] = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_ALNUM_WORDS}, []) AS w FROM documents),
-items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS label, {_ALNUM_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), chr(0) || 'null') AS label, {_ALNUM_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT label, k, array_to_string(w[i : i + k - 1], ' ') AS g
   FROM (SELECT label, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
