@@ -313,6 +313,12 @@ with placed as (
 select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, l_returnflag
 from placed
 where place > ((total + 49) // 50 // 2) * 50 and place <= ((total + 49) // 50 // 2) * 50 + 50"""
+ORACLE["preview_indexed"] = """
+with placed as (
+  select *, row_number() over (order by l_returnflag, l_extendedprice, l_orderkey, l_linenumber) as place, count(*) over () as total from lineitem)
+select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, l_returnflag, cast(l_extendedprice as varchar) as l_extendedprice
+from placed
+where place > ((total + 49) // 50 // 2) * 50 and place <= ((total + 49) // 50 // 2) * 50 + 50"""
 ORACLE["preview_pages"] = """
 select count(*) as total_rows, cast(50 as bigint) as page_size,
        cast(greatest(ceil(count(*) / 50.0), 1) as bigint) as total_pages from lineitem"""
@@ -388,7 +394,18 @@ ORACLE["sql_dump_grouped"] = """
 select o_orderkey as id, cast('123456789012' || lpad(cast(o_custkey as varchar), 9, '0') || '.25' as decimal(30, 2)) as amount,
        o_orderpriority || '''s' as note from orders"""
 ORACLE["json_mixed_documents"] = "select cast(s_suppkey as bigint) as s_suppkey, s_name from supplier"
-ORACLE["json_by_column"] = "select cast(n_nationkey as bigint) as key, n_name as name from nation"
+ORACLE["json_array_ranges"] = """
+select o_orderkey, o_orderpriority || ' "}], {' || o_orderstatus as note, o_totalprice as "price.o_totalprice" from orders"""
+ORACLE["json_by_column"] = "select cast(c_custkey as bigint) as key, c_name as name from customer"
+ORACLE["csv_ragged"] = """
+select o_orderkey as id, o_orderpriority as note, case when o_orderkey % 7 != 0 then o_orderstatus end as more, cast(null as varchar) as aside
+from orders where o_orderkey % 10 != 0
+union all
+select null, null, null, o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus || ',"a,b",' from orders where o_orderkey % 10 = 0"""
+ORACLE["sql_dump_crlf"] = """
+select cast(c_custkey as bigint) as id, c_name || ';' || chr(13) || chr(10) || ' it''s' as name, cast(null as varchar) as aside from customer where c_custkey % 9 != 0
+union all
+select null, null, 'INSERT INTO c VALUES (now(), ' || c_custkey || ');' from customer where c_custkey % 9 = 0"""
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _counts = union([f"select '{t}' as name, cast({i} as integer) as position, count(*) as n from {t}" for i, t in enumerate(_TABLES)])
 ORACLE["largest_table_of_all"] = f"select * from ({_counts}) order by n desc, position limit 1"

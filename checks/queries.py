@@ -16,7 +16,7 @@ from tabulyse.functions import normalize as n
 from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.operators import conversations as conv
 from tabulyse.operators import distribution as dist
-from tabulyse.operators import json_rows, normalize_table, preview, profile, quantiles, relations, synth, usage
+from tabulyse.operators import json_rows, normalize_table, page_index, preview, profile, quantiles, relations, synth, usage
 from tabulyse.operators.identity import link_identities
 from tabulyse.operators.value_counts import approx_distinct_and_missing, distinct_and_missing, frequent_values, row_sketches, sketched_duplicates
 from tabulyse.plans.report import report_long
@@ -24,8 +24,8 @@ from tabulyse.session import scratch_dir
 from tabulyse.sinks.insert_text import insert_statements, table_name
 from tabulyse.sinks.registry import register_write
 from tabulyse.sinks.writers import write_table
-from tabulyse.sources.insert_dump import largest_table
-from tabulyse.sources.readers import read_table
+from tabulyse.sources.insert_dump import largest_table, read_dump
+from tabulyse.sources.readers import csv_quarantine, read_table
 from tabulyse.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,6 +290,15 @@ def preview_deep_ties(spark, sf):
     return preview.preview_page(lineitem, ["l_returnflag"], page=page, shallow_rows=100)
 
 
+@query
+def preview_indexed(spark, sf):
+    """The page in the middle of the table, from a written index of its order."""
+    lineitem = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    index = page_index.write_pages(lineitem, ["l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber"], scratch_dir(spark, "pages"))
+    total = preview.preview_pages(lineitem).first().total_pages
+    return page_index.read_page(spark, index, total // 2 + 1)
+
+
 @query
 def preview_pages(spark, sf):
     return preview.preview_pages(table(spark, sf, "lineitem"))
@@ -479,6 +488,36 @@ def csv_quoted_breaks(spark, sf):
     return read_table(spark, path, "csv").select("id", F.col("longer").cast("string").alias("longer"), "note")
 
 
+@query
+def csv_ragged(spark, sf):
+    """Rows of too few and too many cells under a header that repeats a name: the table, and what was set aside."""
+    cells = [F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderstatus")]
+    short, long = F.concat_ws(",", *cells[:2]), F.concat_ws(",", *cells, F.lit('"a,b"'), F.lit(""))
+    line = F.when(F.col("o_orderkey") % 10 == 0, long).when(F.col("o_orderkey") % 7 == 0, short).otherwise(F.concat_ws(",", *cells))
+    path = scratch_dir(spark, "ragged")
+    # Lines as they are: one column, whose separator and quotes do not occur.
+    table(spark, sf, "orders").select(line.alias("id,note,note")).write.csv(path, header=True, sep="\x01", quote="")
+    rows, aside = read_table(spark, path, "csv"), csv_quarantine(spark, path)
+    found = rows.select("id", "note", F.col("`note.1`").alias("more"), F.lit(None).cast("string").alias("aside"))
+    return found.unionByName(aside.select(F.col("value").alias("aside")), allowMissingColumns=True)
+
+
+@query
+def sql_dump_crlf(spark, sf):
+    """A dump from Windows with semicolons at line ends inside texts: its rows, and what is no INSERT that can be read."""
+    path = scratch_dir(spark, "crlf")
+    key, name = F.col("c_custkey").cast("string"), F.concat(F.lit("'"), F.col("c_name"), F.lit(";\r\n it''s'"))
+    insert = F.concat(F.lit("INSERT INTO c VALUES\r\n  ("), key, F.lit(", "), name, F.lit(");"))
+    odd = F.concat(F.lit("INSERT INTO c VALUES (now(), "), key, F.lit(");"))
+    customers = table(spark, sf, "customer")
+    statements = customers.select(F.when(F.col("c_custkey") % 9 == 0, odd).otherwise(insert).alias("value"))
+    create = customers.limit(1).select(F.lit("CREATE TABLE c (\r\n  id INT, -- the key;\r\n  name TEXT\r\n);").alias("value"))
+    create.unionByName(statements).write.option("lineSep", "\r\n").text(path)
+    dump = read_dump(spark, path)
+    found = dump.tables["c"].select("id", "name", F.lit(None).cast("string").alias("aside"))
+    return found.unionByName(dump.quarantine.select(F.col("value").alias("aside")), allowMissingColumns=True)
+
+
 def exact_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with a microsecond to each instant, NaN and infinite values among them."""
     shifted = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 1000).cast("decimal(18,6)") / 1000000)
@@ -564,7 +603,7 @@ def sql_dump_grouped(spark, sf):
     amount = F.concat(F.lit("123456789012"), F.format_string("%09d", "o_custkey"), F.lit(".25"))
     note = F.concat(F.lit("'"), F.col("o_orderpriority"), F.lit("''s'"))
     group = F.concat(F.lit("("), F.concat_ws(", ", F.col("o_orderkey").cast("string"), amount, note), F.lit(")"))
-    orders = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(group)).alias("groups"))
+    orders = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 64).alias("chunk")).agg(F.sort_array(F.collect_list(group)).alias("groups"))
     inserts = orders.select(F.concat(F.lit("INSERT INTO `o` VALUES\n"), F.array_join("groups", ",\n"), F.lit(";")).alias("value"))
     create = "CREATE TABLE `o` (\n  id BIGINT,\n  amount NUMERIC(30, 2) NOT NULL,\n  note TEXT\n);"
     inserts.unionByName(orders.limit(1).select(F.lit(create).alias("value"))).write.text(path)
@@ -573,17 +612,29 @@ def sql_dump_grouped(spark, sf):
 
 @query
 def json_mixed_documents(spark, sf):
-    """Documents that hold their records under different names or as a bare array, a hundred files at most."""
+    """Documents that hold their records under different names or as a bare array, each of a range of keys."""
     records = F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("s_suppkey", "s_name")))), ",\n")
     shapes = [('{"n": 1, "rows": [', "]}"), ("[", "]"), ('{"items": [', '], "rows": 3}')]
-    file = F.col("s_suppkey") % 100
+    file = F.floor(F.col("s_suppkey") / 20)
     parts = table(spark, sf, "supplier").groupBy(file.alias("file")).agg(records.alias("records"))
     path = scratch_dir(spark, "mixed")
     spelled = variant("file", [F.concat(F.lit(head), F.col("records"), F.lit(tail)) for head, tail in shapes])
-    parts.select("file", spelled.alias("value")).write.partitionBy("file").text(path)
+    parts.select(spelled.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return read_table(spark, path, "json", lines=False, strict=True)
 
 
+@query
+def json_array_ranges(spark, sf):
+    """Documents that are arrays, cut by byte range: braces, quotes and brackets inside their texts."""
+    note = F.concat(F.col("o_orderpriority"), F.lit(' "}], {'), F.col("o_orderstatus"))
+    record = F.to_json(F.struct("o_orderkey", note.alias("note"), F.struct("o_totalprice").alias("price")))
+    chunk = F.floor(F.col("o_orderkey") / 1000)
+    documents = table(spark, sf, "orders").groupBy(chunk.alias("chunk")).agg(F.array_join(F.collect_list(record), ",\n").alias("records"))
+    path = scratch_dir(spark, "arrays")
+    documents.select(F.concat(F.lit(" [\n"), "records", F.lit("\n]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return read_table(spark, path, "json", lines=False, range_bytes=10_000)
+
+
 @query
 def largest_table_of_all(spark, sf):
     names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -600,12 +651,12 @@ def dataset_registry(spark, sf):
 
 @query
 def json_by_column(spark, sf):
-    """Regions and nations as documents that map each column to its values, one document per region."""
-    nations = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
-    columns = nations.select(F.to_json(F.struct(F.col("rows.n_nationkey").alias("key"), F.col("rows.n_name").alias("name"))).alias("value"))
+    """Customers as documents that map each column to its values, one document per range of keys."""
+    chunk = F.floor(F.col("c_custkey") / 300)
+    customers = table(spark, sf, "customer").groupBy(chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
+    columns = customers.select(F.to_json(F.struct(F.col("rows.c_custkey").alias("key"), F.col("rows.c_name").alias("name"))).alias("value"))
     path = scratch_dir(spark, "by-column")
-    # One document per file: the regions are few by definition.
-    columns.repartitionByRange(5, "value").write.option("maxRecordsPerFile", 1).text(path)
+    columns.write.option("maxRecordsPerFile", 1).text(path)
     return read_table(spark, path, "json", by_column=True)
 
 

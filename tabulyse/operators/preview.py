@@ -23,11 +23,11 @@ _ROW = "__row"
 _ORDERED = (T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.NumericType)
 
 
-def _shown(df: DataFrame, name: str) -> Column:
+def shown(df: DataFrame, name: str) -> Column:
     return F.coalesce(as_text(df, name), F.lit("")).alias(name)
 
 
-def _check(page: int, page_size: int) -> None:
+def check_page(page: int, page_size: int) -> None:
     if page < 1:
         raise ValueError("pages count from 1")
     if not 1 <= page_size <= LARGEST_PAGE:
@@ -42,20 +42,43 @@ def preview_page(
     Rows that tie go by the digest of the whole row, so pages never overlap. A shallow page is a top-n with an offset. For a
     deep page one task would have to take all rows before it, so the value of the order columns at the page's first row is
     looked up instead (exact, with bounded state per task) and only the rows from there on are ordered; no task orders more
-    than ``shallow_rows`` and a page. The lookup runs when the function is called. Order columns are numbers, dates,
+    than ``shallow_rows`` and a page. For a shallow one the value at its end is. Lookups run when the function is called. Order columns are numbers, dates,
     timestamps, booleans, text or binary.
     """
-    _check(page, page_size)
+    check_page(page, page_size)
     for name in order_by:
         if not isinstance(m.field(df, name).dataType, _ORDERED):
             raise ValueError(f"no pages by column {name!r} of type {m.field(df, name).dataType.simpleString()}")
-    skip = (page - 1) * page_size
-    keyed = df.withColumn(_ROW, row_key(df))
-    rest, order = keyed, [*order_by, _ROW]
+    skip, order = (page - 1) * page_size, [*order_by, _ROW]
     if skip > shallow_rows:
-        rest, skip = _seek(keyed, order, skip, page_size, shallow_rows)
-    ordered = rest.orderBy(*[m.value(keyed, c).asc_nulls_last() for c in order]).offset(skip).limit(page_size)
-    return ordered.select(*[_shown(df, c) for c in df.columns])
+        rest, skip = _seek(df.withColumn(_ROW, row_key(df)), order, skip, page_size, shallow_rows)
+    else:
+        near = _up_to(df, order_by, skip + page_size)
+        rest = near.withColumn(_ROW, row_key(near))
+    ordered = rest.orderBy(*[m.value(rest, c).asc_nulls_last() for c in order]).offset(skip).limit(page_size)
+    return ordered.select(*[shown(df, c) for c in df.columns])
+
+
+def _up_to(df: DataFrame, order_by: list[str], rows: int) -> DataFrame:
+    """The first ``rows`` rows in the order, and those that tie with the last of them: only these are digested.
+
+    The keys of that last row are looked up first; the rest is a filter that the scan can use.
+    """
+    if any(isinstance(m.field(df, c).dataType, T.TimestampType) for c in order_by):  # an instant with zone may not survive the way
+        return df
+    keys = df.select(*[m.value(df, c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    edge = keys.orderBy(*[F.col(k).asc_nulls_last() for k in keys.columns]).offset(rows - 1).limit(1).collect()
+    if not edge:
+        return df
+    within = F.lit(True)
+    for name, at in reversed(list(zip(order_by, edge[0]))):
+        c = m.value(df, name)
+        if at is None:
+            within = c.isNotNull() | within
+        else:
+            bound = F.lit(at).cast(m.field(df, name).dataType)
+            within = (c < bound) | ((c == bound) & within)
+    return df.where(within)
 
 
 def _bytes_places(c: Column) -> Iterator[Column]:
@@ -145,7 +168,7 @@ def _seek(df: DataFrame, order_by: list[str], skip: int, page_size: int, enough:
 
 def preview_pages(df: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """(total_rows, page_size, total_pages); an empty table has one page."""
-    _check(1, page_size)
+    check_page(1, page_size)
     pages = F.greatest(F.ceil(F.col("total_rows") / page_size), F.lit(1).cast("bigint"))
     counted = df.agg(F.count("*").alias("total_rows"))
     return counted.select("total_rows", F.lit(page_size).cast("bigint").alias("page_size"), pages.alias("total_pages"))

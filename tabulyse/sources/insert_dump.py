@@ -55,6 +55,8 @@ _LINES = QuotedLines(
     rf"\A{_CODE};\s*(?:--.*)?\z",
     rf"\A(?:[^']|'')*'{_CODE};\s*(?:--.*)?\z",
 )
+# A quoted text or name, which stays, or a comment.
+_COMMENT = rf"({_QUOTED})|--[^\n]*"
 # Outside of these a semicolon ends a statement, on the same line too; an open quote holds all that follows.
 _BALANCED = "(?:[^'\"`]++|'(?:[^']++|'')*+'|\"[^\"]*+\"|`[^`]*+`)*+"
 _STATEMENT = "(?:--[^\n]*+|[^;'\"`-]++|-|'(?:[^']++|'')*+'|\"[^\"]*+\"|`[^`]*+`|['\"`][\\s\\S]*+)++;?"
@@ -132,7 +134,8 @@ def _created(parsed: DataFrame, most_tables: int) -> dict[str, T.StructType]:
         raise ValueError(f"the dump creates more than {most_tables} tables")
     tables = {}
     for row in found:
-        table, body = re.match(_CREATE, row.value).groups()
+        bare = re.sub(_COMMENT, lambda c: c[1] or "", row.value)
+        table, body = re.match(_CREATE, bare).groups()
         entries = [e.groups() for e in re.finditer(_ENTRY, body)]
         fields = [T.StructField(_unquoted(n), _spark_type(t)) for n, t in entries if not _NO_COLUMN.match(n)]
         tables[_unquoted(table)] = T.StructType(fields)
