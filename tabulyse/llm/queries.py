@@ -50,7 +50,7 @@ def op4_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf: str) -> DataFrame:
     documents = _table(spark, sf, "documents")
     rest = remainder(F.col("doc_id"))
-    model = fit(documents, "doc_id", "text", "lang", rest != HELD_OUT[1])
+    model = fit(documents, "text", "lang", rest != HELD_OUT[1])
     out = F.coalesce(rest == HELD_OUT[1], F.lit(False))
     return with_language(documents, "text", ["doc_id"], model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
