@@ -13,6 +13,9 @@ Sending every window would cost several times the corpus. So an anchor stands fo
 ``anchor`` words that start in the window's first ``window - anchor + 1`` places. Equal windows have equal anchors, thus only
 windows whose anchor occurs at more than one place can repeat, and only they are looked up.
 
+Windows are one if 96 bits of two hashes agree: of 10^13 windows, the text of 100 TB, the odds that any two differ and agree are
+below one in a thousand.
+
 What repeats inside a block is settled there, so a passage in a third of all documents puts one row per block, not per
 document, on its hash.
 """
@@ -37,13 +40,14 @@ ANCHOR = 8
 BLOCK_WORDS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_OTHER_BASE = 0xD6E8FEB86659FD93
 
 
-def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def sequence_hashes(words: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     """A hash of every ``size`` consecutive word hashes."""
     out, done, part, length = None, 0, words, 1
     while True:
-        scale = np.uint64(pow(_BASE, length, 1 << 64))
+        scale = np.uint64(pow(base, length, 1 << 64))
         if size & 1:
             many = len(words) - done - length + 1
             out = part if out is None else out[:many] * scale + part[done : done + many]
@@ -86,6 +90,7 @@ class Block:
         self.least = _slide(self.small, window - anchor + 1, np.minimum)  # the anchor's hash, per window
         self.starts = np.flatnonzero(inside)
         self.windows = sequence_hashes(words, window)[self.starts]
+        self.checks = (sequence_hashes(words, window, _OTHER_BASE)[self.starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         width = window - anchor + 1
         # A place is an anchor if it has the least hash of some window; then that is the largest least around it.
         used = np.concatenate([np.zeros(width - 1, np.uint64), np.where(inside, self.least, np.uint64(0)), np.zeros(width - 1, np.uint64)])
@@ -151,8 +156,8 @@ def _pairs_in(owner: np.ndarray, values: np.ndarray, lists: pa.ListArray) -> np.
 
 
 def _window_rows(window: int, anchor: int, names: list[str], settle: bool = True):
-    """Rows (hash, doc, at, settled) of the windows whose anchor repeats. ``at`` packs the word a window starts at and the
-    document's mark. Without ``settle`` it is (hash, doc, at) of each.
+    """Rows (hash, check, doc, at, settled) of the windows whose anchor repeats. ``at`` packs the word a window starts at and the
+    document's mark; ``check`` is 32 bits of a second hash. Without ``settle`` it is (hash, check, doc, at) of each.
 
     First places in the block have nothing in ``settled`` yet. The others come as runs that follow one reference: (salt, count,
     ref_doc, ref_start), salted apart.
@@ -167,19 +172,19 @@ def _window_rows(window: int, anchor: int, names: list[str], settle: bool = True
                     continue
                 owner = block.document(block.starts)
                 pick = _pairs_in(owner, block.least[block.starts], repeated.slice(first, len(block.begin)))
-                starts, owner, found = block.starts[pick], owner[pick], block.windows[pick]
+                starts, owner, found, check = block.starts[pick], owner[pick], block.windows[pick], block.checks[pick]
                 if not len(starts):
                     continue
                 start = starts - block.begin[owner]
                 keys = batch.column(0).slice(first, len(block.begin)).to_pylist()
                 at = start << 32 | np.asarray(batch.column(1).slice(first, len(block.begin)))[owner]
                 if not settle:
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(pa.array(owner + first)), pa.array(at)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(check), batch.column(0).take(pa.array(owner + first)), pa.array(at)], names)
                     continue
                 rank = _ranks(keys)[owner]
-                order = np.lexsort((at, rank, found))
-                owner, found, start, at, rank = (x[order] for x in (owner, found, start, at, rank))
-                head = np.append(True, found[1:] != found[:-1])
+                order = np.lexsort((at, rank, check, found))
+                owner, found, check, start, at, rank = (x[order] for x in (owner, found, check, start, at, rank))
+                head = np.append(True, (found[1:] != found[:-1]) | (check[1:] != check[:-1]))
                 top = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
                 same = (rank == rank[top]) & (at == at[top])  # the first place itself, repeated rows included
                 later = np.flatnonzero(~same)
@@ -198,7 +203,7 @@ def _window_rows(window: int, anchor: int, names: list[str], settle: bool = True
                 refs = pa.array(np.concatenate([blank, owner[ref] + first]), mask=open_)
                 told = [np.concatenate([blank, x]).astype(np.int32) for x in (1 + np.arange(len(later)), count, start[ref])]
                 settled = pa.StructArray.from_arrays([pa.array(told[0]), pa.array(told[1]), batch.column(0).take(refs), pa.array(told[2])], ["salt", "count", "ref_doc", "ref_start"], mask=pa.array(open_))
-                yield pa.RecordBatch.from_arrays([pa.array(found[rows].view(np.int64)), batch.column(0).take(pa.array(owner[rows] + first)), pa.array(at[rows]), settled], names)
+                yield pa.RecordBatch.from_arrays([pa.array(found[rows].view(np.int64)), pa.array(check[rows]), batch.column(0).take(pa.array(owner[rows] + first)), pa.array(at[rows]), settled], names)
 
     return run
 
@@ -213,10 +218,10 @@ def factors(df: DataFrame, key: str, text: str, window: int = WINDOW, anchor: in
     come in the order of a window's start in them, then of their marks. Texts that are null or below ``window`` words have none.
     """
     asked = _asked(_documents(df, key, text), window, anchor)
-    schema = StructType([*StructType.fromDDL("hash long"), asked.schema["doc"], *StructType.fromDDL("at long")])
+    schema = StructType([*StructType.fromDDL("hash long, check int"), asked.schema["doc"], *StructType.fromDDL("at long")])
     windows = asked.mapInArrow(_window_rows(window, anchor, schema.fieldNames(), settle=False), schema).distinct()
     place = F.struct("doc", "at")
-    told = windows.join(windows.groupBy("hash").agg(F.min(place).alias("first")), "hash").where(~place.eqNullSafe(F.col("first")))
+    told = windows.join(windows.groupBy("hash", "check").agg(F.min(place).alias("first")), ["hash", "check"]).where(~place.eqNullSafe(F.col("first")))
     low = F.lit(0xFFFFFFFF)
     start, ref_start = (F.shiftright(c, 32).cast("int") for c in ("at", "first.at"))
     each = told.select("doc", F.col("at").bitwiseAND(low).alias("mark"), start.alias("start"), F.col("first.doc").alias("ref_doc"), F.col("first.at").bitwiseAND(low).alias("ref_mark"), ref_start.alias("ref_start"))
@@ -259,10 +264,10 @@ def _found(documents: DataFrame, window: int, anchor: int) -> DataFrame:
     asked = _asked(documents, window, anchor)
     doc = asked.schema["doc"]
     settled = StructType.fromDDL("salt int, count int").add("ref_doc", doc.dataType).add("ref_start", "integer")
-    schema = StructType([*StructType.fromDDL("hash long"), doc, *StructType.fromDDL("at long")]).add("settled", settled)
+    schema = StructType([*StructType.fromDDL("hash long, check int"), doc, *StructType.fromDDL("at long")]).add("settled", settled)
     looked_up = asked.mapInArrow(_window_rows(window, anchor, schema.fieldNames()), schema)
     place = F.struct("doc", "at")
-    first = F.first(place).over(Window.partitionBy("hash", "settled.salt").orderBy("doc", "at"))
+    first = F.first(place).over(Window.partitionBy("hash", "check", "settled.salt").orderBy("doc", "at"))
     known = F.col("settled").isNotNull()
     told = looked_up.withColumn("first", first).where(known | ~place.eqNullSafe(F.col("first")))
     ref_doc = F.when(known, F.col("settled.ref_doc")).otherwise(F.col("first.doc")).alias("ref_doc")

@@ -119,5 +119,14 @@ def test_factors_do_not_depend_on_blocks(spark, documents, monkeypatch):
     assert [(r[2:]) for r in whole if r[0] == 1000] == [(1, 500, None, 0)]
 
 
+def test_equal_hashes_are_checked(spark, documents, monkeypatch):
+    """With a first hash that tells nothing apart, the second one still does."""
+    docs = [(i, t) for i, (_, t) in enumerate(some_documents()[:25])]
+    real = repeats.sequence_hashes
+    monkeypatch.setattr(repeats, "sequence_hashes", lambda words, size, base=repeats._BASE: real(words, size, base) if size < 20 or base != repeats._BASE else real(words, size) % np.uint64(3))
+    for parts in (1, 4):
+        assert found(without_repeats(documents(docs).repartition(parts), "doc_id", "text")) == expected(docs)
+
+
 def test_empty_table(spark, documents):
     assert without_repeats(documents([(1, "a")]).where(F.lit(False)), "doc_id", "text").count() == 0
