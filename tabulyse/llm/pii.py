@@ -4,17 +4,20 @@ Patterns propose spans. Four labelers vote on each, for (1), against (-1) or not
 rules: check digits, ranges, lengths), ``gazetteer`` (endings, issuer digits, calling codes, key prefixes, reserved
 addresses), ``context`` (words before the span) and ``edges`` (whether the span is cut out of a longer token).
 Expectation-maximisation over the counts of vote patterns, at most 81 rows a kind, estimates for each kind how reliable each
-labeler is and how likely each pattern is personal data; a logistic regression on those soft labels is the final classifier
-of spans. Its features are the votes within each kind, and kinds weigh alike, so however many spans one kind has, it does
-not decide on another. Spans that pass their kind's own rules (``base``) stay whatever it says; it decides on the others.
+labeler is and how likely each pattern is personal data. With those soft labels a logistic regression is trained on the spans
+themselves: beside the votes it sees the words around a span, its shape and its length, hashed, and so tells spans apart that
+have equal votes. Features are of one kind each and kinds weigh alike, so however many spans one kind has, it does not decide
+on another. It learns from about ``SAMPLE_SPANS`` spans of each kind, chosen by hash. Spans that pass their kind's own rules
+(``base``) stay whatever it says; it decides on the others.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +41,10 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}
 LEFT, RIGHT = 48, 8
 
-ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "it", "nl", "uk", "us", "ca", "au", "eu", "ch", "at", "br", "in", "jp")
-CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "90", "91")
+#: Endings of mail addresses: those of countries have two letters, of the others the common ones.
+ENDINGS = r"^(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|cloud|email)$"
+#: Calling codes: zones 1 and 7, codes of two digits, and the beginnings of those of three.
+CALLING_CODES = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69]\d|3[578]\d|42\d|50\d|59\d|6[789]\d|80\d|85\d|8[78]\d|9[679]\d)"
 KEY_PREFIXES = ("sk-", "sk_", "pk_", "ghp_", "gho_", "AKIA", "AIza", "xox")
 CUES = {
     "email": "mail|contact|write|courriel|correo",
@@ -62,7 +67,10 @@ START = {
     "edges": {1: (0.10, 0.05, 0.85), 0: (0.40, 0.05, 0.55)},
 }
 PRIOR_WEIGHT = 20.0
-ROUNDS = 8
+#: Estimation ends when no probability changes by more than this, or after so many rounds.
+SETTLED, MOST_ROUNDS = 1e-3, 40
+#: Spans of each kind that the classifier learns from, about; hashed features; and how far from 0 the weights are held.
+SAMPLE_SPANS, HASHED_FEATURES, REGULARISATION = 4_000, 1 << 12, 1e-4
 THRESHOLD = 0.5
 
 
@@ -143,9 +151,10 @@ def votes(spans: DataFrame) -> DataFrame:
     digits = _digits(hit)
     ending = F.lower(F.substring_index(hit, ".", -1))
     known = (
-        F.when(kind == "email", ending.isin(*ENDINGS))
+        F.when(kind == "email", ending.rlike(ENDINGS))
+        .when(kind == "ip", hit.rlike(r"^(?:0*+[1-9]|0*+[1-9]\d|0*+1\d\d|0*+2[01]\d|0*+22[0-3])\."))
         .when(kind == "card", digits.rlike("^[3-6]"))
-        .when(kind == "phone", F.substring(digits, 1, 1).isin(*CALLING_CODES) | F.substring(digits, 1, 2).isin(*CALLING_CODES))
+        .when(kind == "phone", digits.rlike(CALLING_CODES))
         .when(kind == "secret", F.greatest(*(hit.startswith(p) for p in KEY_PREFIXES)))
         .otherwise(F.lit(False))
     )
@@ -161,9 +170,27 @@ def votes(spans: DataFrame) -> DataFrame:
         .withColumn("context", _vote(cue, near.rlike(COUNTER_CUES) & ~cue))
         .withColumn("edges", _vote(~cut, cut))
         .withColumn("base", kind.isin(*KINDS) & (F.col("form") == 1))
+        .withColumn("tokens", _tokens())
     )
 
 
+def _tokens() -> Column:
+    """What the classifier sees of a span beside its votes, each as kind:feature=value: the two words before it and the one
+    after, the letters it touches, its shape (9 for digits, a for letters, runs as one) and the size of its length."""
+    hit, near = F.col("hit"), F.lower("left")
+    words = F.regexp_extract_all(near, F.lit(r"\p{L}{2,}"), F.lit(0))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(hit, "[0-9]+", "9"), "[A-Z]+", "A"), "[a-z]+", "a")
+    told = {
+        "before": F.try_element_at(words, F.lit(-1)),
+        "before2": F.try_element_at(words, F.lit(-2)),
+        "after": F.nullif(F.regexp_extract(F.lower("right"), r"^[^\p{L}]{0,3}(\p{L}{2,})", 1), F.lit("")),
+        "touches": F.concat(F.regexp_replace(F.right("left", F.lit(1)), r"\p{L}", "a"), F.lit("_"), F.regexp_replace(F.left("right", F.lit(1)), r"\p{L}", "a")),
+        "shape": F.substring(shape, 1, 24),
+        "length": F.least(F.floor(F.log2(F.length(hit)) * 2), F.lit(20)).cast("string"),
+    }
+    return F.array_compact(F.array(*(F.concat(F.col("kind"), F.lit(f":{name}="), value) for name, value in told.items())))
+
+
 def _voting(kind: str) -> list[str]:
     return [name for name in LABELERS if name not in SILENT.get(kind, ())]
 
@@ -176,6 +203,11 @@ class Reliability:
     table: dict[str, dict[int, tuple[float, float, float]]]
     many: float = 0.0
 
+    def change(self, other: Reliability) -> float:
+        """The largest difference of any probability."""
+        pairs = [(p, q) for name in self.table for label in (0, 1) for p, q in zip(self.table[name][label], other.table[name][label])]
+        return max(abs(p - q) for p, q in [(self.share, other.share), *pairs])
+
     def posterior(self) -> Column:
         def weight(label: int, share: float) -> Column:
             out = F.lit(share)
@@ -192,12 +224,13 @@ def _posterior(rates: dict[str, Reliability]) -> Column:
     return F.coalesce(*(F.when(F.col("kind") == kind, rate.posterior()) for kind, rate in rates.items()))
 
 
-def estimated_by_kind(patterns: DataFrame, rounds: int = ROUNDS) -> dict[str, Reliability]:
+def estimated_by_kind(patterns: DataFrame, settled: float = SETTLED, rounds: int = MOST_ROUNDS) -> dict[str, Reliability]:
     """Expectation-maximisation over rows (kind, one column per labeler, n), for each kind by itself: each round is one aggregate
-    over at most 81 rows a kind."""
+    over at most 81 rows a kind. It ends when nothing changes by more than ``settled``."""
     kinds = sorted(r["kind"] for r in patterns.select("kind").distinct().collect())
     now = {kind: Reliability(0.5, {name: START[name] for name in _voting(kind)}) for kind in kinds}
     for _ in range(rounds if kinds else 0):
+        before = now.copy()
         soft = patterns.withColumn("p", _posterior(now))
         mass = {1: F.col("n") * F.col("p"), 0: F.col("n") * (1 - F.col("p"))}
         sums = [F.coalesce(F.sum(F.when(F.col(name) == v, mass[label])), F.lit(0.0)).alias(f"{name}_{label}_{v + 1}") for name in LABELERS for label in (0, 1) for v in (-1, 0, 1)]
@@ -210,30 +243,40 @@ def estimated_by_kind(patterns: DataFrame, rounds: int = ROUNDS) -> dict[str, Re
                     table[name][label] = tuple(c / sum(counts) for c in counts)
             yes, no = (sum(row[f"form_{label}_{v}"] for v in range(3)) for label in (1, 0))
             now[row["kind"]] = Reliability((yes + PRIOR_WEIGHT / 2) / (yes + no + PRIOR_WEIGHT), table, yes + no)
+        if all(now[k].change(before[k]) <= settled for k in kinds):
+            break
     return now
 
 
-def estimated(patterns: DataFrame, rounds: int = ROUNDS) -> Reliability:
+def estimated(patterns: DataFrame) -> Reliability:
     """``estimated_by_kind`` of rows (one column per labeler, n) that are all of one kind, on which every labeler votes."""
-    return estimated_by_kind(patterns.withColumn("kind", F.lit("")), rounds)[""]
-
-
-def classifier(patterns: DataFrame, rates: dict[str, Reliability]) -> Column:
-    """The probability that a span is personal data, from a logistic regression on kinds, the votes within each kind and their
-    soft labels. Every kind has the same weight in all."""
-    features = [(kind, name, v) for kind in rates for name, v in [("kind", 0), *((name, v) for name in _voting(kind) for v in (-1, 1))]]
-    holds = [F.col("kind") == kind if name == "kind" else (F.col("kind") == kind) & (F.col(name) == v) for kind, name, v in features]
-    flags = [F.when(h, 1.0).otherwise(0.0).alias(f"f{i}") for i, h in enumerate(holds)]
-    share = F.coalesce(*(F.when(F.col("kind") == kind, F.col("n") / rate.many) for kind, rate in rates.items()))
-    soft = patterns.select(*flags, share.alias("share"), _posterior(rates).alias("p"))
-    yes = soft.withColumn("label", F.lit(1.0)).withColumn("weight", F.col("share") * F.col("p"))
-    no = soft.withColumn("label", F.lit(0.0)).withColumn("weight", F.col("share") * (1 - F.col("p")))
-    rows = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(yes.unionAll(no))
-    model = LogisticRegression(weightCol="weight", maxIter=50, regParam=0.001, fitIntercept=False).fit(rows)
-    score = F.lit(0.0)
-    for hold, weight in zip(holds, model.coefficients):
-        score = score + F.when(hold, float(weight)).otherwise(0.0)
-    return 1 / (1 + F.exp(-score))
+    return estimated_by_kind(patterns.withColumn("kind", F.lit("")))[""]
+
+
+def _featured(spans: DataFrame, kinds: list[str], hashed: int) -> DataFrame:
+    """The spans with ``features``: kinds and the votes within each as they are, tokens hashed."""
+    votes_of = [(kind, name, v) for kind in kinds for name, v in [("kind", 0), *((name, v) for name in _voting(kind) for v in (-1, 1))]]
+    holds = [F.col("kind") == kind if name == "kind" else (F.col("kind") == kind) & (F.col(name) == v) for kind, name, v in votes_of]
+    flags = spans.select("*", *(F.when(h, 1.0).otherwise(0.0).alias(f"flag{i}") for i, h in enumerate(holds)))
+    hashing = HashingTF(inputCol="tokens", outputCol="hashed", numFeatures=hashed, binary=True)
+    names = [f"flag{i}" for i in range(len(holds))]
+    return VectorAssembler(inputCols=[*names, "hashed"], outputCol="features").transform(hashing.transform(flags)).drop(*names, "hashed")
+
+
+def classifier(spans: DataFrame, rates: dict[str, Reliability], sample: int = SAMPLE_SPANS, hashed: int = HASHED_FEATURES) -> LogisticRegressionModel:
+    """A logistic regression on the spans' features and soft labels. Every kind has the same weight in all.
+
+    It learns from the spans whose hash falls below ``sample`` of their kind's number; equal ones are one row that weighs more.
+    """
+    share = F.coalesce(*(F.when(F.col("kind") == kind, F.lit(sample / max(rate.many, 1.0))) for kind, rate in rates.items()))
+    lot = F.pmod(F.xxhash64("kind", "doc", "mark", "start"), F.lit(1 << 30)) / (1 << 30)
+    some = spans.where(lot < share).groupBy("kind", *LABELERS, "tokens").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("kind"))
+    soft = _featured(some.withColumn("share", F.col("n") / total).withColumn("p", _posterior(rates)), list(rates), hashed).select("features", "share", "p")
+    yes = soft.select("features", F.lit(1.0).alias("label"), (F.col("share") * F.col("p")).alias("weight"))
+    no = soft.select("features", F.lit(0.0).alias("label"), (F.col("share") * (1 - F.col("p"))).alias("weight"))
+    rows = staged(yes.unionAll(no), "pii-sample")
+    return LogisticRegression(weightCol="weight", maxIter=100, regParam=REGULARISATION, fitIntercept=False, standardization=False).fit(rows)
 
 
 def personal_spans(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -243,10 +286,15 @@ def personal_spans(df: DataFrame, key: str, text: str, threshold: float = THRESH
     """
     documents = df.select(named(key).alias("doc"), F.xxhash64(named(text)).alias("mark"), F.coalesce(named(text), F.lit("")).alias("text"))
     voted = votes(_hits(documents))
-    spans = staged(voted.select("doc", "mark", "kind", "start", "end", "base", *LABELERS), "pii-spans")
+    spans = staged(voted.select("doc", "mark", "kind", "start", "end", "base", *LABELERS, "tokens"), "pii-spans")
     patterns = staged(spans.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")), "pii-votes")
-    score = F.lit(0.0) if patterns.isEmpty() else classifier(patterns, estimated_by_kind(patterns))
-    scored = spans.withColumn("score", score)
+    if patterns.isEmpty():
+        scored = spans.withColumn("score", F.lit(0.0))
+    else:
+        rates = estimated_by_kind(patterns)
+        model = classifier(spans, rates)
+        judged = model.transform(_featured(spans, list(rates), HASHED_FEATURES))
+        scored = judged.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     kind = F.when(F.col("kind") == "local_phone", "phone").otherwise(F.col("kind"))
     return scored.where(F.col("base") | (F.col("score") >= threshold)).select("doc", "mark", kind.alias("kind"), "start", "end", "base", "score")
 

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tabulyse.llm.pii import KINDS, PATTERNS, estimated, listed, masked, with_spans
+from tabulyse.llm.pii import KINDS, PATTERNS, estimated, listed, masked, personal_spans, votes, with_spans
 from tabulyse.llm.queries import QUERIES
 
 PLAIN = {
@@ -126,6 +126,23 @@ def test_a_million_emails_do_not_decide_on_other_kinds(spark, documents):
     assert verdicts(table.unionByName(many)) == want
 
 
+def test_surroundings_tell_equal_votes_apart(spark, documents):
+    """Numbers in the shape of a local phone, without any cue: those that stand where cued ones do score higher than those that
+    stand where junk does."""
+    rows = [(i, f"reach {['Ann', 'Bob', 'Kim'][i % 3]} at the desk, call 202-555-{1000 + i}") for i in range(150)]
+    rows += [(1000 + i, f"the desk, {['Ann', 'Bob', 'Kim'][i % 3]} at 202-555-{3000 + i} ") for i in range(40)]
+    rows += [(2000 + i, f"see version lot 300-400-{1000 + i}x{i}") for i in range(150)] + [(3000 + i, f"spare lot 300-400-{2000 + i} ") for i in range(40)]
+    score = {r.doc: r.score for r in personal_spans(documents(rows), "doc_id", "text", threshold=0.0).collect()}
+    assert min(score[i] for i in range(150)) > 0.5 > max(score[2000 + i] for i in range(150))
+    assert min(score[1000 + i] for i in range(40)) > max(score[3000 + i] for i in range(40))
+
+
+def test_gazetteers_by_rule(spark):
+    rows = {("email", "a@b.pt"): 1, ("email", "a@b.zzzz"): 0, ("phone", "+351 21 123 4567"): 1, ("phone", "+999 21 123 4567"): 1, ("phone", "+210 21 123 4567"): 1, ("phone", "+0 21 123 4567"): 0, ("ip", "8.8.8.8"): 1, ("ip", "10.0.0.1"): -1, ("ip", "240.1.1.1"): 0}
+    spans = spark.createDataFrame([(k, h, "", "") for k, h in rows], "kind string, hit string, left string, right string")
+    assert {(r.kind, r.hit): r.gazetteer for r in votes(spans).collect()} == rows
+
+
 def test_estimates_follow_the_votes(spark):
     rows = [(1, 1, 1, 1, 500), (1, 0, 1, 1, 300), (-1, 0, 0, -1, 700), (-1, -1, -1, 1, 200), (1, 0, 0, 1, 50)]
     rates = estimated(spark.createDataFrame(rows, "form int, gazetteer int, context int, edges int, n long"))
