@@ -594,6 +594,9 @@ _HANDLE = f"lower({_CONTACT.pick(v.FIRST_NAMES)} || '.' || {_CONTACT.pick(v.LAST
 ORACLE["synth_preset"] = f"""
 select c_custkey, {_HANDLE} || '@' || {_CONTACT.pick(v.DOMAINS, 2)} as reply_to, {People("delivery_city").pick(v.CITIES)} as delivery_city from customer"""
 
+_SHOWN = {"s_suppkey": People("s_suppkey").whole(1, 1000), "s_nationkey": People("s_nationkey").whole(1, 1000), "s_acctbal": People("s_acctbal").real(0, 100, 2)}
+ORACLE["synth_preview"] = f"select {', '.join(f'{sql} as {c}' for c, sql in _SHOWN.items())} from (select unnest(range(5)) as c_custkey) where exists (select 1 from supplier)"
+
 # Conversations
 
 ORACLE["has_table"] = r"select doc_id, regexp_matches(text, '\|.*\|.*\|') as has_table from documents"

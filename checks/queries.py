@@ -736,6 +736,14 @@ def synth_people(spark, sf):
     return synth.synth_columns(table(spark, sf, "customer").select("c_custkey"), "c_custkey", specs, seed=7)
 
 
+@query
+def synth_preview(spark, sf):
+    """Five rows like those of a table, whose column types are inferred."""
+    suppliers = table(spark, sf, "supplier")
+    specs = [ColumnSpec(r.column, r.type) for r in normalize_table.infer_types(suppliers).orderBy("position").collect()]
+    return synth.synth_preview(spark, [s for s in specs if s.key != "string"], seed=7)
+
+
 @query
 def synth_preset(spark, sf):
     """The ready-made schema for a topic, of the types allowed."""

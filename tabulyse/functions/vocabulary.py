@@ -40,5 +40,10 @@ PRESET_COLUMNS = [
     ("story", "Paragraph"),
     ("year", "Number"),
     ("label", "String"),
+    ("grade", "String"),
+    ("batch", "Number"),
+    ("origin", "String"),
+    ("checked", "Date"),
+    ("length", "Number"),
 ]
 DOMAINS = ["example.com", "example.net", "example.org"]

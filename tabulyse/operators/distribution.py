@@ -15,19 +15,22 @@ HISTOGRAM_BINS = 20
 CATEGORY_VALUES = 15
 OUTLIER_ROWS = 50
 LATEST_DAYS = 200
+_MOST_BINS = 200_000  # counts of bins that are sent to every task at most
 
 
-def histogram(df: DataFrame, columns: list[str], bins: int = HISTOGRAM_BINS, label: bool = False) -> DataFrame:
+def histogram(df: DataFrame, columns: list[str], bins: int = HISTOGRAM_BINS, label: bool = False, extent: DataFrame | None = None) -> DataFrame:
     """(column, bin, lo, hi, n): equal-width bins over [min, max], empty bins included.
 
     The last bin is closed. A constant column spans half a unit either side of its value, an empty one
-    [0, 1]. Infinite values are left out. Two passes; the first yields one row per column.
+    [0, 1]. Infinite values are left out. Two passes; the first yields one row per column, or is spared if the caller has the
+    least and largest finite values, as ``extent`` (column, a, b).
     """
     if bins < 1:
         raise ValueError("a histogram needs at least one bin")
     values = numeric_long(df, columns).where(m.finite(F.col("x")).isNotNull())
     names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
-    extent = values.groupBy("column").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    if extent is None:
+        extent = values.groupBy("column").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     flat = F.col("a") == F.col("b")
     bounds = names.join(F.broadcast(extent), "column", "left").select(
         "column",
@@ -51,7 +54,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int = HISTOGRAM_BINS, lab
     counted = placed.groupBy("column", exact.alias("bin")).agg(F.count("*").alias("n"))
     every = bounds.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
     every = every.select("column", "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"))
-    filled = every.join(F.broadcast(counted), ["column", "bin"], "left")
+    filled = every.join(F.broadcast(counted) if len(columns) * bins <= _MOST_BINS else counted, ["column", "bin"], "left")
     out = filled.select("column", "bin", "lo", "hi", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
     return out.withColumn("label", range_label(F.col("lo"), F.col("hi"))) if label else out
 
@@ -79,7 +82,7 @@ def _beyond() -> Column:
     return (F.col("x") < F.col("lower")) | (F.col("x") > F.col("upper"))
 
 
-def _against_fences(df: DataFrame, columns: list[str], middle: DataFrame | None) -> DataFrame:
+def against_fences(df: DataFrame, columns: list[str], middle: DataFrame | None) -> DataFrame:
     """Per column: quartiles, fences and what one more pass finds relative to them."""
     bounds = _bounds(df, columns, middle)
     placed = numeric_long(df, columns).join(F.broadcast(bounds), "column")
@@ -99,25 +102,25 @@ def _status() -> Column:
     return F.when(F.col("n") == 0, "empty").otherwise("ok").alias("status")
 
 
-def box_plot(df: DataFrame, columns: list[str], zero_fill: bool = False, middle: DataFrame | None = None) -> DataFrame:
+def box_plot(df: DataFrame, columns: list[str], zero_fill: bool = False, middle: DataFrame | None = None, fenced: DataFrame | None = None) -> DataFrame:
     """(column, min, q1, median, q3, max, lower_whisker, upper_whisker, outlier_count, status).
 
     Whiskers are the outermost values inside the fences at 1.5 times the interquartile range. ``middle``
-    holds the quartiles if the caller has them.
+    holds the quartiles if the caller has them, ``fenced`` what ``against_fences`` gives.
     """
     m.require_numeric(df, *columns)
     shown = ["min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker"]
-    rows = _against_fences(df, columns, middle)
+    rows = fenced.where(F.col("column").isin(columns)) if fenced else against_fences(df, columns, middle)
     return rows.select("column", *[stat(F.col(c), zero_fill=zero_fill).alias(c) for c in shown], "outlier_count", _status())
 
 
 def outliers_iqr(
-    df: DataFrame, columns: list[str] | None = None, zero_fill: bool = False, middle: DataFrame | None = None
+    df: DataFrame, columns: list[str] | None = None, zero_fill: bool = False, middle: DataFrame | None = None, fenced: DataFrame | None = None
 ) -> DataFrame:
     """(column, q1, q3, iqr, lower_fence, upper_fence, outlier_count, outlier_pct, min, max, median, status)."""
     columns = columns or m.numeric_columns(df)
     m.require_numeric(df, *columns)
-    rows = _against_fences(df, columns, middle)
+    rows = fenced.where(F.col("column").isin(columns)) if fenced else against_fences(df, columns, middle)
     rows = rows.withColumn("iqr", F.col("q3") - F.col("q1"))
     shown = {"q1": "q1", "q3": "q3", "iqr": "iqr", "lower_fence": "lower", "upper_fence": "upper"}
     extremes = {"min": "min", "max": "max", "median": "median"}

@@ -64,8 +64,8 @@ def _up_to(df: DataFrame, order_by: list[str], rows: int) -> DataFrame:
 
     The keys of that last row are looked up first; the rest is a filter that the scan can use.
     """
-    if any(isinstance(m.field(df, c).dataType, T.TimestampType) for c in order_by):  # an instant with zone may not survive the way
-        return df
+    if not order_by or any(isinstance(m.field(df, c).dataType, T.TimestampType) for c in order_by):
+        return df  # an instant with zone may not survive the way
     keys = df.select(*[m.value(df, c).alias(f"k{i}") for i, c in enumerate(order_by)])
     edge = keys.orderBy(*[F.col(k).asc_nulls_last() for k in keys.columns]).offset(rows - 1).limit(1).collect()
     if not edge:

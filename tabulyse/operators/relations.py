@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulyse.functions import missing as m
@@ -39,6 +39,8 @@ def _survey(df: DataFrame, names: list[str], keep: int | None) -> list[_Column]:
     if len(names) > WIDE:
         rows = {r.i: r for r in cross_products.moments(df, names).collect()}
         found = [_Column(c, r.mean, r.variance, r.low < r.high, r.n < r.total) if (r := rows.get(i)) else _Column(c, None, None, False, False) for i, c in enumerate(names)]
+    elif not names:
+        return []
     else:
         measures = []
         for i, c in enumerate(names):
@@ -158,6 +160,22 @@ def scatter_sample(
     return complete.orderBy("lot", *[m.col(k) for k in keys]).limit(max_points).drop("lot")
 
 
+def scatter_samples(
+    df: DataFrame, pairs: list[tuple[str, str]], keys: list[str], max_points: int = SCATTER_POINTS, seed: int = SCATTER_SEED
+) -> DataFrame:
+    """(column_a, column_b, keys..., x, y): what ``scatter_sample`` finds for each of the pairs, in one pass over the table."""
+    m.require_numeric(df, *{c for pair in pairs for c in pair})
+    ids = [m.col(k).alias(k) for k in keys]
+    points = [
+        F.when(m.present(df, a, b), F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), stat(m.number(df, a)).alias("x"), stat(m.number(df, b)).alias("y")))
+        for a, b in pairs
+    ]
+    each = df.select(*ids, keyed_md5(seed, *[m.col(k) for k in keys]).alias("lot"), F.inline(F.array_compact(F.array(*points))))
+    first = Window.partitionBy("column_a", "column_b").orderBy("lot", *[m.col(k) for k in keys])
+    kept = each.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max_points)
+    return kept.select("column_a", "column_b", *[m.col(k) for k in keys], "x", "y")
+
+
 def what_if(df: DataFrame, target: str, driver: str, change_pct: float | list[float], zero_fill: bool = False) -> DataFrame:
     """One row per change: what a straight-line fit says happens to the target when the driver's mean moves.
 

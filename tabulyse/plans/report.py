@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tabulyse.functions import missing as m
 from tabulyse.functions.stats import stat
-from tabulyse.operators.distribution import box_plot, histogram, outliers_iqr
-from tabulyse.operators.profile import column_profile, dataset_summary, numeric_stats, top_values
+from tabulyse.operators.distribution import against_fences, box_plot, histogram, outliers_iqr
+from tabulyse.operators.profile import column_profile, dataset_summary, moments, numeric_stats, top_values
 from tabulyse.operators.quantiles import quartiles
-from tabulyse.operators.relations import correlation_matrix, scatter_sample, strongest
+from tabulyse.operators.relations import correlation_matrix, scatter_samples, strongest
 from tabulyse.session import small_table, written
 
 
@@ -44,17 +44,19 @@ class ReportLimits:
 def profile_report(df: DataFrame, keys: list[str], limits: ReportLimits = ReportLimits()) -> dict[str, DataFrame]:
     """The sections of the report by name. ``keys`` identify a row for the scatter samples.
 
-    A section a table has no columns for is left out. The frequent values that three sections show are found once, when the
-    function is called, and kept in a written table of a few rows per column. The table itself is read about once per section;
-    whoever wants it cached persists it first.
+    A section a table has no columns for is left out. What several sections show is found once, when the function is called:
+    moments, quartiles, fences, correlations and frequent values, in written tables of a few rows per column. The sections
+    themselves read the table once for the histograms, once for the scatters, and for the summary and the columns, which read
+    different columns each. Whoever wants it cached persists it first.
     """
     numerics = m.numeric_columns(df)
     categoricals = m.columns_with_role(df, m.CATEGORICAL, m.BOOLEAN)
     sections = {"summary": dataset_summary(df), "columns": column_profile(df)}
     if numerics:
         middle = quartiles(df, numerics)
-        sections["numeric_stats"] = numeric_stats(df, numerics, middle=middle)
-        bins = histogram(df, numerics[: limits.histograms], limits.bins)
+        facts = written(moments(df, numerics), "report")
+        sections["numeric_stats"] = numeric_stats(df, numerics, middle=middle, facts=facts)
+        bins = histogram(df, numerics[: limits.histograms], limits.bins, extent=facts.select("column", F.col("low").alias("a"), F.col("high").alias("b")))
         sections["histograms"] = bins.withColumns({edge: stat(F.col(edge)) for edge in ("lo", "hi")})
     if categoricals:
         tops = written(top_values(df, categoricals, max(limits.bar_values, limits.pie_values + 1, limits.categorical_values)), "report")
@@ -70,8 +72,10 @@ def profile_report(df: DataFrame, keys: list[str], limits: ReportLimits = Report
         sections["top_correlations"] = strongest(pairs, len(numerics) ** 2 if limits.correlation_pairs is None else limits.correlation_pairs)
         sections["scatters"] = _scatters(df, strongest(pairs, limits.scatters), keys)
     if numerics:
-        sections["box_plots"] = box_plot(df, numerics[: limits.boxes], middle=middle)
-        sections["outliers"] = outliers_iqr(df, numerics[: limits.outlier_columns], middle=middle)
+        boxes, outside = numerics[: limits.boxes], numerics[: limits.outlier_columns]
+        fenced = written(against_fences(df, max(boxes, outside, key=len), middle), "report")
+        sections["box_plots"] = box_plot(df, boxes, fenced=fenced)
+        sections["outliers"] = outliers_iqr(df, outside, fenced=fenced)
     if categoricals:
         sections["categoricals"] = tops.where(F.col("column").isin(listed) & (F.col("rank") <= limits.categorical_values))
     return sections
@@ -86,18 +90,8 @@ def _pie(tops: DataFrame, categoricals: list[str], most: int) -> DataFrame:
 
 def _scatters(df: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Samples of a few pairs of columns."""
-
-    def sample(pair) -> DataFrame:
-        points = scatter_sample(df, pair.column_a, pair.column_b, keys)
-        return points.select(
-            F.lit(pair.column_a).alias("column_a"),
-            F.lit(pair.column_b).alias("column_b"),
-            F.concat_ws("/", *[m.col(k).cast("string") for k in keys]).alias("key"),
-            "x",
-            "y",
-        )
-
-    return reduce(DataFrame.unionByName, [sample(p) for p in pairs.collect()])
+    points = scatter_samples(df, [(p.column_a, p.column_b) for p in pairs.collect()], keys)
+    return points.select("column_a", "column_b", F.concat_ws("/", *[m.col(k).cast("string") for k in keys]).alias("key"), "x", "y")
 
 
 def _melted(section: str, df: DataFrame, item: list[str], metrics: list[str]) -> DataFrame:

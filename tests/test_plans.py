@@ -16,7 +16,12 @@ def plan(df):
 NEEDS_PYTHON = {"json_repair", "extract_records", "skipped_members", "reply_to_rows", "top_correlations_wide"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"report"}))
+def test_report_reads_the_table_a_few_times(spark, sf):
+    text = plan(QUERIES["report"](spark, sf))
+    assert text.count("customer.parquet") <= 8
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cross_join(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     assert ("ArrowEvalPython" in text or "MapInArrow" in text) == (name in NEEDS_PYTHON)

@@ -200,6 +200,15 @@ def test_scatter_does_not_depend_on_partitions(spark):
     assert relations.scatter_sample(df.limit(5), "x", "y", ["id"]).where("y is null").count() == 0
 
 
+def test_scatters_of_several_pairs_are_the_single_ones(spark):
+    df = spark.range(2000).selectExpr("id", "id * 2 x", "if(id % 10 = 0, null, id) y", "double(id % 7) z")
+    pairs = [("x", "y"), ("y", "z"), ("x", "z")]
+    got = relations.scatter_samples(df, pairs, ["id"], 50)
+    for a, b in pairs:
+        one = got.where((F.col("column_a") == a) & (F.col("column_b") == b)).select("id", "x", "y")
+        assert sorted(one.collect()) == sorted(relations.scatter_sample(df, a, b, ["id"], 50).collect())
+
+
 def test_report_sections(spark, sf):
     full = profile_report(spark.read.parquet(f"{sf}/customer.parquet"), ["c_custkey"])
     assert set(full) == {

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tabulyse.functions import vocabulary
 from tabulyse.functions.mending import mend_json
 from tabulyse.functions.semantic_types import ColumnSpec
 from tabulyse.operators import json_rows, synth
@@ -156,7 +157,9 @@ def test_synth_follows_column_names(spark):
 
 def test_presets(spark):
     specs = synth.default_specs("Pet Shop", ["Number", "String", "date"], 4)
-    assert [(s.name, s.type) for s in specs] == [("pet_shop_number", "Number"), ("title", "String"), ("summary", "String"), ("kind", "String")]
-    assert [s.name for s in synth.default_specs("a", ["date"])] == ["opened_on"]
+    assert [(s.name, s.type) for s in specs] == [("due", "date"), ("year", "Number"), ("label", "String"), ("grade", "String")]
+    assert [s.name for s in synth.default_specs("A b", ["uuid", "date"])] == ["a_b_uid", "due", "checked"]
+    known = set(synth.synth_types())
+    assert all(t.lower() in known for _, t in vocabulary.PRESET_COLUMNS) and len(vocabulary.PRESET_COLUMNS) == len({n for n, _ in vocabulary.PRESET_COLUMNS})
     assert len(synth.default_specs("a", ["Number", "String", "Date", "Email", "City"], 99)) == 10
     assert synth.synth_preview(spark, specs).count() == 5

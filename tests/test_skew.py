@@ -61,7 +61,7 @@ def test_rankings_of_a_hot_owner(hot, local):
 def test_a_hot_conversation(hot):
     messages = hot.select(F.col("user_id").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), "text")
     parts = conv.conversation_archive(messages, turns_per_row=500).where("conv_id = 0")
-    assert parts.agg(F.sum("n"), F.max("n")).first() == (ROWS // 3, 167)
+    assert parts.agg(F.sum("n"), F.max("n")).first() == (ROWS // 3, 500)
     assert conv.recent_history(messages, 4).where("conv_id = 0").count() == 4
     assert conv.full_message_rows(messages, "s", "i").where("conv_id = 0").count() == ROWS // 3 + 2
 
