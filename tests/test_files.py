@@ -301,6 +301,25 @@ def test_csv_ranges_need_one_header(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path))
 
 
+@pytest.mark.parametrize(
+    "text, names, rows",
+    [
+        ("", [], []),
+        ("a,b\n", ["a", "b"], []),
+        ('\ufeffa,b\n1,"x\ny"\n', ["a", "b"], [(1, "x\ny")]),
+        ("a,b\n1,2", ["a", "b"], [(1, 2)]),
+        ('a,b\n5" pipe,6" x\n"q" z,1\n', ["a", "b"], [('5" pipe', '6" x'), ('"q" z', "1")]),
+        ('a,b\n1,"never closed\n2,3\n', ["a", "b"], [(1, "never closed\n2,3")]),
+        ("a,b\r1,2\r3,4\r", ["a", "b"], [(1, 2), (3, 4)]),
+    ],
+)
+def test_odd_csv_files(spark, tmp_path, text, names, rows):
+    (tmp_path / "x.csv").write_text(text, newline="")
+    df = readers.read_csv(spark, str(tmp_path / "x.csv"))
+    assert df.columns == names and [tuple(r) for r in df.collect()] == rows
+    assert readers.csv_quarantine(spark, str(tmp_path / "x.csv")).count() == 0
+
+
 @pytest.mark.parametrize("broken", ["", '9,"q\nq"\n'])
 def test_csv_ragged_rows_and_repeated_names(spark, put, broken):
     path = put("r.csv", 'a,b,a,\n1,2,3,4\n5,6\n7,8,9,10,11\n"1,2",x,,,\n\n12,13,14,15,\n16,"1,2,3,4,5",,\n' + broken)
