@@ -44,13 +44,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     ``strict`` it is an error. Files of one folder need the same header.
     """
     names, rows = _csv_rows(spark, path, multi_line)
+    too_long = _too_long(rows)
     if strict:
         fail = F.raise_error(F.concat(F.lit("more cells than the header: "), F.substring(_RECORD, 1, 200)))
-        rows = rows.where(F.when(_too_long(len(names)), fail.cast("boolean")).otherwise(True))
+        rows = rows.where(F.when(too_long, fail.cast("boolean")).otherwise(True))
     else:
-        rows = rows.where(~_too_long(len(names)))
+        rows = rows.where(~too_long)
     raw = rows.drop(_RECORD).toDF(*names)
-    text = raw.select(*[_without_null_tokens(m.col(c)).alias(c) for c in raw.columns])
+    text = raw.select(*[_without_null_tokens(m.col(c)).alias(c) if isinstance(raw.schema[c].dataType, T.StringType) else m.col(c) for c in raw.columns])
     if schema is not None:
         return text.select(*[_read_as(m.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
     types = _csv_types(text)
@@ -64,19 +65,24 @@ def csv_quarantine(spark: SparkSession, path: str, multi_line: bool = True) -> D
         return small_table(spark, [], "value string")
     # Spark refuses to read the record alone; no cell is longer than its record.
     some = F.length(_RECORD) >= F.coalesce(F.length("c0"), F.lit(0))
-    return rows.where(_too_long(len(names)) & some).select(F.col(_RECORD).alias("value"))
+    return rows.where(_too_long(rows) & some).select(F.col(_RECORD).alias("value"))
 
 
-def _too_long(width: int) -> Column:
-    """Whether the record has more cells than there are columns. Spark hands out records of another number of cells only."""
+def _too_long(rows: DataFrame) -> Column:
+    """Whether the record has more cells than the header. Spark hands out records of another number of cells only."""
+    width = rows.columns.index(_RECORD)
     return F.coalesce(F.size(F.regexp_extract_all(F.col(_RECORD), F.lit(rf"(?:\A|,){_CELL}"), F.lit(0))) > width, F.lit(False))
 
 
 def _csv_rows(spark: SparkSession, path: str, multi_line: bool) -> tuple[list[str], DataFrame]:
-    """The names of the header, and the rows as text in columns c0, c1, ... with the record where its cells are not as many."""
+    """The names of the header, and the rows as text in columns c0, c1, ... with the record where its cells are not as many.
+    Columns that the folders name come last; such files, if they have line breaks in quotes, are read whole."""
     options = {"escape": '"', "nullValue": "", "columnNameOfCorruptRecord": _RECORD, "columnPruning": "false"}
-    broken = spark.read.text(path).where(F.col("value").contains('"') & ~F.col("value").rlike(rf"\A{_CELL}(?:,{_CELL})*+\z"))
-    ranges = multi_line and not broken.limit(1).isEmpty()
+    lines = spark.read.text(path)
+    folders = lines.columns[1:]
+    broken = lines.where(F.col("value").contains('"') & ~F.col("value").rlike(rf"\A{_CELL}(?:,{_CELL})*+\z"))
+    breaks = multi_line and not broken.limit(1).isEmpty()
+    ranges = breaks and not folders
     if ranges:
         pieces = pieces_of(spark, path, "\n")
         records = cut_records(pieces, range_starts(pieces, _CSV_LINES), _CSV_LINES)
@@ -86,7 +92,8 @@ def _csv_rows(spark: SparkSession, path: str, multi_line: bool) -> tuple[list[st
             raise ValueError(f"the files of {path} have different headers: {tops[0]} and {tops[1]}")
         top = tops[0]
     else:
-        top = spark.read.csv(path, header=False, escape='"').first() or []
+        first = spark.read.csv(path, header=False, escape='"', multiLine=breaks)
+        top = first.select(*first.columns[: len(first.columns) - len(folders)]).first() or []
     cells = [c if c else f"_c{i}" for i, c in enumerate(top)]
     if not cells:
         return [], small_table(spark, [], f"{_RECORD} string")
@@ -98,7 +105,8 @@ def _csv_rows(spark: SparkSession, path: str, multi_line: bool) -> tuple[list[st
     same = len({c.lower() for c in cells}) == len(cells)
     named = T.StructType([T.StructField(c if same else f, T.StringType()) for c, f in zip(cells, fields)] + [schema[_RECORD]])
     # Where names repeat there is no schema with which Spark could compare the headers of several files.
-    return _numbered(cells), spark.read.options(header=True, enforceSchema=not same, **options).schema(named).csv(path).toDF(*fields)
+    read = spark.read.options(header=True, enforceSchema=not same, multiLine=breaks, **options).schema(named).csv(path)
+    return [*_numbered(cells), *folders], read.toDF(*fields, *folders)
 
 
 def _numbered(names: list[str]) -> list[str]:

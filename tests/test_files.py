@@ -294,6 +294,16 @@ def test_csv_is_cut_by_ranges(spark, tmp_path, small_ranges, end):
     assert dict(readers.read_csv(spark, str(tmp_path)).dtypes)["id"] == "bigint"
 
 
+@pytest.mark.parametrize("cell", ["plain", "x\ny"])
+def test_csv_keeps_the_columns_of_folders(spark, tmp_path, cell):
+    for k in (1, 2):
+        (tmp_path / f"part={k}").mkdir()
+        (tmp_path / f"part={k}" / "a.csv").write_text(f'a,a\n{k},"{cell}"\n1,2,3\n')
+    df = readers.read_csv(spark, str(tmp_path))
+    assert df.columns == ["a", "a.1", "part"] and sorted(map(tuple, df.collect())) == [(1, cell, 1), (2, cell, 2)]
+    assert readers.csv_quarantine(spark, str(tmp_path)).count() == 2
+
+
 def test_csv_ranges_need_one_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n')
     (tmp_path / "b.csv").write_text('b,a\n1,"x\ny"\n')
