@@ -234,8 +234,11 @@ def factors(df: DataFrame, key: str, text: str, window: int = WINDOW, anchor: in
 
 def _documents(df: DataFrame, key: str, text: str, columns: list[str] | None = None) -> DataFrame:
     """doc, mark, group, text and the columns: ``group`` is the key without nulls, which the last bit of ``mark`` tells, so that
-    grouping and joining by (group, mark) share one partitioning."""
-    mark = F.hash(named(key), named(text)).cast("long").bitwiseAND(F.lit(0x3FFFFFFF)) * 2 + named(key).isNull().cast("long")
+    grouping and joining by (group, mark) share one partitioning. The rest of the mark is a hash of the text, which is only
+    needed, and only sent along, if any two rows share a key."""
+    shared = df.groupBy(named(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    text_hash = F.lit(0).cast("long") if shared.limit(1).isEmpty() else F.hash(named(key), named(text)).cast("long").bitwiseAND(F.lit(0x3FFFFFFF))
+    mark = text_hash * 2 + named(key).isNull().cast("long")
     rows = df.select(named(key).alias("doc"), mark.alias("mark"), named(text).alias("text"), *(named(c).alias(f"_{i}") for i, c in enumerate(columns or [])))
     return rows.withColumn("group", _group(rows))
 
