@@ -13,8 +13,8 @@ Sending every window would cost several times the corpus. So an anchor stands fo
 ``anchor`` words that start in the window's first ``window - anchor + 1`` places. Equal windows have equal anchors, thus only
 windows whose anchor occurs at more than one place can repeat, and only they are looked up.
 
-Windows are one if 96 bits of two hashes agree: of 10^13 windows, the text of 100 TB, the odds that any two differ and agree are
-below one in a thousand.
+Windows are one if 88 bits of two hashes agree. Of the 10^13 windows of 100 TB about a quarter has an anchor that repeats; the
+odds that any two of these differ and agree are below one in a hundred. Anchors are only a filter, and 48 bits suffice.
 
 What repeats inside a block is settled there, so a passage in a third of all documents puts one row per block, not per
 document, on its hash.
@@ -86,11 +86,11 @@ class Block:
         np.add.at(inside, self.begin[ok], 1)
         np.add.at(inside, (self.begin + lengths - window + 1)[ok], -1)
         inside = np.cumsum(inside[:size]) > 0
-        self.small = sequence_hashes(words, anchor) | np.uint64(1)
+        self.small = sequence_hashes(words, anchor) >> np.uint64(16) | np.uint64(1)
         self.least = _slide(self.small, window - anchor + 1, np.minimum)  # the anchor's hash, per window
         self.starts = np.flatnonzero(inside)
         self.windows = sequence_hashes(words, window)[self.starts]
-        self.checks = (sequence_hashes(words, window, _OTHER_BASE)[self.starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.checks = (sequence_hashes(words, window, _OTHER_BASE)[self.starts] >> np.uint64(40)).astype(np.int32)
         width = window - anchor + 1
         # A place is an anchor if it has the least hash of some window; then that is the largest least around it.
         used = np.concatenate([np.zeros(width - 1, np.uint64), np.where(inside, self.least, np.uint64(0)), np.zeros(width - 1, np.uint64)])
@@ -157,7 +157,7 @@ def _pairs_in(owner: np.ndarray, values: np.ndarray, lists: pa.ListArray) -> np.
 
 def _window_rows(window: int, anchor: int, names: list[str], settle: bool = True):
     """Rows (hash, check, doc, at, settled) of the windows whose anchor repeats. ``at`` packs the word a window starts at and the
-    document's mark; ``check`` is 32 bits of a second hash. Without ``settle`` it is (hash, check, doc, at) of each.
+    document's mark; ``check`` is 24 bits of a second hash. Without ``settle`` it is (hash, check, doc, at) of each.
 
     First places in the block have nothing in ``settled`` yet. The others come as runs that follow one reference: (salt, count,
     ref_doc, ref_start), salted apart.
