@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulyse.llm.components import components
@@ -29,6 +29,7 @@ from tabulyse.llm.words import per_text
 ships(__name__)
 
 BITS = 64
+PARTS = 256
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -131,6 +132,18 @@ def _by_midpoints(prints: DataFrame, radius: int) -> DataFrame:
     return far.join(hubs, "point").where("fingerprint != hub").select(F.col("fingerprint").alias("u"), F.col("hub").alias("v")).distinct()
 
 
+def _with_least(placed: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(fingerprint, component_id, root): the smallest ``least`` of all nodes of a root. Nulls are never the smallest.
+
+    A component may hold a third of all nodes, so these are dealt by root and one of ``parts`` parts. Only one row a part,
+    its smallest, goes to the root, and comes back to the part. ``parts`` changes no result.
+    """
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.lit(parts)))
+    told = dealt.groupBy("root", "part").agg(F.min("least").alias("least"))
+    told = told.select("root", "part", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
+    return dealt.join(told, ["root", "part"]).select("fingerprint", "component_id", "root")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, columns: list[str] | None = None, shingle: int = 4, radius: int = 4, bucket: int = 1024) -> DataFrame:
     """Per row: ``key``, ``columns``, ``fingerprint`` (16 hex digits), ``component_id``, the smallest key reachable over
     fingerprints that differ in at most ``radius`` bits, and ``component``, one fingerprint of the component.
@@ -144,8 +157,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, columns: list[str] | Non
     nodes = staged(prints.groupBy("fingerprint").agg(F.min("key").alias("least")), "nodes")
     roots = components(fingerprint_links(nodes, radius, bucket))
     placed = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = staged(placed.join(least, "root").select("fingerprint", "component_id", "root"), "classes")
+    classes = staged(_with_least(placed), "classes")
     digits = [F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("fingerprint", "root")]
     found = prints.join(classes, "fingerprint").select("key", *(f"c{i}" for i in range(len(others))), digits[0], "component_id", digits[1])
     return found.toDF(key, *others, "fingerprint", "component_id", "component")

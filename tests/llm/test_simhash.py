@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tabulyse.llm.queries import QUERIES
-from tabulyse.llm.simhash import _by_midpoints, covering_masks, fingerprint, fingerprint_links, near_duplicates
+from tabulyse.llm.simhash import _by_midpoints, _with_least, covering_masks, fingerprint, fingerprint_links, near_duplicates
 
 
 def plain_fingerprint(text):
@@ -88,6 +88,22 @@ def test_midpoints_never_link_beyond_the_radius(spark):
         assert {0b1, 0} in [{r.u, r.v} for r in found]
 
 
+@pytest.mark.parametrize("parts", [1, 7, 256])
+def test_smallest_key_of_a_large_component_is_found_in_parts(spark, parts):
+    rows = [(i, None if i % 3 == 0 else 10_000 - i, 0 if i < 2000 else i // 10) for i in range(3000)] + [(3000, None, 3000)]
+    placed = spark.createDataFrame(rows, "fingerprint long, least long, root long").repartition(5)
+    least = {root: min((k for _, k, r in rows if r == root and k is not None), default=None) for root in {r[2] for r in rows}}
+    found = {(r.fingerprint, r.component_id, r.root) for r in _with_least(placed, parts).collect()}
+    assert found == {(f, least[r], r) for f, _, r in rows} and least[0] == 8001 and least[3000] is None
+
+
+def test_no_task_gets_a_whole_large_component(spark):
+    placed = spark.range(100_000).selectExpr("id as fingerprint", "id as least", "if(id < 50000, 0, id) as root")
+    plan = _with_least(placed.hint("shuffle_merge"))._jdf.queryExecution().executedPlan().toString()
+    dealt = [x.split("hashpartitioning(")[1].split(")")[0] for x in plan.splitlines() if "hashpartitioning(" in x]
+    assert len(dealt) >= 3 and sum("part#" not in x for x in dealt) == 1  # that of the window: a row a part
+
+
 def test_odd_rows(spark, documents):
     long = "lorem ipsum dolor sit amet " * 30_000
     rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, None), (9, ""), (2, long), (3, long + " x"), (None, "only here with no key"), (4, "A B c d E")]
