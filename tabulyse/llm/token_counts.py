@@ -73,7 +73,8 @@ def histogram(df: DataFrame, text: str, vocabulary: str = VOCABULARY, pattern: s
     tokens_at_least (suffix sums over texts this long or longer), truncated_tokens (of all texts cut to this length), and
     docs_up_to (texts this short or shorter).
 
-    An empty table gives no rows; null and empty texts have length 0; repeated rows count each.
+    An empty table gives no rows; null and empty texts have length 0; repeated rows count each. Texts of one length are one
+    row. Columns other than ``text`` are not read, whatever their names.
     """
     # Two steps use the counts; written, they are encoded once.
     counts = staged(lengths(df, text, vocabulary, pattern).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "token-counts")

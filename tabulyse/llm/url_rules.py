@@ -70,7 +70,8 @@ def mined_rules(baskets: DataFrame, support: float = LEAST_SUPPORT, least: int =
     ``baskets`` has one array ``items`` per labelled page, tokens and, where it holds, ``BLOCK``. Rules need the larger of
     ``support`` (share of the baskets) and ``least`` baskets. Their confidence is judged against the share of baskets with
     ``BLOCK``, by ``LEAST_LIFT`` and ``LEAST_ERRORS``; or, where it is given, by ``confidence`` alone. A rule goes if a part of
-    it is as sure.
+    it is as sure. Of tokens equally rare, the smallest stands for the rule. No baskets, or none with ``BLOCK``, give no
+    rules; repeated baskets count each; ``items`` are distinct and not null. Other columns are not read, whatever their names.
     """
     many, bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
     spark = baskets.sparkSession
