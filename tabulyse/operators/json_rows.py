@@ -103,8 +103,11 @@ def record_columns(records: DataFrame, names: list[str], keep: list[str]) -> Dat
     return records.select(*[m.col(k) for k in keep], *[record_field(c).alias(c) for c in names])
 
 
-def infer_record_specs(records: DataFrame) -> list[ColumnSpec]:
-    """One spec per member name found in any record, in name order, from one aggregate."""
+def infer_record_specs(records: DataFrame, most_columns: int = MOST_COLUMNS) -> list[ColumnSpec]:
+    """One spec per member name found in any record, in name order, from one aggregate.
+
+    More than ``most_columns`` names are an error: a table that wide is probably one of keys that belong into a column.
+    """
     members = records.select(F.explode(F.try_variant_get("record", "$", "map<string,variant>")).alias("name", "v"))
     sort, text = F.schema_of_variant("v"), F.try_variant_get("v", "$", "string")
     seen = members.select("name", sort.alias("sort"), text.alias("text"))
@@ -117,9 +120,9 @@ def infer_record_specs(records: DataFrame) -> list[ColumnSpec]:
         F.count_if(there & number).alias("numbers"),
         F.count_if(there & looks_like_date(F.col("text"))).alias("dates"),
     )
-    rows = counts.orderBy("name").limit(MOST_COLUMNS + 1).collect()
-    if len(rows) > MOST_COLUMNS:
-        raise ValueError(f"the records have more than {MOST_COLUMNS} different members; name the columns wanted")
+    rows = counts.orderBy("name").limit(most_columns + 1).collect()
+    if len(rows) > most_columns:
+        raise ValueError(f"the records have more than {most_columns} different members; name the columns wanted, or allow more")
     return [ColumnSpec(r["name"], type_from_name(r["name"]) or type_from_counts(*r[1:])) for r in rows]
 
 
@@ -129,14 +132,15 @@ def reply_rows(
     specs: list[ColumnSpec] | None = None,
     null_policy: str = "typed_default",
     rows: int | None = None,
+    most_columns: int = MOST_COLUMNS,
 ) -> DataFrame:
     """Replies to clean typed rows: the reply's columns, the record's position, the columns of the spec.
 
-    Without a spec the columns are inferred, which parses the replies once more. ``rows`` is the number
-    of rows asked of each reply; what a reply holds beyond it is left out.
+    Without a spec the columns are inferred, up to ``most_columns`` of them, which parses the replies once more. ``rows`` is
+    the number of rows asked of each reply; what a reply holds beyond it is left out.
     """
     records = extract_records(parse_replies(df, text), rows)
-    specs = specs or infer_record_specs(records)
+    specs = specs or infer_record_specs(records, most_columns)
     keep = [c for c in records.columns if c != "record"]
     return normalize(record_columns(records, [s.name for s in specs], keep), specs, null_policy, tuple(keep))
 

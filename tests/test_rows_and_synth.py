@@ -106,6 +106,13 @@ def test_rows_asked_for(spark):
     assert sorted((r.position, r.member) for r in json_rows.skipped_members(json_rows.parse_replies(df, "raw")).collect()) == [(0, "7"), (3, '"x"')]
 
 
+def test_as_many_columns_as_allowed(spark):
+    df = spark.createDataFrame([(1, json.dumps([{f"c{i:02d}": i for i in range(30)}]))], "id int, raw string")
+    assert json_rows.reply_rows(df, "raw", most_columns=30).columns[2:] == [f"c{i:02d}" for i in range(30)]
+    with pytest.raises(ValueError, match="more than 29"):
+        json_rows.reply_rows(df, "raw", most_columns=29)
+
+
 ALL = [ColumnSpec(t.replace(" ", "_"), t) for t in synth.synth_types()]
 
 
