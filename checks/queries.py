@@ -6,6 +6,7 @@ with expressions that the SQL side states as well.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,7 +26,7 @@ from tabulyse.sinks.insert_text import insert_statements, table_name
 from tabulyse.sinks.registry import register_write
 from tabulyse.sinks.writers import write_table
 from tabulyse.sources.insert_dump import largest_table, read_dump
-from tabulyse.sources.readers import csv_quarantine, read_table
+from tabulyse.sources.readers import csv_quarantine, read_table, source_size
 from tabulyse.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,13 +426,21 @@ def normalize_table_null(spark, sf):
     return normalize_table.normalize(messy_orders(spark, sf), ORDER_SPECS, null_policy="null")
 
 
+#: Bytes of orders behind one arriving file. A file of one row group is read by one task, so a batch needs many of them.
+ARRIVING_BYTES = 1 << 20
+ARRIVING_BATCHES = 3
+
+
 @query
 def normalize_stream(spark, sf):
-    """The same cleaning on a stream of files, one batch after another until all are read."""
+    """The same cleaning on a stream of files, one batch after another until all are read; the files of a batch grow in number
+    with the table."""
     incoming, cleaned, marks = (scratch_dir(spark, label) for label in ("incoming", "cleaned", "marks"))
     messy = messy_orders(spark, sf)
-    messy.repartition(3, "o_orderkey").write.parquet(incoming)
-    arriving = spark.readStream.schema(messy.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    size = source_size(spark, f"{sf}/orders.parquet").first().bytes
+    at_once = max(1, math.ceil(size / ARRIVING_BYTES / ARRIVING_BATCHES))
+    messy.repartition(ARRIVING_BATCHES * at_once, "o_orderkey").write.parquet(incoming)
+    arriving = spark.readStream.schema(messy.schema).option("maxFilesPerTrigger", at_once).parquet(incoming)
     clean = jobs.normalize_stream(arriving, ORDER_SPECS, null_policy="null")
     run = clean.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(cleaned)
     run.awaitTermination()
