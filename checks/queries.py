@@ -735,14 +735,14 @@ def synth_orders_like(spark, sf):
         ColumnSpec("zip", "Zip Code"),
         ColumnSpec("badge", "Employee ID"),
     ]
-    return synth.synth_columns(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", specs, seed=42)
+    return synth.synth_columns(synth.spread(table(spark, sf, "orders").select("o_orderkey")), "o_orderkey", specs, seed=42)
 
 
 @query
 def synth_people(spark, sf):
     """Every type of the generator, one row per customer."""
     specs = [ColumnSpec(t.replace(" ", "_"), t) for t in synth.synth_types()]
-    return synth.synth_columns(table(spark, sf, "customer").select("c_custkey"), "c_custkey", specs, seed=7)
+    return synth.synth_columns(synth.spread(table(spark, sf, "customer").select("c_custkey")), "c_custkey", specs, seed=7)
 
 
 @query
@@ -757,7 +757,7 @@ def synth_preview(spark, sf):
 def synth_preset(spark, sf):
     """The ready-made schema for a topic, of the types allowed."""
     specs = synth.default_specs("Sales", ["City", "Email"])
-    return synth.synth_columns(table(spark, sf, "customer").select("c_custkey"), "c_custkey", specs, seed=7)
+    return synth.synth_columns(synth.spread(table(spark, sf, "customer").select("c_custkey")), "c_custkey", specs, seed=7)
 
 
 # Conversations

@@ -1,7 +1,7 @@
 """Synthetic tables from a list of column names and types.
 
 Every value is a function of (seed, column, row number) through md5, so a table comes out the same
-whatever the partitioning, a lost task recomputes the same rows, and nothing is shuffled.
+whatever the partitioning, a lost task recomputes the same rows, and drawing shuffles nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tabulyse.functions.hashing import hash_word, keyed_md5
 from tabulyse.functions.semantic_types import ColumnSpec
 
 PREVIEW_ROWS = 5
+#: Rows for which one task draws values: a few seconds for all types.
+TASK_ROWS = 20_000
 FEWEST_DEFAULT_COLUMNS, MOST_DEFAULT_COLUMNS = 3, 10
 _MONEY_WORDS = {"price", "cost", "amount", "salary", "revenue"}
 _STOCK_WORDS = {"quantity", "stock", "count"}
@@ -284,6 +286,16 @@ def synth_value(spec: ColumnSpec, row: Column, seed: int = 0, as_of: str = "2025
     return _BUILDERS.get(spec.key, _BUILDERS["word"])(_Draw(spec, row.cast("bigint"), seed, as_of))
 
 
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt evenly to tasks of about ``rows`` each, to draw values next to.
+
+    A value costs far more than the row it stands next to, so tasks that suit a scan are too few and too long: a file of one
+    row group is one task. Rows are counted when the function is called, which Parquet answers from its footers. Leave out
+    columns that are not needed first, the others are shuffled.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def synth_columns(df: DataFrame, row: str, specs: list[ColumnSpec], seed: int = 0, as_of: str = "2025-12-31") -> DataFrame:
     """Synthetic columns next to the existing ones, drawn by the row number in column ``row``."""
     return df.select("*", *[synth_value(s, F.col(row), seed, as_of).alias(s.name) for s in specs])

@@ -4,7 +4,10 @@ import datetime as dt
 import glob
 import os
 
+import pytest
+
 from checks import queries
+from tabulyse.operators import synth
 from tabulyse.session import scratch_dir
 
 
@@ -24,3 +27,13 @@ def test_batches_of_a_stream_hold_more_files_as_the_table_grows(spark, tmp_path,
     assert cleaned.count() == cleaned.select("o_orderkey").distinct().count() == 4000
     (new,), (log,) = made(spark, "incoming") - incoming, made(spark, "marks") - marks
     assert len(glob.glob(f"{new}/part-*")) == 12 and len(glob.glob(f"{log}/commits/[0-9]*")) == 3
+
+
+@pytest.mark.parametrize("query, name, key", [("synth_people", "customer", "c_custkey"), ("synth_preset", "customer", "c_custkey"), ("synth_orders_like", "orders", "o_orderkey")])
+def test_values_are_drawn_by_more_tasks_as_the_table_grows(spark, tmp_path, monkeypatch, query, name, key):
+    keys = [*range(95), None, 3, 3]
+    spark.createDataFrame([(k,) for k in keys], f"{key} long").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(synth.spread, "__defaults__", (10,))
+    drawn = queries.QUERIES[query](spark, str(tmp_path))
+    assert drawn.rdd.getNumPartitions() == 10
+    assert sorted(str(r[0]) for r in drawn.select(key).collect()) == sorted(map(str, keys))
