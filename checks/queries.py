@@ -637,7 +637,7 @@ def json_array_ranges(spark, sf):
     """Documents that are arrays, cut by byte range: braces, quotes and brackets inside their texts."""
     note = F.concat(F.col("o_orderpriority"), F.lit(' "}], {'), F.col("o_orderstatus"))
     record = F.to_json(F.struct("o_orderkey", note.alias("note"), F.struct("o_totalprice").alias("price")))
-    chunk = F.floor(F.col("o_orderkey") / 1000)
+    chunk = F.floor(F.col("o_orderkey") / 16_000)  # a document has some 1.4 MB
     documents = table(spark, sf, "orders").groupBy(chunk.alias("chunk")).agg(F.array_join(F.collect_list(record), ",\n").alias("records"))
     path = scratch_dir(spark, "arrays")
     documents.select(F.concat(F.lit(" [\n"), "records", F.lit("\n]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)

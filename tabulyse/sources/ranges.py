@@ -15,11 +15,10 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulyse.session import written
@@ -96,9 +95,11 @@ def _modes(out: np.ndarray, inside: np.ndarray, start: int) -> np.ndarray:
     return np.append(start, base ^ (turned & 1)).astype(np.int64)
 
 
-def pieces_of(spark: SparkSession, path: str | list[str], separator: str, **options) -> DataFrame:
-    """(file, block, value): what lies between two separators, with the file and the byte range it was read from."""
+def pieces_of(spark: SparkSession, path: str, separator: str, files: Column | None = None, **options) -> DataFrame:
+    """(file, block, value): what lies between two separators, with the file and the byte range it was read from. ``files`` is a
+    condition on the files to read."""
     text = spark.read.options(lineSep=separator, **options).text(path)
+    text = text if files is None else text.where(files)
     return text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
@@ -142,17 +143,21 @@ def range_starts(pieces: DataFrame, scanner) -> DataFrame:
     names = ["file", "block", "mode0", "rise0", "mode1", "rise1", "letter"]
     tables = pieces.mapInArrow(fold, "file long, block long, mode0 long, rise0 long, mode1 long, rise1 long, letter string")
 
-    def starts(ranges: pd.DataFrame) -> pd.DataFrame:
-        ranges = ranges.sort_values("block").reset_index(drop=True)
-        mode, depth, found = OUTSIDE, 0, []
-        for m0, r0, m1, r1 in ranges[["mode0", "rise0", "mode1", "rise1"]].itertuples(index=False):
-            found.append((mode, depth))
-            mode, depth = (m0, depth + r0) if mode == OUTSIDE else (m1, depth + r1)
-        ranges[["mode", "depth"]] = found
-        ranges["first"] = ranges["letter"][0]
-        return ranges[["file", "block", "mode", "depth", "first"]]
-
-    return written(tables.groupBy("file").applyInPandas(starts, "file long, block long, mode long, depth long, first string"), "range-starts")
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, mode, depth, first = None, OUTSIDE, 0, ""
+        for batch in batches:
+            found = []
+            for at, block, m0, r0, m1, r1, letter in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != file:
+                    file, mode, depth, first = at, OUTSIDE, 0, letter
+                found.append((at, block, mode, depth, first))
+                mode, depth = (m0, depth + r0) if mode == OUTSIDE else (m1, depth + r1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 5, kinds)], states)
+
+    states, kinds = ["file", "block", "mode", "depth", "first"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    # The ranges of a file follow one another in one task, which keeps no more than the state it is in.
+    dealt = tables.repartition("file").sortWithinPartitions("file", "block")
+    return written(dealt.mapInArrow(starts, "file long, block long, mode long, depth long, first string"), "range-starts")
 
 
 def cut_records(pieces: DataFrame, starts: DataFrame, scanner) -> DataFrame:

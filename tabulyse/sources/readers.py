@@ -241,18 +241,18 @@ def _json_documents(spark: SparkSession, path: str, lines: bool, range_bytes: in
     """
     texts = spark.read.text(path, wholetext=not lines)
     if not lines:
-        large = [r.path for r in spark.read.format("binaryFile").load(path).where(F.col("length") > range_bytes).select("path").collect()]
-        if large:
-            texts = texts.where(F.col("_metadata.file_size") <= range_bytes).select("value")  # decided on the file listing
-            texts = texts.unionByName(_large_documents(spark, large))
+        size = F.col("_metadata.file_size")  # filters on it are decided on the file listing
+        if not spark.read.format("binaryFile").load(path).where(size > range_bytes).select("length").isEmpty():
+            texts = texts.where(size <= range_bytes).select("value").unionByName(_large_documents(spark, path, size > range_bytes))
     texts = texts.where(~F.col("value").rlike(r"^\s*\z"))
     return texts.select("value", F.try_parse_json("value").alias("json"))
 
 
-def _large_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(value): arrays as one array for what lies between two closing braces of members; other documents whole."""
+def _large_documents(spark: SparkSession, path: str, large: Column) -> DataFrame:
+    """(value): of the files that are ``large``, arrays as one array for what lies between two closing braces of members; other
+    documents whole."""
     scanner = JsonMembers()
-    pieces = pieces_of(spark, paths, scanner.separator)
+    pieces = pieces_of(spark, path, scanner.separator, large)
     starts = range_starts(pieces, scanner)
     arrays = starts.where("first = '['")
     records = cut_records(pieces.join(F.broadcast(arrays.select("file").distinct()), "file", "left_semi"), arrays, scanner)  # a row per range
@@ -261,7 +261,7 @@ def _large_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     members = records.select(inside.alias("value")).where(~F.col("value").rlike(r"^\s*\z"))
     cut = members.select(F.concat(F.lit("["), "value", F.lit("]")).alias("value"))
     others = starts.where("first != '['").select("file").distinct()
-    whole = spark.read.text(paths, wholetext=True).withColumn("file", F.xxhash64("_metadata.file_path")).join(F.broadcast(others), "file", "left_semi")
+    whole = spark.read.text(path, wholetext=True).where(large).withColumn("file", F.xxhash64("_metadata.file_path")).join(F.broadcast(others), "file", "left_semi")
     return cut if others.isEmpty() else cut.unionByName(whole.select("value"))
 
 

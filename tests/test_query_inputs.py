@@ -9,6 +9,7 @@ import pytest
 from checks import queries
 from tabulyse.operators import synth
 from tabulyse.session import scratch_dir
+from tabulyse.sources import readers
 
 
 def made(spark, label):
@@ -37,3 +38,14 @@ def test_values_are_drawn_by_more_tasks_as_the_table_grows(spark, tmp_path, monk
     drawn = queries.QUERIES[query](spark, str(tmp_path))
     assert drawn.rdd.getNumPartitions() == 10
     assert sorted(str(r[0]) for r in drawn.select(key).collect()) == sorted(map(str, keys))
+
+
+def test_large_documents_are_read_by_their_folder(spark, tmp_path, monkeypatch):
+    """No list of files goes through the driver, and no function runs once per file."""
+    for k in range(40):
+        (tmp_path / f"{k}.json").write_text("[" + ", ".join(f'{{"id": {10 * k + i}, "s": "}}"}}' for i in range(k % 7)) + "]" + " " * (20 * (k % 2)))
+    seen, pieces_of = [], readers.pieces_of
+    monkeypatch.setattr(readers, "pieces_of", lambda spark, path, *more, **options: seen.append(path) or pieces_of(spark, path, *more, **options))
+    read = readers.read_json(spark, str(tmp_path), lines=False, range_bytes=15)
+    assert sorted(r.id for r in read.collect()) == [10 * k + i for k in range(40) for i in range(k % 7)]
+    assert seen == [str(tmp_path)]
