@@ -70,35 +70,77 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return found.select("i", "total", "n", F.when(F.col("n") > 0, F.col("mean")).alias("mean"), variance.alias("variance"), "low", "high")
 
 
-def pair_sums(df: DataFrame, columns: list[str], centres: list[float | None], block: int = BLOCK_COLUMNS) -> DataFrame:
+def _centred(batch: pa.RecordBatch, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values less their centre by column, 0 where there is none; the different patterns of gaps, as floats; each column's pattern.
+
+    NULL and NaN are gaps. A centre that is NaN is set to the value next to the mean, so that a constant column is all 0.
+    """
+    values, patterns, which = np.empty((batch.num_columns, batch.num_rows)), {}, []
+    full = np.ones(batch.num_rows, bool).tobytes()
+    for k, c in enumerate(batch.columns):
+        row = values[k]
+        row[:] = c.to_numpy(zero_copy_only=False)
+        there = ~np.isnan(row)
+        gaps = not there.all()
+        which.append(patterns.setdefault(there.tobytes() if gaps else full, len(patterns)))
+        if np.isnan(centres[k]):
+            known = row[there & np.isfinite(row)]
+            if len(known):
+                centres[k] = known[np.argmin(np.abs(known - known.mean()))]
+        row -= np.nan_to_num(centres[k])
+        if gaps:
+            row[~there] = 0.0
+    return values, np.array([np.frombuffer(p, bool) for p in patterns], float), np.array(which)
+
+
+def pair_sums(df: DataFrame, columns: list[str], centres: list[float | None] | None, block: int = BLOCK_COLUMNS) -> DataFrame:
     """(i, j, n, x, y, xx, yy, xy) for i before j: sums over the rows where both columns have a value, of values less
-    their centre."""
+    their centre. Without centres every task takes its own, and the sums are moved to the mean of those: one pass does."""
     blocks = [range(k, min(k + block, len(columns))) for k in range(0, len(columns), block)]
-    parts = [_block_pair(df, columns, centres, a, b) for k, a in enumerate(blocks) for b in blocks[k:]]
-    sums = reduce(DataFrame.unionAll, parts).groupBy("i", "j")
+    parts = reduce(DataFrame.unionAll, [_block_pair(df, columns, centres, a, b) for k, a in enumerate(blocks) for b in blocks[k:]])
+    if centres is None:
+        parts = _same_centre(parts)
+    sums = parts.groupBy("i", "j")
     return sums.agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
 
 
-def _block_pair(df: DataFrame, columns: list[str], centres: list[float | None], left: range, right: range) -> DataFrame:
+def _same_centre(parts: DataFrame) -> DataFrame:
+    """The sums of each pair about the mean of the centres of its parts, weighted by their rows."""
+    same = Window.partitionBy("i", "j")
+    n = F.greatest(F.sum("n").over(same), F.lit(1))
+    off = parts.withColumns({f"d{s}": F.col(f"c{s}") - F.sum(F.col("n") * F.col(f"c{s}")).over(same) / n for s in "xy"})
+    plain = ["x + n * dx as x", "y + n * dy as y"]
+    squares = [f"{s}{s} + 2 * d{s} * {s} + n * d{s} * d{s} as {s}{s}" for s in "xy"]
+    return off.selectExpr("i", "j", "n", *plain, *squares, "xy + dx * y + dy * x + n * dx * dy as xy")
+
+
+def _block_pair(df: DataFrame, columns: list[str], centres: list[float | None] | None, left: range, right: range) -> DataFrame:
     wanted = list(left) if left == right else [*left, *right]
-    numbers = df.select(*[(m.number(df, columns[i]) - F.lit(centres[i] or 0.0)).alias(f"c{i}") for i in wanted])
+    m.require_numeric(df, *[columns[i] for i in wanted])
+    numbers = df.select(*[m.col(columns[i]).cast("double").alias(f"c{i}") for i in wanted])
     # The places of the pairs in a matrix of left by right, and their columns.
     at_left, at_right = np.triu_indices(len(left), 1) if left == right else map(np.ravel, np.indices((len(left), len(right))))
     i, j = np.array(left)[at_left], np.array(right)[at_right]
-    own = left == right
+    a, b = slice(0, len(left)), slice(0 if left == right else len(left), len(wanted))
+    given = np.array([np.nan if centres is None else centres[i] or 0.0 for i in wanted])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = None
+        sums, own = None, given.copy()
         for batch in batches:
-            values, there = _matrix(batch)
-            a, ta = values[:, : len(left)], there[:, : len(left)]
-            b, tb = (a, ta) if own else (values[:, len(left) :], there[:, len(left) :])
+            if not batch.num_rows:
+                continue
             with np.errstate(invalid="ignore", over="ignore"):
-                new = [ta.T @ tb, a.T @ tb, ta.T @ b, (a * a).T @ tb, ta.T @ (b * b), a.T @ b]
+                values, gaps, which = _centred(batch, own)
+                # Sums of one column over the rows where another has a value differ by the pattern of the other's gaps only.
+                both, once, squares = gaps @ gaps.T, values @ gaps.T, (values * values) @ gaps.T
+                l, r = which[a], which[b]
+                new = [both[l][:, r], once[a][:, r], once[b][:, l].T, squares[a][:, r], squares[b][:, l].T, values[a] @ values[b].T]
             sums = new if sums is None else [x + y for x, y in zip(sums, new)]
         if sums is not None:
             n, *rest = (s[at_left, at_right] for s in sums)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(n.astype(np.int64)), *map(pa.array, rest)], names)
+            own = np.nan_to_num(own)
+            centre = [own[a][at_left], own[b][at_right]]
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(n.astype(np.int64)), *map(pa.array, rest), *map(pa.array, centre)], names)
 
-    names = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
-    return numbers.mapInArrow(run, "i long, j long, n long, x double, y double, xx double, yy double, xy double")
+    names = ["i", "j", "n", "x", "y", "xx", "yy", "xy", "cx", "cy"]
+    return numbers.mapInArrow(run, "i long, j long, n long, x double, y double, xx double, yy double, xy double, cx double, cy double")

@@ -77,7 +77,7 @@ def _pair_r(x: str, y: str, x_gaps: bool, y_gaps: bool) -> Column:
 def _pairs(df: DataFrame, columns: list[_Column]) -> DataFrame:
     """(i, j, column_a, column_b, r) for a before b: pairwise-complete, all pairs in one aggregate or, of many columns, by blocks."""
     if len(columns) > WIDE:
-        return _pairs_by_blocks(df, columns)
+        return _pairs_by_blocks(df, [c.name for c in columns], [c.mean for c in columns])
     centred = df.select(*[(m.number(df, c.name) - F.lit(c.mean)).alias(f"c{i}") for i, c in enumerate(columns)])
     entries = [
         F.struct(
@@ -93,9 +93,8 @@ def _pairs(df: DataFrame, columns: list[_Column]) -> DataFrame:
     return pairs.withColumn("r", F.coalesce(stat(F.col("r")), F.lit(0.0)))
 
 
-def _pairs_by_blocks(df: DataFrame, columns: list[_Column]) -> DataFrame:
-    names = [c.name for c in columns]
-    sums = cross_products.pair_sums(df, names, [c.mean for c in columns])
+def _pairs_by_blocks(df: DataFrame, names: list[str], centres: list[float | None] | None) -> DataFrame:
+    sums = cross_products.pair_sums(df, names, centres)
 
     def spread(v: str) -> Column:
         return F.col(v + v) - F.col(v) * F.col(v) / F.col("n")
@@ -131,9 +130,13 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, keep: in
 def top_correlations(df: DataFrame, columns: list[str] | None = None, n: int = 10, keep: int | None = None) -> DataFrame:
     """(column_a, column_b, strength, r): the n pairs with the largest absolute correlation, over all columns.
 
-    ``keep`` limits them to that many columns, those with the largest variance.
+    ``keep`` limits them to that many columns, those with the largest variance. More than ``WIDE`` columns that all stay
+    take one pass.
     """
-    chosen = _survey(df, columns or m.numeric_columns(df), keep)
+    names = columns or m.numeric_columns(df)
+    if len(names) > WIDE and (keep is None or len(names) <= keep):
+        return strongest(_pairs_by_blocks(df, names, None), n)
+    chosen = _survey(df, names, keep)
     if len(chosen) < 2:
         return small_table(df.sparkSession, [], "column_a string, column_b string, strength double, r double")
     return strongest(_pairs(df, chosen), n)

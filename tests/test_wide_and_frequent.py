@@ -107,3 +107,17 @@ def test_estimated_duplicates_shuffle_no_rows(skewed):
 def test_only_digests_are_sent_for_long_texts(skewed):
     text = top_values(skewed, ["t"], 5)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and text.count("SortMergeJoin") <= 1
+
+
+def test_strongest_of_many_columns_take_one_pass(wide, monkeypatch):
+    """Every task takes its own centres, far apart here, and their sums are put together."""
+    pdf, df = wide
+    pdf = pdf.drop(columns="c22").assign(c23=np.arange(3000) * 1e6 + pdf["c0"], c24=np.arange(3000) // 600 * 1e7, c25=0.1)
+    df = df.sparkSession.createDataFrame(pdf).repartitionByRange(5, "c23")
+    seen = []
+    monkeypatch.setattr(relations.cross_products, "moments", lambda *a: seen.append(a))
+    got = {(r.column_a, r.column_b): r.r for r in relations.top_correlations(df, n=1000).collect()}
+    want = pdf.corr().fillna(0.0)
+    assert not seen and len(got) == 39 * 38 // 2
+    assert max(abs(r - want.loc[a, b]) for (a, b), r in got.items()) < 0.0015
+    assert relations.top_correlations(df.limit(0), n=5).count() == 0
