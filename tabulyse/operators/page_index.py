@@ -28,14 +28,16 @@ def write_pages(df: DataFrame, order_by: list[str], path: str, chunk_rows: int =
     """
     for name in order_by:
         m.field(df, name)
-    keyed = df.withColumn(_KEY, row_key(df))
     # A flag ahead of each key puts missing values last, in an order that Spark can range by.
-    marks = [x for i, c in enumerate(order_by) for x in (m.missing(df, c).alias(f"__none{i}"), m.value(df, c).alias(f"__key{i}"))]
-    keyed = keyed.select("*", *marks)
-    places = numbered(keyed, [], [*keyed.columns[len(df.columns) + 1 :], _KEY, *df.columns])
+    marks = [x for c in order_by for x in (m.missing(df, c), m.value(df, c))]
+    if set(df.columns) <= set(order_by):  # rows that tie are spellings of the same missing values
+        places = numbered(df, [], df.columns, marks, [row_key(df)])
+    else:
+        places = numbered(df.withColumn(_KEY, row_key(df)), [], [_KEY, *df.columns], marks)
     copies = places.withColumn(_PLACE, F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
     chunked = copies.select(*map(m.col, df.columns), _PLACE, F.floor(F.col(_PLACE) / chunk_rows).cast("long").alias(_CHUNK))
-    dealt = chunked.repartitionByRange(_PLACE).sortWithinPartitions(_PLACE)
+    # Places are dense, so chunks are even, and ranges of places need not be sought by another run of all steps before.
+    dealt = chunked.repartition(_CHUNK).sortWithinPartitions(_CHUNK, _PLACE)
     dealt.write.partitionBy(_CHUNK).option("parquet.block.size", GROUP_BYTES).parquet(os.path.join(path, "rows"))
     rows = _rows(df.sparkSession, path)
     first = [F.min_by(m.col(c), F.col(_PLACE)).alias(f"first_{c}") for c in order_by]

@@ -51,3 +51,14 @@ def test_shallow_pages_take_ties_and_gaps(table, order, page, size):
     ordered = rows.orderBy(*[preview.m.value(rows, c).asc_nulls_last() for c in [*order, "__row"]]).offset((page - 1) * size).limit(size)
     want = [tuple(r) for r in ordered.select(*[preview.shown(table, c) for c in table.columns]).collect()]
     assert [tuple(r) for r in preview.preview_page(table, order, page, size).collect()] == want
+
+
+@pytest.mark.parametrize("order", [["a", "d", "s"], ["a"]])
+def test_marks_and_digests_are_not_written_with_the_rows(spark, table, tmp_path, monkeypatch, order):
+    """The ranges hold the columns and, where rows can tie, the digest; all rows of a chunk are in one file."""
+    seen, numbered_ = [], page_index.numbered
+    monkeypatch.setattr(page_index, "numbered", lambda *a: seen.append(numbered_(*a)) or seen[-1])
+    path = page_index.write_pages(table, order, str(tmp_path / "t"), chunk_rows=100)
+    assert set(seen[0].columns) == {"a", "d", "s", "n", "before"} | ({"__row"} if len(order) == 1 else set())
+    got = [tuple(r) for page in (1, 2, 12, 24) for r in page_index.read_page(spark, path, page).collect()]
+    assert got == [tuple(r) for page in (1, 2, 12, 24) for r in preview.preview_page(table, order, page).collect()] and len(got) == 200
