@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulyse.llm.staging import staged
+from tabulyse.llm.staging import merging, staged
+
+PARTS = 256
+
+
+def _dealt(links: DataFrame) -> DataFrame:
+    """The links, those of each ``u`` dealt in parts: a hub may have a third of all."""
+    return links.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+
+
+def _least(dealt: DataFrame) -> DataFrame:
+    """(u, part, m): the smallest neighbour of each ``u``, told to each of its parts. One row a part goes to the node."""
+    told = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    return told.select("u", "part", F.min("m").over(Window.partitionBy("u")).alias("m"))
 
 
 def _stars(links: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the smallest node around it (u > v in the result)."""
-    both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = _dealt(links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    least = _least(both).select("u", "part", F.least("u", "m").alias("m"))
+    return merging(both.where(F.col("v") > F.col("u"))).join(least, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _drawn_in(links: DataFrame) -> DataFrame:
     """A node's neighbours below it, and itself, are linked to the smallest of them. Takes links with u > v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    links = _dealt(links)
+    least = _least(links)
+    moved = merging(links).join(least, ["u", "part"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,8 +46,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Links may repeat, point either way or to themselves. Each round is written to the shared folder, and
     the driver sees one count and one checksum of it. A component of any size takes a few rounds (their
-    number grows with the logarithm of the longest path); hub nodes meet only plain joins, which Spark
-    splits when skewed. An empty table gives an empty table.
+    number grows with the logarithm of the longest path); the links of hub nodes are dealt in parts, and no
+    join sends a table to the driver. An empty table gives an empty table.
     """
     links = staged(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _state(links)

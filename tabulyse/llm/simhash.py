@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulyse.llm.components import components
-from tabulyse.llm.staging import ships, staged
+from tabulyse.llm.staging import merging, ships, staged
 from tabulyse.llm.words import per_text
 
 ships(__name__)
@@ -110,7 +110,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, bucket: int = 1024) ->
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(covering_masks(radius))))
     dealt = nodes.select("fingerprint", F.explode(tables).alias("at")).select("at.t", "at.key", "fingerprint")
     sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    met = dealt.join(sizes, ["t", "key"])
+    met = merging(dealt).join(sizes, ["t", "key"])
     small = met.where(F.col("size") <= bucket).groupBy("t", "key").agg(F.collect_list("fingerprint").alias("prints")).select("prints")
     close = small.mapInArrow(_bucket_links(radius), "u long, v long").distinct()
     crowded = staged(met.where(F.col("size") > bucket).select("fingerprint").distinct(), "crowded")
@@ -129,7 +129,7 @@ def _by_midpoints(prints: DataFrame, radius: int) -> DataFrame:
 
     near, far = points(radius // 2), points(radius - radius // 2)
     hubs = near.groupBy("point").agg(F.min("fingerprint").alias("hub"))
-    return far.join(hubs, "point").where("fingerprint != hub").select(F.col("fingerprint").alias("u"), F.col("hub").alias("v")).distinct()
+    return merging(far).join(hubs, "point").where("fingerprint != hub").select(F.col("fingerprint").alias("u"), F.col("hub").alias("v")).distinct()
 
 
 def _with_least(placed: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -141,7 +141,7 @@ def _with_least(placed: DataFrame, parts: int = PARTS) -> DataFrame:
     dealt = placed.withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.lit(parts)))
     told = dealt.groupBy("root", "part").agg(F.min("least").alias("least"))
     told = told.select("root", "part", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
-    return dealt.join(told, ["root", "part"]).select("fingerprint", "component_id", "root")
+    return merging(dealt).join(told, ["root", "part"]).select("fingerprint", "component_id", "root")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, columns: list[str] | None = None, shingle: int = 4, radius: int = 4, bucket: int = 1024) -> DataFrame:
@@ -156,8 +156,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, columns: list[str] | Non
     prints = staged(with_fingerprints(df, text, [key, *others], shingle).toDF("key", *(f"c{i}" for i in range(len(others))), "fingerprint"), "fingerprints")
     nodes = staged(prints.groupBy("fingerprint").agg(F.min("key").alias("least")), "nodes")
     roots = components(fingerprint_links(nodes, radius, bucket))
-    placed = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    placed = merging(nodes).join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     classes = staged(_with_least(placed), "classes")
     digits = [F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("fingerprint", "root")]
-    found = prints.join(classes, "fingerprint").select("key", *(f"c{i}" for i in range(len(others))), digits[0], "component_id", digits[1])
+    found = merging(prints).join(classes, "fingerprint").select("key", *(f"c{i}" for i in range(len(others))), digits[0], "component_id", digits[1])
     return found.toDF(key, *others, "fingerprint", "component_id", "component")

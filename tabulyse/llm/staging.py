@@ -20,6 +20,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """The table, for a join that sorts and merges: neither it nor what it meets is sent to the driver.
+
+    For tables that both grow with the corpus. Spark sizes them by their files: rows that an explode multiplies count once,
+    and values that compress well hardly. What it then takes for small may not fit the driver.
+    """
+    return df.hint("merge")
+
+
 def ships(name: str) -> None:
     """Make the functions of this module travel with the job, so executors need not have the package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[name])

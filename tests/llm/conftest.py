@@ -1,5 +1,7 @@
 import pytest
 
+from tabulyse.llm.staging import staged
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -12,3 +14,25 @@ def documents(spark):
         return spark.createDataFrame(full, DOCUMENTS).selectExpr("*", "'x' as key", "1 as fingerprint", "2 as u", "3 as size", "'y' as _text", "4 as component_id_")
 
     return make
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """Plans of all tables that these modules write, as (label, plan) in a list that grows."""
+
+    def watch(*modules):
+        seen = []
+
+        def recorded(df, label):
+            seen.append((label, plan(df)))
+            return staged(df, label)
+
+        for module in modules:
+            monkeypatch.setattr(module, "staged", recorded)
+        return seen
+
+    return watch
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()

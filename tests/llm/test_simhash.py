@@ -5,8 +5,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tabulyse.llm import components, simhash
 from tabulyse.llm.queries import QUERIES
 from tabulyse.llm.simhash import _by_midpoints, _with_least, covering_masks, fingerprint, fingerprint_links, near_duplicates
+from tests.llm.conftest import plan
 
 
 def plain_fingerprint(text):
@@ -104,6 +106,37 @@ def test_no_task_gets_a_whole_large_component(spark):
     assert len(dealt) >= 3 and sum("part#" not in x for x in dealt) == 1  # that of the window: a row a part
 
 
+@pytest.mark.parametrize("bucket", [2, 1024])
+def test_no_table_that_grows_with_the_corpus_is_broadcast(spark, documents, plans, bucket):
+    words = [f"w{i}" for i in range(400)]
+    table = documents([(i, " ".join(words[: 400 - i % 8])) for i in range(64)] + [(100 + i, f"a{i} b{i} c{i} d{i}") for i in range(20)])
+    seen = plans(simhash, components)
+    found = near_duplicates(table, "doc_id", "text", bucket=bucket)
+    seen.append(("found", plan(found)))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    assert [label for label, text in seen if "Broadcast" in text] == []
+    joins = [label for label, text in seen if "SortMergeJoin" in text]
+    assert {"crowded", "links", "classes", "found"} <= set(joins) and joins.count("links") >= 2
+    assert found.where("doc_id < 64").select("component_id").distinct().count() == 1 and found.count() == 84
+
+
+def test_hubs_and_long_paths_are_one_component_each(spark):
+    hub, path = [(5000, k) for k in range(2000)] + [(k, 0) for k in range(6000, 7000)], [(10_000 + k, 10_001 + k) for k in range(40)]
+    links = [*hub, *path, (10_020, 10_020), (20_001, 20_000), (20_000, 20_001)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()}
+    wanted = {k: 0 for k in [*range(1, 2000), 5000, *range(6000, 7000)]} | {10_001 + k: 10_000 for k in range(40)} | {20_001: 20_000}
+    assert found == wanted
+
+
+def test_no_task_gets_all_links_of_a_hub(spark):
+    links = spark.range(1, 100_000).selectExpr("id + 1 as u", "id div 2 as v")
+    for stars in (components._stars(links), components._drawn_in(links)):
+        lines = plan(stars).splitlines()
+        dealt = {x.split("hashpartitioning(")[1].split(")")[0]: below for x, below in zip(lines, lines[1:]) if "hashpartitioning(" in x}
+        alone = [below for x, below in dealt.items() if "part#" not in x and "v#" not in x]
+        assert len(dealt) >= 4 and alone and all("HashAggregate(keys=[u#" in x and "part#" in x for x in alone)  # those of the windows: a row a part
+
+
 def test_odd_rows(spark, documents):
     long = "lorem ipsum dolor sit amet " * 30_000
     rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, None), (9, ""), (2, long), (3, long + " x"), (None, "only here with no key"), (4, "A B c d E")]
