@@ -14,7 +14,7 @@ from tabulyse.llm.mixing import mixed
 from tabulyse.llm.pii import masked, with_spans
 from tabulyse.llm.quality import with_quality
 from tabulyse.llm.simhash import near_duplicates
-from tabulyse.llm.staging import staged
+from tabulyse.llm.staging import merging, staged
 
 #: No SQL: stages compress with zstandard, hash with XXH64 and train a classifier. tests/llm holds them against brute force.
 ORACLE_SQL = None
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = found.groupBy("component").agg(F.min(F.struct("no_id", "in_doc_id", "id", "mark")).alias("first"))
     first = staged(first.select("first.id", "first.no_id", "first.mark"), "first-of-group")
     same = Window.partitionBy("id", "no_id", "mark").orderBy("id")
-    kept = own.join(first, ["id", "no_id", "mark"], "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1")
+    kept = merging(own).join(first, ["id", "no_id", "mark"], "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1")
     return kept.select(*names).toDF(*docs.columns)
 
 

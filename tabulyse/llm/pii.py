@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulyse.llm.staging import staged
+from tabulyse.llm.staging import merging, staged
 from tabulyse.llm.words import named
 
 #: Kinds with rules of their own, in the order that breaks ties. ``++`` takes as much as ``+`` would here, without recursion.
@@ -314,7 +314,7 @@ def with_spans(df: DataFrame, key: str, text: str, columns: list[str], threshold
     rows = df.select(named(key).alias("doc"), F.xxhash64(named(text)).alias("mark"), *(named(c).alias(k) for c, k in zip(columns, kept)))
     each = F.struct(F.col("start"), _order(F.col("kind")).alias("place"), "kind", "end", "base")
     found = personal_spans(df, key, text, threshold).groupBy("doc", "mark").agg(F.array_sort(F.collect_list(each)).alias("spans"))
-    joined = rows.join(found, rows["doc"].eqNullSafe(found["doc"]) & (rows["mark"] == found["mark"]), "left")
+    joined = merging(rows).join(found, rows["doc"].eqNullSafe(found["doc"]) & (rows["mark"] == found["mark"]), "left")
     spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
     return joined.select(*kept, spans.alias("spans")).toDF(*columns, "spans")
 

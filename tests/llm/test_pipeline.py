@@ -5,7 +5,9 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tabulyse.llm import components, simhash
 from tabulyse.llm.quality import BANDS, CHUNK_BYTES, MOST_BAD_CHUNKS
+from tests.llm.conftest import plan
 from tests.llm.test_decontaminate import plain as plain_hits
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_pii import base
@@ -81,6 +83,17 @@ def test_run_gives_the_mix(spark, sf):
     assert out.columns == [*COLUMNS, "copy"] and out.count() > 0
 
 
+@pytest.mark.parametrize("name", ["near_dedup", "personal_data"])
+def test_no_table_that_grows_with_the_corpus_is_broadcast(spark, sf, documents, plans, name):
+    rows = [(i, " ".join(f"w{k}" for k in range(400 - i % 8)) + f" a{i}@b.cd") for i in range(40)] + [(100 + i, f"a{i} b{i} c{i} d{i}") for i in range(9)]
+    seen = plans(corpus_pipeline, components, simhash)
+    out = dict(corpus_pipeline.STAGES)[name](spark, documents(rows), sf)
+    seen.append((name, plan(out)))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    assert [label for label, text in seen if "Broadcast" in text] == [] and "SortMergeJoin" in seen[-1][1]
+    assert out.count() == (10 if name == "near_dedup" else 49)
+
+
 ODD = [(1, "word " * 60), (1, "word " * 60), (None, None), (None, "lonely"), (2, ""), (3, " ".join(f"w{i}" for i in range(400))), (3, " ".join(f"w{i}" for i in range(400))), (None, " ".join(f"v{i} a{i}@b.cd" for i in range(200))), (4, " ".join(f"v{i}" for i in range(40_000)))]
 
 
